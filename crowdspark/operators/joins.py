@@ -1,0 +1,26 @@
+"""Dimension joins: broadcast only behind a bounded row check, shuffle join beyond it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest dimension broadcast to every executor.  Dimensions here are parks, rides,
+# holidays, schedules: thousands of rows; beyond the bound the planner shuffles.
+DIM_BROADCAST_MAX_ROWS = 2_000_000
+
+
+def is_bounded(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1 of them)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def bounded_broadcast(dim: DataFrame, max_rows: int = DIM_BROADCAST_MAX_ROWS) -> DataFrame:
+    """``broadcast(dim)`` when its row count is proven small, else ``dim`` unchanged."""
+    return F.broadcast(dim) if is_bounded(dim, max_rows) else dim
+
+
+def join_dim(fact: DataFrame, dim: DataFrame, on, how: str = "left",
+             max_rows: int = DIM_BROADCAST_MAX_ROWS) -> DataFrame:
+    """Fact-to-dimension join with a checked broadcast."""
+    return fact.join(bounded_broadcast(dim, max_rows), on=on, how=how)
