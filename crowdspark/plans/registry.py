@@ -96,3 +96,7 @@ select count(*) as n_rows, list_sort(list(distinct park_id)) as parks from level
 def crowd_level_report(spark, sf_dir):
     """Row count and park list of the label frame."""
     return labels.level_report(_orders_levels(spark, sf_dir))
+
+
+# Query groups register themselves on import.
+from . import queries_features  # noqa: E402,F401

@@ -141,11 +141,13 @@ def public_holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "region").select("r_name")
     years = (table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"))
              .unionByName(table(spark, sf_dir, "events").select(F.year("ts").alias("y"))).distinct())
-    md = spark.createDataFrame(PUBLIC_HOLIDAY_DAYS, "m int, d int, name string")
-    rows = (r.crossJoin(F.broadcast(md)).crossJoin(F.broadcast(years))
-            .where(~((F.col("r_name") == PUBLIC_HOLIDAY_SKIP[0]) & (F.col("m") == PUBLIC_HOLIDAY_SKIP[1])))
+    year_list = sorted(row["y"] for row in years.collect() if row["y"] is not None)   # tens of years
+    days = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(m).alias("m"), F.lit(d).alias("d"), F.lit(nm).alias("name"))
+                     for y in year_list for m, d, nm in PUBLIC_HOLIDAY_DAYS])
+    rows = (r.select("r_name", F.explode(days).alias("h"))
+            .where(~((F.col("r_name") == PUBLIC_HOLIDAY_SKIP[0]) & (F.col("h.m") == PUBLIC_HOLIDAY_SKIP[1])))
             .select(F.upper(F.substring("r_name", 1, 2)).alias("country_code"),
-                    day_text(F.make_date("y", "m", "d")).alias("date"), "name"))
+                    day_text(F.make_date("h.y", "h.m", "h.d")).alias("date"), F.col("h.name").alias("name")))
     undated = r.select(F.upper(F.substring("r_name", 1, 2)).alias("country_code"),
                        F.lit(None).cast("string").alias("date"), F.lit("Floating day").alias("name"))
     return rows.unionByName(undated)
