@@ -19,12 +19,13 @@ def park_values(df: DataFrame, col: str = "park_id") -> list[str]:
 
 
 def one_hot_parks(df: DataFrame, values: list[str] | None = None, col: str = "park_id",
-                  prefix: str = "park") -> DataFrame:
-    """park_<id> INT columns replacing ``col``; a NULL park gives all zeros."""
+                  prefix: str = "park", keep_source: bool = False) -> DataFrame:
+    """park_<id> INT columns replacing ``col`` (kept as a key with ``keep_source``); a NULL
+    park gives all zeros."""
     values = park_values(df, col) if values is None else values
     p = F.col(col).cast("string")
     flags = [F.coalesce((p == v).cast("int"), F.lit(0)).alias(f"{prefix}_{v}") for v in values]
-    return df.select(*[c for c in df.columns if c != col], *flags)
+    return df.select(*[c for c in df.columns if c != col or keep_source], *flags)
 
 
 def align_columns(df: DataFrame, columns: list[str], fill=0, keep: list[str] | None = None) -> DataFrame:

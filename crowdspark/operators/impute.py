@@ -28,9 +28,10 @@ def _walk(sorted_counts, rank):
     raise IndexError(rank)
 
 
-def _kth_values(df: DataFrame, col: str, ranks: list[int]) -> dict[int, float]:
-    """Exact order statistics (0-based ``ranks`` among non-null values) of one column."""
-    v = F.col(col).cast("double")
+def _kth_values(df: DataFrame, col: str, ranks: list[int], as_double: bool = True) -> dict[int, float]:
+    """Exact order statistics (0-based ``ranks`` among non-null values) of one column
+    (as DOUBLE, or in the column's own type with ``as_double=False``)."""
+    v = F.col(col).cast("double") if as_double else F.col(col)
     base = df.select(v.alias("v")).where(F.col("v").isNotNull())
     out: dict[int, float] = {}
     # each pending item: (ranks relative to the sub-range, lower bound exclusive, upper inclusive)

@@ -33,7 +33,8 @@ W_E = """w_e as (
   select cast(user_id % 3 + 1 as varchar) as park_id, cast(ts as date) as date,
          round(avg(value) / 10, 6) as tavg,
          round(avg(case when event_type = 'click' then value end) / 20, 6) as prcp,
-         round(avg(case when event_type = 'purchase' and value > 450 then value end) / 30, 6) as wspd
+         case when count(*) filter (where event_type = 'error') <= count(*) filter (where event_type = 'view')
+              then round(avg(value) / 30, 6) end as wspd
   from events group by 1, 2)"""
 
 # ride -> park, the percentile crowd level per park-day (orders world)

@@ -101,3 +101,4 @@ def crowd_level_report(spark, sf_dir):
 # Query groups register themselves on import.
 from . import queries_features  # noqa: E402,F401
 from . import queries_ingest  # noqa: E402,F401
+from . import queries_model  # noqa: E402,F401

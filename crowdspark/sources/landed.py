@@ -177,12 +177,13 @@ def events_park_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily weather per park of the events world (wind is NULL on days without a big purchase)."""
+    """Daily weather per park of the events world (wind is NULL on days with more errors than views)."""
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
     return (e.groupBy((F.col("user_id") % 3 + 1).cast("string").alias("park_id"), F.col("ts").cast("date").alias("date"))
             .agg(F.round(F.avg("value") / 10, 6).alias("tavg"),
                  F.round(F.avg(F.when(F.col("event_type") == "click", F.col("value"))) / 20, 6).alias("prcp"),
-                 F.round(F.avg(F.when((F.col("event_type") == "purchase") & (F.col("value") > 450), F.col("value"))) / 30, 6).alias("wspd")))
+                 F.when(F.count_if(F.col("event_type") == "error") <= F.count_if(F.col("event_type") == "view"),
+                        F.round(F.avg("value") / 30, 6)).alias("wspd")))
 
 
 def schedule_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
