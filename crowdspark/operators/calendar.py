@@ -1,4 +1,8 @@
-"""Calendar and holiday features for a (date, park_id) frame."""
+"""Calendar and holiday features for a (date, park_id) frame.
+
+The frame is park-days (already aggregated) and the holiday tables are country x day, so
+the joins carry no hint: adaptive execution broadcasts whichever side is small at run time.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import day_of_week_flags, month_flags
-from .joins import bounded_broadcast
 
 
 def add_date_features(df: DataFrame, date_col: str = "date") -> DataFrame:
@@ -20,21 +23,21 @@ def park_countries(parks: DataFrame, aliases: DataFrame) -> DataFrame:
     Unknown park or country gives NULL codes, so the flags below come out False.
     """
     return (parks.select("park_id", "country", F.lower("country").alias("name_lower"))
-            .join(bounded_broadcast(aliases), "name_lower", "left")
+            .join(aliases, "name_lower", "left")
             .select("park_id", "country", F.col("alpha2").alias("country_code")))
 
 
 def add_bank_holidays(df: DataFrame, countries: DataFrame, holiday_days: DataFrame) -> DataFrame:
     """is_bank_holiday: the day is in the public-holiday set of the park's country."""
     flags = holiday_days.select("country_code", "date", F.lit(True).alias("_hol"))
-    out = (df.join(bounded_broadcast(countries.select("park_id", "country_code")), "park_id", "left")
-           .join(bounded_broadcast(flags), ["country_code", "date"], "left"))
-    return out.withColumn("is_bank_holiday", F.coalesce("_hol", F.lit(False))).drop("_hol", "country_code")
+    out = (df.join(countries.select("park_id", "country_code"), "park_id", "left")
+           .join(flags, ["country_code", "date"], "left"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("_hol", F.lit(False)).alias("is_bank_holiday"))
 
 
 def add_school_holidays(df: DataFrame, countries: DataFrame, school_days: DataFrame) -> DataFrame:
     """is_school_holiday: the day lies in any school period of the park's country."""
     flags = school_days.select("country", "date", F.lit(True).alias("_sch"))
-    out = (df.join(bounded_broadcast(countries.select("park_id", "country")), "park_id", "left")
-           .join(bounded_broadcast(flags), ["country", "date"], "left"))
-    return out.withColumn("is_school_holiday", F.coalesce("_sch", F.lit(False))).drop("_sch", "country")
+    out = (df.join(countries.select("park_id", F.col("country").alias("_country")), "park_id", "left")
+           .join(flags.withColumnRenamed("country", "_country"), ["_country", "date"], "left"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("_sch", F.lit(False)).alias("is_school_holiday"))

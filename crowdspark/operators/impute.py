@@ -132,10 +132,9 @@ def fill_with_median(df: DataFrame, medians: dict[str, float | None] | None = No
     if medians is None:
         medians = exact_medians(df, numeric_columns_with_nulls(df))
     fill = {c: m for c, m in medians.items() if m is not None}
-    out = df
-    for c, m in fill.items():
-        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(m).cast(dict(df.dtypes)[c])
-                                           if dict(df.dtypes)[c] in ("double", "float") else F.lit(m)))
+    types = dict(df.dtypes)
+    out = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(fill[c]).cast("double")).alias(c) if c in fill
+                      else F.col(f"`{c}`") for c in df.columns])
     if drop_remaining:
         out = out.na.drop("any")
     return out, medians

@@ -1,12 +1,24 @@
-"""Dimension joins: broadcast only behind a bounded row check, shuffle join beyond it."""
+"""Dimension joins.
+
+Two cases:
+
+* reading-level fact x dimension (readings -> ride dimension): the fact is the big table, so
+  the dimension is broadcast explicitly - but only after its row count is checked
+  (``bounded_broadcast``); beyond the bound the planner's shuffle join is kept.  The
+  dimension is cached first so the count and the broadcast share one computation.
+* park-day-level fact x derived dimension (holidays, schedules, weather): both sides are
+  aggregates.  No hint is given; adaptive execution measures the materialised sides at run
+  time and switches to a broadcast join only when a side is below
+  ``spark.sql.adaptive.autoBroadcastJoinThreshold`` - a runtime size check with the
+  sort-merge join as the way beyond it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest dimension broadcast to every executor.  Dimensions here are parks, rides,
-# holidays, schedules: thousands of rows; beyond the bound the planner shuffles.
+# Largest dimension broadcast to every executor (rides, parks, holidays: thousands of rows).
 DIM_BROADCAST_MAX_ROWS = 2_000_000
 
 
@@ -16,11 +28,12 @@ def is_bounded(df: DataFrame, max_rows: int) -> bool:
 
 
 def bounded_broadcast(dim: DataFrame, max_rows: int = DIM_BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(dim)`` when its row count is proven small, else ``dim`` unchanged."""
-    return F.broadcast(dim) if is_bounded(dim, max_rows) else dim
+    """``broadcast(dim)`` when its row count is proven <= ``max_rows``, else ``dim``."""
+    dim = dim.cache()
+    return F.broadcast(dim) if dim.count() <= max_rows else dim
 
 
 def join_dim(fact: DataFrame, dim: DataFrame, on, how: str = "left",
              max_rows: int = DIM_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Fact-to-dimension join with a checked broadcast."""
+    """Big fact to dimension join with a checked broadcast."""
     return fact.join(bounded_broadcast(dim, max_rows), on=on, how=how)

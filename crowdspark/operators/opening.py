@@ -20,7 +20,7 @@ def first_last_times(readings: DataFrame, park_info: DataFrame | None = None, sc
     if scope == "all":
         return r.groupBy("date").agg(F.min("time_of_day").alias("opening_time"),
                                      F.max("time_of_day").alias("closing_time"))
-    dim = bounded_broadcast(park_info.select("ride_id", "park_id").dropDuplicates(["ride_id"]))
+    dim = bounded_broadcast(park_info.select("ride_id", "park_id").distinct())
     return (r.join(dim, "ride_id").groupBy("park_id", "date")
             .agg(F.min("time_of_day").alias("opening_time"), F.max("time_of_day").alias("closing_time")))
 
@@ -46,18 +46,16 @@ def opening_times(requested: DataFrame, history: DataFrame, schedule: DataFrame
     keys = [k for k in ("park_id", "date") if k in history.columns]
     h = history.select(*keys, F.col("opening_time").alias("_h_open"), F.col("closing_time").alias("_h_close"),
                        F.lit(True).alias("_has_h"))
+    base = [F.col(f"`{c}`") for c in requested.columns]
     out = requested.join(h, keys, "left")
-    if schedule is not None:
-        s = schedule.select("park_id", "date", F.col("opening_time").alias("_s_open"),
-                            F.col("closing_time").alias("_s_close"))
-        out = out.join(bounded_broadcast(s), ["park_id", "date"], "left")
-        use_h = F.col("_has_h").isNotNull()
-        out = out.withColumn("opening_time", F.when(use_h, F.col("_h_open")).otherwise(F.col("_s_open")))
-        out = out.withColumn("closing_time", F.when(use_h, F.col("_h_close")).otherwise(F.col("_s_close")))
-        out = out.drop("_s_open", "_s_close")
-    else:
-        out = out.withColumn("opening_time", F.col("_h_open")).withColumn("closing_time", F.col("_h_close"))
-    return out.drop("_h_open", "_h_close", "_has_h")
+    if schedule is None:
+        return out.select(*base, F.col("_h_open").alias("opening_time"), F.col("_h_close").alias("closing_time"))
+    s = schedule.select("park_id", "date", F.col("opening_time").alias("_s_open"),
+                        F.col("closing_time").alias("_s_close"))
+    out = out.join(s, ["park_id", "date"], "left")
+    use_h = F.col("_has_h").isNotNull()
+    return out.select(*base, F.when(use_h, F.col("_h_open")).otherwise(F.col("_s_open")).alias("opening_time"),
+                      F.when(use_h, F.col("_h_close")).otherwise(F.col("_s_close")).alias("closing_time"))
 
 
 def opening_hour_features(df: DataFrame, drop_missing: bool = True) -> DataFrame:
@@ -68,8 +66,9 @@ def opening_hour_features(df: DataFrame, drop_missing: bool = True) -> DataFrame
     """
     o, c = leading_int("opening_time"), leading_int("closing_time")
     ok = o.isNotNull() & c.isNotNull()
-    out = (df.withColumn("opening_hr", F.when(ok, o)).withColumn("closing_hr", F.when(ok, c))
-           .withColumn("hours_open_for", F.when(ok, c - o)).drop("opening_time", "closing_time"))
+    rest = [F.col(f"`{x}`") for x in df.columns if x not in ("opening_time", "closing_time")]
+    out = df.select(*rest, F.when(ok, o).alias("opening_hr"), F.when(ok, c).alias("closing_hr"),
+                    F.when(ok, c - o).alias("hours_open_for"))
     return out.na.drop(subset=OPENING_COLS) if drop_missing else out
 
 

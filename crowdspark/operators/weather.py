@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import nan_to_null, parse_day
-from .joins import bounded_broadcast
 
 FORECAST_HORIZON_DAYS = 16
 RENAME = {"tavg": "temperature_c", "prcp": "precipitation_mm", "wspd": "wind_speed_kmh"}
@@ -28,8 +27,8 @@ def add_weather_history(df: DataFrame, weather: DataFrame, as_of: str | None = N
     if as_of is not None:
         last = F.max("date").over(Window.partitionBy("park_id"))
         late = last > F.to_date(F.lit(as_of))
-        for c in RENAME.values():
-            out = out.withColumn(c, F.when(~late, F.col(c)))
+        out = out.select(*[F.col(f"`{c}`") for c in out.columns if c not in RENAME.values()],
+                         *[F.when(~late, F.col(c)).alias(c) for c in RENAME.values()])
     return out
 
 
@@ -74,11 +73,10 @@ def add_weather_forecast(df: DataFrame, payloads: DataFrame, clim: DataFrame, as
     fc_end = fc.groupBy("park_id").agg(F.max("date").alias("_fc_end"))
     fcv = fc.select("park_id", "date", *[F.col(c).alias(f"_f_{c}") for c in RENAME.values()])
     cl = clim.select("park_id", F.col("month").alias("_month"), *[F.col(c).alias(f"_c_{c}") for c in RENAME.values()])
-    out = (df.join(bounded_broadcast(fc_end), "park_id", "left")
-           .join(bounded_broadcast(fcv), ["park_id", "date"], "left")
+    out = (df.join(fc_end, "park_id", "left")
+           .join(fcv, ["park_id", "date"], "left")
            .withColumn("_month", F.month("date"))
-           .join(bounded_broadcast(cl), ["park_id", "_month"], "left"))
+           .join(cl, ["park_id", "_month"], "left"))
     in_fc = F.col("_fc_end").isNotNull() & (F.col("date") <= F.col("_fc_end"))
-    for c in RENAME.values():
-        out = out.withColumn(c, F.when(in_fc, F.col(f"_f_{c}")).otherwise(F.col(f"_c_{c}")))
-    return out.drop("_fc_end", "_month", *[f"_f_{c}" for c in RENAME.values()], *[f"_c_{c}" for c in RENAME.values()])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns],
+                      *[F.when(in_fc, F.col(f"_f_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in RENAME.values()])

@@ -64,8 +64,8 @@ park_country as (
   select d.park_id, a.alpha2 from directory d left join aliases a on lower(d.country) = a.name_lower)"""
 
 PUBLIC_HOLIDAYS = """years as (
-  select distinct year(o_orderdate) as y from orders
-  union select distinct year(ts) from events),
+  select unnest(range(min(y), max(y) + 1)) as y
+  from (select year(o_orderdate) as y from orders union all select year(ts) from events)),
 md as (select * from (values (1, 1), (5, 1), (12, 25)) as t(m, d)),
 public_holidays as (
   select distinct upper(substr(r_name, 1, 2)) as country_code, make_date(cast(y as integer), m, d) as date

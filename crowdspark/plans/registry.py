@@ -102,3 +102,4 @@ def crowd_level_report(spark, sf_dir):
 from . import queries_features  # noqa: E402,F401
 from . import queries_ingest  # noqa: E402,F401
 from . import queries_model  # noqa: E402,F401
+from . import queries_report  # noqa: E402,F401

@@ -14,6 +14,8 @@ Two worlds are used:
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +30,9 @@ SCHEDULE_OFFSETS = {"1": "Z", "2": "+01:00", "3": "-05:00"}
 SCHEDULE_SHIFT_DAYS = 14
 
 
+@functools.lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the driver's tables (the reader, with its listed files and schema, is reused)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -135,19 +139,27 @@ def country_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.lower("r_name").alias("name_lower"), F.upper(F.substring("r_name", 1, 2)).alias("alpha2"))
 
 
+@functools.lru_cache(maxsize=32)
+def _reading_years(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """First and last calendar year of the readings of both worlds."""
+    b = (table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"))
+         .unionByName(table(spark, sf_dir, "events").select(F.year("ts").alias("y")))
+         .agg(F.min("y").alias("lo"), F.max("y").alias("hi")).first())
+    return (b["lo"], b["hi"]) if b["lo"] is not None else (1, 0)
+
+
 def public_holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Public-holiday rows (country_code, date text, name) for every year present in the
     readings of both worlds; each country also lists one entry without a date."""
     r = table(spark, sf_dir, "region").select("r_name")
-    years = (table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"))
-             .unionByName(table(spark, sf_dir, "events").select(F.year("ts").alias("y"))).distinct())
-    year_list = sorted(row["y"] for row in years.collect() if row["y"] is not None)   # tens of years
-    days = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(m).alias("m"), F.lit(d).alias("d"), F.lit(nm).alias("name"))
-                     for y in year_list for m, d, nm in PUBLIC_HOLIDAY_DAYS])
-    rows = (r.select("r_name", F.explode(days).alias("h"))
+    lo, hi = _reading_years(spark, sf_dir)
+    md = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(d).alias("d"), F.lit(nm).alias("name"))
+                   for m, d, nm in PUBLIC_HOLIDAY_DAYS])
+    rows = (r.select("r_name", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("y"))
+            .select("r_name", "y", F.explode(md).alias("h"))
             .where(~((F.col("r_name") == PUBLIC_HOLIDAY_SKIP[0]) & (F.col("h.m") == PUBLIC_HOLIDAY_SKIP[1])))
             .select(F.upper(F.substring("r_name", 1, 2)).alias("country_code"),
-                    day_text(F.make_date("h.y", "h.m", "h.d")).alias("date"), F.col("h.name").alias("name")))
+                    day_text(F.make_date("y", "h.m", "h.d")).alias("date"), F.col("h.name").alias("name")))
     undated = r.select(F.upper(F.substring("r_name", 1, 2)).alias("country_code"),
                        F.lit(None).cast("string").alias("date"), F.lit("Floating day").alias("name"))
     return rows.unionByName(undated)
