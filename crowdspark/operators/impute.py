@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 LOCAL_DISTINCT_LIMIT = 50_000     # distinct values a refinement step may bring back
 BUCKETS = 512
-MAX_ROUNDS = 8
+MAX_ROUNDS = 16
 
 
 def _walk(sorted_counts, rank):
@@ -30,11 +30,16 @@ def _walk(sorted_counts, rank):
 
 def _kth_values(df: DataFrame, col: str, ranks: list[int], as_double: bool = True) -> dict[int, float]:
     """Exact order statistics (0-based ``ranks`` among non-null values) of one column
-    (as DOUBLE, or in the column's own type with ``as_double=False``)."""
+    (as DOUBLE, or in the column's own type with ``as_double=False``).
+
+    Buckets per round: every boundary value is a bucket of its own (so a hot value ends the
+    search at once) and the open intervals between boundaries are the others; a round
+    always removes at least the boundary values, so the search cannot stall.
+    """
     v = F.col(col).cast("double") if as_double else F.col(col)
     base = df.select(v.alias("v")).where(F.col("v").isNotNull())
     out: dict[int, float] = {}
-    # each pending item: (ranks relative to the sub-range, lower bound exclusive, upper inclusive)
+    # pending: (ranks relative to the sub-range, lower bound exclusive, upper bound exclusive, rank offset)
     pending = [(sorted(set(ranks)), None, None, 0)]
     for _ in range(MAX_ROUNDS):
         if not pending:
@@ -45,7 +50,7 @@ def _kth_values(df: DataFrame, col: str, ranks: list[int], as_double: bool = Tru
             if lo is not None:
                 sub = sub.where(F.col("v") > F.lit(lo))
             if hi is not None:
-                sub = sub.where(F.col("v") <= F.lit(hi))
+                sub = sub.where(F.col("v") < F.lit(hi))
             counts = sub.groupBy("v").count().limit(LOCAL_DISTINCT_LIMIT + 1).collect()
             if len(counts) <= LOCAL_DISTINCT_LIMIT:
                 sc = sorted((r["v"], r["count"]) for r in counts)
@@ -54,31 +59,33 @@ def _kth_values(df: DataFrame, col: str, ranks: list[int], as_double: bool = Tru
                 continue
             qs = sub.agg(F.percentile_approx("v", [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS)).first()[0]
             bounds = sorted(set(qs))
-            bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda x: x < F.col("v")))
+            arr = F.array(*[F.lit(b) for b in bounds])
+            pos = F.size(F.filter(arr, lambda x: x < F.col("v")))
+            on_bound = F.coalesce(F.try_element_at(arr, pos + 1) == F.col("v"), F.lit(False))
+            bucket = pos * 2 + on_bound.cast("int")
             hist = sorted((r["b"], r["n"], r["lo"], r["hi"]) for r in
                           sub.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"),
                                                              F.max("v").alias("hi")).collect())
-            groups: dict[int, list[int]] = {}
-            for k in rel_ranks:
-                seen = 0
-                for b, n, blo, bhi in hist:
-                    if k < seen + n:
-                        groups.setdefault(b, []).append(k - seen)
-                        break
-                    seen += n
             starts, seen = {}, 0
             for b, n, blo, bhi in hist:
-                starts[b] = (seen, blo, bhi)
+                starts[b] = (seen, n, blo, bhi)
                 seen += n
+            groups: dict[int, list[int]] = {}
+            for k in rel_ranks:
+                for b, (s0, n, _, _) in starts.items():
+                    if s0 <= k < s0 + n:
+                        groups.setdefault(b, []).append(k - s0)
+                        break
             for b, ks in groups.items():
-                s, blo, bhi = starts[b]
+                s0, _, blo, bhi = starts[b]
                 if blo == bhi:
                     for k in ks:
-                        out[k + s + offset] = blo
-                else:
-                    new_lo = bounds[b - 1] if b > 0 else lo
-                    new_hi = bounds[b] if b < len(bounds) else hi
-                    nxt.append((ks, new_lo, new_hi, offset + s))
+                        out[k + s0 + offset] = blo
+                    continue
+                p = b // 2                      # open interval (bounds[p-1], bounds[p])
+                new_lo = bounds[p - 1] if p > 0 else lo
+                new_hi = bounds[p] if p < len(bounds) else hi
+                nxt.append((ks, new_lo, new_hi, offset + s0))
         pending = nxt
     if pending:
         raise RuntimeError("median refinement did not converge")
