@@ -129,3 +129,39 @@ def park_info_upsert(spark, sf_dir):
     existing = spark.read.parquet(path)
     sinks.insert_or_ignore(existing, rows.where(F.col("date") > F.lit(mid))).write.mode("append").parquet(path)
     return spark.read.parquet(path).select("ride_id", "park_id", "ride_name")
+
+
+@register("slot_grid", V.with_ctes(V.R_E, "src as (select id, date, ride_id, ts, queue_time, is_closed from r_e)", _ALIGN,
+                                   """bounds as (
+  select date, ride_id, epoch_us(min(ts)) - epoch_us(min(ts)) % 900000000 as lo,
+         epoch_us(date_trunc('minute', max(ts))) as hi_min from r_e group by 1, 2),
+grid as (
+  select date, ride_id, lo,
+         case when hi_min % 900000000 = 0 then hi_min else hi_min - hi_min % 900000000 + 900000000 end as hi
+  from bounds),
+filled as (select date, ride_id, count(*) as n_filled from aligned group by 1, 2)""") + """
+select cast(g.date as varchar) as date, g.ride_id,
+       strftime(make_timestamp(g.lo), '%Y-%m-%d %H:%M:%S') as first_slot,
+       strftime(make_timestamp(g.hi), '%Y-%m-%d %H:%M:%S') as last_slot,
+       cast((g.hi - g.lo) // 900000000 + 1 as integer) as n_slots, f.n_filled
+from grid g join filled f on f.date = g.date and f.ride_id = g.ride_id""")
+def slot_grid(spark, sf_dir):
+    """Per ride-day grid floor(first) .. minute-based ceil(last), and how many of its
+    slots the alignment filled."""
+    r = landed.events_readings(spark, sf_dir)
+    b = r.groupBy("date", "ride_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    g = b.select("date", "ride_id", align.slot_grid("first", "last").alias("grid"))
+    filled = align.align_to_slots(r).groupBy("date", "ride_id").agg(F.count("*").alias("n_filled"))
+    out = g.select("date", "ride_id", F.element_at("grid", 1).alias("first_slot"), F.element_at("grid", -1).alias("last_slot"),
+                   F.size("grid").alias("n_slots")).join(filled, ["date", "ride_id"])
+    return as_report(out)
+
+
+@register("last_stored_day", V.with_ctes(V.R_O, V.P_O) + """
+select p.park_id, replace(max(r.date_text), '-', '/') as last_day
+from r_o r join p_o p on r.ride_id = p.ride_id group by 1""")
+def last_stored_day(spark, sf_dir):
+    """Latest stored day per park through the ride dimension, as 'YYYY/MM/DD'."""
+    r = scan_readings(spark, landed.orders_readings(spark, sf_dir))
+    last = worklist.last_stored_day(r, landed.customer_park_info(spark, sf_dir))
+    return last.select("park_id", F.translate(F.date_format("last_day", "yyyy-MM-dd"), "-", "/").alias("last_day"))
