@@ -124,7 +124,7 @@ def sample_params(n_iter: int, seed: int = 104) -> list[dict]:
 
 
 def search(spark: SparkSession, df: DataFrame, feature_cols: list[str], n_iter: int = 20, n_splits: int = 5,
-           seed: int = 104, parallelism: int = 4) -> DataFrame:
+           seed: int = 104, parallelism: int = 8) -> DataFrame:
     """Seeded random search over expanding day folds; score = mean fold MSE (lower is better).
 
     Returns one row per trial: trial, parameters, mean_mse, rank (1 = best).

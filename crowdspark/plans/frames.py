@@ -72,12 +72,15 @@ def training_frame(spark: SparkSession, sf_dir: str, params: RunParams | None =
     readings = stored_readings(spark, sf_dir)
     park_info = landed.events_park_info(spark, sf_dir)
     target = labels.crowd_levels(readings, park_info, params.include_park_ids)
-    frame = target.select("date", "park_id")
-    f = _feature_steps(spark, sf_dir, frame, readings, park_info, params)
+    # The target rides along through the left joins (none of them multiplies rows) instead of
+    # being set aside and joined back; it is kept out of imputation and of the NULL drop.
+    f = _feature_steps(spark, sf_dir, target, readings, park_info, params)
     f = weather.add_weather_history(f, landed.events_weather(spark, sf_dir))
-    f = _checkpointed(spark, f.select("date", "park_id", *FEATURE_COLS))
-    f, medians = impute.fill_with_median(f)
-    f = f.join(target, ["date", "park_id"], "left")
+    f = _checkpointed(spark, f.select("date", "park_id", *FEATURE_COLS, "crowd_level"))
+    feats = f.drop("crowd_level")
+    medians = impute.exact_medians(feats, impute.numeric_columns_with_nulls(feats))
+    f, _ = impute.fill_with_median(f, medians, drop_remaining=False)
+    f = f.na.drop("any", subset=["date", "park_id", *FEATURE_COLS])
     out = encode.one_hot_parks(f, keep_source=True)
     return (out, medians) if return_medians else out
 
