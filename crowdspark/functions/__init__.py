@@ -2,7 +2,8 @@ from .dates import (SLOT_MICROS, TOLERANCE_MICROS, date_days, day_of_week_flags,
                     micros, month_flags, monday_weekday, parse_day, parse_reading_time,
                     slot_floor_micros, timestamp_from_micros, wall_clock_hhmm, wall_clock_text,
                     year_month)
-from .numbers import clip, closed_flag, falsy_zero, leading_int, nan_to_null, round_half_even_int
+from .numbers import (clip, closed_flag, exact_mean, falsy_zero, leading_int, nan_to_null, round_half_even_int,
+                      round_to)
 from .strings import CROWD_BANDS, crowd_label, last_path_part, park_label, same_text_ci
 
 __all__ = [
@@ -10,6 +11,6 @@ __all__ = [
     "micros", "month_flags", "monday_weekday", "parse_day", "parse_reading_time",
     "slot_floor_micros", "timestamp_from_micros", "wall_clock_hhmm", "wall_clock_text",
     "year_month", "clip", "closed_flag", "falsy_zero", "leading_int", "nan_to_null",
-    "round_half_even_int", "CROWD_BANDS", "crowd_label", "last_path_part", "park_label",
+    "round_half_even_int", "round_to", "exact_mean", "CROWD_BANDS", "crowd_label", "last_path_part", "park_label",
     "same_text_ci",
 ]

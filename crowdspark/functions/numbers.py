@@ -36,3 +36,22 @@ def falsy_zero(c) -> Column:
 def closed_flag(c) -> Column:
     """1 only when the value is exactly 0; NULL -> 0."""
     return F.coalesce((col_(c) == 0).cast("int"), F.lit(0))
+
+
+def round_to(c, digits: int = 6) -> Column:
+    """floor(x * 10^d + 0.5) / 10^d: the same IEEE steps in every engine, so equal inputs give
+    equal outputs even on an exact decimal tie (engines' ``round`` differ there)."""
+    f = float(10 ** digits)
+    return F.floor(col_(c) * F.lit(f) + F.lit(0.5)) / F.lit(f)
+
+
+def exact_mean(c, scale: int = 2) -> Column:
+    """Mean of values with at most ``scale`` decimals from an exact integer sum.
+
+    A sum of doubles depends on the order the partitions are added in; the sum of the values
+    in units of 10^-scale is exact, so the mean is the same on every run and layout.  NULLs
+    are skipped; no value gives NULL.
+    """
+    f = float(10 ** scale)
+    units = F.floor(col_(c) * F.lit(f) + F.lit(0.5))
+    return F.try_divide(F.sum(units), F.count(col_(c))) / F.lit(f)

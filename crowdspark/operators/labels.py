@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import round_half_even_int
+from ..functions import exact_mean, round_half_even_int, round_to
 from .joins import bounded_broadcast
 
 
@@ -43,17 +43,20 @@ def attach_park(readings: DataFrame, park_info: DataFrame, include_park_ids=None
     return normalise_park_ids(df, include_park_ids)
 
 
-def ride_day_mean(readings_with_park: DataFrame) -> DataFrame:
-    """Mean wait per (date, park, ride); NULL keys dropped, NULL waits skipped."""
+def ride_day_mean(readings_with_park: DataFrame, scale: int = 2, digits: int = 6) -> DataFrame:
+    """Mean wait per (date, park, ride); NULL keys dropped, NULL waits skipped.
+
+    Waits carry at most ``scale`` decimals, so the mean comes from an exact integer sum and
+    is the same whatever the partitioning; it is kept to ``digits`` decimals."""
     r = readings_with_park.where(F.col("date").isNotNull() & F.col("park_id").isNotNull() & F.col("ride_id").isNotNull())
-    return r.groupBy("date", "park_id", "ride_id").agg(F.avg("queue_time").alias("avg_queue_time"))
+    return r.groupBy("date", "park_id", "ride_id").agg(round_to(exact_mean("queue_time", scale), digits).alias("avg_queue_time"))
 
 
 def park_day_mean(ride_means: DataFrame, digits: int | None = 6) -> DataFrame:
     """Unweighted mean of ride means per (date, park).  Rounded to ``digits`` so that ties
     do not depend on summation order."""
-    m = F.avg("avg_queue_time")
-    return ride_means.groupBy("date", "park_id").agg((F.round(m, digits) if digits is not None else m).alias("avg_queue_time"))
+    m = exact_mean("avg_queue_time", digits) if digits is not None else F.avg("avg_queue_time")
+    return ride_means.groupBy("date", "park_id").agg((round_to(m, digits) if digits is not None else m).alias("avg_queue_time"))
 
 
 def percentile_rank_level(park_days: DataFrame, value: str = "avg_queue_time", by: str = "park_id",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import nan_to_null, parse_day
+from ..functions import exact_mean, nan_to_null, parse_day
 
 FORECAST_HORIZON_DAYS = 16
 RENAME = {"tavg": "temperature_c", "prcp": "precipitation_mm", "wspd": "wind_speed_kmh"}
@@ -39,8 +39,9 @@ def climatology(weather: DataFrame, as_of: str, years_back: int = 5, months: lis
     h = daily_history(weather).where((F.year("date") >= y - years_back) & (F.year("date") <= y - 1))
     if months is not None:
         h = h.where(F.month("date").isin(months))
+    # daily values carry 6 decimals: exact means, independent of the partitioning
     return h.groupBy("park_id", F.month("date").alias("month")).agg(
-        *[F.avg(c).alias(c) for c in RENAME.values()])
+        *[exact_mean(c, 6).alias(c) for c in RENAME.values()])
 
 
 def forecast_rows(payloads: DataFrame) -> DataFrame:

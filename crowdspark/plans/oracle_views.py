@@ -1,6 +1,24 @@
 """DuckDB text of the landed inputs (same mapping as ``sources.landed``), used as CTEs by
 the oracle SQL of every registered query."""
 
+def em(x: str, scale: int = 2) -> str:
+    """Exact mean of values with <= ``scale`` decimals (integer sum), as in ``exact_mean``."""
+    return f"(sum(cast(floor({x} * 1e{scale} + 0.5) as bigint)) / count({x}) / 1e{scale})"
+
+
+def r6(x: str) -> str:
+    """floor(x * 1e6 + 0.5) / 1e6, as in ``round_to``."""
+    return f"(floor(({x}) * 1e6 + 0.5) / 1e6)"
+
+
+def median_cte(name: str, src: str, col: str) -> str:
+    """Exact median as (lower middle + upper middle) / 2, the way ``exact_medians`` does."""
+    return f"""{name}_r as (
+  select {col} as v, row_number() over (order by {col}) as rn, count(*) over () as n from {src} where {col} is not null),
+{name} as (
+  select (max(v) filter (where rn = (n - 1) // 2 + 1) + max(v) filter (where rn = n // 2 + 1)) / 2.0 as m from {name}_r)"""
+
+
 R_O = """r_o as (
   select o_orderkey as id, strftime(cast(o_orderdate as date), '%Y/%m/%d') as date_text,
          cast(o_orderdate as date) as date, cast(o_custkey as varchar) as ride_id,
@@ -23,32 +41,32 @@ P_E = """p_e as (
          'Ride ' || cast(user_id as varchar) as ride_name
   from events)"""
 
-W_O = """w_o as (
+W_O = f"""w_o as (
   select cast(s_nationkey as varchar) as park_id, cast(l_shipdate as date) as date,
-         round(avg(l_quantity), 6) as tavg, round(avg(l_discount) * 100, 6) as prcp,
-         nullif(round(avg(l_tax) * 100, 6), 0) as wspd
+         {r6(em('l_quantity'))} as tavg, {r6(em('l_discount') + ' * 100')} as prcp,
+         nullif({r6(em('l_tax') + ' * 100')}, 0) as wspd
   from lineitem join supplier on l_suppkey = s_suppkey group by 1, 2)"""
 
-W_E = """w_e as (
+W_E = f"""w_e as (
   select cast(user_id % 3 + 1 as varchar) as park_id, cast(ts as date) as date,
-         round(avg(value) / 10, 6) as tavg,
-         round(avg(case when event_type = 'click' then value end) / 20, 6) as prcp,
+         {r6(em('value') + ' / 10')} as tavg,
+         {r6(em("case when event_type = 'click' then value end") + ' / 20')} as prcp,
          case when count(*) filter (where event_type = 'error') <= count(*) filter (where event_type = 'view')
-              then round(avg(value) / 30, 6) end as wspd
+              then {r6(em('value') + ' / 30')} end as wspd
   from events group by 1, 2)"""
 
 # ride -> park, the percentile crowd level per park-day (orders world)
-LEVELS_O = """ride_park as (
+LEVELS_O = f"""ride_park as (
   select ride_id, min(park_id) as park_id from p_o group by ride_id),
 readings_park as (
   select r.date, r.ride_id, r.queue_time, cast(trunc(try_cast(rp.park_id as double)) as integer) as park_id
   from r_o r left join ride_park rp using (ride_id)
   where r.is_closed = 0 and try_cast(rp.park_id as double) is not null),
 ride_day as (
-  select date, park_id, ride_id, avg(queue_time) as avg_queue_time
+  select date, park_id, ride_id, {r6(em('queue_time'))} as avg_queue_time
   from readings_park where date is not null and ride_id is not null group by 1, 2, 3),
 park_day as (
-  select date, park_id, round(avg(avg_queue_time), 6) as avg_queue_time from ride_day group by 1, 2),
+  select date, park_id, {r6(em('avg_queue_time', 6))} as avg_queue_time from ride_day group by 1, 2),
 levels as (
   select date, cast(park_id as varchar) as park_id,
          cast(round_even(((rank() over w + count(*) over w) / 2.0) / count(avg_queue_time) over (partition by park_id) * 100.0, 0) as integer) as crowd_level

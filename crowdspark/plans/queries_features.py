@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import round_to
 from ..operators import calendar, encode, impute, labels, opening, weather
 from ..sources import directories, holidays, landed, schedule
 from ..sources.readings import scan_readings
@@ -184,18 +185,18 @@ def weather_history(spark, sf_dir):
 
 
 _CLIM = f"""clim as (
-  select park_id, month(date) as month, avg(tavg) as temperature_c, avg(prcp) as precipitation_mm,
-         avg(wspd) as wind_speed_kmh
+  select park_id, month(date) as month, {V.em('tavg', 6)} as temperature_c, {V.em('prcp', 6)} as precipitation_mm,
+         {V.em('wspd', 6)} as wind_speed_kmh
   from w_o where year(date) between year(date '{AS_OF_ORDERS}') - 5 and year(date '{AS_OF_ORDERS}') - 1 group by 1, 2)"""
 
 
-@register("weather_climatology", V.with_ctes(V.W_O, _CLIM) + """
-select park_id, month, round(temperature_c, 6) as temperature_c, round(precipitation_mm, 6) as precipitation_mm,
-       round(wind_speed_kmh, 6) as wind_speed_kmh from clim""")
+@register("weather_climatology", V.with_ctes(V.W_O, _CLIM) + f"""
+select park_id, month, {V.r6('temperature_c')} as temperature_c, {V.r6('precipitation_mm')} as precipitation_mm,
+       {V.r6('wind_speed_kmh')} as wind_speed_kmh from clim""")
 def weather_climatology(spark, sf_dir):
     """Monthly means over the five calendar years before the forecast day."""
     c = weather.climatology(landed.orders_weather(spark, sf_dir), AS_OF_ORDERS)
-    return c.select("park_id", "month", *[F.round(x, 6).alias(x) for x in weather.RENAME.values()])
+    return c.select("park_id", "month", *[round_to(x).alias(x) for x in weather.RENAME.values()])
 
 
 @register("weather_forecast_filled", V.with_ctes(V.W_O, _CLIM, f"""fc as (
@@ -207,9 +208,9 @@ req as (
          cast(unnest(generate_series(date '{AS_OF_ORDERS}', date '{AS_OF_ORDERS}' + {FORECAST_REQUEST_DAYS}, interval 1 day)) as date) as date
   from nation)""") + """
 select r.park_id, cast(r.date as varchar) as date,
-  round(case when e.fc_end is not null and r.date <= e.fc_end then f.tavg else c.temperature_c end, 6) as temperature_c,
-  round(case when e.fc_end is not null and r.date <= e.fc_end then f.prcp else c.precipitation_mm end, 6) as precipitation_mm,
-  round(case when e.fc_end is not null and r.date <= e.fc_end then f.wspd else c.wind_speed_kmh end, 6) as wind_speed_kmh
+  (floor((case when e.fc_end is not null and r.date <= e.fc_end then f.tavg else c.temperature_c end) * 1e6 + 0.5) / 1e6) as temperature_c,
+  (floor((case when e.fc_end is not null and r.date <= e.fc_end then f.prcp else c.precipitation_mm end) * 1e6 + 0.5) / 1e6) as precipitation_mm,
+  (floor((case when e.fc_end is not null and r.date <= e.fc_end then f.wspd else c.wind_speed_kmh end) * 1e6 + 0.5) / 1e6) as wind_speed_kmh
 from req r left join fc_end e on e.park_id = r.park_id
 left join fc f on f.park_id = r.park_id and f.date = r.date
 left join clim c on c.park_id = r.park_id and c.month = month(r.date)""")
@@ -221,7 +222,7 @@ def weather_forecast_filled(spark, sf_dir):
     req = parks.select("park_id", F.explode(F.sequence(start, F.date_add(start, FORECAST_REQUEST_DAYS))).alias("date"))
     out = weather.add_weather_forecast(req, landed.forecast_payloads(w, AS_OF_ORDERS),
                                        weather.climatology(w, AS_OF_ORDERS), AS_OF_ORDERS)
-    return as_report(out.select("park_id", "date", *[F.round(c, 6).alias(c) for c in weather.RENAME.values()]))
+    return as_report(out.select("park_id", "date", *[round_to(c).alias(c) for c in weather.RENAME.values()]))
 
 
 # ------------------------------------------------------------------ imputation and encoding
@@ -230,8 +231,9 @@ _WH = """wh as (
   select l.date, l.park_id, l.crowd_level, w.tavg as temperature_c, w.prcp as precipitation_mm,
          w.wspd as wind_speed_kmh
   from levels l left join w_o w on w.park_id = l.park_id and w.date = l.date),
-med as (
-  select median(temperature_c) as mt, median(precipitation_mm) as mp, median(wind_speed_kmh) as mw from wh)"""
+""" + ",\n".join([V.median_cte("m_t", "wh", "temperature_c"), V.median_cte("m_p", "wh", "precipitation_mm"),
+                  V.median_cte("m_w", "wh", "wind_speed_kmh")]) + """,
+med as (select m_t.m as mt, m_p.m as mp, m_w.m as mw from m_t, m_p, m_w)"""
 
 
 def _weather_frame(spark, sf_dir):
@@ -240,8 +242,9 @@ def _weather_frame(spark, sf_dir):
 
 @register("median_impute", V.with_ctes(V.R_O, V.P_O, V.LEVELS_O, V.W_O, _WH) + """
 select cast(date as varchar) as date, park_id, crowd_level,
-       round(coalesce(temperature_c, mt), 6) as temperature_c, round(coalesce(precipitation_mm, mp), 6) as precipitation_mm,
-       round(coalesce(wind_speed_kmh, mw), 6) as wind_speed_kmh
+       floor(coalesce(temperature_c, mt) * 1e6 + 0.5) / 1e6 as temperature_c,
+       floor(coalesce(precipitation_mm, mp) * 1e6 + 0.5) / 1e6 as precipitation_mm,
+       floor(coalesce(wind_speed_kmh, mw) * 1e6 + 0.5) / 1e6 as wind_speed_kmh
 from wh, med
 where coalesce(temperature_c, mt) is not null and coalesce(precipitation_mm, mp) is not null
   and coalesce(wind_speed_kmh, mw) is not null""")
@@ -250,7 +253,7 @@ def median_impute(spark, sf_dir):
     frame = _weather_frame(spark, sf_dir).cache()
     filled, _ = impute.fill_with_median(frame)
     return as_report(filled.select("date", "park_id", "crowd_level",
-                                   *[F.round(c, 6).alias(c) for c in weather.RENAME.values()]))
+                                   *[round_to(c).alias(c) for c in weather.RENAME.values()]))
 
 
 @register("median_missing_counters", V.with_ctes(V.R_O, V.P_O, V.LEVELS_O, V.W_O, _WH) + """

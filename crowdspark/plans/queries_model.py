@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import round_to
 from ..operators import encode, model
 from ..schema import DAY_OF_WEEK_COLS, MONTH_COLS, WEATHER_COLS
 from ..session import scratch_path
@@ -52,8 +53,9 @@ opened as (
   from feat where o is not null and c is not null)"""
 
 
-_FILL = """med as (
-  select median(temperature_c) as mt, median(precipitation_mm) as mp, median(wind_speed_kmh) as mw from wx),
+_FILL = ",\n".join([V.median_cte("m_t", "wx", "temperature_c"), V.median_cte("m_p", "wx", "precipitation_mm"),
+                     V.median_cte("m_w", "wx", "wind_speed_kmh")]) + """,
+med as (select m_t.m as mt, m_p.m as mp, m_w.m as mw from m_t, m_p, m_w),
 final as (
   select wx.* replace (coalesce(temperature_c, mt) as temperature_c, coalesce(precipitation_mm, mp) as precipitation_mm,
                        coalesce(wind_speed_kmh, mw) as wind_speed_kmh)
@@ -61,7 +63,7 @@ final as (
   where coalesce(temperature_c, mt) is not null and coalesce(precipitation_mm, mp) is not null
     and coalesce(wind_speed_kmh, mw) is not null)"""
 
-_WX_ROUND = ", ".join(f"round({c}, 6) as {c}" for c in WEATHER_COLS)
+_WX_ROUND = ", ".join(f"{V.r6(c)} as {c}" for c in WEATHER_COLS)
 
 TRAINING_SQL = V.with_ctes(*_STORED, "lvl as (select date, park_id from levels)", _features_sql("lvl"), """wx as (
   select o.*, w.tavg as temperature_c, w.prcp as precipitation_mm, w.wspd as wind_speed_kmh
@@ -77,7 +79,7 @@ INFERENCE_SQL = V.with_ctes(*_STORED, f"""req as (
      and not (park_id = '{P.forecast_short_park}' and date > {_AS} + {P.forecast_short_days})),
 fc_end as (select park_id, max(date) as fc_end from fc group by 1),
 clim as (
-  select park_id, month(date) as month, avg(tavg) as t, avg(prcp) as p, avg(wspd) as w from w_e
+  select park_id, month(date) as month, {V.em('tavg', 6)} as t, {V.em('prcp', 6)} as p, {V.em('wspd', 6)} as w from w_e
   where year(date) between year({_AS}) - 5 and year({_AS}) - 1 group by 1, 2),
 wx as (
   select o.*,
@@ -91,7 +93,7 @@ select cast(date as varchar) as date, park_id, {_FEATURES}, {_WX_ROUND}, {_ONE_H
 
 
 def _rounded(df):
-    return df.select(*[F.round(c, 6).alias(c) if c in WEATHER_COLS else F.col(c) for c in df.columns])
+    return df.select(*[round_to(c).alias(c) if c in WEATHER_COLS else F.col(c) for c in df.columns])
 
 
 @register("training_frame", TRAINING_SQL)
@@ -146,15 +148,15 @@ def _month_baseline(spark, sf_dir):
 
 
 @register("regression_metrics", _MONTH_MEAN + """
-select round(avg((m - crowd_level) * (m - crowd_level)), 6) as mse,
-       round(sqrt(avg((m - crowd_level) * (m - crowd_level))), 6) as rmse,
-       round(1 - sum((m - crowd_level) * (m - crowd_level)) / (sum(crowd_level * crowd_level) - sum(crowd_level) * sum(crowd_level) / count(*)), 6) as r2,
-       round(avg(abs(m - crowd_level)), 6) as mae
+select floor(avg((m - crowd_level) * (m - crowd_level)) * 1e6 + 0.5) / 1e6 as mse,
+       floor(sqrt(avg((m - crowd_level) * (m - crowd_level))) * 1e6 + 0.5) / 1e6 as rmse,
+       floor((1 - sum((m - crowd_level) * (m - crowd_level)) / (sum(crowd_level * crowd_level) - sum(crowd_level) * sum(crowd_level) / count(*))) * 1e6 + 0.5) / 1e6 as r2,
+       floor(avg(abs(m - crowd_level)) * 1e6 + 0.5) / 1e6 as mae
 from pm""")
 def regression_metrics(spark, sf_dir):
     """MSE, RMSE, R2, MAE of the month-mean baseline against the labels."""
     r = model.regression_metrics(_month_baseline(spark, sf_dir), pred="m")
-    return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
+    return r.select(*[round_to(c).alias(c) for c in r.columns])
 
 
 def _fitted(spark, sf_dir, params=None):

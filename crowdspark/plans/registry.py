@@ -65,14 +65,12 @@ def park_lookup(spark, sf_dir):
 
 
 @register("ride_day_mean", V.with_ctes(V.R_O, V.P_O, V.LEVELS_O) + """
-select cast(date as varchar) as date, cast(park_id as varchar) as park_id, ride_id,
-       round(avg_queue_time, 6) as avg_queue_time from ride_day""")
+select cast(date as varchar) as date, cast(park_id as varchar) as park_id, ride_id, avg_queue_time from ride_day""")
 def ride_day_mean(spark, sf_dir):
     """Mean wait per (date, park, ride) over open readings."""
     r = open_readings(scan_readings(spark, landed.orders_readings(spark, sf_dir)))
     m = labels.ride_day_mean(labels.attach_park(r, landed.customer_park_info(spark, sf_dir)))
-    return as_report(m.select("date", F.col("park_id").cast("string").alias("park_id"), "ride_id",
-                              F.round("avg_queue_time", 6).alias("avg_queue_time")))
+    return as_report(m.select("date", F.col("park_id").cast("string").alias("park_id"), "ride_id", "avg_queue_time"))
 
 
 @register("park_day_mean", V.with_ctes(V.R_O, V.P_O, V.LEVELS_O) + """

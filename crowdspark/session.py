@@ -35,9 +35,10 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def apply_defaults(spark: SparkSession) -> None:
-    """Pin the runtime SQL settings on a session we did not build (e.g. the driver's)."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    """Pin the runtime SQL settings on a session we did not build (e.g. the driver's):
+    UTC wall-clock, adaptive execution with skew-join splitting, dynamic day overwrite."""
+    for k, v in SESSION_DEFAULTS.items():
+        spark.conf.set(k, v)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -19,7 +19,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import day_text, hhmm
+from ..functions import day_text, exact_mean, hhmm, round_to
 from ..session import scratch_path
 
 # Fixed values of the holiday mapping: month / day of the public holidays, and the one
@@ -86,9 +86,9 @@ def orders_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (li.join(F.broadcast(s), li.l_suppkey == s.s_suppkey)
             .groupBy(F.col("s_nationkey").cast("string").alias("park_id"),
                      F.col("l_shipdate").cast("date").alias("date"))
-            .agg(F.round(F.avg("l_quantity"), 6).alias("tavg"),
-                 F.round(F.avg("l_discount") * 100, 6).alias("prcp"),
-                 F.nullif(F.round(F.avg("l_tax") * 100, 6), F.lit(0.0)).alias("wspd")))
+            .agg(round_to(exact_mean("l_quantity")).alias("tavg"),
+                 round_to(exact_mean("l_discount") * 100).alias("prcp"),
+                 F.nullif(round_to(exact_mean("l_tax") * 100), F.lit(0.0)).alias("wspd")))
 
 
 @landed_once
@@ -220,10 +220,10 @@ def events_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily weather per park of the events world (wind is NULL on days with more errors than views)."""
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
     return (e.groupBy((F.col("user_id") % 3 + 1).cast("string").alias("park_id"), F.col("ts").cast("date").alias("date"))
-            .agg(F.round(F.avg("value") / 10, 6).alias("tavg"),
-                 F.round(F.avg(F.when(F.col("event_type") == "click", F.col("value"))) / 20, 6).alias("prcp"),
+            .agg(round_to(exact_mean("value") / 10).alias("tavg"),
+                 round_to(exact_mean(F.when(F.col("event_type") == "click", F.col("value"))) / 20).alias("prcp"),
                  F.when(F.count_if(F.col("event_type") == "error") <= F.count_if(F.col("event_type") == "view"),
-                        F.round(F.avg("value") / 30, 6)).alias("wspd")))
+                        round_to(exact_mean("value") / 30)).alias("wspd")))
 
 
 @landed_once
