@@ -41,8 +41,10 @@ class RunParams:
             self.horizon_days = 14
 
 
+@landed.landed_once
 def stored_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored readings table: raw events aligned to the 15-minute grid."""
+    """The stored readings table (what ingest writes): raw events aligned to the 15-minute
+    grid, stored once per session and read by the training / inference frames."""
     a = align.align_to_slots(landed.events_readings(spark, sf_dir))
     return a.select("date", "ride_id", "time_of_day", "queue_time", "is_closed")
 
