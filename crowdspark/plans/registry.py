@@ -48,7 +48,7 @@ def _orders_levels(spark, sf_dir):
 select cast(date as varchar) as date, ride_id, queue_time, is_closed from r_o where is_closed = 0""")
 def scan_open_readings(spark, sf_dir):
     """A1 A3 B1 B2: open readings, day text normalised, surrogate id dropped."""
-    r = scan_readings(spark, landed.orders_readings(spark, sf_dir))
+    r = scan_readings(spark, landed.orders_readings(spark, sf_dir, text_dates=True))
     return as_report(open_readings(r))
 
 
@@ -59,7 +59,7 @@ from r_o r left join ride_park rp using (ride_id)
 where try_cast(rp.park_id as double) is not null""")
 def park_lookup(spark, sf_dir):
     """Ride -> park lookup (unique), numeric coercion, include filter (all)."""
-    r = scan_readings(spark, landed.orders_readings(spark, sf_dir), columns=["date", "ride_id", "queue_time"])
+    r = scan_readings(spark, landed.orders_readings(spark, sf_dir, text_dates=True), columns=["date", "ride_id", "queue_time"])
     out = labels.attach_park(r, landed.customer_park_info(spark, sf_dir), include_park_ids=None)
     return as_report(out.withColumn("park_id", F.col("park_id").cast("string")))
 

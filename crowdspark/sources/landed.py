@@ -59,12 +59,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ----------------------------------------------------------------------------- orders world
 
-def orders_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """queue_data shape at day level; ``date`` is text 'YYYY/MM/DD' like the writer stores it."""
+def orders_readings(spark: SparkSession, sf_dir: str, text_dates: bool = False) -> DataFrame:
+    """queue_data shape at day level.  ``date`` is a DATE (how the stored table keeps it); with
+    ``text_dates`` it is 'YYYY/MM/DD' text like the original writer stored it."""
     o = table(spark, sf_dir, "orders")
+    day = F.col("o_orderdate").cast("date")
     return o.select(
         F.col("o_orderkey").alias("id"),
-        day_text(F.col("o_orderdate").cast("date"), "/").alias("date"),
+        (day_text(day, "/") if text_dates else day).alias("date"),
         F.col("o_custkey").cast("string").alias("ride_id"),
         F.col("o_totalprice").alias("queue_time"),
         F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("is_closed"),
