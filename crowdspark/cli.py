@@ -73,9 +73,14 @@ def cmd_train(spark, args, cfg):
 def cmd_predict(spark, args, cfg):
     params = RunParams(as_of=args.as_of or cfg.get("as_of", RunParams.as_of),
                        horizon_days=int(args.horizon or cfg.get("horizon_days", 14)))
-    fitted, cols = model.load_model(args.model)
+    fitted, cols, err = model.load_model_or_error(args.model)
+    if err:
+        raise SystemExit(err)
     inf = encode.align_columns(inference_frame(spark, args.data, params), cols, keep=["date", "park_id"])
     preds = model.ensemble_interval(spark, fitted, args.model, inf, cols).drop("mean_pred")
+    warning = report.empty_result_warning(preds)
+    if warning:
+        print(warning)
     preds.write.mode("overwrite").parquet(os.path.join(args.out, "predictions"))
     report.forecast_summary(preds).write.mode("overwrite").parquet(os.path.join(args.out, "summary"))
     sinks.export_csv(report.display_table(preds), os.path.join(args.out, "display_csv"))

@@ -199,3 +199,13 @@ def save_model(model: PipelineModel, path: str) -> str:
 def load_model(path: str) -> tuple[PipelineModel, list[str]]:
     m = PipelineModel.load(path)
     return m, list(m.stages[0].getInputCols())
+
+
+def load_model_or_error(path: str) -> tuple[PipelineModel | None, list[str] | None, str | None]:
+    """For interactive callers: (model, features, None), or (None, None, message) when the
+    model or its feature list cannot be read, instead of raising."""
+    try:
+        m, cols = load_model(path)
+        return m, cols, None
+    except Exception as e:  # noqa: BLE001 - the message is the result
+        return None, None, f"Model could not be loaded from {path}: {type(e).__name__}"

@@ -23,6 +23,12 @@ def forecast_summary(preds: DataFrame, by=("park_id",)) -> DataFrame:
                     F.date_format("busiest", "EEE dd MMM").alias("busiest_day"))
 
 
+def empty_result_warning(preds: DataFrame) -> str | None:
+    """A warning text when a prediction run produced no rows (e.g. every day lacked opening
+    hours), else None; reads at most one row."""
+    return "No predictions: every requested day was dropped (missing features)." if preds.isEmpty() else None
+
+
 def with_labels(preds: DataFrame) -> DataFrame:
     return preds.withColumn("busy_label", crowd_label("crowd_level"))
 
