@@ -76,7 +76,11 @@ def forest_pipeline(feature_cols: list[str], params: dict | None = None, seed: i
     rf = RandomForestRegressor(featuresCol="features", labelCol=LABEL, seed=seed,
                                numTrees=int(p.get("numTrees", 100)), maxDepth=int(p.get("maxDepth", 10)),
                                minInstancesPerNode=int(p.get("minInstancesPerNode", 1)),
-                               featureSubsetStrategy=str(p.get("featureSubsetStrategy", "sqrt")))
+                               featureSubsetStrategy=str(p.get("featureSubsetStrategy", "sqrt")),
+                               # each row keeps the id of its current node instead of the
+                               # growing forest being shipped to the executors every level;
+                               # lineage is at most maxDepth levels, so no extra checkpoints
+                               cacheNodeIds=True, checkpointInterval=-1)
     asm = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="error")
     return Pipeline(stages=[asm, rf])
 
