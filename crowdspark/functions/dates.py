@@ -58,13 +58,15 @@ def parse_reading_time(c) -> Column:
     The weekday is cut off before parsing because an 'EEE' pattern is refused outright.
     """
     s = F.trim(col_(c))
-    iso = F.coalesce(
+    # dispatch on the shape first: a failed parse attempt is far dearer than a regex test
+    iso_like = s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}")
+    iso = F.when(iso_like, F.coalesce(
         F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss")),
         F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss")),
         F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm")),
-    )
+    ))
     core = F.regexp_extract(s, r"[A-Za-z]{3} ([A-Za-z]{3} [0-9]{2} [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2})", 1)
-    browser = F.when(core != "", F.try_to_timestamp(core, F.lit("MMM dd yyyy HH:mm:ss")))
+    browser = F.when(~iso_like & (core != ""), F.try_to_timestamp(core, F.lit("MMM dd yyyy HH:mm:ss")))
     return F.coalesce(iso, browser)
 
 
