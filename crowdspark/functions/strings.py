@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .dates import col_
 
-# Fixed values that must match the reference output: crowd labels and their upper bounds.
+# Fixed values of the expected output: crowd labels and their upper bounds.
 CROWD_BANDS = [(25, "Quiet"), (50, "Moderate"), (75, "Busy"), (101, "Very Busy")]
 PARK_DATASET_LABEL = "Reported by park"
 UNKNOWN_RIDE_NAME = "Unknown"

@@ -42,6 +42,6 @@ def display_table(preds: DataFrame) -> DataFrame:
 
 
 def band_rows(spark: SparkSession) -> DataFrame:
-    """Reference bands (y0, y1, label) of the chart: 0-25 Quiet, 25-50, 50-75 (fixed)."""
+    """Threshold bands (y0, y1, label) of the chart: 0-25 Quiet, 25-50, 50-75 (fixed)."""
     rows = [(max(0, t - 25), t, name) for t, name in CROWD_BANDS if t <= 75]
     return spark.createDataFrame(rows, "y0 int, y1 int, label string")
