@@ -191,7 +191,7 @@ _CLIM = f"""clim as (
 
 
 @register("weather_climatology", V.with_ctes(V.W_O, _CLIM) + f"""
-select park_id, month, {V.r6('temperature_c')} as temperature_c, {V.r6('precipitation_mm')} as precipitation_mm,
+select park_id, cast(month as integer) as month, {V.r6('temperature_c')} as temperature_c, {V.r6('precipitation_mm')} as precipitation_mm,
        {V.r6('wind_speed_kmh')} as wind_speed_kmh from clim""")
 def weather_climatology(spark, sf_dir):
     """Monthly means over the five calendar years before the forecast day."""
