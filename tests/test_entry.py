@@ -51,12 +51,17 @@ def test_registry_covers_oracle():
 ALL_ORACLE = sorted(entry.oracle_sql())
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "array<string>": "VARCHAR[]"}
+
+
 @pytest.mark.parametrize("name", ALL_ORACLE)
 def test_oracle_equal(spark, con, name):
     df = entry.queries()[name](spark, SF001)
     s_rows = [tuple(r) for r in df.collect()]
-    res = con.execute(entry.oracle_sql()[name])
-    d_cols = [d[0] for d in res.description]
-    d_rows = res.fetchall()
+    rel = con.sql(entry.oracle_sql()[name])
+    d_cols, d_types = rel.columns, [str(t) for t in rel.types]
+    d_rows = rel.fetchall()
     assert sorted(df.columns) == sorted(d_cols)
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes} == dict(zip(d_cols, d_types))
     assert _rows(df.columns, s_rows) == _rows(d_cols, d_rows)
