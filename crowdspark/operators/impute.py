@@ -92,11 +92,13 @@ def _kth_values(df: DataFrame, col: str, ranks: list[int], as_double: bool = Tru
     return out
 
 
-def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    """Exact (interpolated) median of each column, NULLs skipped; NULL for an empty column."""
+def exact_medians(df: DataFrame, cols: list[str], counts: dict[str, int] | None = None) -> dict[str, float | None]:
+    """Exact (interpolated) median of each column, NULLs skipped; NULL for an empty column.
+    ``counts`` (non-NULL values per column) may be passed when already known."""
     if not cols:
         return {}
-    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
+    if counts is None:
+        counts = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
     res: dict[str, float | None] = {}
     for c in cols:
         n = counts[c]
@@ -112,12 +114,16 @@ def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
 NUMERIC = ("int", "bigint", "smallint", "tinyint", "double", "float")
 
 
-def numeric_columns_with_nulls(df: DataFrame) -> list[str]:
+def numeric_columns_with_nulls(df: DataFrame, with_counts: bool = False):
+    """Numeric columns holding a NULL (and, with ``with_counts``, their non-NULL counts),
+    from one aggregate."""
     num = [n for n, t in df.dtypes if t in NUMERIC or t.startswith("decimal")]
     if not num:
-        return []
-    r = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in num]).first().asDict()
-    return [c for c in num if r[c] > 0]
+        return ([], {}) if with_counts else []
+    r = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{i}") for i, c in enumerate(num)],
+               *[F.count(c).alias(f"c_{i}") for i, c in enumerate(num)]).first()
+    cols = [c for i, c in enumerate(num) if r[f"n_{i}"] > 0]
+    return (cols, {c: r[f"c_{i}"] for i, c in enumerate(num)}) if with_counts else cols
 
 
 def missing_counters(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:
@@ -137,7 +143,8 @@ def fill_with_median(df: DataFrame, medians: dict[str, float | None] | None = No
     """Fill NULLs of numeric columns with this frame's exact medians (or given ones, e.g.
     stored training medians), then drop rows that still hold a NULL anywhere."""
     if medians is None:
-        medians = exact_medians(df, numeric_columns_with_nulls(df))
+        cols, counts = numeric_columns_with_nulls(df, with_counts=True)
+        medians = exact_medians(df, cols, counts)
     fill = {c: m for c, m in medians.items() if m is not None}
     types = dict(df.dtypes)
     out = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(fill[c]).cast("double")).alias(c) if c in fill

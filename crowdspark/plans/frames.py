@@ -80,7 +80,8 @@ def training_frame(spark: SparkSession, sf_dir: str, params: RunParams | None =
     f = weather.add_weather_history(f, landed.events_weather(spark, sf_dir))
     f = _checkpointed(spark, f.select("date", "park_id", *FEATURE_COLS, "crowd_level"))
     feats = f.drop("crowd_level")
-    medians = impute.exact_medians(feats, impute.numeric_columns_with_nulls(feats))
+    cols, counts = impute.numeric_columns_with_nulls(feats, with_counts=True)
+    medians = impute.exact_medians(feats, cols, counts)
     f, _ = impute.fill_with_median(f, medians, drop_remaining=False)
     f = f.na.drop("any", subset=["date", "park_id", *FEATURE_COLS])
     out = encode.one_hot_parks(f, keep_source=True)
