@@ -99,18 +99,36 @@ def exact_medians(df: DataFrame, cols: list[str], counts: dict[str, int] | None
         return {}
     if counts is None:
         counts = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
-    res: dict[str, float | None] = {}
-    for c in cols:
+    res: dict[str, float | None] = {c: None for c in cols if not counts[c]}
+    todo = [c for c in cols if counts[c]]
+    small = _small_distinct(df, todo) if len(todo) > 1 else None
+    for c in todo:
         n = counts[c]
-        if not n:
-            res[c] = None
-            continue
         k1, k2 = (n - 1) // 2, n // 2
-        vals = _kth_values(df, c, [k1, k2])
+        if small is not None:
+            sc = small[c]
+            vals = {k1: _walk(sc, k1), k2: _walk(sc, k2)}
+        else:
+            vals = _kth_values(df, c, [k1, k2])
         res[c] = (vals[k1] + vals[k2]) / 2.0
     return res
 
 
+def _small_distinct(df: DataFrame, cols: list[str]) -> dict[str, list] | None:
+    """Sorted (value, count) lists of all ``cols`` from one bounded job, or None when together
+    they hold more than LOCAL_DISTINCT_LIMIT distinct values (then each column is refined)."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])
+    g = (df.select(F.explode(pairs).alias("p")).select("p.k", "p.v").where(F.col("v").isNotNull())
+         .groupBy("k", "v").count())
+    rows = g.limit(LOCAL_DISTINCT_LIMIT + 1).collect()
+    if len(rows) > LOCAL_DISTINCT_LIMIT:
+        return None
+    out: dict[str, list] = {c: [] for c in cols}
+    for r in rows:
+        out[cols[r["k"]]].append((r["v"], r["count"]))
+    return {c: sorted(v) for c, v in out.items()}
+
+
 NUMERIC = ("int", "bigint", "smallint", "tinyint", "double", "float")
 
 

@@ -42,3 +42,14 @@ def test_fill_and_drop(spark):
     df2 = df.drop("allnull")
     out2, _ = impute.fill_with_median(df2)
     assert sorted((r["k"], r["x"]) for r in out2.collect()) == [(1, 1.0), (2, 2.0)]
+
+
+def test_several_columns_one_job_and_fallback(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = [(rnd.random() * 10 if i % 7 else None, float(rnd.randint(0, 30)), rnd.randint(0, 4)) for i in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, c int")
+    want = {k: float(np.median([r[i] for r in rows if r[i] is not None])) for i, k in enumerate("abc")}
+    assert impute.exact_medians(df, ["a", "b", "c"]) == want
+    monkeypatch.setattr(impute, "LOCAL_DISTINCT_LIMIT", 50)     # together too many: per column
+    monkeypatch.setattr(impute, "BUCKETS", 8)
+    assert impute.exact_medians(df, ["a", "b", "c"]) == want
