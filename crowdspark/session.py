@@ -65,14 +65,17 @@ def apply_defaults(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    Reads ``spark.checkpoint.dir`` (or the context's directory); only when neither is set
-    (local tests) a fresh folder is created so ``DataFrame.checkpoint()`` works.
+    Reads ``spark.checkpoint.dir`` (or the context's directory).  Where neither is set, a local
+    session gets a fresh folder (its executors are this process); on a cluster that would be a
+    folder other machines cannot see, so it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir and not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="crowdspark-ckpt-")
     sc.setCheckpointDir(conf_dir)
