@@ -23,7 +23,7 @@ CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 GROUP_PIECES = 16_384
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000        # chunks whose ids a worker remembers at a time
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -32,31 +32,81 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Token ids of whole texts; each blank-separated chunk is tokenized once and remembered.
+    """Token ids of whole texts, as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are its
-    chunks' ids in order (a test holds this against encoding whole texts).
+    The tokenizer drops white space and never merges across it, so a text's ids are those of its
+    blank-separated chunks in order (tests hold this against encoding whole texts).  Chunks not
+    met before are encoded together, set apart by a mark whose ids no other chunk can contain:
+    the mark is one private-use character, and its ids spell exactly its bytes.
     """
 
+    MARK = "\ue000"
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, list[int]] = {}
-
-    def __call__(self, text: str) -> list[int]:
-        chunks, known = text.encode().split(), self.known       # bytes: ASCII blanks only
-        new = list({c for c in chunks if c not in known})
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(chunks))
-            for chunk, got in zip(new, self.tokenizer.encode_batch(
-                    [c.decode() for c in new], add_special_tokens=False)):
-                known[chunk] = got.ids
-        ids: list[int] = []
-        for chunk in chunks:
-            ids += known[chunk]
-        return ids
+        self.known: dict[bytes, bytes] = {}
+        self.mark = self._ids([self.MARK])[0]
+        self.odd = (self.MARK.encode(), b"<|")          # encoded alone: the mark itself, special tokens
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        alone = [c for c in chunks if any(o in c for o in self.odd)]
+        for chunk, ids in zip(alone, self._ids([c.decode() for c in alone])):
+            self.known[chunk] = ids.tobytes()
+        if alone:
+            skip = set(alone)
+            chunks = [c for c in chunks if c not in skip]
+        ids = self._ids([f" {self.MARK} ".join([*(c.decode() for c in chunks), ""])])[0]
+        width = len(self.mark)
+        ends = np.ones(max(0, len(ids) - width + 1), bool)
+        for i, own in enumerate(self.mark):
+            ends &= ids[i:len(ids) - width + 1 + i] == own
+        ends = (4 * np.nonzero(ends)[0]).tolist()
+        raw, at = ids.tobytes(), 0
+        if len(ends) != len(chunks):
+            raise ValueError("the tokenizer does not set the mark apart")
+        for chunk, end in zip(chunks, ends):
+            self.known[chunk] = raw[at:end]
+            at = end + 4 * width
+
+    def __call__(self, text: str) -> bytes:
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        split = [t.encode().split() for t in texts]     # bytes: ASCII blanks only
+        known = self.known
+        new = list({c for chunks in split for c in chunks if c not in known})
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = list({c for chunks in split for c in chunks})
+        for at in range(0, len(new), 4096):
+            self._learn(new[at:at + 4096])
+        return [b"".join([known[c] for c in chunks]) for chunks in split]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process, so that what it has learned serves its later tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def _runs(texts: list[str], most: int = 1 << 20):
+    """Consecutive texts of about ``most`` characters together."""
+    at, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= most:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
@@ -67,15 +117,17 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = "row_key long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def run(batches):
-        encode = Encoder(path)
+        encode, end = encoder(path), END_ID.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []
-            for key, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.array([*encode(text), END_ID], "<u4")
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start:start + capacity]
-                    out.append((key, doc_id, piece, start, len(part), zlib.crc32(part.tobytes()),
-                                part if with_ids else None))
+            keys, doc_ids, texts = (c.to_pylist() for c in batch.columns)
+            for lo, hi in _runs(texts):
+                for key, doc_id, raw in zip(keys[lo:hi], doc_ids[lo:hi], encode.batch(texts[lo:hi])):
+                    raw += end
+                    for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
+                        part = raw[at:at + 4 * capacity]
+                        out.append((key, doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part),
+                                    np.frombuffer(part, "<u4") if with_ids else None))
             cols = list(zip(*out)) or [()] * 7
             arrays = [pa.array(c, t) for c, t in zip(cols[:6], [pa.int64(), pa.int64(), pa.int32(), pa.int64(),
                                                                pa.int64(), pa.int64()])]
