@@ -12,6 +12,7 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .sharding import shard_documents
 from .simhash import simhash_groups
+from .suffix_dedup import remove_repeats
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +84,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
@@ -91,6 +97,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op9_language_id": op9_language_id,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE = {
     "op1_exact_dedup": OP1_SQL,
