@@ -7,12 +7,28 @@ Every round is written to the shared folder, which cuts the lineage.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 
+def star_links(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) between places of ``nodes`` as a star per component, each other member to
+    the first: as many links as nodes at most, with the same components."""
+    root = np.arange(len(nodes))
+    while len(i):
+        before = root.copy()
+        np.minimum.at(root, i, root[j])
+        np.minimum.at(root, j, root[i])
+        root = root[root]
+        if np.array_equal(before, root):
+            break
+    others = np.nonzero(root != np.arange(len(nodes)))[0]
+    return nodes[others], nodes[root[others]]
+
+
 def _shape(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .embedding_dedup import embedding_groups
 from .exact_dedup import exact_dedup
 from .langid import identify_language
 from .lm import score_documents
@@ -39,6 +40,10 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -93,6 +98,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
     "op3_lm_scores": op3_lm_scores,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
