@@ -11,6 +11,7 @@ from .langid import identify_language
 from .lm import score_documents
 from .mixing import mix_sources
 from .packing import pack_documents
+from .quality import grade_documents
 from .sharding import shard_documents
 from .simhash import simhash_groups
 from .suffix_dedup import remove_repeats
@@ -84,6 +85,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_key", "score")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents")).select(
         "doc_id", "held_out", "lang_pred", "score")
@@ -102,6 +107,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
+    "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
