@@ -35,6 +35,7 @@ HOT_TEXTS = 512             # a gram in more occurrences than this is divided by
 SHALLOW = 24                # bytes sorted by multikey quicksort before blind tries take over
 BLOCK = 1 << 20             # bytes hashed at once
 FLUSH_GRAMS = 1 << 21
+SLICES = 4                  # of the gram space, for each reducer: evens them out
 CHUNK_BYTES = (1 << 20, 64 << 20)   # bytes of text in a chunk, from and to, about
 SORT_ROWS = 20_000
 LAST_ID = (1 << 63) - 1     # a null id: behind every other
@@ -417,8 +418,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                   .repartition(parts, "chunk"), "repeat-texts")
 
     asked = reps.select("chunk", "id", "text").mapInArrow(
-        _ask_pass(parts, length), "part int, chunk long, grams binary, ids binary, counts binary")
-    shared = stored(asked.repartitionByRange(parts, "part").mapInArrow(
+        _ask_pass(SLICES * parts, length), "part int, chunk long, grams binary, ids binary, counts binary")
+    shared = stored(asked.repartition(parts, "part").mapInArrow(
         _shared_pass(hot), "chunk long, grams binary, hot binary"), "repeat-grams")
     contexts = stored(reps.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(
         _context_pass(length), CONTEXT), "repeat-contexts")
