@@ -23,7 +23,7 @@ CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 GROUP_PIECES = 16_384
-CACHE_WORDS = 600_000        # chunks whose ids a worker remembers at a time
+CACHE_WORDS = 1_200_000        # chunks whose ids a worker remembers at a time
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -47,6 +47,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.mark = self._ids([self.MARK])[0]
+        self.stops = {c: self._ids([c.decode()])[0].tobytes() for c in (b",", b".")}
         self.odd = (self.MARK.encode(), b"<|")          # encoded alone: the mark itself, special tokens
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -78,13 +79,19 @@ class Encoder:
     def batch(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]     # bytes: ASCII blanks only
         known = self.known
-        new = list({c for chunks in split for c in chunks if c not in known})
+        distinct = set().union(*split)
+        new = distinct.difference(known)
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
-            new = list({c for chunks in split for c in chunks})
-        for at in range(0, len(new), 4096):
-            self._learn(new[at:at + 4096])
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+            new = distinct
+        # a comma or full stop behind an ASCII letter is a token of its own: the word is enough
+        stems = {c: c[:-1] for c in new if len(c) > 1 and c[-1:] in self.stops and c[-2:-1].isalpha()}
+        todo = list((new - stems.keys()).union(stems.values()).difference(known))
+        for at in range(0, len(todo), 4096):
+            self._learn(todo[at:at + 4096])
+        for chunk, stem in stems.items():
+            known[chunk] = known[stem] + self.stops[chunk[-1:]]
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
 _ENCODERS: dict[str, Encoder] = {}
