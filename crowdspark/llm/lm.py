@@ -28,7 +28,7 @@ from .common import partitions, stored, text_rows
 
 CHUNK_BYTES = 16 << 20              # of stored input
 FLUSH_TOKENS = 2 << 20              # a mapper sends its requests when it holds so many tokens
-TOKENS_AT_ONCE = 1 << 20
+SLICES = 4                          # of the key space, for each reducer: evens them out
 CACHE_WORDS = 500_000
 ROUNDS = 30
 SETTLED = 1e-6                      # EM ends when no weight moves by more
@@ -161,48 +161,42 @@ def _answer_pass(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), ANSWER)], schema=ANSWER)
 
 
-class Counts:
-    """Totals of a chunk's n-grams: the answers where there are any, else the chunk's own."""
-
-    def __init__(self, keys: np.ndarray, fit: np.ndarray, deleted: np.ndarray, answers: pd.DataFrame) -> None:
-        self.keys, self.fit, self.deleted = _summed(keys, fit, deleted)
-        for row in answers.itertuples():
-            at = np.searchsorted(self.keys, np.frombuffer(row.keys, "<u8"))
-            self.fit[at], self.deleted[at] = _unpacked(row.fit), _unpacked(row.deleted)
-
-    def of(self, keys: np.ndarray, all_texts: bool) -> np.ndarray:
-        at = np.searchsorted(self.keys, keys)
-        return self.fit[at] + self.deleted[at] if all_texts else self.fit[at]
-
-
-def _token_counts(texts: pd.DataFrame, answers: pd.DataFrame):
-    """A chunk's texts -> tokens by text and functions (texts, all_texts) -> c(h,w), c(w), c(h)."""
+def _totals(keys: np.ndarray, roles: np.ndarray, answers: pd.DataFrame, all_texts: bool) -> tuple:
+    """The total of each token's n-gram, and the distinct n-grams with theirs: the answers' counts
+    where there are any, else the chunk's own.  One sort numbers the n-grams; no token is searched."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    first = np.nonzero(new)[0]
+    distinct, own = ordered[first], roles[order]
+    del ordered
+    total = np.add.reduceat((own == FIT) | (all_texts & (own == DELETED)), first, dtype=np.int64)
+    for row in answers.itertuples():
+        at = np.searchsorted(distinct, np.frombuffer(row.keys, "<u8"))
+        total[at] = _unpacked(row.fit) + _unpacked(row.deleted) if all_texts else _unpacked(row.fit)
+    out = np.empty(len(keys), np.int32 if len(total) == 0 or total.max() < (1 << 31) - 1 else np.int64)
+    out[order] = total[np.cumsum(new) - 1]
+    return out, distinct, total
+
+
+def _token_counts(texts: pd.DataFrame, answers: pd.DataFrame, all_texts: bool) -> tuple:
+    """A chunk's texts -> tokens per text, and for all its tokens in a row c(h,w), c(w) and c(h)."""
     keys = WordKeys()
     tokens = [token_keys(t, keys) for t in texts["text"]]
-    roles = np.concatenate([np.full(len(t), r) for t, r in zip(tokens, texts["role"])])
-    fit, deleted = (roles == FIT).astype(np.int64), (roles == DELETED).astype(np.int64)
+    sizes = np.array([len(t) for t in tokens])
+    starts = np.cumsum(sizes) - sizes
+    flat, pairs = np.concatenate(tokens), np.concatenate([pair_keys(t) for t in tokens])
+    del tokens, keys
+    roles = np.repeat(texts["role"].to_numpy(np.int8), sizes)
     of_words = answers["words"].to_numpy(bool)
-    words = Counts(np.concatenate(tokens), fit, deleted, answers[of_words])
-    pairs = Counts(np.concatenate([pair_keys(t) for t in tokens]), fit, deleted, answers[~of_words])
-
-    def counts(some: list[np.ndarray], all_texts: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        flat = np.concatenate(some)
-        before = np.concatenate([np.r_[END, t[:-1]] for t in some])
-        return (pairs.of(np.concatenate([pair_keys(t) for t in some]), all_texts), words.of(flat, all_texts),
-                words.of(before, all_texts))
-    return tokens, counts
-
-
-def _blocks(tokens: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about TOKENS_AT_ONCE tokens."""
-    at, size = 0, 0
-    for i, t in enumerate(tokens):
-        size += len(t)
-        if size >= TOKENS_AT_ONCE:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(tokens):
-        yield at, len(tokens)
+    word, distinct, total = _totals(flat, roles, answers[of_words], all_texts)
+    end = total[np.searchsorted(distinct, END)]
+    del flat, distinct, total
+    context = np.empty_like(word)
+    context[1:] = word[:-1]
+    context[starts] = end
+    pair, _, _ = _totals(pairs, roles, answers[~of_words], all_texts)
+    return sizes, starts, pair, word, context
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -251,8 +245,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = max(1, _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) // CHUNK_BYTES)
     rows = text_rows(docs, id_col, text_col, role(id_col).alias("role")).withColumn(
         "chunk", F.spark_partition_id().cast("long") * split + F.pmod(F.xxhash64("doc_id", "text"), F.lit(split)))
-    asked = rows.select("chunk", "role", "text").mapInArrow(_request_pass(parts), _ddl(REQUEST))
-    answers = stored(asked.repartitionByRange(parts, "part").mapInArrow(_answer_pass, _ddl(ANSWER)), "lm-counts")
+    asked = rows.select("chunk", "role", "text").mapInArrow(_request_pass(SLICES * parts), _ddl(REQUEST))
+    answers = stored(asked.repartition(parts, "part").mapInArrow(_answer_pass, _ddl(ANSWER)), "lm-counts")
     total = answers.where("chunk is null").agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("known", "n_fit", "n_deleted")]).first()
     known, n_fit, n_all = total["known"], total["n_fit"], total["n_fit"] + total["n_deleted"]
@@ -263,38 +257,32 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return of.groupBy("chunk").cogroup(given.groupBy("chunk")).applyInPandas(run, schema)
 
     def deleted_tokens(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(texts):
-            tokens, counts = _token_counts(texts, answers)
-            mine = [t for t, r in zip(tokens, texts["role"]) if r == DELETED]
-            for lo, hi in _blocks(mine):
-                pair, word, context = counts(mine[lo:hi], False)
-                p2, p1 = estimates(pair, word, context, n_fit)
-                out.append(pd.DataFrame({"bucket": bucket(context).astype(np.int32), "p2": p2, "p1": p1, "n": 1})
-                           .groupby(["bucket", "p2", "p1"], as_index=False)["n"].sum())
-        return pd.concat(out) if out else pd.DataFrame({"bucket": [], "p2": [], "p1": [], "n": []})
+        if not (texts["role"] == DELETED).any():
+            return pd.DataFrame({"bucket": [], "p2": [], "p1": [], "n": []})
+        sizes, _, *counts = _token_counts(texts, answers, False)
+        mine = np.repeat(texts["role"].to_numpy() == DELETED, sizes)
+        pair, word, context = (c[mine] for c in counts)
+        p2, p1 = estimates(pair, word, context, n_fit)
+        return (pd.DataFrame({"bucket": bucket(context).astype(np.int32), "p2": p2, "p1": p1, "n": 1})
+                .groupby(["bucket", "p2", "p1"], as_index=False, sort=False)["n"].sum())
 
     held = joined(rows.select("chunk", "role", "text"), deleted_tokens, "bucket int, p2 double, p1 double, n long")
     weights = fit_weights(stored(held, "lm-deleted"), p0, rounds)
 
     def scores(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(texts):
-            tokens, counts = _token_counts(texts, answers)
-            for lo, hi in _blocks(tokens):
-                pair, word, context = counts(tokens[lo:hi], True)
-                p2, p1 = estimates(pair, word, context, n_all)
-                w = weights[bucket(context)]
-                p = w[:, 0] * p1 + w[:, 1] * p2 + w[:, 2] * p0
-                starts = np.r_[0, np.cumsum([len(t) for t in tokens[lo:hi]])[:-1]]
-                part = texts.iloc[lo:hi]
-                out.append(pd.DataFrame({
-                    "row_key": part["row_key"], "doc_id": part["doc_id"], "held_out": part["role"] == UNSEEN,
-                    "n_tokens": [len(t) for t in tokens[lo:hi]], "n_known": np.add.reduceat((word > 0).astype(np.int64), starts),
-                    "train_tokens": n_all,
-                    "base_score": np.add.reduceat(np.log10((word + 1) / (n_all + known + 1)), starts),
-                    "score": np.add.reduceat(np.log10(p), starts)}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in names})
+        if not len(texts):
+            return pd.DataFrame({c: [] for c in names})
+        sizes, starts, pair, word, context = _token_counts(texts, answers, True)
+        p2, p1 = estimates(pair, word, context, n_all)
+        own = bucket(context)
+        p = weights[own, 0] * p1
+        p += weights[own, 1] * p2
+        p += weights[own, 2] * p0
+        return pd.DataFrame({
+            "row_key": texts["row_key"], "doc_id": texts["doc_id"], "held_out": texts["role"] == UNSEEN,
+            "n_tokens": sizes, "n_known": np.add.reduceat(word > 0, starts, dtype=np.int64), "train_tokens": n_all,
+            "base_score": np.add.reduceat(np.log10((word + 1) / (n_all + known + 1)), starts),
+            "score": np.add.reduceat(np.log10(p), starts)})
 
     names = ["row_key", "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     return joined(rows, scores, "row_key long, doc_id long, held_out boolean, n_tokens long, n_known long, "
