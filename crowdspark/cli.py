@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .operators import align, encode, model, report, worklist
 from .plans.frames import RunParams, inference_frame, model_features, training_frame
-from .session import apply_defaults, build_session
+from .session import apply_defaults, build_session, materialise
 from .sources import landed, sinks
 
 
@@ -56,7 +56,7 @@ def cmd_ingest(spark, args, cfg):
 
 def cmd_train(spark, args, cfg):
     params = RunParams(include_park_ids=cfg.get("include_park_ids"))
-    tf = training_frame(spark, args.data, params).cache()
+    tf = materialise(training_frame(spark, args.data, params), "training-frame")
     feats = model_features(tf)
     split = model.holdout_split(tf)
     train = split.where("split = 'train'")

@@ -5,17 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-MAX_PARKS = 100_000
-
-
 def park_values(df: DataFrame, col: str = "park_id") -> list[str]:
-    """Distinct park ids, string-sorted ('1' < '10' < '2'), from a bounded set."""
+    """Distinct park ids, string-sorted ('1' < '10' < '2').  They become column names, so the
+    driver holds exactly as many as the result has columns."""
     d = df.select(F.col(col).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
-    rows = d.limit(MAX_PARKS + 1).collect()              # bounded read, one job
-    if len(rows) > MAX_PARKS:
-        raise ValueError("too many distinct parks for one-hot columns")
-    return sorted(r["v"] for r in rows)
+    return sorted(r["v"] for r in d.collect())
 
 
 def one_hot_parks(df: DataFrame, values: list[str] | None = None, col: str = "park_id",

@@ -1,147 +1,63 @@
 """Exact median imputation without funnelling a column into one task.
 
 ``F.median`` over a whole column is one group: every distinct value meets in a single final
-task.  Here the exact order statistics are found by histogram refinement instead:
-approximate quantiles (a mergeable sketch) cut the value range into buckets, a distributed
-count per bucket locates the bucket holding the wanted rank, and the search repeats inside
-that bucket until it holds few enough distinct values to finish from a bounded collect.
-A bucket holding a single (hot) value ends the search at once.
+task.  Here the values of all columns are counted (so a hot value is one row), the counted
+values are range-partitioned, and the partitions' counts alone say which partition holds a
+wanted rank; a running count inside that partition finds the value.  The same steps run at
+every size, one pass for all columns, and the driver sees one row per column.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LOCAL_DISTINCT_LIMIT = 50_000     # distinct values a refinement step may bring back
-BUCKETS = 512
-MAX_ROUNDS = 16
-
-
-def _walk(sorted_counts, rank):
-    """value at 0-based ``rank`` in a sorted list of (value, count)."""
-    seen = 0
-    for v, c in sorted_counts:
-        if rank < seen + c:
-            return v
-        seen += c
-    raise IndexError(rank)
-
-
-def _kth_values(df: DataFrame, col: str, ranks: list[int], as_double: bool = True) -> dict[int, float]:
-    """Exact order statistics (0-based ``ranks`` among non-null values) of one column
-    (as DOUBLE, or in the column's own type with ``as_double=False``).
-
-    Buckets per round: every boundary value is a bucket of its own (so a hot value ends the
-    search at once) and the open intervals between boundaries are the others; a round
-    always removes at least the boundary values, so the search cannot stall.
-    """
-    v = F.col(col).cast("double") if as_double else F.col(col)
-    base = df.select(v.alias("v")).where(F.col("v").isNotNull())
-    out: dict[int, float] = {}
-    # pending: (ranks relative to the sub-range, lower bound exclusive, upper bound exclusive, rank offset)
-    pending = [(sorted(set(ranks)), None, None, 0)]
-    for _ in range(MAX_ROUNDS):
-        if not pending:
-            break
-        nxt = []
-        for rel_ranks, lo, hi, offset in pending:
-            sub = base
-            if lo is not None:
-                sub = sub.where(F.col("v") > F.lit(lo))
-            if hi is not None:
-                sub = sub.where(F.col("v") < F.lit(hi))
-            counts = sub.groupBy("v").count().limit(LOCAL_DISTINCT_LIMIT + 1).collect()
-            if len(counts) <= LOCAL_DISTINCT_LIMIT:
-                sc = sorted((r["v"], r["count"]) for r in counts)
-                for k in rel_ranks:
-                    out[k + offset] = _walk(sc, k)
-                continue
-            qs = sub.agg(F.percentile_approx("v", [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS)).first()[0]
-            bounds = sorted(set(qs))
-            arr = F.array(*[F.lit(b) for b in bounds])
-            pos = F.size(F.filter(arr, lambda x: x < F.col("v")))
-            on_bound = F.coalesce(F.try_element_at(arr, pos + 1) == F.col("v"), F.lit(False))
-            bucket = pos * 2 + on_bound.cast("int")
-            hist = sorted((r["b"], r["n"], r["lo"], r["hi"]) for r in
-                          sub.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"),
-                                                             F.max("v").alias("hi")).collect())
-            starts, seen = {}, 0
-            for b, n, blo, bhi in hist:
-                starts[b] = (seen, n, blo, bhi)
-                seen += n
-            groups: dict[int, list[int]] = {}
-            for k in rel_ranks:
-                for b, (s0, n, _, _) in starts.items():
-                    if s0 <= k < s0 + n:
-                        groups.setdefault(b, []).append(k - s0)
-                        break
-            for b, ks in groups.items():
-                s0, _, blo, bhi = starts[b]
-                if blo == bhi:
-                    for k in ks:
-                        out[k + s0 + offset] = blo
-                    continue
-                p = b // 2                      # open interval (bounds[p-1], bounds[p])
-                new_lo = bounds[p - 1] if p > 0 else lo
-                new_hi = bounds[p] if p < len(bounds) else hi
-                nxt.append((ks, new_lo, new_hi, offset + s0))
-        pending = nxt
-    if pending:
-        raise RuntimeError("median refinement did not converge")
-    return out
-
-
-def exact_medians(df: DataFrame, cols: list[str], counts: dict[str, int] | None = None) -> dict[str, float | None]:
-    """Exact (interpolated) median of each column, NULLs skipped; NULL for an empty column.
-    ``counts`` (non-NULL values per column) may be passed when already known."""
+from ..session import materialise
+
+
+def order_statistics(values: DataFrame, ranks: Column) -> DataFrame:
+    """(k, rank, v): for each group ``k`` of ``values`` (k, v) the values at the 0-based
+    ``ranks``, an array expression over ``total`` (the group's number of values); NULLs skipped."""
+    counted = values.where(F.col("v").isNotNull()).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    dealt = materialise(counted.repartitionByRange("k", "v").withColumn("part", F.spark_partition_id()), "ordered")
+    parts = dealt.groupBy("k", "part").agg(F.sum("n").alias("n"))
+    up_to = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = (parts.withColumn("before", F.sum("n").over(up_to) - F.col("n"))
+             .withColumn("total", F.sum("n").over(Window.partitionBy("k"))))
+    wanted = (parts.withColumn("rank", F.explode(ranks))
+              .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
+              .select("k", "part", "rank", "before"))
+    inside = Window.partitionBy("k", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    # only the partitions that hold a wanted rank are read further
+    held = dealt.join(wanted.select("k", "part").distinct(), ["k", "part"], "left_semi")
+    running = held.withColumn("upto", F.sum("n").over(inside))
+    found = running.join(wanted, ["k", "part"]).where(F.col("rank") < F.col("before") + F.col("upto"))
+    return found.groupBy("k", "rank").agg(F.min("v").alias("v"))
+
+
+def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+    """Exact (interpolated) median of each column, NULLs skipped; NULL for an empty column."""
     if not cols:
         return {}
-    if counts is None:
-        counts = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
-    res: dict[str, float | None] = {c: None for c in cols if not counts[c]}
-    todo = [c for c in cols if counts[c]]
-    small = _small_distinct(df, todo) if len(todo) > 1 else None
-    for c in todo:
-        n = counts[c]
-        k1, k2 = (n - 1) // 2, n // 2
-        if small is not None:
-            sc = small[c]
-            vals = {k1: _walk(sc, k1), k2: _walk(sc, k2)}
-        else:
-            vals = _kth_values(df, c, [k1, k2])
-        res[c] = (vals[k1] + vals[k2]) / 2.0
-    return res
-
-
-def _small_distinct(df: DataFrame, cols: list[str]) -> dict[str, list] | None:
-    """Sorted (value, count) lists of all ``cols`` from one bounded job, or None when together
-    they hold more than LOCAL_DISTINCT_LIMIT distinct values (then each column is refined)."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])
-    g = (df.select(F.explode(pairs).alias("p")).select("p.k", "p.v").where(F.col("v").isNotNull())
-         .groupBy("k", "v").count())
-    rows = g.limit(LOCAL_DISTINCT_LIMIT + 1).collect()
-    if len(rows) > LOCAL_DISTINCT_LIMIT:
-        return None
-    out: dict[str, list] = {c: [] for c in cols}
-    for r in rows:
-        out[cols[r["k"]]].append((r["v"], r["count"]))
-    return {c: sorted(v) for c, v in out.items()}
+    pairs = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(cols)])
+    values = df.select(F.explode(pairs).alias("p")).select("p.k", "p.v")
+    total = F.col("total")
+    middle = F.array(F.floor((total - 1) / 2), F.floor(total / 2))
+    found = order_statistics(values, F.array_distinct(middle)).groupBy("k").agg(F.avg("v").alias("m"))
+    got = {r["k"]: r["m"] for r in found.collect()}
+    return {c: got.get(i) for i, c in enumerate(cols)}
 
 
 NUMERIC = ("int", "bigint", "smallint", "tinyint", "double", "float")
 
 
-def numeric_columns_with_nulls(df: DataFrame, with_counts: bool = False):
-    """Numeric columns holding a NULL (and, with ``with_counts``, their non-NULL counts),
-    from one aggregate."""
+def numeric_columns_with_nulls(df: DataFrame) -> list[str]:
+    """Numeric columns holding a NULL, from one aggregate."""
     num = [n for n, t in df.dtypes if t in NUMERIC or t.startswith("decimal")]
     if not num:
-        return ([], {}) if with_counts else []
-    r = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{i}") for i, c in enumerate(num)],
-               *[F.count(c).alias(f"c_{i}") for i, c in enumerate(num)]).first()
-    cols = [c for i, c in enumerate(num) if r[f"n_{i}"] > 0]
-    return (cols, {c: r[f"c_{i}"] for i, c in enumerate(num)}) if with_counts else cols
+        return []
+    r = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n_{i}") for i, c in enumerate(num)]).first()
+    return [c for i, c in enumerate(num) if r[f"n_{i}"] > 0]
 
 
 def missing_counters(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:
@@ -161,10 +77,8 @@ def fill_with_median(df: DataFrame, medians: dict[str, float | None] | None = No
     """Fill NULLs of numeric columns with this frame's exact medians (or given ones, e.g.
     stored training medians), then drop rows that still hold a NULL anywhere."""
     if medians is None:
-        cols, counts = numeric_columns_with_nulls(df, with_counts=True)
-        medians = exact_medians(df, cols, counts)
+        medians = exact_medians(df, numeric_columns_with_nulls(df))
     fill = {c: m for c, m in medians.items() if m is not None}
-    types = dict(df.dtypes)
     out = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(fill[c]).cast("double")).alias(c) if c in fill
                       else F.col(f"`{c}`") for c in df.columns])
     if drop_remaining:

@@ -1,7 +1,8 @@
 """Target construction: readings -> park per reading -> two-level daily mean -> crowd level.
 
-Plan shape: readings scan (is_closed pushed down) -> broadcast ride dimension -> partial +
-final hash aggregate on (date, park, ride) -> hash aggregate on (date, park) -> one window
+Plan shape: readings scan (is_closed pushed down) -> join with the ride dimension (no hint:
+adaptive execution broadcasts it if its measured size allows, and splits a skewed ride
+otherwise) -> partial + final hash aggregate on (date, park, ride) -> hash aggregate on (date, park) -> one window
 sorted by (park, mean) over park-days (already aggregated, so bounded by parks x days).
 """
 
@@ -10,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import exact_mean, round_half_even_int, round_to
-from .joins import bounded_broadcast
+from ..functions import round_half_even_int, round_to
 
 
 def unique_ride_parks(park_info: DataFrame) -> DataFrame:
@@ -38,38 +38,34 @@ def normalise_park_ids(df: DataFrame, include_park_ids=None) -> DataFrame:
 
 def attach_park(readings: DataFrame, park_info: DataFrame, include_park_ids=None) -> DataFrame:
     """Left lookup ride -> park, numeric park ids, include filter."""
-    dim = bounded_broadcast(unique_ride_parks(park_info))
-    df = readings.join(dim, on="ride_id", how="left")
+    df = readings.join(unique_ride_parks(park_info), on="ride_id", how="left")
     return normalise_park_ids(df, include_park_ids)
 
 
-def ride_day_mean(readings_with_park: DataFrame, scale: int = 2, digits: int = 6) -> DataFrame:
-    """Mean wait per (date, park, ride); NULL keys dropped, NULL waits skipped.
-
-    Waits carry at most ``scale`` decimals, so the mean comes from an exact integer sum and
-    is the same whatever the partitioning; it is kept to ``digits`` decimals."""
+def ride_day_mean(readings_with_park: DataFrame) -> DataFrame:
+    """Mean wait per (date, park, ride) in full precision; NULL keys dropped, NULL waits skipped."""
     r = readings_with_park.where(F.col("date").isNotNull() & F.col("park_id").isNotNull() & F.col("ride_id").isNotNull())
-    return r.groupBy("date", "park_id", "ride_id").agg(round_to(exact_mean("queue_time", scale), digits).alias("avg_queue_time"))
+    return r.groupBy("date", "park_id", "ride_id").agg(F.avg("queue_time").alias("avg_queue_time"))
 
 
-def park_day_mean(ride_means: DataFrame, digits: int | None = 6) -> DataFrame:
-    """Unweighted mean of ride means per (date, park).  Rounded to ``digits`` so that ties
-    do not depend on summation order."""
-    m = exact_mean("avg_queue_time", digits) if digits is not None else F.avg("avg_queue_time")
-    return ride_means.groupBy("date", "park_id").agg((round_to(m, digits) if digits is not None else m).alias("avg_queue_time"))
+def park_day_mean(ride_means: DataFrame) -> DataFrame:
+    """Unweighted mean of ride means per (date, park); NULL when every ride mean is NULL."""
+    return ride_means.groupBy("date", "park_id").agg(F.avg("avg_queue_time").alias("avg_queue_time"))
 
 
 def percentile_rank_level(park_days: DataFrame, value: str = "avg_queue_time", by: str = "park_id",
                           out: str = "crowd_level") -> DataFrame:
-    """Average-rank percentile per ``by`` x 100, half-even rounded to int.
+    """Average-rank percentile per ``by`` x 100, half-even rounded to int; a NULL value has no
+    level and takes no rank.
 
     rank_avg = (first rank of the tie + last rank of the tie) / 2; last rank is the RANGE
-    count up to the current value, so all three terms share one window (one sort).
-    ``percent_rank`` / ``cume_dist`` use other definitions.
+    count of values up to the current one, so all three terms share one window (one sort).
+    ``percent_rank`` / ``cume_dist`` use other definitions.  Values closer than 1e-6 tie, so
+    that the last bits of a mean, which depend on the order of addition, cannot split a tie.
     """
-    w = Window.partitionBy(by).orderBy(value)
+    w = Window.partitionBy(by).orderBy(round_to(value).asc_nulls_last())
     first = F.rank().over(w)
-    last = F.count("*").over(w)            # default RANGE frame: includes peers
+    last = F.count(value).over(w)          # default RANGE frame: includes peers
     n = F.count(value).over(Window.partitionBy(by))
     pct = ((first + last) / 2.0) / n * 100.0
     return park_days.withColumn(out, F.when(F.col(value).isNotNull(), round_half_even_int(pct)))

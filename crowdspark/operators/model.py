@@ -6,7 +6,6 @@ concurrent driver threads, each fit distributed over the cluster.
 
 from __future__ import annotations
 
-import math
 import random
 from concurrent.futures import ThreadPoolExecutor
 
@@ -18,32 +17,35 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clip, round_half_even_int
-from .impute import _kth_values
+from .impute import order_statistics
 
 LABEL = "crowd_level"
-SEARCH_SPACE = {                 # the tuned ranges; min-split has no Spark counterpart
+# Fixed values of the expected behaviour: the seeds of the split / search and of the forest, the
+# hold-out share, and the tuned ranges (min-split has no Spark counterpart).
+SEARCH_SEED, FOREST_SEED, TEST_FRACTION = 104, 42, 0.2
+SEARCH_SPACE = {
     "numTrees": (50, 300),
     "maxDepth": (5, 30),
     "minInstancesPerNode": (1, 5),
     "featureSubsetStrategy": ("sqrt", "log2"),
 }
+ROWS_PER_PARTITION = 20_000          # of the search's cached frame
 
 
 # ----------------------------------------------------------------------------- split / folds
 
-def holdout_split(df: DataFrame, test_fraction: float = 0.2, seed: int = 104,
+def holdout_split(df: DataFrame, test_fraction: float = TEST_FRACTION, seed: int = SEARCH_SEED,
                   keys=("date", "park_id")) -> DataFrame:
-    """Seeded, exact hold-out: the ceil(f * n) rows with the smallest xxhash64(keys, seed)
-    form the test part (``split`` = 'test'), the rest 'train'.  The cut is an exact order
-    statistic found without a global sort."""
-    h = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
+    """Seeded, exact hold-out: the ceil(f * n) rows with the smallest md5 of seed and keys form
+    the test part (``split`` = 'test'), the rest 'train'.  The cut is an exact order statistic
+    found without a global sort; rows with equal keys stay together."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
     hashed = df.withColumn("_h", h)
-    n = hashed.count()
-    k = math.ceil(test_fraction * n)
-    if k == 0:
+    rank = F.array(F.ceil(F.col("total") * F.lit(test_fraction)) - 1)
+    cut = order_statistics(hashed.select(F.lit(0).alias("k"), F.col("_h").alias("v")), rank).first()
+    if cut is None:
         return hashed.withColumn("split", F.lit("train")).drop("_h")
-    cut = _kth_values(hashed, "_h", [k - 1], as_double=False)[k - 1]
-    return hashed.withColumn("split", F.when(F.col("_h") <= F.lit(cut), "test").otherwise("train")).drop("_h")
+    return hashed.withColumn("split", F.when(F.col("_h") <= F.lit(cut["v"]), "test").otherwise("train")).drop("_h")
 
 
 def expanding_folds(df: DataFrame, n_splits: int = 5, date_col: str = "date") -> DataFrame:
@@ -51,38 +53,41 @@ def expanding_folds(df: DataFrame, n_splits: int = 5, date_col: str = "date") ->
     fold j tests [n - (k-j)*t, n - (k-1-j)*t) with cuts moved to the start of their day;
     fold -1 = only ever training.  Training rows of fold j are all rows of earlier days.
 
-    The window runs over the day dimension (one row per day), never over the rows.
+    One pass over the rows; the window runs over the day dimension (one row per day).
     """
     days = df.groupBy(date_col).agg(F.count("*").alias("n_rows"))
     w = Window.orderBy(date_col).rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("first_row", F.coalesce(F.sum("n_rows").over(w), F.lit(0)))
-    n = df.count()
-    t = n // (n_splits + 1)
-    cuts = [n - (n_splits - j) * t for j in range(n_splits)]
-    moved = days.agg(*[F.max(F.when(F.col("first_row") <= c, F.col("first_row"))).alias(f"c{j}")
-                       for j, c in enumerate(cuts)]).first()
+    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    days = (days.withColumn("first_row", F.coalesce(F.sum("n_rows").over(w), F.lit(0)))
+            .withColumn("_n", F.sum("n_rows").over(whole)))
+    size = F.floor(F.col("_n") / (n_splits + 1))
     fold = F.lit(-1)
     for j in range(n_splits):
-        cj = moved[f"c{j}"]
-        if cj is not None:
-            fold = F.when(F.col("first_row") >= F.lit(cj), F.lit(j)).otherwise(fold)
-    return days.withColumn("fold", fold)
+        days = days.withColumn(f"_c{j}", F.max(F.when(F.col("first_row") <= F.col("_n") - (n_splits - j) * size,
+                                                      F.col("first_row"))).over(whole))
+        fold = F.when(F.col("first_row") >= F.col(f"_c{j}"), F.lit(j)).otherwise(fold)
+    return days.select(date_col, "n_rows", "first_row", fold.alias("fold"))
 
 
 # ----------------------------------------------------------------------------- fit / predict
 
-def forest_pipeline(feature_cols: list[str], params: dict | None = None, seed: int = 42) -> Pipeline:
+def forest(params: dict | None = None, seed: int = FOREST_SEED) -> RandomForestRegressor:
     p = dict(params or {})
-    rf = RandomForestRegressor(featuresCol="features", labelCol=LABEL, seed=seed,
-                               numTrees=int(p.get("numTrees", 100)), maxDepth=int(p.get("maxDepth", 10)),
-                               minInstancesPerNode=int(p.get("minInstancesPerNode", 1)),
-                               featureSubsetStrategy=str(p.get("featureSubsetStrategy", "sqrt")),
-                               # each row keeps the id of its current node instead of the
-                               # growing forest being shipped to the executors every level;
-                               # lineage is at most maxDepth levels, so no extra checkpoints
-                               cacheNodeIds=True, checkpointInterval=-1)
+    return RandomForestRegressor(featuresCol="features", labelCol=LABEL, seed=seed,
+                                 numTrees=int(p.get("numTrees", 100)), maxDepth=int(p.get("maxDepth", 10)),
+                                 minInstancesPerNode=int(p.get("minInstancesPerNode", 1)),
+                                 featureSubsetStrategy=str(p.get("featureSubsetStrategy", "sqrt")),
+                                 # each row keeps the id of its current node instead of the
+                                 # growing forest being shipped to the executors every level;
+                                 # lineage is at most maxDepth levels, so no extra checkpoints
+                                 cacheNodeIds=True, checkpointInterval=-1,
+                                 # all nodes of a level in one pass instead of groups of them
+                                 maxMemoryInMB=1024)
+
+
+def forest_pipeline(feature_cols: list[str], params: dict | None = None, seed: int = FOREST_SEED) -> Pipeline:
     asm = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="error")
-    return Pipeline(stages=[asm, rf])
+    return Pipeline(stages=[asm, forest(params, seed)])
 
 
 def cast_features(df: DataFrame, feature_cols: list[str]) -> DataFrame:
@@ -91,7 +96,7 @@ def cast_features(df: DataFrame, feature_cols: list[str]) -> DataFrame:
                        for c in df.columns])
 
 
-def fit_forest(df: DataFrame, feature_cols: list[str], params: dict | None = None, seed: int = 42) -> PipelineModel:
+def fit_forest(df: DataFrame, feature_cols: list[str], params: dict | None = None, seed: int = FOREST_SEED) -> PipelineModel:
     data = cast_features(df, feature_cols + [LABEL])
     return forest_pipeline(feature_cols, params, seed).fit(data)
 
@@ -103,18 +108,18 @@ def predict(model: PipelineModel, df: DataFrame, feature_cols: list[str], out: s
 
 
 def regression_metrics(df: DataFrame, label: str = LABEL, pred: str = "prediction") -> DataFrame:
-    """One row: mse, rmse, r2, mae (single pass; SST from sums)."""
+    """One row: mse, rmse, r2, mae (single pass).  Constant labels have no variance to explain:
+    r2 is 1 when the predictions are exact, else 0; without rows all are NULL."""
     e = F.col(pred).cast("double") - F.col(label).cast("double")
-    y = F.col(label).cast("double")
-    g = df.agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.sum(e * e).alias("sse"),
-               (F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(y)).alias("sst"))
-    return g.select("mse", F.sqrt("mse").alias("rmse"),
-                    (F.lit(1.0) - F.col("sse") / F.col("sst")).alias("r2"), "mae")
+    g = df.agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.var_pop(F.col(label).cast("double")).alias("var"))
+    r2 = (F.when(F.col("var") > 0, F.lit(1.0) - F.try_divide("mse", "var"))
+          .when(F.col("var").isNotNull(), F.when(F.col("mse") == 0, 1.0).otherwise(0.0)))
+    return g.select("mse", F.sqrt("mse").alias("rmse"), r2.alias("r2"), "mae")
 
 
 # ----------------------------------------------------------------------------- search
 
-def sample_params(n_iter: int, seed: int = 104) -> list[dict]:
+def sample_params(n_iter: int, seed: int = SEARCH_SEED) -> list[dict]:
     rnd = random.Random(seed)
     out = []
     for _ in range(n_iter):
@@ -128,70 +133,90 @@ def sample_params(n_iter: int, seed: int = 104) -> list[dict]:
 
 
 def search(spark: SparkSession, df: DataFrame, feature_cols: list[str], n_iter: int = 20, n_splits: int = 5,
-           seed: int = 104, parallelism: int = 8) -> DataFrame:
+           seed: int = SEARCH_SEED, parallelism: int = 8) -> DataFrame:
     """Seeded random search over expanding day folds; score = mean fold MSE (lower is better).
 
-    Returns one row per trial: trial, parameters, mean_mse, rank (1 = best).
+    The features are assembled once and cached in partitions sized to the rows; every (trial,
+    fold) fit is one task of a single pool.  A fold without training or without test rows (few
+    days, or one day with most rows) is left out for every trial and shows in ``folds``; with no
+    fold left the scores are NULL.  One row per trial: trial, parameters, folds, mean_mse, rank.
     """
-    folds = expanding_folds(df, n_splits)
-    data = cast_features(df.join(folds.select("date", "fold"), "date"), feature_cols + [LABEL]).cache()
+    days = expanding_folds(df, n_splits)
+    asm = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="error")
+    data = asm.transform(cast_features(df.join(days.select("date", "fold"), "date"), feature_cols + [LABEL])).select(
+        "fold", "features", LABEL)
+    sizes = {r["fold"]: r["n"] for r in days.groupBy("fold").agg(F.sum("n_rows").alias("n")).collect()}
+    usable = [j for j in range(n_splits) if sizes.get(j, 0) and sum(n for f, n in sizes.items() if f < j)]
+    data = data.repartition(max(1, -(-sum(sizes.values()) // ROWS_PER_PARTITION))).cache()
     trials = sample_params(n_iter, seed)
 
-    def score(i_p):
-        i, p = i_p
-        mses = []
-        for j in range(n_splits):
-            train, test = data.where(F.col("fold") < j), data.where(F.col("fold") == j)
-            m = forest_pipeline(feature_cols, p).fit(train)
-            r = regression_metrics(m.transform(test)).first()
-            mses.append(r["mse"])
-        return (i, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"], p["featureSubsetStrategy"],
-                float(sum(mses) / len(mses)))
+    def score(job):
+        p, j = job
+        fitted = forest(p).fit(data.where(F.col("fold") < j))
+        return regression_metrics(fitted.transform(data.where(F.col("fold") == j))).first()["mse"]
 
+    jobs = [(p, j) for p in trials for j in usable]
+    # the largest forests first, so that none of them runs alone at the end
+    order = sorted(range(len(jobs)), key=lambda i: -jobs[i][0]["numTrees"] * jobs[i][0]["maxDepth"])
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        rows = list(pool.map(score, list(enumerate(trials))))
+        done = dict(zip(order, pool.map(score, [jobs[i] for i in order])))
     data.unpersist()
+    rows = []
+    for i, p in enumerate(trials):
+        own = [done[i * len(usable) + k] for k in range(len(usable))]
+        rows.append((i, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"], p["featureSubsetStrategy"], len(own),
+                     float(sum(own) / len(own)) if own else None))
     res = spark.createDataFrame(rows, "trial int, numTrees int, maxDepth int, minInstancesPerNode int, "
-                                      "featureSubsetStrategy string, mean_mse double")
-    return res.withColumn("rank", F.rank().over(Window.orderBy("mean_mse", "trial")))
+                                      "featureSubsetStrategy string, folds int, mean_mse double")
+    return res.withColumn("rank", F.rank().over(Window.orderBy(F.col("mean_mse").asc_nulls_last(), "trial")))
 
 
 # ----------------------------------------------------------------------------- interpretation
 
+def top_features(df: DataFrame, top_n: int = 10) -> DataFrame:
+    """Of (feature, importance) the ``top_n`` largest (ties by name), ascending for display."""
+    return df.orderBy(F.desc("importance"), "feature").limit(top_n).orderBy("importance", "feature")
+
+
 def importances(spark: SparkSession, model: PipelineModel, feature_cols: list[str], top_n: int = 10) -> DataFrame:
-    """Top-N features by importance (descending cut), returned ascending for display."""
+    """Top-N features of a fitted forest by importance."""
     imp = model.stages[-1].featureImportances.toArray().tolist()
     df = spark.createDataFrame(list(zip(feature_cols, [float(x) for x in imp])), "feature string, importance double")
-    return df.orderBy(F.desc("importance"), "feature").limit(top_n).orderBy("importance", "feature")
+    return top_features(df, top_n)
 
 
-def tree_nodes(spark: SparkSession, model_path: str) -> DataFrame:
+def tree_nodes(spark: SparkSession, model_path: str, forest_uid: str) -> DataFrame:
     """(treeID, leaf, prediction) from a saved forest: leaves numbered in node-id order,
-    which is the numbering of the ``leafCol`` output."""
-    nodes = spark.read.parquet(f"{model_path}/stages/1_*/data")
+    which is the numbering of the ``leafCol`` output.  The stage is found by its uid."""
+    nodes = spark.read.parquet(f"{model_path}/stages/*_{forest_uid}/data")
     leaves = nodes.where(F.col("nodeData.leftChild") < 0).select(
         "treeID", F.col("nodeData.id").alias("node_id"), F.col("nodeData.prediction").alias("tree_prediction"))
     w = Window.partitionBy("treeID").orderBy("node_id")
     return leaves.select("treeID", (F.row_number().over(w) - 1).alias("leaf"), "tree_prediction")
 
 
+def interval(per_tree: DataFrame, keys=("date", "park_id")) -> DataFrame:
+    """From (keys, tree_prediction): mean of the trees +/- their population standard deviation,
+    clipped to 0..100 and half-even rounded, with the unrounded mean."""
+    g = per_tree.groupBy(*keys).agg(F.avg("tree_prediction").alias("mean_pred"),
+                                    F.stddev_pop("tree_prediction").alias("std_pred"))
+    return g.select(*keys, "mean_pred",
+                    round_half_even_int("mean_pred").alias("crowd_level"),
+                    round_half_even_int(clip(F.col("mean_pred") - F.col("std_pred"))).alias("ci_lower"),
+                    round_half_even_int(clip(F.col("mean_pred") + F.col("std_pred"))).alias("ci_upper"))
+
+
 def ensemble_interval(spark: SparkSession, model: PipelineModel, model_path: str, df: DataFrame,
                       feature_cols: list[str], keys=("date", "park_id")) -> DataFrame:
-    """Per row: mean of the trees' predictions +/- their population std, clipped to 0..100,
-    half-even rounded: crowd_level, ci_lower, ci_upper (plus the unrounded mean)."""
+    """``interval`` of every tree's prediction for each row of ``df``."""
     rf = model.stages[-1].copy()
     rf.setLeafCol("leaves")
     asm = model.stages[0]
     x = asm.transform(cast_features(df, feature_cols))
     leaves = rf.transform(x).select(*keys, F.posexplode(vector_to_array("leaves")).alias("treeID", "leaf"))
     per_tree = leaves.withColumn("leaf", F.col("leaf").cast("int")).join(
-        F.broadcast(tree_nodes(spark, model_path)), ["treeID", "leaf"])
-    g = per_tree.groupBy(*keys).agg(F.avg("tree_prediction").alias("mean_pred"),
-                                    F.stddev_pop("tree_prediction").alias("std_pred"))
-    return g.select(*keys, "mean_pred",
-                    round_half_even_int("mean_pred").alias("crowd_level"),
-                    round_half_even_int(clip(F.col("mean_pred") - F.col("std_pred"))).alias("ci_lower"),
-                    round_half_even_int(clip(F.col("mean_pred") + F.col("std_pred"))).alias("ci_upper"))
+        tree_nodes(spark, model_path, model.stages[-1].uid), ["treeID", "leaf"])
+    return interval(per_tree, keys)
 
 
 def save_model(model: PipelineModel, path: str) -> str:

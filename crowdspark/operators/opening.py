@@ -7,22 +7,41 @@ from pyspark.sql import functions as F
 
 from ..functions import leading_int
 from ..schema import OPENING_COLS
-from .joins import bounded_broadcast
+
+
+def _minute(text) -> F.Column:
+    """Minute of the day of 'HH:MM' text; anything else is NULL."""
+    t = F.col(text)
+    return F.when(t.rlike("^[0-9]{2}:[0-9]{2}$"), F.substring(t, 1, 2).cast("int") * 60 + F.substring(t, 4, 2).cast("int"))
+
+
+def _hhmm_of(minute) -> F.Column:
+    return F.format_string("%02d:%02d", F.floor(minute / 60).cast("int"), F.pmod(minute, F.lit(60)))
+
+
+def _first_last(grouped) -> DataFrame:
+    g = grouped.agg(F.min("_minute").alias("_lo"), F.max("_minute").alias("_hi"))
+    keys = [c for c in g.columns if c not in ("_lo", "_hi")]
+    return g.select(*keys, F.when(F.col("_lo").isNotNull(), _hhmm_of(F.col("_lo"))).alias("opening_time"),
+                    F.when(F.col("_hi").isNotNull(), _hhmm_of(F.col("_hi"))).alias("closing_time"))
 
 
 def first_last_times(readings: DataFrame, park_info: DataFrame | None = None, scope: str = "park") -> DataFrame:
-    """Lexical min / max 'HH:MM' per day over all readings (closed ones included).
+    """First / last 'HH:MM' per day over all readings (closed ones included).
+
+    The times are compared as minutes of the day, which order like the stored fixed-width text
+    and keep the aggregation a hash aggregate; text of another shape is skipped.
 
     scope='park': per (park_id, date) through the ride dimension (what the text intends);
     scope='all' : per date over every park (what the code does), keyed by date only.
     """
-    r = readings.select("date", "ride_id", "time_of_day").where(F.col("date").isNotNull())
+    r = readings.select("date", "ride_id", _minute("time_of_day").alias("_minute")).where(F.col("date").isNotNull())
     if scope == "all":
-        return r.groupBy("date").agg(F.min("time_of_day").alias("opening_time"),
-                                     F.max("time_of_day").alias("closing_time"))
-    dim = bounded_broadcast(park_info.select("ride_id", "park_id").distinct())
-    return (r.join(dim, "ride_id").groupBy("park_id", "date")
-            .agg(F.min("time_of_day").alias("opening_time"), F.max("time_of_day").alias("closing_time")))
+        return _first_last(r.groupBy("date"))
+    # one row per ride-day before the join: a park-day meets rides, not readings
+    r = r.groupBy("date", "ride_id").agg(F.min("_minute").alias("_a"), F.max("_minute").alias("_b"))
+    r = r.select("date", "ride_id", F.explode(F.array("_a", "_b")).alias("_minute"))
+    return _first_last(r.join(park_info.select("ride_id", "park_id").distinct(), "ride_id").groupBy("park_id", "date"))
 
 
 def days_without_history(requested: DataFrame, history: DataFrame) -> DataFrame:

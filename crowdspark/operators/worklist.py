@@ -17,13 +17,13 @@ def parse_config_day(text: str) -> dt.date:
     try:
         return dt.datetime.strptime(text, "%Y/%m/%d").date()
     except (TypeError, ValueError) as e:
-        raise ValueError("Dates must be in YYYY/MM/DD format") from e
+        raise ValueError(f"not a day of the form 2024/01/31: {text!r}") from e
 
 
 def check_range(start: str, end: str) -> tuple[dt.date, dt.date]:
     s, e = parse_config_day(start), parse_config_day(end)
     if e < s:
-        raise ValueError("end_date must not be before start_date")
+        raise ValueError(f"the range ends ({end}) before it begins ({start})")
     return s, e
 
 
@@ -38,7 +38,7 @@ def days_between(start: Column, end: Column, exclude_months=()) -> Column:
 
 def last_stored_day(readings: DataFrame, park_info: DataFrame) -> DataFrame:
     """(park_id, last_day): latest stored day per park through the ride dimension."""
-    r = readings.select("ride_id", "date")
+    r = readings.groupBy("ride_id").agg(F.max("date").alias("date"))       # rides, not readings, are joined
     return (r.join(park_info.select("ride_id", "park_id"), "ride_id")
             .groupBy("park_id").agg(F.max("date").alias("last_day")))
 

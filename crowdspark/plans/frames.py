@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import align, calendar, encode, impute, labels, opening, weather
 from ..schema import FEATURE_COLS
-from ..session import ensure_checkpoint_dir
+from ..session import materialise
 from ..sources import directories, holidays, landed, schedule
 
 
@@ -41,12 +41,11 @@ class RunParams:
             self.horizon_days = 14
 
 
-@landed.landed_once
 def stored_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored readings table (what ingest writes): raw events aligned to the 15-minute
-    grid, stored once per session and read by the training / inference frames."""
+    grid, written once per frame and read by its steps."""
     a = align.align_to_slots(landed.events_readings(spark, sf_dir))
-    return a.select("date", "ride_id", "time_of_day", "queue_time", "is_closed")
+    return materialise(a.select("date", "ride_id", "time_of_day", "queue_time", "is_closed"), "readings")
 
 
 def _feature_steps(spark, sf_dir, frame: DataFrame, readings: DataFrame, park_info: DataFrame,
@@ -61,13 +60,6 @@ def _feature_steps(spark, sf_dir, frame: DataFrame, readings: DataFrame, park_in
     return opening.add_opening_hours(f, hist, sched)
 
 
-def _checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder (survives executor loss) before the
-    several passes of the median search."""
-    ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
-
-
 def training_frame(spark: SparkSession, sf_dir: str, params: RunParams | None = None,
                    return_medians: bool = False):
     params = params or RunParams()
@@ -78,10 +70,9 @@ def training_frame(spark: SparkSession, sf_dir: str, params: RunParams | None =
     # being set aside and joined back; it is kept out of imputation and of the NULL drop.
     f = _feature_steps(spark, sf_dir, target, readings, park_info, params)
     f = weather.add_weather_history(f, landed.events_weather(spark, sf_dir))
-    f = _checkpointed(spark, f.select("date", "park_id", *FEATURE_COLS, "crowd_level"))
+    f = materialise(f.select("date", "park_id", *FEATURE_COLS, "crowd_level"), "features")
     feats = f.drop("crowd_level")
-    cols, counts = impute.numeric_columns_with_nulls(feats, with_counts=True)
-    medians = impute.exact_medians(feats, cols, counts)
+    medians = impute.exact_medians(feats, impute.numeric_columns_with_nulls(feats))
     f, _ = impute.fill_with_median(f, medians, drop_remaining=False)
     f = f.na.drop("any", subset=["date", "park_id", *FEATURE_COLS])
     out = encode.one_hot_parks(f, keep_source=True)
@@ -104,7 +95,7 @@ def inference_frame(spark: SparkSession, sf_dir: str, params: RunParams | None =
     if day_df is None:
         day_df = inference_days(spark, sf_dir, params)
     if "park_id" not in day_df.columns:
-        raise ValueError("day_df must contain a 'park_id' column for inference.")
+        raise ValueError("the requested days need a park_id for each day")
     day_df = day_df.withColumn("park_id", F.col("park_id").cast("string"))
     readings = stored_readings(spark, sf_dir)
     park_info = landed.events_park_info(spark, sf_dir)
@@ -113,7 +104,7 @@ def inference_frame(spark: SparkSession, sf_dir: str, params: RunParams | None =
     fc = landed.forecast_payloads(w, params.as_of, missing_park=params.forecast_missing_park,
                                   short_park=params.forecast_short_park, short_days=params.forecast_short_days)
     f = weather.add_weather_forecast(f, fc, weather.climatology(w, params.as_of), params.as_of)
-    f = _checkpointed(spark, f.select("date", "park_id", *FEATURE_COLS))
+    f = materialise(f.select("date", "park_id", *FEATURE_COLS), "features")
     f, _ = impute.fill_with_median(f, medians)
     return encode.one_hot_parks(f, keep_source=True)
 

@@ -12,11 +12,7 @@ def r6(x: str) -> str:
 
 
 def median_cte(name: str, src: str, col: str) -> str:
-    """Exact median as (lower middle + upper middle) / 2, the way ``exact_medians`` does."""
-    return f"""{name}_r as (
-  select {col} as v, row_number() over (order by {col}) as rn, count(*) over () as n from {src} where {col} is not null),
-{name} as (
-  select (max(v) filter (where rn = (n - 1) // 2 + 1) + max(v) filter (where rn = n // 2 + 1)) / 2.0 as m from {name}_r)"""
+    return f"{name} as (select median({col}) as m from {src})"
 
 
 R_O = """r_o as (
@@ -63,15 +59,16 @@ readings_park as (
   from r_o r left join ride_park rp using (ride_id)
   where r.is_closed = 0 and try_cast(rp.park_id as double) is not null),
 ride_day as (
-  select date, park_id, ride_id, {r6(em('queue_time'))} as avg_queue_time
+  select date, park_id, ride_id, avg(queue_time) as avg_queue_time
   from readings_park where date is not null and ride_id is not null group by 1, 2, 3),
 park_day as (
-  select date, park_id, {r6(em('avg_queue_time', 6))} as avg_queue_time from ride_day group by 1, 2),
+  select date, park_id, avg(avg_queue_time) as avg_queue_time from ride_day group by 1, 2),
 levels as (
   select date, cast(park_id as varchar) as park_id,
-         cast(round_even(((rank() over w + count(*) over w) / 2.0) / count(avg_queue_time) over (partition by park_id) * 100.0, 0) as integer) as crowd_level
+         case when avg_queue_time is not null then
+           cast(round_even(((rank() over w + count(avg_queue_time) over w) / 2.0) / count(avg_queue_time) over (partition by park_id) * 100.0, 0) as integer) end as crowd_level
   from park_day
-  window w as (partition by park_id order by avg_queue_time range between unbounded preceding and current row))"""
+  window w as (partition by park_id order by floor(avg_queue_time * 1e6 + 0.5) nulls last range between unbounded preceding and current row))"""
 
 COUNTRY = """directory as (
   select cast(n_nationkey as varchar) as park_id, n_name as name, r_name as country

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import round_to
 from ..operators import calendar, encode, impute, labels, opening, weather
+from ..session import materialise
 from ..sources import directories, holidays, landed, schedule
 from ..sources.readings import scan_readings
 from . import oracle_views as V
@@ -185,8 +186,8 @@ def weather_history(spark, sf_dir):
 
 
 _CLIM = f"""clim as (
-  select park_id, month(date) as month, {V.em('tavg', 6)} as temperature_c, {V.em('prcp', 6)} as precipitation_mm,
-         {V.em('wspd', 6)} as wind_speed_kmh
+  select park_id, month(date) as month, avg(tavg) as temperature_c, avg(prcp) as precipitation_mm,
+         avg(wspd) as wind_speed_kmh
   from w_o where year(date) between year(date '{AS_OF_ORDERS}') - 5 and year(date '{AS_OF_ORDERS}') - 1 group by 1, 2)"""
 
 
@@ -250,7 +251,7 @@ where coalesce(temperature_c, mt) is not null and coalesce(precipitation_mm, mp)
   and coalesce(wind_speed_kmh, mw) is not null""")
 def median_impute(spark, sf_dir):
     """Exact batch medians fill numeric NULLs, remaining NULL rows dropped."""
-    frame = _weather_frame(spark, sf_dir).cache()
+    frame = materialise(_weather_frame(spark, sf_dir), "weather-frame")
     filled, _ = impute.fill_with_median(frame)
     return as_report(filled.select("date", "park_id", "crowd_level",
                                    *[round_to(c).alias(c) for c in weather.RENAME.values()]))
@@ -265,7 +266,7 @@ select count(*) filter (where temperature_c is null or precipitation_mm is null
 from wh, med""")
 def median_missing_counters(spark, sf_dir):
     """Rows with NULLs before / after imputation and rows dropped."""
-    frame = _weather_frame(spark, sf_dir).cache()
+    frame = materialise(_weather_frame(spark, sf_dir), "weather-frame")
     med = impute.exact_medians(frame, impute.numeric_columns_with_nulls(frame))
     return impute.missing_counters(frame, med)
 

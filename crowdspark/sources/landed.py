@@ -14,13 +14,10 @@ Two worlds are used:
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import day_text, exact_mean, hhmm, round_to
-from ..session import scratch_path
 
 # Fixed values of the holiday mapping: month / day of the public holidays, and the one
 # (country, month) pair left out so countries differ.
@@ -31,29 +28,8 @@ SCHEDULE_OFFSETS = {"1": "Z", "2": "+01:00", "3": "-05:00"}
 SCHEDULE_SHIFT_DAYS = 14
 
 
-_LANDED: dict = {}
-
-
-def landed_once(build):
-    """Land a derived input once per session: the first call writes it as Parquet into the
-    shared checkpoint folder, later calls (any query of the session) read that table.  The
-    engine's queries start from landed inputs; deriving them from the driver's tables is
-    the test mapping, not query work."""
-    @functools.wraps(build)
-    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, id(spark), sf_dir, build.__name__)
-        if key not in _LANDED:
-            path = scratch_path(spark, f"landed-{build.__name__}")
-            build(spark, sf_dir).write.mode("overwrite").parquet(path)
-            _LANDED[key] = spark.read.parquet(path)
-        return _LANDED[key]
-    get.build = build
-    return get
-
-
-@functools.lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables (the reader, with its listed files and schema, is reused)."""
+    """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -80,12 +56,11 @@ def customer_park_info(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("c_name").alias("ride_name"))
 
 
-@landed_once
 def orders_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily weather per park (supplier nation) and ship day; partial coverage, NULL wind."""
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", "l_discount", "l_tax")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    return (li.join(F.broadcast(s), li.l_suppkey == s.s_suppkey)
+    return (li.join(s, li.l_suppkey == s.s_suppkey)
             .groupBy(F.col("s_nationkey").cast("string").alias("park_id"),
                      F.col("l_shipdate").cast("date").alias("date"))
             .agg(round_to(exact_mean("l_quantity")).alias("tavg"),
@@ -93,7 +68,6 @@ def orders_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.nullif(round_to(exact_mean("l_tax") * 100), F.lit(0.0)).alias("wspd")))
 
 
-@landed_once
 def school_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holiday periods per country: one per order, start = order day (non-padded text).
 
@@ -119,7 +93,6 @@ def school_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ----------------------------------------------------------------------------- directories
 
-@landed_once
 def park_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Park directory document: one row, ``companies`` = regions with their nations as parks,
     followed by a catch-all company listing every park again (lower-case names) so that the
@@ -144,7 +117,6 @@ def park_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("cs", lambda x: x["c"]).alias("companies"))
 
 
-@landed_once
 def destination_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Destination directory document: destinations = regions, parks with external ids and
     names in another letter case."""
@@ -166,7 +138,6 @@ def country_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.lower("r_name").alias("name_lower"), F.upper(F.substring("r_name", 1, 2)).alias("alpha2"))
 
 
-@functools.lru_cache(maxsize=32)
 def _reading_years(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     """First and last calendar year of the readings of both worlds."""
     b = (table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"))
@@ -175,7 +146,6 @@ def _reading_years(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     return (b["lo"], b["hi"]) if b["lo"] is not None else (1, 0)
 
 
-@landed_once
 def public_holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Public-holiday rows (country_code, date text, name) for every year present in the
     readings of both worlds; each country also lists one entry without a date."""
@@ -209,7 +179,6 @@ def events_readings_with_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_readings(spark, sf_dir).withColumn("time_of_day", hhmm("ts"))
 
 
-@landed_once
 def events_park_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id").distinct()
     return e.select(F.col("user_id").cast("string").alias("ride_id"),
@@ -217,7 +186,6 @@ def events_park_info(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("Ride "), F.col("user_id").cast("string")).alias("ride_name"))
 
 
-@landed_once
 def events_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily weather per park of the events world (wind is NULL on days with more errors than views)."""
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
@@ -228,7 +196,6 @@ def events_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
                         round_to(exact_mean("value") / 30)).alias("wspd")))
 
 
-@landed_once
 def schedule_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schedule documents (park_id, year_month, schedule array) as a schedule service returns.
 
@@ -266,7 +233,6 @@ def schedule_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                          x["closingTime"].alias("closingTime"))).alias("schedule")))
 
 
-@landed_once
 def chart_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured calendar pages (park_id, date, panels) as the page extractor sees them.
 

@@ -1,6 +1,6 @@
 """Structured Streaming ingest: raw readings -> 15-minute slots -> day-partitioned table.
 
-Each arriving reading proposes its floor / ceil slot (within 7.5 minutes); a streaming
+Each arriving reading proposes its nearest slot (within 7.5 minutes); a streaming
 aggregation keyed by (date, ride_id, slot) keeps the nearest reading (ties -> earliest).
 The watermark sits on the slot time: once it passes a slot, no later reading can reach that
 slot any more, so the row is final and is emitted once (append mode) and appended to the
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import hhmm, timestamp_from_micros
-from ..operators.align import slot_candidates
+from ..operators.align import nearest_order, slot_candidates
 
 RAW_READING = T.StructType([
     T.StructField("id", T.LongType()),
@@ -38,10 +38,9 @@ def aligned_stream(raw: DataFrame, delay: str = "30 minutes") -> DataFrame:
     arrival."""
     c = slot_candidates(raw).withColumn("slot", timestamp_from_micros(F.col("slot_us")))
     c = c.withWatermark("slot", delay)
-    pick = F.min_by(F.struct("queue_time", "is_closed"), F.struct("_diff", "_us", "id"))
-    g = c.groupBy("date", "ride_id", "slot").agg(pick.alias("_v"))
-    return g.select("date", "ride_id", "slot", hhmm("slot").alias("time_of_day"),
-                    F.col("_v.queue_time").alias("queue_time"), F.col("_v.is_closed").alias("is_closed"))
+    c = c.withColumn("_order", nearest_order())
+    g = c.groupBy("date", "ride_id", "slot").agg(*[F.min_by(v, "_order").alias(v) for v in ("queue_time", "is_closed")])
+    return g.select("date", "ride_id", "slot", hhmm("slot").alias("time_of_day"), "queue_time", "is_closed")
 
 
 def read_raw_stream(spark: SparkSession, source_dir: str, files_per_trigger: int | None = None) -> DataFrame:

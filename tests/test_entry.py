@@ -11,8 +11,6 @@ from .conftest import SF001
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-MODEL_ONLY = {"holdout_split", "fit_predict", "holdout_metrics", "search", "importance",
-              "ensemble_interval", "model_roundtrip"}
 
 
 def _norm(v):
@@ -43,9 +41,9 @@ def test_entry_smoke(spark):
 
 
 def test_registry_covers_oracle():
-    q, o = entry.queries(), entry.oracle_sql()
-    assert set(o) <= set(q)
-    assert set(q) - set(o) <= MODEL_ONLY
+    from crowdspark.plans.registry import ORACLE, QUERIES
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) == set(ORACLE)              # every query of the library itself has SQL
 
 
 ALL_ORACLE = sorted(entry.oracle_sql())

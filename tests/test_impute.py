@@ -5,17 +5,13 @@ import numpy as np
 from crowdspark.operators import impute
 
 
-def test_exact_median_small_and_refined(spark, monkeypatch):
+def test_exact_median(spark):
     rnd = random.Random(3)
     vals = [rnd.choice([rnd.random() * 100, 42.0, 42.0, float(rnd.randint(0, 9))]) for _ in range(5001)]
     vals += [None] * 50
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     want = float(np.median([v for v in vals if v is not None]))
     assert impute.exact_medians(df, ["x"])["x"] == want
-    # force the histogram refinement path (tiny local limit)
-    monkeypatch.setattr(impute, "LOCAL_DISTINCT_LIMIT", 20)
-    monkeypatch.setattr(impute, "BUCKETS", 8)
-    assert impute.exact_medians(df, ["x"])["x"] == want
 
 
 def test_even_count_interpolates(spark):
@@ -23,9 +19,7 @@ def test_even_count_interpolates(spark):
     assert impute.exact_medians(df, ["x"])["x"] == 6.0
 
 
-def test_hot_value_bucket_stops(spark, monkeypatch):
-    monkeypatch.setattr(impute, "LOCAL_DISTINCT_LIMIT", 5)
-    monkeypatch.setattr(impute, "BUCKETS", 4)
+def test_hot_value(spark):
     vals = [7.0] * 400 + [float(i) for i in range(300)]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     assert impute.exact_medians(df, ["x"])["x"] == float(np.median(vals))
@@ -44,12 +38,20 @@ def test_fill_and_drop(spark):
     assert sorted((r["k"], r["x"]) for r in out2.collect()) == [(1, 1.0), (2, 2.0)]
 
 
-def test_several_columns_one_job_and_fallback(spark, monkeypatch):
+def test_several_columns(spark):
     rnd = random.Random(9)
     rows = [(rnd.random() * 10 if i % 7 else None, float(rnd.randint(0, 30)), rnd.randint(0, 4)) for i in range(400)]
     df = spark.createDataFrame(rows, "a double, b double, c int")
     want = {k: float(np.median([r[i] for r in rows if r[i] is not None])) for i, k in enumerate("abc")}
     assert impute.exact_medians(df, ["a", "b", "c"]) == want
-    monkeypatch.setattr(impute, "LOCAL_DISTINCT_LIMIT", 50)     # together too many: per column
-    monkeypatch.setattr(impute, "BUCKETS", 8)
-    assert impute.exact_medians(df, ["a", "b", "c"]) == want
+
+
+def test_order_statistics_by_group_and_type(spark):
+    rows = [(k, f"{(i * 37) % 101:03d}") for k in range(3) for i in range(50 + k)] + [(1, None)]
+    df = spark.createDataFrame(rows, "k int, v string")
+    from pyspark.sql import functions as F
+    got = {(r["k"], r["rank"]): r["v"] for r in
+           impute.order_statistics(df, F.array(F.lit(0), F.col("total") - 1, F.lit(7), F.lit(999))).collect()}
+    for k in range(3):
+        own = sorted(v for g, v in rows if g == k and v is not None)
+        assert {r: v for (g, r), v in got.items() if g == k} == {0: own[0], len(own) - 1: own[-1], 7: own[7]}
