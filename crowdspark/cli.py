@@ -1,13 +1,14 @@
 """Command-line entry points: ingest, train, predict.
 
-    python -m crowdspark.cli ingest  --data DIR --out DIR
+    python -m crowdspark.cli ingest  --data DIR --out DIR [--config run.yml]
     python -m crowdspark.cli train   --data DIR --model DIR [--config run.yml]
-    python -m crowdspark.cli predict --data DIR --model DIR --out DIR [--as-of YYYY-MM-DD --horizon N]
+    python -m crowdspark.cli predict --data DIR --model DIR --out DIR [--as-of YYYY-MM-DD --horizon N --park ID]
 
-``--data`` is a folder of the driver's tables (see ``sources.landed``).  Outputs are tables
-(Parquet / CSV folders) written by Spark; nothing is collected to the driver except small
-reports (metrics, the top importances).  Config keys mirror the run parameters: start_date,
-end_date, exclude_months, include_park_ids, as_of, horizon_days, n_iter.
+``--data`` is a folder of stored tables and JSON documents (``sources.inputs.from_folder``), or
+with ``--mapped`` a folder of the driver's tables.  Ingest reads raw readings: ``readings/``
+Parquet (id, date, ride_id, ts, queue_time, is_closed) and ``park_info/``, or the mapped events.
+Outputs are tables (Parquet / CSV folders) written by Spark; nothing is collected to the driver
+except small reports (metrics, the top importances).  Config: see ``config``.
 """
 
 from __future__ import annotations
@@ -18,49 +19,50 @@ import os
 
 from pyspark.sql import functions as F
 
+from . import config
 from .operators import align, encode, model, report, worklist
-from .plans.frames import RunParams, inference_frame, model_features, training_frame
+from .plans.frames import RunParams, inference_frame, model_features, park_days, training_frame
+from .schema import PARK_INFO
 from .session import apply_defaults, build_session, materialise
-from .sources import landed, sinks
+from .sources import inputs, landed, sinks
 
 
-def load_config(path: str | None) -> dict:
-    if not path:
-        return {}
-    with open(path) as fh:
-        if path.endswith((".yml", ".yaml")):
-            import yaml
-            return yaml.safe_load(fh) or {}
-        return json.load(fh)
+def _inputs(spark, args):
+    return inputs.from_tables(spark, args.data) if args.mapped else inputs.from_folder(spark, args.data)
 
 
 def cmd_ingest(spark, args, cfg):
-    """Align raw readings, append them by day; keep the ride table by insert-or-ignore; list
-    the days still to collect per park."""
-    readings = align.align_to_slots(landed.events_readings(spark, args.data))
-    sinks.append_readings(readings.select("ride_id", "slot", "time_of_day", "queue_time", "is_closed", "date"),
-                          os.path.join(args.out, "queue_data"))
-    rides_path = os.path.join(args.out, "park_info")
-    try:
-        existing = spark.read.parquet(rides_path)
-    except Exception:  # noqa: BLE001 - first run: empty table
-        existing = spark.createDataFrame([], "ride_id string, park_id string, ride_name string")
-    rides = landed.events_park_info(spark, args.data).withColumn("date", F.lit(None).cast("date")).withColumn("pos", F.lit(0))
-    sinks.insert_or_ignore(existing, rides).write.mode("append").parquet(rides_path)
-    stored = spark.read.parquet(os.path.join(args.out, "queue_data"))
-    last = worklist.last_stored_day(stored, spark.read.parquet(rides_path))
-    wl = worklist.work_list(spark.read.parquet(rides_path), cfg.get("start_date", "2024/01/01"),
-                            cfg.get("end_date", "2024/03/31"), cfg.get("exclude_months", []), last_days=last)
+    """Align raw readings and append those not stored yet, by day; keep the ride table by
+    insert-or-ignore; list the days still to collect per park.  Running it again adds nothing."""
+    readings_path, rides_path = (os.path.join(args.out, t) for t in ("queue_data", "park_info"))
+    sinks.create_tables(spark, readings_path, rides_path)
+    if args.mapped:
+        raw, rides = landed.events_readings(spark, args.data), landed.events_park_info(spark, args.data)
+    else:
+        raw = spark.read.parquet(os.path.join(args.data, "readings"))
+        rides = spark.read.schema(PARK_INFO).parquet(os.path.join(args.data, "park_info"))
+    existing = spark.read.schema(PARK_INFO).parquet(rides_path)
+    rides = rides.withColumn("date", F.lit(None).cast("date")).withColumn("pos", F.lit(0))
+    new = materialise(sinks.insert_or_ignore(existing, rides).select(*PARK_INFO.fieldNames()), "rides")
+    new.write.mode("append").parquet(rides_path)
+    known = spark.read.schema(PARK_INFO).parquet(rides_path)
+    sinks.ingest_readings(align.align_to_slots(raw), known, readings_path)
+    last = worklist.last_stored_day(sinks.read_readings(spark, readings_path), known)
+    parks = known.select("park_id")
+    if cfg.get("park_ids"):                     # configured parks count even before their first row
+        parks = parks.unionAll(spark.createDataFrame([(str(p),) for p in cfg["park_ids"]], "park_id string"))
+    wl = worklist.work_list(parks, cfg.get("start_date", "2024/01/01"), cfg.get("end_date", "2024/03/31"),
+                            cfg["exclude_months"], last_days=last)
     wl.write.mode("overwrite").parquet(os.path.join(args.out, "work_list"))
 
 
 def cmd_train(spark, args, cfg):
-    params = RunParams(include_park_ids=cfg.get("include_park_ids"))
-    tf = materialise(training_frame(spark, args.data, params), "training-frame")
+    params = RunParams(include_park_ids=cfg["include_park_ids"])
+    tf = materialise(training_frame(spark, _inputs(spark, args), params), "training-frame")
     feats = model_features(tf)
     split = model.holdout_split(tf)
     train = split.where("split = 'train'")
-    trials = model.search(spark, train, feats, n_iter=int(cfg.get("n_iter", 20)))
+    trials = model.search(spark, train, feats, n_iter=int(cfg["n_iter"]))
     best = trials.orderBy("rank").first().asDict()
     fitted = model.fit_forest(train, feats, best)
     test = model.cast_features(split.where("split = 'test'"), feats)
@@ -72,11 +74,13 @@ def cmd_train(spark, args, cfg):
 
 def cmd_predict(spark, args, cfg):
     params = RunParams(as_of=args.as_of or cfg.get("as_of", RunParams.as_of),
-                       horizon_days=int(args.horizon or cfg.get("horizon_days", 14)))
+                       horizon_days=int(args.horizon or cfg["horizon_days"]))
+    days = park_days(spark, config.requested_dates({**cfg, "horizon_days": params.horizon_days}, params.as_of),
+                     args.park or cfg["park_id"])
     fitted, cols, err = model.load_model_or_error(args.model)
     if err:
         raise SystemExit(err)
-    inf = encode.align_columns(inference_frame(spark, args.data, params), cols, keep=["date", "park_id"])
+    inf = encode.align_columns(inference_frame(spark, _inputs(spark, args), days, params), cols, keep=["date", "park_id"])
     preds = model.ensemble_interval(spark, fitted, args.model, inf, cols).drop("mean_pred")
     warning = report.empty_result_warning(preds)
     if warning:
@@ -95,11 +99,13 @@ def main(argv=None):
     ap.add_argument("--config")
     ap.add_argument("--as-of")
     ap.add_argument("--horizon")
+    ap.add_argument("--park")
+    ap.add_argument("--mapped", action="store_true", help="--data holds the driver's tables")
     ap.add_argument("--master", default=os.environ.get("SPARK_MASTER", "local[*]"))
     args = ap.parse_args(argv)
     spark = build_session(master=args.master)
     apply_defaults(spark)
-    cfg = load_config(args.config)
+    cfg = config.load(args.config, args.command)
     {"ingest": cmd_ingest, "train": cmd_train, "predict": cmd_predict}[args.command](spark, args, cfg)
     spark.stop()
 

@@ -50,24 +50,41 @@ def wall_clock_hhmm(iso_text) -> Column:
     return F.when(ok, F.substring(s, 12, 5))
 
 
+# Shapes of reading times: the day, the clock with optional seconds, and what may follow
+# (fractions of a second, Z, an offset or a zone name: the wall-clock is kept).
+_CLOCK = r"([0-9]{1,2}:[0-9]{2})(:[0-9]{2})?(?:[.,][0-9]+)?\s*(?:[AaPp][Mm])?\s*(?:Z|UTC|GMT.*|[+-][0-9]{2}:?[0-9]{2})?(?:\s*\(.*\))?$"
+TIME_SHAPES = (
+    (r"^([0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2})[T ]+" + _CLOCK, "yyyy-M-d H:mm:ss"),
+    (r"^(?:[A-Za-z]{3,9},? )?([A-Za-z]{3} [0-9]{1,2},? [0-9]{4}),? " + _CLOCK, "MMM d yyyy H:mm:ss"),
+    (r"^(?:[A-Za-z]{3,9},? )?([0-9]{1,2} [A-Za-z]{3} [0-9]{4}),? " + _CLOCK, "d MMM yyyy H:mm:ss"),
+    (r"^([0-9]{1,2}/[0-9]{1,2}/[0-9]{4}),? " + _CLOCK, "M/d/yyyy H:mm:ss"),
+)
+
+
 def parse_reading_time(c) -> Column:
-    """Free-form reading time -> TIMESTAMP.
+    """Free-form reading time -> TIMESTAMP, keeping the wall-clock of the text.
 
-    Accepts ISO-like text ('2024-10-30 10:02:00', '2024-10-30T10:02:00') and browser date
-    strings ('Wed Oct 30 2024 10:02:00 GMT+0000 (...)'), keeping the wall-clock of the text.
-    The weekday is cut off before parsing because an 'EEE' pattern is refused outright.
+    ISO-like text with '-' or '/', a blank or T, with or without seconds, fractions, Z or an
+    offset; month-name text ('Oct 30 2024 10:02:00', '30 Oct 2024 10:02', browser strings with
+    weekday and zone); and '10/30/2024 10:02' (month first).  A twelve-hour clock and anything
+    else give NULL.
     """
     s = F.trim(col_(c))
+    twelve = s.rlike(r"(?i)[0-9]\s*[ap]m")
+    out = F.lit(None).cast("timestamp")
     # dispatch on the shape first: a failed parse attempt is far dearer than a regex test
-    iso_like = s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}")
-    iso = F.when(iso_like, F.coalesce(
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm")),
-    ))
-    core = F.regexp_extract(s, r"[A-Za-z]{3} ([A-Za-z]{3} [0-9]{2} [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2})", 1)
-    browser = F.when(~iso_like & (core != ""), F.try_to_timestamp(core, F.lit("MMM dd yyyy HH:mm:ss")))
-    return F.coalesce(iso, browser)
+    for shape, pattern in reversed(TIME_SHAPES):
+        day = F.translate(F.regexp_extract(s, shape, 1), "/," if "/d" not in pattern else ",", "-" if "/d" not in pattern else "")
+        seconds = F.regexp_extract(s, shape, 3)
+        text = F.concat(day, F.lit(" "), F.regexp_extract(s, shape, 2), F.when(seconds == "", ":00").otherwise(seconds))
+        out = F.when(s.rlike(shape), F.try_to_timestamp(text, F.lit(pattern))).otherwise(out)
+    return F.when(~twelve, out)
+
+
+def unparsed_times(df, c: str = "time"):
+    """One row: texts, and how many of them (NULL aside) are not a time."""
+    return df.agg(F.count(c).alias("texts"),
+                  F.count_if(F.col(c).isNotNull() & parse_reading_time(c).isNull()).alias("unparsed"))
 
 
 def micros(ts) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import round_to
 from ..operators import calendar, encode, impute, labels, opening, weather
 from ..session import materialise
-from ..sources import directories, holidays, landed, schedule
+from ..sources import directories, documents, holidays, landed, schedule
 from ..sources.readings import scan_readings
 from . import oracle_views as V
 from .output import as_report
@@ -92,6 +92,52 @@ def school_holiday_flag(spark, sf_dir):
     return as_report(calendar.add_school_holidays(orders_levels(spark, sf_dir), countries(spark, sf_dir), days))
 
 
+def _as_json(df):
+    """Each row as the JSON text a service would answer with."""
+    return df.select(F.to_json(F.struct("*")).alias("body"))
+
+
+@register("park_directory_json", """
+select cast(n_nationkey as varchar) as park_id, n_name as name, r_name as country,
+       cast(n_nationkey * 2.5 - 30 as double) as latitude, cast(n_nationkey * 5.0 - 60 as double) as longitude,
+       n_name || ' (ID ' || cast(n_nationkey as varchar) || ')' as label,
+       'dest-' || cast(n_nationkey as varchar) as external_id
+from nation join region on n_regionkey = r_regionkey""")
+def park_directory_json(spark, sf_dir):
+    """Both directories parsed from JSON text under their fixed schemas."""
+    parks = documents.parse_documents(_as_json(landed.park_directory(spark, sf_dir)), "parks")
+    destinations = documents.parse_documents(_as_json(landed.destination_directory(spark, sf_dir)), "destinations")
+    return directories.park_dimension(parks, destinations)
+
+
+@register("public_holidays_json", V.with_ctes(V.PUBLIC_HOLIDAYS) + """
+select country_code, cast(date as varchar) as date from public_holidays""")
+def public_holidays_json(spark, sf_dir):
+    """One JSON array of entries (one of them without a date) -> public-holiday days."""
+    rows = landed.public_holidays(spark, sf_dir)
+    doc = rows.groupBy("country_code").agg(F.to_json(F.collect_list(F.struct("country_code", "date", "name"))).alias("body"))
+    return as_report(holidays.public_holiday_days(documents.parse_documents(doc, "public_holidays")))
+
+
+@register("school_holidays_json", V.with_ctes(V.SCHOOL_DAYS) + """
+select country, cast(date as varchar) as date from school_days""")
+def school_holidays_json(spark, sf_dir):
+    """Period documents, one per holiday and some of them cut off, in order of their
+    start, -> distinct days."""
+    text = _as_json(landed.school_periods(spark, sf_dir))
+    cut = text.select(F.expr("substring(body, 1, 20)").alias("body"))
+    periods = documents.parse_documents(text.unionAll(cut), "school_holidays")
+    return as_report(holidays.school_holiday_days(holidays.periods_in_order(periods)))
+
+
+@register("unreadable_documents", """
+select 2 * count(*) as documents, count(*) as unreadable from orders""")
+def unreadable_documents(spark, sf_dir):
+    """Documents that are no JSON are counted, not lost silently."""
+    text = _as_json(landed.school_periods(spark, sf_dir))
+    return documents.unreadable(text.unionAll(text.select(F.expr("substring(body, 1, 20)").alias("body"))), "school_holidays")
+
+
 # ------------------------------------------------------------------ opening hours (events world)
 
 _HIST = """hist as (
@@ -174,6 +220,18 @@ def opening_missing_months(spark, sf_dir):
     return as_report(opening.requested_by_month(miss))
 
 
+@register("schedule_day_json", V.with_ctes(V.R_E, V.P_E, _SCHED, _REQ, """sched_first as (
+  select park_id, date, arg_min(strftime(o, '%H:%M'), k) as opening_time, arg_min(strftime(c, '%H:%M'), k) as closing_time
+  from sched group by 1, 2)""") + """
+select r.park_id, cast(r.date as varchar) as date, s.opening_time, s.closing_time
+from req r left join sched_first s on s.park_id = r.park_id and s.date = r.date""")
+def schedule_day_json(spark, sf_dir):
+    """The day variant over JSON schedule documents: the day's first entry, else NULLs."""
+    docs = documents.parse_documents(_as_json(landed.schedule_payloads(spark, sf_dir)), "schedule")
+    req = requested_days(spark, sf_dir, landed.events_park_info(spark, sf_dir), OPENING_EXTRA_DAYS)
+    return as_report(schedule.schedule_day(docs, req))
+
+
 # ------------------------------------------------------------------ weather (orders world)
 
 @register("weather_history", V.with_ctes(V.R_O, V.P_O, V.LEVELS_O, V.W_O) + """
@@ -191,6 +249,25 @@ _CLIM = f"""clim as (
   from w_o where year(date) between year(date '{AS_OF_ORDERS}') - 5 and year(date '{AS_OF_ORDERS}') - 1 group by 1, 2)"""
 
 
+@register("weather_history_late", V.with_ctes(V.R_O, V.P_O, V.LEVELS_O, V.W_O, f"""late as (
+  select park_id, max(date) > date '{AS_OF_ORDERS}' as late from levels group by 1)""") + """
+select cast(l.date as varchar) as date, l.park_id, case when not t.late then w.tavg end as temperature_c,
+       case when not t.late then w.prcp end as precipitation_mm, case when not t.late then w.wspd end as wind_speed_kmh
+from levels l join late t using (park_id) left join w_o w on w.park_id = l.park_id and w.date = l.date""")
+def weather_history_late(spark, sf_dir):
+    """A park whose requested range ends after the forecast day gets no observations."""
+    out = weather.add_weather_history(orders_levels(spark, sf_dir), landed.orders_weather(spark, sf_dir), AS_OF_ORDERS)
+    return as_report(out.drop("crowd_level"))
+
+
+@register("weather_climatology_months", V.with_ctes(V.W_O, _CLIM) + f"""
+select park_id, cast(month as integer) as month, {V.r6('temperature_c')} as temperature_c from clim where month in (3, 7)""")
+def weather_climatology_months(spark, sf_dir):
+    """H5: the monthly means of chosen months only."""
+    c = weather.climatology(landed.orders_weather(spark, sf_dir), AS_OF_ORDERS, months=[3, 7])
+    return c.select("park_id", "month", round_to("temperature_c").alias("temperature_c"))
+
+
 @register("weather_climatology", V.with_ctes(V.W_O, _CLIM) + f"""
 select park_id, cast(month as integer) as month, {V.r6('temperature_c')} as temperature_c, {V.r6('precipitation_mm')} as precipitation_mm,
        {V.r6('wind_speed_kmh')} as wind_speed_kmh from clim""")

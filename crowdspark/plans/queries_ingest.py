@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import parse_reading_time, unparsed_times
 from ..operators import align, worklist
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..sources import landed, payload, sinks
 from ..sources.readings import scan_readings
 from . import oracle_views as V
@@ -47,6 +48,35 @@ def panel_flatten(spark, sf_dir):
     return as_report(f.select("park_id", "date", "ride_id", "ride_name", "time_of_day", "queue_time", "is_closed"))
 
 
+# Text forms of a reading time by event_id % 10: (Spark expression, whether seconds are kept).
+_TIME_FORMS = [("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")", True), ("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")", True),
+               ("date_format(ts, 'yyyy-MM-dd HH:mm:ss') || '+01:00'", True), ("date_format(ts, \"yyyy-MM-dd'T'HH:mm\")", False),
+               ("date_format(ts, 'MMM dd yyyy HH:mm:ss')", True), ("date_format(ts, 'MM/dd/yyyy HH:mm')", False),
+               ("date_format(ts, 'EEE MMM dd yyyy HH:mm:ss') || ' GMT+0000 (UTC)'", True), ("date_format(ts, 'yyyy/M/d H:mm:ss')", True),
+               ("date_format(ts, 'h:mm a')", None), ("date_format(ts, 'd MMM yyyy HH:mm:ss')", True)]
+_TIME_SQL = "case event_id % 10 " + " ".join(
+    f"when {i} then " + ("null" if keep is None else f"strftime(ts, '%Y-%m-%d %H:%M:{'%S' if keep else '00'}')")
+    for i, (_, keep) in enumerate(_TIME_FORMS)) + " end"
+
+
+def _time_texts(spark, sf_dir):
+    e = landed.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    form = " ".join(f"when {i} then {sql}" for i, (sql, _) in enumerate(_TIME_FORMS))
+    return e.select("event_id", F.expr(f"case event_id % 10 {form} end").alias("time"))
+
+
+@register("reading_times", f"select event_id, {_TIME_SQL} as reading_time from events")
+def reading_times(spark, sf_dir):
+    """Reading times in ten text forms; the wall-clock is kept, a twelve-hour clock is no time."""
+    return as_report(_time_texts(spark, sf_dir).select("event_id", parse_reading_time("time").alias("reading_time")))
+
+
+@register("reading_times_unparsed", "select count(*) as texts, count(*) filter (where event_id % 10 = 8) as unparsed from events")
+def reading_times_unparsed(spark, sf_dir):
+    """How many reading times are dropped."""
+    return unparsed_times(_time_texts(spark, sf_dir))
+
+
 @register("align_15min", V.with_ctes(V.R_E, "src as (select id, date, ride_id, ts, queue_time, is_closed from r_e)",
                                      _ALIGN) + _ALIGNED_OUT)
 def align_15min(spark, sf_dir):
@@ -98,15 +128,19 @@ def pending_dates(spark, sf_dir):
 @register("append_readings", V.with_ctes(V.R_E, "src as (select id, date, ride_id, ts, queue_time, is_closed from r_e)",
                                          _ALIGN) + _ALIGNED_OUT)
 def append_readings(spark, sf_dir):
-    """K1 G1: aligned readings appended to a day-partitioned table, then the last day
-    re-stored idempotently (dynamic partition overwrite); the read-back is returned."""
+    """K1 K3 G1: tables created, aligned readings ingested twice (the second run resumes after
+    the last stored day and adds nothing), then the last day re-stored idempotently (dynamic
+    partition overwrite); the read-back is returned."""
     readings_path = scratch_path(spark, "queue_data")
-    aligned = align.align_to_slots(landed.events_readings(spark, sf_dir))
-    cols = ["ride_id", "slot", "time_of_day", "queue_time", "is_closed", "date"]
-    sinks.append_readings(aligned.select(*cols), readings_path)
-    last = aligned.agg(F.max("date")).first()[0]
-    sinks.overwrite_reading_days(aligned.where(F.col("date") == F.lit(last)).select(*cols), readings_path)
-    back = spark.read.parquet(readings_path)
+    sinks.create_tables(spark, readings_path, scratch_path(spark, "park_info"))
+    aligned = materialise(align.align_to_slots(landed.events_readings(spark, sf_dir)), "aligned")
+    rides = landed.events_park_info(spark, sf_dir)
+    for _ in range(2):
+        sinks.ingest_readings(aligned, rides, readings_path)
+    stored = sinks.read_readings(spark, readings_path)
+    last = stored.agg(F.max("date").alias("date"))
+    sinks.overwrite_reading_days(materialise(stored.join(last, "date").select(*stored.columns), "last-day"), readings_path)
+    back = sinks.read_readings(spark, readings_path)
     return as_report(back.select("date", "ride_id", "slot", "time_of_day", "queue_time", "is_closed"))
 
 

@@ -8,15 +8,16 @@ from ..functions import round_to
 from ..operators import encode, model
 from ..schema import DAY_OF_WEEK_COLS, MONTH_COLS, WEATHER_COLS
 from ..session import materialise, scratch_path
-from ..sources import landed
+from ..sources import inputs, landed
 from . import oracle_views as V
-from .frames import RunParams, inference_frame, model_features, training_frame
+from .frames import RunParams, inference_days, inference_frame, model_features, training_frame
 from .output import as_report
 from .queries_features import _HIST, _SCHED, orders_levels
 from .queries_ingest import _ALIGN
 from .registry import register
 
-P = RunParams()
+P = RunParams(horizon_days=13)
+MISSING_PARK, SHORT_PARK, SHORT_DAYS = "3", "2", 6      # forecasts of the mapping: none, and one that ends early
 _EVENT_PARKS = ["1", "2", "3"]
 
 _DOW = ", ".join(f"coalesce(isodow(x.date) - 1 = {i - 1}, false) as day_of_week_{i}" for i in range(1, 8))
@@ -76,8 +77,8 @@ _AS = f"date '{P.as_of}'"
 INFERENCE_SQL = V.with_ctes(*_STORED, f"""req as (
   select p.park_id, cast(unnest(generate_series({_AS}, {_AS} + {P.horizon_days}, interval 1 day)) as date) as date
   from (select distinct park_id from p_e) p)""", _features_sql("req"), f"""fc as (
-  select * from w_e where date between {_AS} and {_AS} + 16 and park_id <> '{P.forecast_missing_park}'
-     and not (park_id = '{P.forecast_short_park}' and date > {_AS} + {P.forecast_short_days})),
+  select * from w_e where date between {_AS} and {_AS} + 16 and park_id <> '{MISSING_PARK}'
+     and not (park_id = '{SHORT_PARK}' and date > {_AS} + {SHORT_DAYS})),
 fc_end as (select park_id, max(date) as fc_end from fc group by 1),
 clim as (
   select park_id, month(date) as month, avg(tavg) as t, avg(prcp) as p, avg(wspd) as w from w_e
@@ -93,6 +94,10 @@ wx as (
 select cast(date as varchar) as date, park_id, {_FEATURES}, {_WX_ROUND}, {_ONE_HOT} from final"""
 
 
+def inference(spark, source):
+    return inference_frame(spark, source, inference_days(spark, source, P), P)
+
+
 def _rounded(df):
     return df.select(*[round_to(c).alias(c) if c in WEATHER_COLS else F.col(c) for c in df.columns])
 
@@ -106,7 +111,26 @@ def training_frame_q(spark, sf_dir):
 @register("inference_frame", INFERENCE_SQL)
 def inference_frame_q(spark, sf_dir):
     """Horizon days x parks with forecast / climatology weather, batch medians."""
-    return as_report(_rounded(inference_frame(spark, sf_dir, P)))
+    return as_report(_rounded(inference(spark, sf_dir)))
+
+
+def _folder(spark, sf_dir):
+    """The mapped inputs written as stored tables and JSON documents, and read from there."""
+    path = scratch_path(spark, "inputs")
+    inputs.export_folder(spark, inputs.from_tables(spark, sf_dir), path, P.as_of)
+    return inputs.from_folder(spark, path)
+
+
+@register("training_frame_folder", TRAINING_SQL)
+def training_frame_folder(spark, sf_dir):
+    """The training rows from ingested tables and JSON documents in a folder."""
+    return as_report(_rounded(training_frame(spark, _folder(spark, sf_dir), P)))
+
+
+@register("inference_frame_folder", INFERENCE_SQL)
+def inference_frame_folder(spark, sf_dir):
+    """The inference rows from ingested tables and JSON documents in a folder."""
+    return as_report(_rounded(inference(spark, _folder(spark, sf_dir))))
 
 
 @register("expanding_folds", V.with_ctes("tf as (" + TRAINING_SQL + ")", """days as (
@@ -261,7 +285,7 @@ def ensemble_interval(spark, sf_dir):
     (invariants; the arithmetic is checked by value in ``interval_bands``)."""
     feats, split, m = _fitted(spark, sf_dir)
     path = model.save_model(m, scratch_path(spark, "forest"))
-    inf = encode.align_columns(inference_frame(spark, sf_dir, P), feats, keep=["date", "park_id"])
+    inf = encode.align_columns(inference(spark, sf_dir), feats, keep=["date", "park_id"])
     iv = model.ensemble_interval(spark, m, path, inf, feats)
     return as_report(iv.select("date", "park_id",
                                F.col("crowd_level").between(F.col("ci_lower"), F.col("ci_upper")).alias("band_holds_level"),
@@ -292,7 +316,7 @@ def model_roundtrip(spark, sf_dir):
     feats, split, m = _fitted(spark, sf_dir)
     path = model.save_model(m, scratch_path(spark, "forest"))
     loaded, cols = model.load_model(path)
-    inf = encode.align_columns(inference_frame(spark, sf_dir, P), cols, keep=["date", "park_id"])
+    inf = encode.align_columns(inference(spark, sf_dir), cols, keep=["date", "park_id"])
     both = model.predict(loaded, inf, cols, "loaded").select("date", "park_id", *cols, "loaded")
     both = model.predict(m, both, cols, "fitted")
     return as_report(both.select("date", "park_id", (F.col("loaded") == F.col("fitted")).alias("loaded_equals_fitted")))

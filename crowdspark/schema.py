@@ -2,14 +2,14 @@
 
 from pyspark.sql import types as T
 
-# Stored readings, one row per ride and 15-minute slot (day kept as text like the writer does).
+# Stored readings as ingest writes them: one row per ride and 15-minute slot, partitioned by day.
 QUEUE_DATA = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("date", T.StringType()),
     T.StructField("ride_id", T.StringType()),
+    T.StructField("slot", T.TimestampType()),
     T.StructField("time_of_day", T.StringType()),
     T.StructField("queue_time", T.IntegerType()),
     T.StructField("is_closed", T.IntegerType()),
+    T.StructField("date", T.DateType()),
 ])
 
 # Ride dimension, key (ride_id, park_id).
@@ -19,20 +19,6 @@ PARK_INFO = T.StructType([
     T.StructField("ride_name", T.StringType()),
 ])
 
-DATA_POINT = T.StructType([
-    T.StructField("time_of_day", T.StringType()),
-    T.StructField("queue_time", T.IntegerType()),
-    T.StructField("is_closed", T.IntegerType()),
-])
-
-# Nested ride record produced by the page extractor.
-RIDE_RECORD = T.StructType([
-    T.StructField("ride_id", T.StringType()),
-    T.StructField("park_id", T.StringType()),
-    T.StructField("ride_name", T.StringType()),
-    T.StructField("data_points", T.ArrayType(DATA_POINT)),
-])
-
 DATASET = T.StructType([
     T.StructField("label", T.StringType()),
     T.StructField("data", T.ArrayType(T.IntegerType())),
@@ -60,17 +46,21 @@ DIRECTORY_PARK = T.StructType([
     T.StructField("longitude", T.StringType()),
 ])
 
-# Park directory: companies, each with a list of parks.
+# Park directory document: companies, each with a list of parks.
 PARK_DIRECTORY = T.StructType([
-    T.StructField("company", T.StringType()),
-    T.StructField("parks", T.ArrayType(DIRECTORY_PARK)),
+    T.StructField("companies", T.ArrayType(T.StructType([
+        T.StructField("company", T.StringType()),
+        T.StructField("parks", T.ArrayType(DIRECTORY_PARK)),
+    ]))),
 ])
 
 DESTINATION_DIRECTORY = T.StructType([
-    T.StructField("destination", T.StringType()),
-    T.StructField("parks", T.ArrayType(T.StructType([
-        T.StructField("id", T.StringType()),
-        T.StructField("name", T.StringType()),
+    T.StructField("destinations", T.ArrayType(T.StructType([
+        T.StructField("destination", T.StringType()),
+        T.StructField("parks", T.ArrayType(T.StructType([
+            T.StructField("id", T.StringType()),
+            T.StructField("name", T.StringType()),
+        ]))),
     ]))),
 ])
 

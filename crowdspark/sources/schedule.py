@@ -22,6 +22,18 @@ def schedule_entries(payloads: DataFrame) -> DataFrame:
                     (o.isNull() | c.isNull() | parse_day(F.col("entry.date")).isNull()).alias("bad"))
 
 
+def schedule_day(payloads: DataFrame, days: DataFrame) -> DataFrame:
+    """For each asked (park_id, date) the times of its month document's first entry for the day,
+    and a NULL pair where the document has none or the entry's times do not parse."""
+    e = schedule_entries(payloads).where(F.col("date").isNotNull())
+    first = e.groupBy("park_id", "date").agg(
+        F.min_by(F.struct("opening_time", "closing_time", "bad"), F.struct("year_month", "pos")).alias("t"))
+    good = F.col("t").isNotNull() & ~F.col("t.bad")
+    return days.select("park_id", "date").join(first, ["park_id", "date"], "left").select(
+        "park_id", "date", F.when(good, F.col("t.opening_time")).alias("opening_time"),
+        F.when(good, F.col("t.closing_time")).alias("closing_time"))
+
+
 def schedule_days(payloads: DataFrame, strict_month: bool = True) -> DataFrame:
     """(park_id, date, opening_time, closing_time): the last entry of a date wins.
 

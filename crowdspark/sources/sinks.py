@@ -5,28 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.worklist import last_stored_day
 from ..schema import PARK_INFO, QUEUE_DATA
 
 
 def create_tables(spark: SparkSession, readings_path: str, park_info_path: str) -> None:
-    """Create empty readings / ride tables with their fixed schemas when absent."""
+    """Create empty readings / ride tables when absent; read them under their fixed schemas
+    (``read_readings``, ``PARK_INFO``), as a table without rows holds no file to read one from."""
     for path, schema, parts in ((readings_path, QUEUE_DATA, ["date"]), (park_info_path, PARK_INFO, [])):
-        try:
-            spark.read.parquet(path).limit(0).collect()
-        except Exception:  # noqa: BLE001 - absent table
-            w = spark.createDataFrame([], schema).write.mode("ignore")
-            (w.partitionBy(*parts) if parts else w).parquet(path)
+        w = spark.createDataFrame([], schema).write.mode("ignore")
+        (w.partitionBy(*parts) if parts else w).parquet(path)
+
+
+DAY_PARTS = 8               # files a day's readings are spread over at most, per write
+
+
+def _by_day(df: DataFrame) -> DataFrame:
+    """Clustered by day (and a salt, so that a large day is not one task): few files per day."""
+    return df.repartition("date", F.pmod(F.hash("ride_id"), F.lit(DAY_PARTS)))
+
+
+def read_readings(spark: SparkSession, path: str) -> DataFrame:
+    """The stored readings under their fixed schema; a table without rows reads as empty."""
+    return spark.read.schema(QUEUE_DATA).parquet(path)
 
 
 def append_readings(df: DataFrame, path: str) -> None:
     """Append readings partitioned by day; no de-duplication (a re-run appends again)."""
-    df.write.mode("append").partitionBy("date").parquet(path)
+    _by_day(df).write.mode("append").partitionBy("date").parquet(path)
+
+
+def unstored_readings(readings: DataFrame, stored: DataFrame, park_info: DataFrame) -> DataFrame:
+    """Readings that lie after their park's last stored day (all of a park without any)."""
+    last = last_stored_day(stored, park_info)
+    rides = park_info.select("ride_id", "park_id").join(last, "park_id").groupBy("ride_id").agg(
+        F.max("last_day").alias("_last"))
+    out = readings.join(rides, "ride_id", "left")
+    return out.where(F.col("_last").isNull() | (F.col("date") > F.col("_last"))).select(*readings.columns)
+
+
+def ingest_readings(readings: DataFrame, park_info: DataFrame, path: str) -> None:
+    """Append what is not stored yet, resuming each park after its last stored day: running it
+    again with the same input adds nothing."""
+    spark = readings.sparkSession
+    rows = readings.select(*QUEUE_DATA.fieldNames())
+    append_readings(unstored_readings(rows, read_readings(spark, path), park_info), path)
 
 
 def overwrite_reading_days(df: DataFrame, path: str) -> None:
     """Replace exactly the day partitions present in ``df`` (dynamic partition overwrite):
     re-running a day is idempotent, other days are untouched."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (_by_day(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("date").parquet(path))
 
 

@@ -55,3 +55,17 @@ def test_ride_in_two_parks_raises(spark):
     pi = spark.createDataFrame([("a", "1", "A"), ("a", "2", "A")], "ride_id string, park_id string, ride_name string")
     with pytest.raises((PySparkException, Py4JJavaError)):
         labels.crowd_levels(r, pi).collect()
+
+
+def test_missing_means_take_no_rank(spark):
+    rows = [(dt.date(2024, 1, i + 1), "1", v) for i, v in enumerate([None, None, 1.0, 2.0, 3.0, 3.0])]
+    df = spark.createDataFrame(rows, "date date, park_id string, avg_queue_time double")
+    got = [r["crowd_level"] for r in labels.percentile_rank_level(df).orderBy("date").collect()]
+    want = (pd.Series([v for _, _, v in rows]).rank(pct=True) * 100).round()
+    assert got == [None if pd.isna(w) else int(w) for w in want]
+
+
+def test_mean_keeps_full_precision(spark):
+    r = readings(spark, [(D1, "a", 1.234567, 0)])
+    pi = spark.createDataFrame([("a", "1", "A")], "ride_id string, park_id string, ride_name string")
+    assert labels.ride_day_mean(labels.attach_park(r, pi)).first()["avg_queue_time"] == 1.234567

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crowdspark.operators import model, report
-from crowdspark.plans.frames import RunParams, inference_frame, model_features, training_frame
+from crowdspark.plans.frames import RunParams, inference_days, inference_frame, model_features, training_frame
 from crowdspark.session import scratch_path
 
 from .conftest import SF001
@@ -19,7 +19,7 @@ D = dt.date
 def frames(spark):
     p = RunParams()
     tf = training_frame(spark, SF001, p).cache()
-    inf = inference_frame(spark, SF001, p).cache()
+    inf = inference_frame(spark, SF001, inference_days(spark, SF001, p), p).cache()
     return tf, inf, model_features(tf)
 
 
@@ -96,3 +96,20 @@ def test_summary_ties_to_earliest_day(spark):
     assert (r["mean_level"], r["peak_level"], r["peak_minus_mean"]) == (48, 90, 42)
     assert (r["quietest_day"], r["busiest_day"]) == ("Mon 01 Jan", "Tue 02 Jan")
     assert [b["label"] for b in report.band_rows(spark).collect()] == ["Quiet", "Moderate", "Busy"]
+
+
+def test_metrics_of_constant_labels_and_no_rows(spark):
+    df = spark.createDataFrame([(4.0, 4.0), (4.0, 4.0)], "crowd_level double, prediction double")
+    assert model.regression_metrics(df).first()["r2"] == 1.0
+    off = df.selectExpr("crowd_level", "prediction + 1 as prediction")
+    assert model.regression_metrics(off).first()["r2"] == 0.0
+    assert model.regression_metrics(df.where("false")).first().asDict() == {"mse": None, "rmse": None, "r2": None, "mae": None}
+
+
+def test_search_leaves_out_empty_folds(spark):
+    rows = [(D(2024, 1, 1), "1", float(i % 3), i % 5) for i in range(20)] + [(D(2024, 1, 2), "1", 1.0, 3)] * 4
+    df = spark.createDataFrame(rows, "date date, park_id string, x double, crowd_level int")
+    res = model.search(spark, df, ["x"], n_iter=1, parallelism=1).collect()
+    assert res[0]["folds"] <= 1
+    one_day = df.where("date = '2024-01-01'")
+    assert model.search(spark, one_day, ["x"], n_iter=1).first()["mean_mse"] is None
