@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import CROWD_BANDS, crowd_label
+from ..session import materialise
 
+# Fixed values of the expected output: the display column names.
 DISPLAY_NAMES = ["Date", "Day", "Crowd Level", "CI Lower (−1σ)", "CI Upper (+1σ)", "Category"]
 
 
@@ -29,6 +31,20 @@ def empty_result_warning(preds: DataFrame) -> str | None:
     return "No predictions: every requested day was dropped (missing features)." if preds.isEmpty() else None
 
 
+def in_order(preds: DataFrame, by=("date", "park_id")) -> DataFrame:
+    """``preds`` sorted by ``by`` with each row's 1-based ``place``: range partitions are stored,
+    numbered inside, and offset by the row counts of the partitions before them."""
+    dealt = materialise(preds.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()),
+                        "in-order")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
+    return (dealt.withColumn("_row", inside).join(parts, "_part")
+            .withColumn("place", (F.col("_before") + F.col("_row")).cast("bigint")).drop("_part", "_before", "_row")
+            .orderBy("place"))
+
+
 def with_labels(preds: DataFrame) -> DataFrame:
     return preds.withColumn("busy_label", crowd_label("crowd_level"))
 

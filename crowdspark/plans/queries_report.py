@@ -67,6 +67,25 @@ select park_id, strftime(date, '%Y-%m-%d') as "Date", strftime(date, '%A') as "D
 from preds"""
 
 
+@register("output_order", _PREDS + """
+select park_id, cast(date as varchar) as date, crowd_level, cast(row_number() over (order by date, park_id) as bigint) as place
+from preds""")
+def output_order(spark, sf_dir):
+    """predictions in the order they are shown (day, then park), with each row's place: a
+    distributed sort and places by partition counts, no single sorting task."""
+    return as_report(report.in_order(month_baseline_predictions(spark, sf_dir)).select("park_id", "date", "crowd_level", "place"))
+
+
+@register("band_rows", """
+select * from (values (0, 25, 'Quiet'), (25, 50, 'Moderate'), (50, 75, 'Busy')) as t(y0, y1, label)
+where (select count(*) from orders) > 0""")
+def band_rows(spark, sf_dir):
+    """The chart's threshold bands (shown when there are readings)."""
+    from ..sources import landed
+    some = landed.table(spark, sf_dir, "orders").limit(1).select(F.lit(1).alias("one"))
+    return report.band_rows(spark).join(some, F.lit(True)).drop("one")
+
+
 @register("display_table", _PREDS + _DISPLAY)
 def display_table(spark, sf_dir):
     """Display projection with formatted day, weekday name, band and label."""

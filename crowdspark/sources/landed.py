@@ -236,34 +236,31 @@ def schedule_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chart_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured calendar pages (park_id, date, panels) as the page extractor sees them.
 
-    One panel per ride and day: link text with padding, browser-style time labels, a
-    'Reported by park' dataset (0 for error readings, missing for readings of value < 1)
-    and a visitor dataset.  Rides with id divisible by 17 lose their link.
+    One page holds the panel of one ride and hour, so that no row grows with the readings of a
+    day: link text with padding, browser-style time labels, a 'Reported by park' dataset (0 for
+    error readings, missing for readings of value < 1) and a visitor dataset.  Rides with id
+    divisible by 17 lose their link.
     """
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     pts = e.select(
         (F.col("user_id") % 3 + 1).cast("string").alias("park_id"), F.col("ts").cast("date").alias("d"),
-        F.col("user_id"), F.col("event_id"),
+        F.col("user_id"), F.hour("ts").alias("hour"), F.col("event_id"),
         F.date_format("ts", "EEE MMM dd yyyy HH:mm:ss 'GMT+0000 (Coordinated Universal Time)'").alias("label"),
         F.when(F.col("event_type") == "error", F.lit(0))
          .when(F.col("value") >= 1, F.floor("value").cast("int")).alias("park_value"),
         F.floor(F.col("value") * 1.1).cast("int").alias("visitor_value"))
-    panels = (pts.groupBy("park_id", "d", "user_id")
-              .agg(F.sort_array(F.collect_list(F.struct("event_id", "label", "park_value", "visitor_value"))).alias("p"))
-              .select("park_id", "d", "user_id", F.struct(
-                  F.when(F.col("user_id") % 17 != 0,
-                         F.format_string("/parks/%s/rides/%d", F.col("park_id"), F.col("user_id"))).alias("href"),
-                  F.format_string("  Ride %d ", F.col("user_id")).alias("ride_name"),
-                  F.transform("p", lambda x: x["label"]).alias("labels"),
-                  F.array(
-                      F.struct(F.lit("Reported by visitors").alias("label"),
-                               F.transform("p", lambda x: x["visitor_value"]).alias("data")),
-                      F.struct(F.lit("Reported by park").alias("label"),
-                               F.transform("p", lambda x: x["park_value"]).alias("data"))).alias("datasets")).alias("panel")))
-    return (panels.groupBy("park_id", "d")
-            .agg(F.sort_array(F.collect_list(F.struct("user_id", "panel"))).alias("ps"))
-            .select("park_id", day_text("d", "/").alias("date"),
-                    F.transform("ps", lambda x: x["panel"]).alias("panels")))
+    points = pts.groupBy("park_id", "d", "user_id", "hour").agg(
+        F.sort_array(F.collect_list(F.struct("event_id", "label", "park_value", "visitor_value"))).alias("p"))
+    panel = F.struct(
+        F.when(F.col("user_id") % 17 != 0,
+               F.format_string("/parks/%s/rides/%d", F.col("park_id"), F.col("user_id"))).alias("href"),
+        F.format_string("  Ride %d ", F.col("user_id")).alias("ride_name"),
+        F.transform("p", lambda x: x["label"]).alias("labels"),
+        F.array(F.struct(F.lit("Reported by visitors").alias("label"),
+                         F.transform("p", lambda x: x["visitor_value"]).alias("data")),
+                F.struct(F.lit("Reported by park").alias("label"),
+                         F.transform("p", lambda x: x["park_value"]).alias("data"))).alias("datasets"))
+    return points.select("park_id", day_text("d", "/").alias("date"), F.array(panel).alias("panels"))
 
 
 def forecast_payloads(weather: DataFrame, as_of: str, horizon_days: int = 16,
