@@ -27,6 +27,13 @@ def park_countries(parks: DataFrame, aliases: DataFrame) -> DataFrame:
             .select("park_id", "country", F.col("alpha2").alias("country_code")))
 
 
+def unknown_parks(df: DataFrame, countries: DataFrame) -> DataFrame:
+    """One row: rows whose park has no country code (their flags are False), and how many parks."""
+    known = countries.where(F.col("country_code").isNotNull()).select("park_id").distinct()
+    lost = df.groupBy("park_id").agg(F.count("*").alias("n")).join(known, "park_id", "left_anti")
+    return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_without_country"), F.count("*").alias("parks_without_country"))
+
+
 def add_bank_holidays(df: DataFrame, countries: DataFrame, holiday_days: DataFrame) -> DataFrame:
     """is_bank_holiday: the day is in the public-holiday set of the park's country."""
     flags = holiday_days.select("country_code", "date", F.lit(True).alias("_hol"))

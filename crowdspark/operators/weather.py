@@ -16,17 +16,21 @@ def daily_history(weather: DataFrame) -> DataFrame:
     return weather.select("park_id", "date", *[nan_to_null(src).alias(dst) for src, dst in RENAME.items()])
 
 
-def add_weather_history(df: DataFrame, weather: DataFrame, as_of: str | None = None) -> DataFrame:
+def add_weather_history(df: DataFrame, weather: DataFrame, as_of: str | None = None, on_late: str = "null") -> DataFrame:
     """Left join on (park_id, date).
 
     Like the source that refuses a range ending after today, a park whose requested days
-    end after ``as_of`` gets no observations (all NULL) when ``as_of`` is given.
+    end after ``as_of`` gets no observations (all NULL) when ``as_of`` is given; with ``on_late``
+    = 'error' such a park raises instead of losing its rows to imputation later.
     """
     hist = daily_history(weather)
     out = df.join(hist, ["park_id", "date"], "left")
     if as_of is not None:
         last = F.max("date").over(Window.partitionBy("park_id"))
         late = last > F.to_date(F.lit(as_of))
+        if on_late == "error":
+            late = F.when(late, F.raise_error(F.concat(F.lit("the requested days end after the as-of day for park "),
+                                                       F.col("park_id"))).cast("boolean")).otherwise(F.lit(False))
         out = out.select(*[F.col(f"`{c}`") for c in out.columns if c not in RENAME.values()],
                          *[F.when(~late, F.col(c)).alias(c) for c in RENAME.values()])
     return out

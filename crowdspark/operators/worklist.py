@@ -43,6 +43,16 @@ def last_stored_day(readings: DataFrame, park_info: DataFrame) -> DataFrame:
             .groupBy("park_id").agg(F.max("date").alias("last_day")))
 
 
+def stored_gaps(readings: DataFrame, park_info: DataFrame, exclude_months=()) -> DataFrame:
+    """(park_id, date): days between a park's first and last stored day without any reading,
+    which resuming after the last stored day never revisits."""
+    r = readings.select("ride_id", "date").distinct()
+    days = r.join(park_info.select("ride_id", "park_id"), "ride_id").select("park_id", "date").distinct()
+    span = days.groupBy("park_id").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    every = span.select("park_id", F.explode(days_between(F.col("lo"), F.col("hi"), exclude_months)).alias("date"))
+    return every.join(days, ["park_id", "date"], "left_anti")
+
+
 def work_list(parks: DataFrame, start: str, end: str, exclude_months=(), last_days: DataFrame | None = None,
               url_template: str = DEFAULT_URL) -> DataFrame:
     """(park_id, date 'YYYY/MM/DD', url) per park and day still to fetch.

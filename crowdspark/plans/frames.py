@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calendar, encode, impute, labels, opening, weather
+from ..operators import calendar, encode, impute, labels, model, opening, weather
 from ..schema import FEATURE_COLS
 from ..session import materialise
 from ..sources import directories, holidays, inputs, schedule
@@ -25,14 +25,16 @@ from ..sources import directories, holidays, inputs, schedule
 class RunParams:
     """Run parameters (as_of is always explicit so results repeat).
 
-    ``keep_missing`` keeps rows without opening hours or with a NULL feature instead of dropping
-    them; ``strict_schedule_month`` voids a month's schedule for one unreadable entry.
+    ``keep_incomplete`` keeps rows without opening hours or with a NULL feature instead of
+    dropping them; ``strict_schedule_month`` voids a month's schedule for one unreadable entry;
+    ``fit_on`` = 'train' takes the medians from the training part only ('all': every row).
     """
     include_park_ids: list[int] | None = None
     as_of: str = "2024-01-17"              # first predicted day of the events world
     horizon_days: int = 14
     strict_schedule_month: bool = True
-    keep_missing: bool = False
+    keep_incomplete: bool = False
+    fit_on: str = "all"
 
     def __post_init__(self):
         ids = self.include_park_ids
@@ -53,7 +55,7 @@ def _feature_steps(data: inputs.Inputs, frame: DataFrame, readings: DataFrame, p
     f = calendar.add_school_holidays(f, countries, holidays.school_holiday_days(data.school_holidays))
     hist = opening.first_last_times(readings, data.park_info)
     sched = schedule.schedule_days(data.schedule, params.strict_schedule_month)
-    return opening.opening_hour_features(opening.opening_times(f, hist, sched), drop_missing=not params.keep_missing)
+    return opening.opening_hour_features(opening.opening_times(f, hist, sched), drop_missing=not params.keep_incomplete)
 
 
 def training_plan(spark: SparkSession, source: inputs.Inputs | str, params: RunParams) -> DataFrame:
@@ -74,9 +76,11 @@ def training_frame(spark: SparkSession, source: inputs.Inputs | str, params: Run
     params = params or RunParams()
     f = materialise(training_plan(spark, source, params), "features")
     feats = f.drop("crowd_level")
+    if params.fit_on == "train":
+        feats = model.holdout_split(feats).where("split = 'train'").drop("split")
     medians = impute.exact_medians(feats, impute.numeric_columns_with_nulls(feats))
     f, _ = impute.fill_with_median(f, medians, drop_remaining=False)
-    if not params.keep_missing:
+    if not params.keep_incomplete:
         f = f.na.drop("any", subset=["date", "park_id", *FEATURE_COLS])
     out = encode.one_hot_parks(f, keep_source=True)
     return (out, medians) if return_medians else out
@@ -118,7 +122,7 @@ def inference_frame(spark: SparkSession, source: inputs.Inputs | str, day_df: Da
     """``medians``: those of the training frame, else the requested days' own."""
     params = params or RunParams()
     f = materialise(inference_plan(spark, source, day_df, params), "features")
-    f, _ = impute.fill_with_median(f, medians, drop_remaining=not params.keep_missing)
+    f, _ = impute.fill_with_median(f, medians, drop_remaining=not params.keep_incomplete)
     return encode.one_hot_parks(f, keep_source=True)
 
 

@@ -74,6 +74,17 @@ def bank_holiday_flag(spark, sf_dir):
     return as_report(calendar.add_bank_holidays(orders_levels(spark, sf_dir), countries(spark, sf_dir), days))
 
 
+@register("unknown_parks", V.with_ctes(V.R_O, V.P_O, V.LEVELS_O, V.COUNTRY) + """
+select cast(coalesce(sum(n), 0) as bigint) as rows_without_country, count(*) as parks_without_country
+from (select park_id, count(*) as n from levels where cast(park_id as integer) % 5 <> 0 or park_id not in (
+        select park_id from park_country where alpha2 is not null) group by 1)""")
+def unknown_parks(spark, sf_dir):
+    """Park-days whose park the directory does not know are counted (here it lists every
+    fifth park only)."""
+    known = countries(spark, sf_dir).where(F.col("park_id").cast("int") % 5 == 0)
+    return calendar.unknown_parks(orders_levels(spark, sf_dir), known)
+
+
 @register("school_holiday_days", V.with_ctes(V.SCHOOL_DAYS) + """
 select country, cast(date as varchar) as date from school_days""")
 def school_holiday_days(spark, sf_dir):

@@ -48,6 +48,27 @@ def panel_flatten(spark, sf_dir):
     return as_report(f.select("park_id", "date", "ride_id", "ride_name", "time_of_day", "queue_time", "is_closed"))
 
 
+@register("panel_flatten_known", V.with_ctes(_PANEL_ROWS) + """
+select p.park_id, cast(p.date as varchar) as date, p.ride_id, p.time_of_day, p.queue_time, p.is_closed
+from pts p join events e using (event_id) where e.event_type = 'error' or e.value >= 1""")
+def panel_flatten_known(spark, sf_dir):
+    """The same without the points the park did not report."""
+    f = payload.flatten_payloads(landed.chart_payloads(spark, sf_dir), drop_missing=True)
+    return as_report(f.select("park_id", "date", "ride_id", "time_of_day", "queue_time", "is_closed"))
+
+
+@register("stored_gaps", V.with_ctes(V.R_O, V.P_O, """have as (
+  select distinct p.park_id, r.date from r_o r join p_o p on r.ride_id = p.ride_id),
+span as (select park_id, min(date) as lo, max(date) as hi from have group by 1),
+days as (select park_id, cast(unnest(generate_series(lo, hi, interval 1 day)) as date) as date from span)""") + """
+select park_id, cast(date as varchar) as date from days d anti join have h using (park_id, date)
+where month(date) not in (12, 1, 2)""")
+def stored_gaps(spark, sf_dir):
+    """Days inside a park's stored range without readings."""
+    r = scan_readings(spark, landed.orders_readings(spark, sf_dir))
+    return as_report(worklist.stored_gaps(r, landed.customer_park_info(spark, sf_dir), EXCLUDE_MONTHS))
+
+
 # Text forms of a reading time by event_id % 10: (Spark expression, whether seconds are kept).
 _TIME_FORMS = [("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")", True), ("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")", True),
                ("date_format(ts, 'yyyy-MM-dd HH:mm:ss') || '+01:00'", True), ("date_format(ts, \"yyyy-MM-dd'T'HH:mm\")", False),

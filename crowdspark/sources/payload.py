@@ -21,14 +21,16 @@ def valid_panels(payloads: DataFrame) -> DataFrame:
                    & F.col("park_ds").isNotNull())
 
 
-def flatten_payloads(payloads: DataFrame) -> DataFrame:
+def flatten_payloads(payloads: DataFrame, drop_missing: bool = False) -> DataFrame:
     """One row per data point: park_id, date, ride_id, ride_name, pos, ts, time_of_day text,
-    queue_time (missing -> 0), is_closed (1 only for an exact 0)."""
+    queue_time (missing -> 0, or no row with ``drop_missing``), is_closed (1 only for an exact 0)."""
     p = valid_panels(payloads)
     pts = p.select("park_id", "date", "panel_pos", "ride_id", "ride_name", "park_ds",
                    F.posexplode("labels").alias("pos", "label"))
     v = F.try_element_at(F.col("park_ds.data"), F.col("pos") + 1)
     ts = parse_reading_time("label")
+    if drop_missing:
+        pts = pts.where(v.isNotNull())
     return pts.select("park_id", "date", "ride_id", "ride_name", "panel_pos", "pos", ts.alias("ts"),
                       wall_clock_text(ts).alias("time_of_day"),
                       falsy_zero(v).alias("queue_time"), closed_flag(v).alias("is_closed"))

@@ -113,3 +113,22 @@ def test_directory_first_match_and_label(spark):
     got = {r["park_id"]: (r["name"], r["country"], r["latitude"], r["label"])
            for r in directories.park_dimension(doc).collect()}
     assert got == {"1": ("One", "X", 1.5, "One (ID 1)"), "2": (None, "Y", None, "Park 2 (ID 2)")}
+
+
+def test_late_training_range_raises_when_asked(spark):
+    import datetime as dt
+
+    import pytest
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    from crowdspark.operators import weather
+    days = spark.createDataFrame([("1", dt.date(2024, 1, 1)), ("1", dt.date(2024, 1, 5)), ("2", dt.date(2024, 1, 1))],
+                                 "park_id string, date date")
+    w = spark.createDataFrame([("1", dt.date(2024, 1, 1), 1.0, 2.0, 3.0), ("2", dt.date(2024, 1, 1), 4.0, 5.0, 6.0)],
+                              "park_id string, date date, tavg double, prcp double, wspd double")
+    got = {(r["park_id"], r["date"].day): r["temperature_c"] for r in weather.add_weather_history(days, w, "2024-01-03").collect()}
+    assert got == {("1", 1): None, ("1", 5): None, ("2", 1): 4.0}
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        weather.add_weather_history(days, w, "2024-01-03", on_late="error").collect()
+    assert weather.add_weather_history(days, w, "2024-02-03", on_late="error").count() == 3

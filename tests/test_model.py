@@ -113,3 +113,14 @@ def test_search_leaves_out_empty_folds(spark):
     assert res[0]["folds"] <= 1
     one_day = df.where("date = '2024-01-01'")
     assert model.search(spark, one_day, ["x"], n_iter=1).first()["mean_mse"] is None
+
+
+def test_medians_of_the_training_part(spark):
+    """fit_on='train' takes the medians from the training rows alone."""
+    from crowdspark.operators import impute
+    from crowdspark.plans.frames import training_plan
+    from crowdspark.schema import FEATURE_COLS
+    _, medians = training_frame(spark, SF001, RunParams(fit_on="train"), return_medians=True)
+    rows = training_plan(spark, SF001, RunParams()).select("date", "park_id", *FEATURE_COLS)
+    train = model.holdout_split(rows).where("split = 'train'")
+    assert medians == impute.exact_medians(train, list(medians))
