@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import text_rows
 
 GRADES = 3                  # 0 toxic, 1 poor, 2 good
-FIT_ROWS = 3000             # labelled rows per grade that the model is fitted on, about
+FIT_ROWS = 2500             # labelled rows per grade that the model is fitted on
 DIMS = 1 << 22
 GRAM = 5
 LEAST_ROWS = 3              # a feature is learned if so many fitted rows have it
@@ -107,18 +107,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         fit_rows: int = FIT_ROWS) -> dict:
     """The model: sparse weights over DIMS hashed features and the thresholds.
 
-    Fitted on about ``fit_rows`` labelled rows of each grade (all where there are fewer), chosen
-    by a hash and weighted back to the grades' shares; their features, bounded by the parameter,
-    are gathered on the driver.
+    Fitted on ``fit_rows`` labelled rows of each grade (all where there are fewer), the first by
+    a hash of the id, weighted back to the grades' shares.  So at most GRADES x fit_rows labels
+    are broadcast to the scan of the texts, and that many rows' features reach the driver.
     """
     grades = graded(labels)
     have = {r["grade"]: r["count"] for r in grades.groupBy("grade").count().collect()}
     if not have:
         return {"cols": np.empty(0, np.int64), "weights": np.empty(0), "thresholds": None}
-    share = F.create_map(*[F.lit(x) for g, n in have.items() for x in (g, fit_rows / n)])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = grades.where(draw < F.element_at(share, F.col("grade")))
-    rows = text_rows(docs, id_col, text_col).select("doc_id", "text").join(chosen, "doc_id")
+    chosen = None
+    for grade in sorted(have):
+        first = grades.where(F.col("grade") == grade).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(fit_rows)
+        chosen = first if chosen is None else chosen.unionAll(first)
+    rows = text_rows(docs, id_col, text_col).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def features(batches):
         for batch in batches:
@@ -135,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                                               batch.column(1)], names=["cols", "values", "grade"])
     got = rows.select("text", "grade").mapInArrow(features, "cols binary, values binary, grade int")
     parts = [(np.frombuffer(r["cols"], np.int32), np.frombuffer(r["values"], np.float32), r["grade"])
-             for r in got.toLocalIterator()]
+             for r in got.collect()]
     parts.sort(key=lambda p: (p[2], p[0].tobytes()))            # the order of tasks must not matter
     if not parts:
         return {"cols": np.empty(0, np.int64), "weights": np.empty(0), "thresholds": None}
