@@ -23,6 +23,7 @@ CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 GROUP_PIECES = 16_384
+EXCHANGES = 1000            # a group's search ends after so many
 CACHE_WORDS = 1_200_000        # chunks whose ids a worker remembers at a time
 
 
@@ -84,13 +85,22 @@ class Encoder:
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
             new = distinct
-        # a comma or full stop behind an ASCII letter is a token of its own: the word is enough
-        stems = {c: c[:-1] for c in new if len(c) > 1 and c[-1:] in self.stops and c[-2:-1].isalpha()}
-        todo = list((new - stems.keys()).union(stems.values()).difference(known))
+        # a comma or full stop behind an ASCII letter is a token of its own, and the tokenizer
+        # lower-cases: the plain word is enough for such chunks
+        plain: dict[bytes, tuple[bytes, bytes]] = {}
+        for chunk in new:
+            word, tail = chunk, b""
+            if chunk[-1:] in self.stops and chunk[-2:-1].isalpha() and len(chunk) > 1:
+                word, tail = chunk[:-1], self.stops[chunk[-1:]]
+            if word.isascii() and b"<|" not in word:
+                word = word.lower()
+            if word != chunk:
+                plain[chunk] = word, tail
+        todo = list((new - plain.keys()).union(w for w, _ in plain.values()).difference(known))
         for at in range(0, len(todo), 4096):
             self._learn(todo[at:at + 4096])
-        for chunk, stem in stems.items():
-            known[chunk] = known[stem] + self.stops[chunk[-1:]]
+        for chunk, (word, tail) in plain.items():
+            known[chunk] = known[word] + tail
         return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
@@ -166,7 +176,8 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 def _exchange(size: np.ndarray, fill: np.ndarray, bin_of: np.ndarray, pool: np.ndarray, low: int,
               capacity: int) -> bool:
-    """One exchange that takes as much as possible out of bin ``low``; False if none can.
+    """One exchange that takes volume out of bin ``low``; False if none can.  Kinds are tried in
+    order: a move; one for one and two for one; one for two; of the first with a gain the best.
 
     Volume d goes from ``low`` to a bin y with at least d of room; with fill(y) + d > fill(low)
     the sum of squared fills grows by 2 d (fill(y) + d - fill(low)).
@@ -189,8 +200,8 @@ def _exchange(size: np.ndarray, fill: np.ndarray, bin_of: np.ndarray, pool: np.n
             ok = np.nonzero(gain)[0]
             best, move = int(size[a]), ([a], [], int(bins[ok[np.argmin(room[bins[ok]])]]))
             break
+    where = bin_of[other]
     if move is None:
-        where = bin_of[other]
         for a in mine.tolist():                                 # swap a for a shorter b
             gain = better(size[a] - size[other], where)
             k = int(np.argmax(gain))
@@ -202,11 +213,12 @@ def _exchange(size: np.ndarray, fill: np.ndarray, bin_of: np.ndarray, pool: np.n
                 k = int(np.argmax(gain))
                 if gain[k] > best:
                     best, move = int(gain[k]), ([a, c], [int(other[k])], int(where[k]))
-        order = other[np.lexsort((size[other], bin_of[other]))]
-        same = bin_of[order[1:]] == bin_of[order[:-1]]          # a for a pair that lies side by side in y
-        pairs = size[order[1:]] + size[order[:-1]]
+    if move is None:
+        order = other[np.lexsort((size[other], where))]         # a for a pair that lies side by side in y
+        same = bin_of[order[1:]] == bin_of[order[:-1]]
         if same.any():
-            first, second, pairs = order[:-1][same], order[1:][same], pairs[same]
+            first, second = order[:-1][same], order[1:][same]
+            pairs = size[first] + size[second]
             for a in mine.tolist():
                 gain = better(size[a] - pairs, bin_of[first])
                 k = int(np.argmax(gain))
@@ -221,8 +233,11 @@ def _exchange(size: np.ndarray, fill: np.ndarray, bin_of: np.ndarray, pool: np.n
     return True
 
 
-def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> np.ndarray:
-    """The bin of each item after emptying underfull bins, the least full first."""
+def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, exchanges: int = EXCHANGES) -> np.ndarray:
+    """The bin of each item after emptying underfull bins, the least full first.
+
+    Every exchange raises the sum of squared fills, so the search ends by itself; it also ends
+    at the volume's bound, or after ``exchanges`` steps (each looks at every underfull bin)."""
     size = np.asarray(lengths, np.int64)
     bin_of = np.empty(len(size), np.int64)
     for b, items in enumerate(bins):
@@ -230,13 +245,14 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> n
     fill = np.bincount(bin_of, size, len(bins)).astype(np.int64)
     least = -(-int(size.sum()) // capacity)
     stuck = np.zeros(len(bins), bool)
-    while int((fill > 0).sum()) > least:
-        open_bins = np.nonzero((fill > 0) & (fill < capacity))[0]
-        todo = open_bins[~stuck[open_bins]]
-        if not len(todo) or len(open_bins) < 2:
+    while int((fill > 0).sum()) > least and exchanges > 0:
+        exchanges -= 1
+        underfull = (fill > 0) & (fill < capacity)
+        todo = np.nonzero(underfull & ~stuck)[0]
+        if not len(todo) or underfull.sum() < 2:
             break
         low = int(todo[np.argmin(fill[todo])])
-        pool = np.nonzero(np.isin(bin_of, open_bins))[0]
+        pool = np.nonzero(underfull[bin_of])[0]
         if _exchange(size, fill, bin_of, pool, low, capacity):
             stuck[:] = False
         else:
