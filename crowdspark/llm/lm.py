@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, stored, text_rows
 
-CHUNK_BYTES = 16 << 20              # of stored input
+CHUNK_BYTES = 8 << 20               # of stored input
 FLUSH_TOKENS = 2 << 20              # a mapper sends its requests when it holds so many tokens
 SLICES = 4                          # of the key space, for each reducer: evens them out
 CACHE_WORDS = 500_000
@@ -83,6 +83,21 @@ def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple:
     return (keys[first], *(np.add.reduceat(c[order], first) if len(first) else c[:0] for c in counts))
 
 
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, in as many low bytes as the largest needs."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(keys) else 1
+    return bytes([width]) + steps[:, None].view(np.uint8)[:, :width].tobytes()
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    width = data[0]
+    low = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    steps = np.zeros((len(low), 8), np.uint8)
+    steps[:, :width] = low
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
 def _packed(array: np.ndarray) -> bytes:
     """Counts as compressed bytes: most are 0 or 1."""
     return zlib.compress(array.astype("<u4").tobytes(), 1)
@@ -105,7 +120,7 @@ def _request_pass(parts: int):
                                          (roles == DELETED).astype(np.int64))
             part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
             cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-            out = [(p, chunk, words, keys[a:b].tobytes(), _packed(fit[a:b]), _packed(deleted[a:b]))
+            out = [(p, chunk, words, _packed_keys(keys[a:b]), _packed(fit[a:b]), _packed(deleted[a:b]))
                    for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), REQUEST)], schema=REQUEST)
 
@@ -137,7 +152,7 @@ def _answer_pass(batches):
     asked: dict[bool, list] = {True: [], False: []}
     for batch in batches:
         for r in batch.to_pylist():
-            asked[r["words"]].append((r["chunk"], np.frombuffer(r["keys"], "<u8"), _unpacked(r["fit"]),
+            asked[r["words"]].append((r["chunk"], _unpacked_keys(r["keys"]), _unpacked(r["fit"]),
                                       _unpacked(r["deleted"])))
     for words, blocks in asked.items():
         if not blocks:
@@ -153,7 +168,7 @@ def _answer_pass(batches):
             differ = (fit[at] != mine[1]) | (deleted[at] != mine[2])
             at = at[differ]
             if len(at):
-                out.append((chunk, words, keys[at].tobytes(), _packed(fit[at]), _packed(deleted[at]), 0, 0, 0))
+                out.append((chunk, words, _packed_keys(keys[at]), _packed(fit[at]), _packed(deleted[at]), 0, 0, 0))
         if words:
             out.append((None, True, b"", b"", b"", int(((fit + deleted) > 0).sum()), int(fit.sum()),
                         int(deleted.sum())))
@@ -172,7 +187,7 @@ def _totals(keys: np.ndarray, roles: np.ndarray, answers: pd.DataFrame, all_text
     del ordered
     total = np.add.reduceat((own == FIT) | (all_texts & (own == DELETED)), first, dtype=np.int64)
     for row in answers.itertuples():
-        at = np.searchsorted(distinct, np.frombuffer(row.keys, "<u8"))
+        at = np.searchsorted(distinct, _unpacked_keys(row.keys))
         total[at] = _unpacked(row.fit) + _unpacked(row.deleted) if all_texts else _unpacked(row.fit)
     out = np.empty(len(keys), np.int32 if len(total) == 0 or total.max() < (1 << 31) - 1 else np.int64)
     out[order] = total[np.cumsum(new) - 1]

@@ -89,7 +89,7 @@ def test_flushes_and_chunks_ask_for_the_same_totals(monkeypatch):
         a = np.uint64(WordKeys()[b"a"])
         for chunk in (1, 2):
             own = [r for r in rows if r["chunk"] == chunk and r["words"]]
-            keys = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in own])
+            keys = np.concatenate([lm._unpacked_keys(r["keys"]) for r in own])
             fit = np.concatenate([lm._unpacked(r["fit"]) for r in own])
             assert dict(zip(keys.tolist(), fit.tolist()))[int(a)] == 3
 
