@@ -31,7 +31,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     finally:
         if before is None:
             spark.conf.unset(SHUFFLE_CLEANUP)

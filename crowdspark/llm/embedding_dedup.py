@@ -182,7 +182,8 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     links = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     named = (classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
              .join(links, "node", "left"))
-    least = named.groupBy("root").agg(F.min("low").alias("least"))
+    # stored, so that the join's two sides are plain shuffles and a huge component can be split
+    least = stored(named.groupBy("root").agg(F.min("low").alias("least")), "vector-groups")
     named = named.join(least, "root").select(
         "label", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
         F.col("least.vec_id").alias("component_id"), F.lit(True).alias("linked"))

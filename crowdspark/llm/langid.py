@@ -23,6 +23,7 @@ FIT_ROWS = 6000             # labelled rows per language that the model is fitte
 LANGUAGES = 500             # the most frequent languages are learned
 WORDS_PER_LANGUAGE = 20_000
 GRAMS_PER_LANGUAGE = 20_000
+MODEL_ITEMS = 2_000_000     # words and grams of all languages together
 LONGEST = 4
 SMOOTH = 0.5
 CACHE_WORDS = 400_000
@@ -64,8 +65,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """The model: languages, and for words and each gram length {item: log frequency by language}.
 
     Fitted on about ``fit_rows`` labelled rows of each language (all where there are fewer),
-    chosen by a hash of id and text, and never on held-out rows.  Of each language the model
-    holds a bounded number of words and grams, so its size does not grow with the corpus.
+    chosen by a hash of id and text, and never on held-out rows.  The model holds a bounded
+    number of words and grams per language and in all, so its size does not grow with the corpus.
     """
     rows = text_rows(docs, id_col, text_col, F.col(lang_col).cast("string").alias("lang"),
                      held_out(id_col).alias("held")).where("not held and lang is not null")
@@ -79,7 +80,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
               .mapInArrow(_count_pass, "lang string, kind int, item string, n long")
               .groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
     rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
-    most = F.when(F.col("kind") == 0, WORDS_PER_LANGUAGE).otherwise(GRAMS_PER_LANGUAGE)
+    share_of_all = MODEL_ITEMS // ((LONGEST + 1) * len(langs))
+    most = F.when(F.col("kind") == 0, min(WORDS_PER_LANGUAGE, share_of_all)).otherwise(min(GRAMS_PER_LANGUAGE, share_of_all))
     whole = F.sum("n").over(Window.partitionBy("lang", "kind"))
     top = counts.withColumn("total", whole).withColumn("rank", rank).where(F.col("rank") <= most)
     at = {lang: i for i, lang in enumerate(langs)}

@@ -30,6 +30,7 @@ SHORT = 200.0               # added to the squared length, so that short texts a
 ROUNDS = 200
 RATE = 0.03
 DECAY = 3e-3
+BLOCK = 1 << 20             # features gone over at once while fitting
 CACHE_WORDS = 400_000
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -67,9 +68,13 @@ def graded(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "qualit
             .where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade")))
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, weight: np.ndarray,
+def fit_ordinal(sizes: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, weight: np.ndarray,
                 dims: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by Adam on the weighted log-likelihood."""
+    """Weights and ordered thresholds by Adam on the weighted log-likelihood.
+
+    ``sizes`` features per row lie one row after another in ``cols`` and ``values``; a round goes
+    over them in blocks, so that it needs little memory beside them.
+    """
     w = np.zeros(dims)
     share = np.cumsum(np.bincount(grades, weight, GRADES)) / weight.sum()
     share = np.clip(share[:-1], 1e-3, 1 - 1e-3)
@@ -77,16 +82,20 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
     # thresholds as a first one and positive steps keep their order
     t = np.r_[first[0], np.log(np.maximum(np.diff(first), 1e-2))]
     m, v = np.zeros(dims + len(t)), np.zeros(dims + len(t))
-    starts = np.searchsorted(rows, np.arange(len(grades)))
-    empty = np.bincount(rows, minlength=len(grades)) == 0
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(BLOCK, ends[-1], BLOCK)), len(sizes)])
+    blocks = [(lo, hi, slice(ends[lo] - sizes[lo], ends[hi - 1])) for lo, hi in zip(cuts, cuts[1:])]
 
     def sigmoid(x):
         return 0.5 * (1 + np.tanh(0.5 * x))
 
     for step in range(1, rounds + 1):
         theta = np.r_[t[0], t[0] + np.cumsum(np.exp(t[1:]))]
-        s = np.add.reduceat(np.r_[w[cols] * values, 0.0], starts)
-        s[empty] = 0.0
+        s = np.zeros(len(grades))
+        for lo, hi, at in blocks:
+            running = np.r_[0.0, np.cumsum(w[cols[at]] * values[at])]
+            own = np.r_[0, np.cumsum(sizes[lo:hi])]
+            s[lo:hi] = running[own[1:]] - running[own[:-1]]
         upper = np.where(grades < GRADES - 1, sigmoid(np.r_[theta, 0][grades] - s), 1.0)
         lower = np.where(grades > 0, sigmoid(np.r_[0, theta][grades] - s), 0.0)
         p = np.maximum(upper - lower, 1e-9)
@@ -95,8 +104,10 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
         gt = np.zeros(GRADES - 1)
         np.add.at(gt, grades[grades < GRADES - 1], -du[grades < GRADES - 1])
         np.add.at(gt, grades[grades > 0] - 1, dl[grades > 0])
-        g = np.r_[np.bincount(cols, ds[rows] * values, dims) / weight.sum() + DECAY * w,
-                  gt.sum() / weight.sum(), [gt[k:].sum() * math.exp(t[k]) / weight.sum() for k in range(1, len(t))]]
+        gw = DECAY * w
+        for lo, hi, at in blocks:
+            gw += np.bincount(cols[at], np.repeat(ds[lo:hi], sizes[lo:hi]) * values[at], dims) / weight.sum()
+        g = np.r_[gw, gt.sum() / weight.sum(), [gt[k:].sum() * math.exp(t[k]) / weight.sum() for k in range(1, len(t))]]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
         w, t = w - move[:dims], t - move[dims:]
@@ -145,9 +156,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kept = [(number[c[common[c]]].astype(np.int32), v[common[c]]) for c, v, _ in parts]
     y = np.array([g for _, _, g in parts])
     weight = np.array([have[g] for g in y], np.float64) / np.bincount(y, minlength=GRADES)[y]
-    w, thresholds = fit_ordinal(np.repeat(np.arange(len(kept)), [len(c) for c, _ in kept]),
-                                np.concatenate([c for c, _ in kept]), np.concatenate([v for _, v in kept]), y,
-                                weight / weight.mean(), int(common.sum()))
+    sizes = np.array([len(c) for c, _ in kept])
+    cols, values = np.concatenate([c for c, _ in kept]), np.concatenate([v for _, v in kept])
+    del parts, kept, number
+    w, thresholds = fit_ordinal(sizes, cols, values, y, weight / weight.mean(), int(common.sum()))
     return {"cols": np.nonzero(common)[0], "weights": w, "thresholds": thresholds}
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, stored, text_rows
-from .components import connected_components
+from .components import connected_components, star_links
 
 SHINGLE = 4
 MOST_BITS = 4
@@ -119,17 +119,7 @@ def trie_self_join(fps: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray
 
 def _stars(fps: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within a subtree as a star per component: every other member to its first."""
-    i, j = trie_self_join(fps, budget)
-    root = np.arange(len(fps))
-    while len(i):
-        before = root.copy()
-        np.minimum.at(root, i, root[j])
-        np.minimum.at(root, j, root[i])
-        root = root[root]
-        if np.array_equal(before, root):
-            break
-    others = np.nonzero(root != np.arange(len(fps)))[0]
-    return fps[others], fps[root[others]]
+    return star_links(fps, *trie_self_join(fps, budget))
 
 
 def _subtree_pass(budget: int):
@@ -196,7 +186,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = connected_components(near_fingerprints(distinct.select("fp"), budget))
     member = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("low").alias("first"))
+    # stored, so that the join's two sides are plain shuffles and a huge component can be split
+    least = stored(member.groupBy("root").agg(F.min("low").alias("first")), "simhash-groups")
     member = member.join(least, "root").select("fp", "first")
     return rows.join(member, "fp").select(
         "row_key", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),

@@ -19,8 +19,8 @@ def test_ordinal_fit_recovers_order():
     x = rng.standard_normal((n, 3))
     s = 2 * x[:, 0] - x[:, 1]
     y = (s + rng.logistic(size=n) > -1).astype(int) + (s + rng.logistic(size=n) * 0 > 1)
-    rows, cols = np.repeat(np.arange(n), 3), np.tile(np.arange(3), n)
-    w, t = Q.fit_ordinal(rows, cols, x.ravel(), y, np.ones(n), 3, rounds=400)
+    sizes, cols = np.full(n, 3), np.tile(np.arange(3), n)
+    w, t = Q.fit_ordinal(sizes, cols, x.ravel(), y, np.ones(n), 3, rounds=400)
     assert t[0] < t[1] and w[0] > 0.5 and w[1] < -0.25 and abs(w[2]) < 0.3
 
 
