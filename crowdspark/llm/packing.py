@@ -8,6 +8,7 @@ no exchange helps.  A group ends at most a fraction of a bin above its volume's
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, insort
 
@@ -36,9 +37,11 @@ class Encoder:
     """Token ids of whole texts, as little-endian 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its
-    blank-separated chunks in order (tests hold this against encoding whole texts).  Chunks not
-    met before are encoded together, set apart by a mark whose ids no other chunk can contain:
-    the mark is one private-use character, and its ids spell exactly its bytes.
+    blank-separated chunks in order (tests hold this against encoding whole texts).  A chunk of
+    Latin letters, with or without a comma or full stop behind it, is what the tokenizer's model
+    makes of the lower-cased word; the other chunks are encoded together, set apart by a mark
+    whose ids no other chunk can contain: it is one private-use character, and its ids spell
+    exactly its bytes.
     """
 
     MARK = "\ue000"
@@ -46,14 +49,29 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
         self.mark = self._ids([self.MARK])[0]
-        self.stops = {c: self._ids([c.decode()])[0].tobytes() for c in (b",", b".")}
+        self.stops = {c: self._ids([c])[0].tobytes() for c in (",", ".")}
+        # bytes stand in the model's vocabulary as characters: the printable ones of Latin-1 as
+        # themselves, the others from U+0100 on
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+        hidden = [b for b in range(256) if b not in shown]
+        self.bytes_as = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        probe = ["word", "Straße", "ÉTÉ", "àÿþ"]
+        self.direct = [i.tobytes() for i in self._ids(probe)] == [self._word(w.lower()) for w in probe]
         self.odd = (self.MARK.encode(), b"<|")          # encoded alone: the mark itself, special tokens
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one lower-case word by the model alone."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.bytes_as)
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _learn(self, chunks: list[bytes]) -> None:
         alone = [c for c in chunks if any(o in c for o in self.odd)]
         for chunk, ids in zip(alone, self._ids([c.decode() for c in alone])):
@@ -85,22 +103,23 @@ class Encoder:
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
             new = distinct
-        # a comma or full stop behind an ASCII letter is a token of its own, and the tokenizer
-        # lower-cases: the plain word is enough for such chunks
-        plain: dict[bytes, tuple[bytes, bytes]] = {}
+        others: list[bytes] = []
         for chunk in new:
-            word, tail = chunk, b""
-            if chunk[-1:] in self.stops and chunk[-2:-1].isalpha() and len(chunk) > 1:
-                word, tail = chunk[:-1], self.stops[chunk[-1:]]
-            if word.isascii() and b"<|" not in word:
-                word = word.lower()
-            if word != chunk:
-                plain[chunk] = word, tail
-        todo = list((new - plain.keys()).union(w for w, _ in plain.values()).difference(known))
-        for at in range(0, len(todo), 4096):
-            self._learn(todo[at:at + 4096])
-        for chunk, (word, tail) in plain.items():
-            known[chunk] = known[word] + tail
+            word, tail = chunk.decode(), b""
+            if word[-1] in self.stops:
+                word, tail = word[:-1], self.stops[word[-1]]
+            # letters of Latin-1: composed already, and lower-cased one by one
+            if not (self.direct and word.isalpha() and (word.isascii() or max(word) < "\u0100")):
+                others.append(chunk)
+                continue
+            word = word.lower()
+            key = word.encode()
+            ids = known.get(key)
+            if ids is None:
+                ids = known[key] = self._word(word)
+            known[chunk] = ids + tail
+        for at in range(0, len(others), 4096):
+            self._learn(others[at:at + 4096])
         return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
