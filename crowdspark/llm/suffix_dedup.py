@@ -11,8 +11,10 @@ smaller id.  Only suffixes that can matter are sorted, and no string is lost on
    meet by gram; equal ones are settled at once, and the suffixes of different ones are sorted:
    multikey quicksort on 8-byte characters down to a shallow depth, then a blind trie for each
    group that still agrees.  Suffixes with ``length`` bytes in common lie side by side.
-4. A gram in very many texts is divided by whole windows: each distinct window of a chunk is sent
-   once, keyed by its content, so no task gets all contexts of a common passage.
+4. The contexts of a gram in very many texts meet by content instead, which settles the equal
+   ones (the inside of a common passage).  The windows of those that are left (its edges) meet by
+   content in a second round.  Equal strings are settled within each chunk and task before they
+   travel, so no task gets all occurrences of a common passage.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from .common import partitions, stored, text_rows
 
 LENGTH = 50
 GRAM = 16
-HOT_TEXTS = 512             # a gram in more occurrences than this is divided by whole windows
+HOT_TEXTS = 16_384          # a gram that occurs more often meets by content, not by gram
 SHALLOW = 24                # bytes sorted by multikey quicksort before blind tries take over
 BLOCK = 1 << 20             # bytes hashed at once
 FLUSH_GRAMS = 1 << 21
@@ -40,8 +42,7 @@ CHUNK_BYTES = (1 << 20, 64 << 20)   # bytes of text in a chunk, from and to, abo
 SORT_ROWS = 20_000
 LAST_ID = (1 << 63) - 1     # a null id: behind every other
 
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_M, _S = np.uint64(0xBF58476D1CE4E5B9), np.uint64(31)
+_A, _M, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(31)
 
 
 def _words(data: np.ndarray, order: str) -> np.ndarray:
@@ -63,9 +64,10 @@ def smallest_grams(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple]:
         sizes = np.array([len(b) for _, _, b in block])
         begin = np.cumsum(sizes) - sizes
         part = _words(data, "<")
-        grams = part[:n - GRAM + 1] * _A ^ part[8:n - 7] * _B
-        grams ^= grams >> _S
-        grams *= _M
+        grams = part[:n - GRAM + 1] * _A
+        for at in range(8, GRAM, 8):
+            grams ^= grams >> _S
+            grams = (grams ^ part[at:at + len(grams)]) * _M
         grams ^= grams >> _S
         least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
         step = 1
@@ -104,23 +106,46 @@ def smallest_grams(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple]:
 
 
 ASK = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("ids", pa.binary()),
-                 ("counts", pa.binary())])
+                 ("counts", pa.binary()), ("often", pa.binary()), ("times", pa.binary())])
+
+
+def _ends(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which occurrences to send: of a gram with three or more in the chunk only those of the
+    smallest and the largest id; and such grams with how many are left out."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    first = np.nonzero(np.r_[True, ordered[1:] != ordered[:-1]])[0]
+    sizes = np.diff(np.r_[first, len(keys)])
+    keep = np.ones(len(keys), bool)
+    some = order[np.repeat(sizes > 2, sizes)]
+    if len(some):
+        some = some[np.lexsort((ids[some], keys[some]))]
+        inner = np.r_[False, keys[some][1:] == keys[some][:-1]] & np.r_[keys[some][1:] == keys[some][:-1], False]
+        keep[some[inner]] = False
+    return keep, ordered[first[sizes > 2]], sizes[sizes > 2] - 2
 
 
 def _ask_pass(parts: int, length: int):
     """(chunk, id, text) -> each chunk's grams by reducer, with the ids they stand under."""
+    def slice_of(keys: np.ndarray) -> np.ndarray:
+        return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+
     def rows(chunk: int, ids: list[np.ndarray], grams: list[np.ndarray]) -> pa.RecordBatch:
         own, keys = np.concatenate(ids), np.concatenate(grams)
-        part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+        keep, often, times = _ends(keys, own)
+        own, keys = own[keep], keys[keep]
+        part = slice_of(keys)
         order = np.argsort(part, kind="stable")
         own, keys = own[order], keys[order]
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        more = np.searchsorted(slice_of(often), np.arange(parts + 1))
         out = []
-        for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        for p, (a, b, c, d) in enumerate(zip(cuts, cuts[1:], more, more[1:])):
             if a < b:
                 runs = np.nonzero(np.r_[True, own[a + 1:b] != own[a:b - 1]])[0]
                 out.append((p, chunk, keys[a:b].tobytes(), own[a:b][runs].tobytes(),
-                            np.diff(np.r_[runs, b - a]).astype("<u4").tobytes()))
+                            np.diff(np.r_[runs, b - a]).astype("<u4").tobytes(), often[c:d].tobytes(),
+                            times[c:d].astype("<u4").tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), ASK)], schema=ASK)
 
     def run(batches):
@@ -151,21 +176,25 @@ def _shared_pass(hot: int):
     """One reducer's grams -> to each chunk those that stand under two ids, and which are hot."""
     def run(batches):
         asked: dict[int, list[np.ndarray]] = {}
-        ids = []
+        ids, often, times = [], [], []
         for batch in batches:
             for r in batch.to_pylist():
                 grams = np.frombuffer(r["grams"], "<u8")
                 asked.setdefault(r["chunk"], []).append((grams, len(ids)))
                 ids.append(np.repeat(np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["counts"], "<u4")))
+                often.append(np.frombuffer(r["often"], "<u8"))
+                times.append(np.frombuffer(r["times"], "<u4"))
         if not ids:
             return
-        blocks = sorted((place, grams) for own in asked.values() for grams, place in own)
+        blocks = sorted(((place, grams) for own in asked.values() for grams, place in own), key=lambda b: b[0])
         keys, own = np.concatenate([g for _, g in blocks]), np.concatenate(ids)
         order = np.argsort(keys)
         keys, own = keys[order], own[order]
         first = np.nonzero(np.r_[True, keys[1:] != keys[:-1]])[0]
         shared = np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)
-        many = (np.diff(np.r_[first, len(keys)]) > hot)[shared]
+        total = np.diff(np.r_[first, len(keys)])
+        np.add.at(total, np.searchsorted(keys[first], np.concatenate(often)), np.concatenate(times))
+        many = (total > hot)[shared]
         keys = keys[first][shared]
         out = []
         for chunk, parts in asked.items():
@@ -179,11 +208,20 @@ def _shared_pass(hot: int):
     return run
 
 
-CONTEXT = "key long, chunk long, row_key long, id long, start long, windows int, body binary"
+CONTEXT = pa.schema([("key", pa.int64()), ("hot", pa.bool_()), ("chunk", pa.int64()), ("row_key", pa.int64()),
+                     ("id", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("body", pa.binary())])
+CONTEXT_DDL = "key long, hot boolean, chunk long, row_key long, id long, start long, windows long, body binary"
+HELD_WINDOWS = 200_000
+
+
+def _key(body: bytes) -> int:
+    return xxhash.xxh64_intdigest(body) - (1 << 63)
 
 
 def _settled(holders: list[tuple]) -> tuple[list[tuple], list[tuple]]:
-    """(id, row, start, ...) of equal strings -> those of the smallest id, and the others: they go."""
+    """(id, ...) of equal strings -> those of the smallest id, and the others: they go."""
+    if len(holders) == 1:
+        return holders, []
     least = min(h[0] for h in holders)
     return [h for h in holders if h[0] == least], [h for h in holders if h[0] > least]
 
@@ -200,34 +238,26 @@ def _context_pass(length: int):
             keys, hot = keys[order], hot[order]
             ids, rows, bodies = texts["id"].tolist(), texts["row_key"].tolist(), texts["text"].tolist()
             contexts: dict[bytes, list] = {}
-            common: dict[bytes, list] = {}
             for which, first, last, _, grams in smallest_grams(bodies, length):
                 at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
                 hit = np.nonzero(keys[at] == grams)[0]
                 for t, lo, hi, gram, many in zip(which[hit].tolist(), first[hit].tolist(), last[hit].tolist(),
                                                  grams[hit].view(np.int64).tolist(), hot[at[hit]].tolist()):
-                    into = common if many else contexts
-                    into.setdefault(bodies[t][lo:hi + length], []).append((ids[t], rows[t], lo, hi - lo + 1, gram))
-            windows: dict[bytes, list] = {}
-            for body, holders in common.items():
-                stay, go = _settled(holders)
-                out += [(0, chunk, row, own, lo, n, None) for own, row, lo, n, _ in go]
-                for own, row, lo, n, _ in stay:
-                    for j in range(n):
-                        windows.setdefault(body[j:j + length], []).append((own, row, lo + j))
-            for body, holders in windows.items():
-                stay, go = _settled(holders)
-                key = xxhash.xxh64_intdigest(body) - (1 << 63)
-                out += [(0, chunk, row, own, lo, 1, None) for own, row, lo in go]
-                out += [(key, chunk, row, own, lo, 1, body) for own, row, lo in stay]
+                    contexts.setdefault(bodies[t][lo:hi + length], []).append((ids[t], rows[t], lo, hi - lo + 1, gram, many))
             for body, holders in contexts.items():
                 stay, go = _settled(holders)
-                out += [(0, chunk, row, own, lo, n, None) for own, row, lo, n, _ in go]
-                out += [(gram, chunk, row, own, lo, n, body) for own, row, lo, n, gram in stay]
-        return pd.DataFrame(out, columns=["key", "chunk", "row_key", "id", "start", "windows", "body"])
+                out += [(_spread(row, lo), False, chunk, row, own, lo, n, None) for own, row, lo, n, _, _ in go]
+                out += [(_key(body) if many else gram, many, chunk, row, own, lo, n, body)
+                        for own, row, lo, n, gram, many in stay]
+        return pd.DataFrame(out, columns=CONTEXT.names)
     return run
 
 
+def _spread(row: int, place: int) -> int:
+    """Any key that spreads rows evenly."""
+    return ((row * 0x9E3779B97F4A7C15 + place) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1) - (1 << 63)
+
+
 class BlindTrie:
     """Patricia trie over equally long strings: inner nodes branch on one byte and store only its
     position; an insertion walks down blindly, compares with one leaf, and branches there."""
@@ -315,21 +345,21 @@ def equal_windows(bodies: list[bytes], length: int, shallow: int = SHALLOW) -> I
                 yield [(int(which[members[i]]), int(place[members[i]])) for i in group]
 
 
-SPAN = pa.schema([("chunk", pa.int64()), ("row_key", pa.int64()), ("start", pa.int64()), ("windows", pa.int64())])
-
-
 def repeated_windows(rows: list[tuple], length: int) -> Iterator[tuple]:
-    """Contexts (key, chunk, row, id, start, windows, body), all of each key -> (chunk, row, start,
-    windows) that also start under a smaller id."""
+    """Contexts (key, hot, chunk, row, id, start, windows, body), all of each key -> (chunk, row,
+    id, start, windows) that also start under a smaller id.
+
+    Contexts of one gram; for hot ones, whose key is their content, only equal ones meet here.
+    """
     by_key: dict[int, dict[bytes, list]] = {}
-    for key, chunk, row, own, start, n, body in rows:
+    for key, _, chunk, row, own, start, n, body in rows:
         by_key.setdefault(key, {}).setdefault(body, []).append((own, chunk, row, start, n))
     bodies, holders = [], []
     for contexts in by_key.values():
         for body, held in contexts.items():
             stay, go = _settled(held)
-            for _, chunk, row, start, n in go:
-                yield chunk, row, start, n
+            for own, chunk, row, start, n in go:
+                yield chunk, row, own, start, n
             if len(contexts) > 1:
                 bodies.append(body)
                 holders.append(stay)
@@ -340,28 +370,65 @@ def repeated_windows(rows: list[tuple], length: int) -> Iterator[tuple]:
         for b, place in group:
             for own, chunk, row, start, _ in holders[b]:
                 if own > least:
-                    yield chunk, row, start + place, 1
+                    yield chunk, row, own, start + place, 1
 
 
 def _sort_pass(length: int):
+    """Contexts sorted by key -> spans (no body), and for hot contexts that are left the windows
+    that have to meet in the next round (body set)."""
     def run(batches):
         held: list[tuple] = []
-
-        def spans(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            out = list(repeated_windows(rows, length))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), SPAN)], schema=SPAN)
+        windows: dict[bytes, list] = {}
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), CONTEXT)], schema=CONTEXT)
+
+        def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            plain = [r for r in rows if not r[1]]
+            out = [(0, False, chunk, row, own, start, n, None)
+                   for chunk, row, own, start, n in repeated_windows(plain, length)]
+            by_body: dict[bytes, list] = {}
+            for _, hot, chunk, row, own, start, n, body in rows:
+                if hot:
+                    by_body.setdefault(body, []).append((own, chunk, row, start, n))
+            for body, holders in by_body.items():
+                stay, go = _settled(holders)
+                out += [(0, False, chunk, row, own, start, n, None) for own, chunk, row, start, n in go]
+                for own, chunk, row, start, n in stay:
+                    for j in range(n):
+                        windows.setdefault(body[j:j + length], []).append((own, chunk, row, start + j))
+            for at in range(0, len(out), 100_000):
+                yield batch_of(out[at:at + 100_000])
+            if len(windows) > HELD_WINDOWS:
+                yield from drop_windows()
+
+        def drop_windows() -> Iterator[pa.RecordBatch]:
+            out = []
+            for body, holders in windows.items():
+                stay, go = _settled(holders)
+                out += [(0, False, chunk, row, own, start, 1, None) for own, chunk, row, start in go]
+                out += [(_key(body), False, chunk, row, own, start, 1, body) for own, chunk, row, start in stay]
+            windows.clear()
+            for at in range(0, len(out), 100_000):
+                yield batch_of(out[at:at + 100_000])
 
         for batch in batches:
-            held.extend(zip(*(c.to_pylist() for c in batch.columns)))
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            known = [r for r in rows if r[7] is None]           # settled before: passed on
+            if known:
+                yield batch_of(known)
+                rows = [r for r in rows if r[7] is not None]
+            held.extend(rows)
             if len(held) >= SORT_ROWS and held[0][0] != held[-1][0]:
                 cut = len(held)
                 while held[cut - 1][0] == held[-1][0]:
                     cut -= 1
-                yield from spans(held[:cut])
+                yield from flush(held[:cut])
                 held = held[cut:]
         if held:
-            yield from spans(held)
+            yield from flush(held)
+        if windows:
+            yield from drop_windows()
     return run
 
 
@@ -405,28 +472,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = partitions(docs.sparkSession)
     texts = text_rows(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary")).withColumn(
         "id", F.coalesce("doc_id", F.lit(LAST_ID)))
-    rows = stored(texts.select("row_key", "doc_id", "id", F.length("text").cast("long").alias("n_bytes"),
-                               F.unhex(F.sha2("text", 256)).alias("sha")), "repeat-rows")
-    firsts = rows.groupBy("sha").agg(F.min(F.struct("id", "row_key")).alias("first")).select(
-        "sha", F.col("first.id").alias("first_id"), F.col("first.row_key").alias("rep_key"))
-    firsts = stored(firsts, "repeat-firsts")
-    reps = texts.join(firsts.select(F.col("rep_key").alias("row_key")), "row_key", "left_semi").where(
-        F.length("text") >= length).select("row_key", "id", "text")
+    texts = texts.withColumn("sha", F.unhex(F.sha2("text", 256)))
+    rows = stored(texts.select("row_key", "doc_id", "id", F.length("text").cast("long").alias("n_bytes"), "sha"),
+                  "repeat-rows")
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     chunks = max(1, total // CHUNK_BYTES[1], min(total // CHUNK_BYTES[0], 4 * parts))
-    reps = stored(reps.withColumn("chunk", F.pmod(F.xxhash64("row_key"), F.lit(chunks)))
-                  .repartition(parts, "chunk"), "repeat-texts")
+    # one text of each kind, combined before the shuffle: the only time that all texts travel
+    # for it, and copies never do
+    firsts = texts.groupBy("sha").agg(F.min(F.struct("id", "row_key")).alias("first"), F.first("text").alias("text"))
+    firsts = stored(firsts.select(
+        "sha", F.col("first.id").alias("first_id"), F.col("first.row_key").alias("rep_key"), "text",
+        F.pmod(F.xxhash64("first.row_key"), F.lit(chunks)).alias("chunk")), "repeat-texts")
+    reps = firsts.where(F.length("text") >= length).select(
+        F.col("rep_key").alias("row_key"), F.col("first_id").alias("id"), "text", "chunk")
+    firsts = firsts.select("sha", "first_id", "rep_key")
 
     asked = reps.select("chunk", "id", "text").mapInArrow(
-        _ask_pass(SLICES * parts, length), "part int, chunk long, grams binary, ids binary, counts binary")
+        _ask_pass(SLICES * parts, length), "part int, chunk long, grams binary, ids binary, counts binary, "
+                                  "often binary, times binary")
     shared = stored(asked.repartition(parts, "part").mapInArrow(
         _shared_pass(hot), "chunk long, grams binary, hot binary"), "repeat-grams")
-    contexts = stored(reps.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(
-        _context_pass(length), CONTEXT), "repeat-contexts")
-    found = (contexts.where("body is not null").repartition(parts, "key").sortWithinPartitions("key")
-             .mapInArrow(_sort_pass(length), "chunk long, row_key long, start long, windows long"))
-    known = contexts.where("body is null").select("chunk", "row_key", "start", F.col("windows").cast("long"))
-    spans = found.union(known)
+    contexts = reps.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(_context_pass(length), CONTEXT_DDL)
+
+    def meet(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_sort_pass(length), CONTEXT_DDL)
+
+    first = stored(meet(contexts), "repeat-spans")
+    spans = first.where("body is null").unionAll(meet(first.where("body is not null"))).select(
+        "chunk", "row_key", "start", "windows")
     cut = reps.select("chunk", "row_key", "text").groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInPandas(
         _cut_pass(length), "rep_key long, n_removed long, n_spans long, kept_sha256 string, "
                            "spans array<struct<`from`: long, `to`: long>>")

@@ -38,7 +38,7 @@ def result(df, **more):
                            [(s["from"], s["to"]) for s in r["spans"]]) for r in S.remove_repeats(df, **more).collect()}
 
 
-@pytest.mark.parametrize("hot", [512, 2])
+@pytest.mark.parametrize("hot", [16_384, 2])
 def test_hostile_rows_against_brute_force(hostile, keyed, hot):
     assert result(hostile, hot=hot) == brute(keyed)
 
