@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -229,33 +230,40 @@ def _settled(holders: list[tuple]) -> tuple[list[tuple], list[tuple]]:
 def _context_pass(length: int):
     """A chunk's texts and shared grams -> contexts (body set) and windows already settled (no body)."""
     def run(texts: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(texts) and len(shared):
-            chunk = int(texts["chunk"].iloc[0])
-            keys = np.concatenate([np.frombuffer(g, "<u8") for g in shared["grams"]])
-            hot = np.concatenate([np.frombuffer(h, bool) for h in shared["hot"]])
-            order = np.argsort(keys)
-            keys, hot = keys[order], hot[order]
-            ids, rows, bodies = texts["id"].tolist(), texts["row_key"].tolist(), texts["text"].tolist()
-            contexts: dict[bytes, list] = {}
-            for which, first, last, _, grams in smallest_grams(bodies, length):
-                at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-                hit = np.nonzero(keys[at] == grams)[0]
-                for t, lo, hi, gram, many in zip(which[hit].tolist(), first[hit].tolist(), last[hit].tolist(),
-                                                 grams[hit].view(np.int64).tolist(), hot[at[hit]].tolist()):
-                    contexts.setdefault(bodies[t][lo:hi + length], []).append((ids[t], rows[t], lo, hi - lo + 1, gram, many))
-            for body, holders in contexts.items():
-                stay, go = _settled(holders)
-                out += [(_spread(row, lo), False, chunk, row, own, lo, n, None) for own, row, lo, n, _, _ in go]
-                out += [(_key(body) if many else gram, many, chunk, row, own, lo, n, body)
-                        for own, row, lo, n, gram, many in stay]
-        return pd.DataFrame(out, columns=CONTEXT.names)
+        if not len(texts) or not len(shared):
+            return pd.DataFrame({c: [] for c in CONTEXT.names})
+        keys = np.concatenate([np.frombuffer(g, "<u8") for g in shared["grams"]])
+        hot = np.concatenate([np.frombuffer(h, bool) for h in shared["hot"]])
+        order = np.argsort(keys)
+        keys, hot = keys[order], hot[order]
+        texts_, found, bodies = texts["text"].tolist(), [], []
+        for which, first, last, _, grams in smallest_grams(texts_, length):
+            at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+            hit = np.nonzero(keys[at] == grams)[0]
+            found.append((which[hit], first[hit], last[hit] - first[hit] + 1, grams[hit].view(np.int64), hot[at[hit]]))
+            bodies += [texts_[t][lo:hi] for t, lo, hi in
+                       zip(which[hit].tolist(), first[hit].tolist(), (last[hit] + length).tolist())]
+        if not bodies:
+            return pd.DataFrame({c: [] for c in CONTEXT.names})
+        which, start, count, key, many = (np.concatenate(c) for c in zip(*found))
+        own, row = texts["id"].to_numpy()[which], texts["row_key"].to_numpy()[which]
+        code = pa.array(bodies, pa.binary()).dictionary_encode().indices.to_numpy()
+        least = np.full(int(code.max()) + 1, LAST_ID)
+        np.minimum.at(least, code, own)
+        go = own > least[code]                          # settled here: a smaller id of the chunk has it
+        key = np.where(go, _spread(row, start), key)
+        for i in np.nonzero(many & ~go)[0].tolist():
+            key[i] = _key(bodies[i])
+        body = np.array(bodies, object)
+        body[go] = None
+        return pd.DataFrame({"key": key, "hot": many & ~go, "chunk": int(texts["chunk"].iloc[0]), "row_key": row, "id": own,
+                             "start": start, "windows": count, "body": body})
     return run
 
 
-def _spread(row: int, place: int) -> int:
-    """Any key that spreads rows evenly."""
-    return ((row * 0x9E3779B97F4A7C15 + place) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1) - (1 << 63)
+def _spread(row: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Any keys that spread rows evenly."""
+    return ((row.astype(np.uint64) * _A + place.astype(np.uint64)) * _M).view(np.int64)
 
 
 class BlindTrie:
@@ -345,63 +353,65 @@ def equal_windows(bodies: list[bytes], length: int, shallow: int = SHALLOW) -> I
                 yield [(int(which[members[i]]), int(place[members[i]])) for i in group]
 
 
-def repeated_windows(rows: list[tuple], length: int) -> Iterator[tuple]:
-    """Contexts (key, hot, chunk, row, id, start, windows, body), all of each key -> (chunk, row,
-    id, start, windows) that also start under a smaller id.
+def _spans(chunk, row, own, start, windows) -> pa.RecordBatch:
+    n = len(chunk)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, bool)), pa.array(chunk), pa.array(row), pa.array(own),
+         pa.array(start), pa.array(windows), pa.nulls(n, pa.binary())], schema=CONTEXT)
+
+
+def _meet(rows: pa.Table, length: int, windows: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
+    """Contexts of complete keys -> spans that also start under a smaller id; of hot contexts what
+    is left goes to ``windows``.
 
-    Contexts of one gram; for hot ones, whose key is their content, only equal ones meet here.
+    Equal contexts have one code; of each code only the rows of its smallest id are left.  The
+    windows of codes that share a gram are sorted, and equal ones go but for the smallest id.
     """
-    by_key: dict[int, dict[bytes, list]] = {}
-    for key, _, chunk, row, own, start, n, body in rows:
-        by_key.setdefault(key, {}).setdefault(body, []).append((own, chunk, row, start, n))
-    bodies, holders = [], []
-    for contexts in by_key.values():
-        for body, held in contexts.items():
-            stay, go = _settled(held)
-            for own, chunk, row, start, n in go:
-                yield chunk, row, own, start, n
-            if len(contexts) > 1:
-                bodies.append(body)
-                holders.append(stay)
-    if not bodies:
+    key, hot, chunk, row, own, start, count = (rows.column(i).to_numpy() for i in range(7))
+    coded = rows.column(7).combine_chunks().dictionary_encode()
+    code, bodies = coded.indices.to_numpy(), coded.dictionary
+    least = np.full(len(bodies), LAST_ID)
+    np.minimum.at(least, code, own)
+    go = own > least[code]
+    yield _spans(chunk[go], row[go], own[go], start[go], count[go])
+    left = np.nonzero(~go)[0]
+    for i in left[hot[left]].tolist():
+        body, holder = bodies[int(code[i])].as_py(), (int(own[i]), int(chunk[i]), int(row[i]))
+        for j in range(int(count[i])):
+            windows.setdefault(body[j:j + length], []).append((*holder, int(start[i]) + j))
+    left = left[~hot[left]]
+    codes, at = np.unique(code[left], return_index=True)        # codes and a row of each
+    _, which, times = np.unique(key[left[at]], return_inverse=True, return_counts=True)
+    several = codes[times[which] > 1]                           # codes that share their gram
+    if not len(several):
         return
-    for group in equal_windows(bodies, length):
-        least = min(holders[b][0][0] for b, _ in group)
-        for b, place in group:
-            for own, chunk, row, start, _ in holders[b]:
-                if own > least:
-                    yield chunk, row, own, start + place, 1
+    number = np.full(len(bodies), -1)
+    number[several] = np.arange(len(several))
+    left = left[number[code[left]] >= 0]
+    left = left[np.argsort(number[code[left]], kind="stable")]
+    ends = np.searchsorted(number[code[left]], np.arange(len(several) + 1))
+    low = least[several].tolist()
+    gone, place = [], []
+    for group in equal_windows(bodies.take(pa.array(several)).to_pylist(), length):
+        first = min(low[b] for b, _ in group)
+        for b, p in group:
+            if low[b] > first:
+                gone.append(b)
+                place.append(p)
+    if gone:
+        gone, place = np.array(gone), np.array(place)
+        held = np.diff(ends)[gone]
+        at = left[np.repeat(ends[gone], held) + np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)]
+        yield _spans(chunk[at], row[at], own[at], start[at] + np.repeat(place, held), np.ones(len(at), np.int64))
 
 
 def _sort_pass(length: int):
     """Contexts sorted by key -> spans (no body), and for hot contexts that are left the windows
     that have to meet in the next round (body set)."""
     def run(batches):
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         windows: dict[bytes, list] = {}
 
-        def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), CONTEXT)], schema=CONTEXT)
-
-        def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            plain = [r for r in rows if not r[1]]
-            out = [(0, False, chunk, row, own, start, n, None)
-                   for chunk, row, own, start, n in repeated_windows(plain, length)]
-            by_body: dict[bytes, list] = {}
-            for _, hot, chunk, row, own, start, n, body in rows:
-                if hot:
-                    by_body.setdefault(body, []).append((own, chunk, row, start, n))
-            for body, holders in by_body.items():
-                stay, go = _settled(holders)
-                out += [(0, False, chunk, row, own, start, n, None) for own, chunk, row, start, n in go]
-                for own, chunk, row, start, n in stay:
-                    for j in range(n):
-                        windows.setdefault(body[j:j + length], []).append((own, chunk, row, start + j))
-            for at in range(0, len(out), 100_000):
-                yield batch_of(out[at:at + 100_000])
-            if len(windows) > HELD_WINDOWS:
-                yield from drop_windows()
-
         def drop_windows() -> Iterator[pa.RecordBatch]:
             out = []
             for body, holders in windows.items():
@@ -410,23 +420,28 @@ def _sort_pass(length: int):
                 out += [(_key(body), False, chunk, row, own, start, 1, body) for own, chunk, row, start in stay]
             windows.clear()
             for at in range(0, len(out), 100_000):
-                yield batch_of(out[at:at + 100_000])
+                some = out[at:at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), CONTEXT)], schema=CONTEXT)
 
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
-            known = [r for r in rows if r[7] is None]           # settled before: passed on
-            if known:
-                yield batch_of(known)
-                rows = [r for r in rows if r[7] is not None]
-            held.extend(rows)
-            if len(held) >= SORT_ROWS and held[0][0] != held[-1][0]:
-                cut = len(held)
-                while held[cut - 1][0] == held[-1][0]:
-                    cut -= 1
-                yield from flush(held[:cut])
-                held = held[cut:]
+            batch = pa.RecordBatch.from_arrays(batch.columns, schema=CONTEXT)
+            known = batch.column(7).is_null()
+            if known.true_count:                        # settled before: passed on
+                yield batch.filter(known)
+                batch = batch.filter(pc.invert(known))
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= SORT_ROWS:
+                rows = pa.Table.from_batches(held)
+                keys = rows.column(0).to_numpy()
+                cut = int(np.searchsorted(keys, keys[-1], "left"))
+                if cut:
+                    yield from _meet(rows.slice(0, cut), length, windows)
+                    held = rows.slice(cut).to_batches()
+                if len(windows) > HELD_WINDOWS:
+                    yield from drop_windows()
         if held:
-            yield from flush(held)
+            yield from _meet(pa.Table.from_batches(held), length, windows)
         if windows:
             yield from drop_windows()
     return run
@@ -476,13 +491,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = stored(texts.select("row_key", "doc_id", "id", F.length("text").cast("long").alias("n_bytes"), "sha"),
                   "repeat-rows")
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    chunks = max(1, total // CHUNK_BYTES[1], min(total // CHUNK_BYTES[0], 4 * parts))
+    per_chunk = min(max(total // (4 * parts), CHUNK_BYTES[0]), CHUNK_BYTES[1])
+    split = max(1, total // (parts * per_chunk))
     # one text of each kind, combined before the shuffle: the only time that all texts travel
     # for it, and copies never do
     firsts = texts.groupBy("sha").agg(F.min(F.struct("id", "row_key")).alias("first"), F.first("text").alias("text"))
     firsts = stored(firsts.select(
         "sha", F.col("first.id").alias("first_id"), F.col("first.row_key").alias("rep_key"), "text",
-        F.pmod(F.xxhash64("first.row_key"), F.lit(chunks)).alias("chunk")), "repeat-texts")
+        # chunks are parts of the partitions written, so that a task that reads them meets few
+        (F.spark_partition_id().cast("long") * split + F.pmod(F.xxhash64("first.row_key"), F.lit(split))).alias("chunk")),
+        "repeat-texts")
     reps = firsts.where(F.length("text") >= length).select(
         F.col("rep_key").alias("row_key"), F.col("first_id").alias("id"), "text", "chunk")
     firsts = firsts.select("sha", "first_id", "rep_key")
