@@ -32,19 +32,31 @@ RATE = 0.03
 DECAY = 3e-3
 BLOCK = 1 << 20             # features gone over at once while fitting
 CACHE_WORDS = 400_000
+CACHE_LETTERS = 64          # longer words are scored each time they come, not remembered
+LONG_RUN = 1 << 16          # letters of a word gone over at once
 
 _OTHER = re.compile(r"[\W\d_]+")
 
 
 def word_features(word: str) -> list[int]:
-    """Hashed features of one blank-separated word: its letters, their grams, its shape."""
+    """Hashed features of one blank-separated word, each once: its letters, all their grams, its
+    shape.  A run without blanks may be a whole page: beside copies of it, no more than a mark per
+    feature is held."""
     letters = _OTHER.sub("", word).lower()
-    shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+    shape = "".join("".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+                            for c in word[at:at + LONG_RUN]) for at in range(0, len(word), LONG_RUN))
     shape = re.sub(r"(.)\1+", r"\1+", shape)
-    names = {f"s {shape}", f"w {letters}"}
-    padded = f"^{letters[:64]}$"
-    names.update(f"g {padded[i:i + GRAM]}" for i in range(len(padded) - GRAM + 1))
-    return [xxhash.xxh32_intdigest(n) % DIMS for n in names]
+    padded = f"^{letters}$"
+    starts = range(len(padded) - GRAM + 1)
+    found = {xxhash.xxh32_intdigest(n) % DIMS for n in (f"s {shape}", f"w {letters}")}
+    if len(starts) <= LONG_RUN:
+        found.update([xxhash.xxh32_intdigest(f"g {padded[i:i + GRAM]}") % DIMS for i in starts])
+        return list(found)
+    marks = np.zeros(DIMS, bool)
+    marks[list(found)] = True
+    for at in range(0, len(starts), LONG_RUN):
+        marks[[xxhash.xxh32_intdigest(f"g {padded[i:i + GRAM]}") % DIMS for i in starts[at:at + LONG_RUN]]] = True
+    return np.nonzero(marks)[0].tolist()
 
 
 def text_words(text: str) -> tuple[dict[str, float], float]:
@@ -178,7 +190,9 @@ class Grader:
             if own is None:
                 if len(known) >= CACHE_WORDS:
                     known.clear()
-                own = known[word] = float(self.weights[word_features(word)].sum())
+                own = float(self.weights[word_features(word)].sum())
+                if len(word) <= CACHE_LETTERS:
+                    known[word] = own
             total += own * value
         return total * scale
 

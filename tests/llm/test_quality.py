@@ -52,3 +52,27 @@ def test_no_labels_and_empty_tables(hostile, empty, spark):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert Q.grade_documents(empty, labels).collect() == []
     assert all(r["kept"] is not None for r in Q.grade_documents(hostile, labels).collect())
+
+
+def test_text_behind_letter_64_of_an_unbroken_run_counts(spark, tmp_path):
+    """One run without blanks per text; the grades differ only behind letter 64."""
+    rng = np.random.default_rng(1)
+    parts = (["恨杀毒", "死打骂"], ["买卖价", "点击赚"], ["春花秋", "月山水"])
+
+    def text(grade):
+        return "同" * 70 + "，".join(rng.choice(parts[grade], 12))
+    rows = [(i, text(i % 3)) for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    labels = spark.createDataFrame([(i, int(i % 3 == 2), int(i % 3 == 0)) for i in range(60)],
+                                   "doc_id long, quality int, toxic int")
+    got = Q.grade_documents(spark.read.parquet(str(tmp_path / "d")), labels).collect()
+    assert all(r["kept"] == (r["doc_id"] % 3 == 2) for r in got if r["doc_id"] >= 60)
+
+
+def test_long_runs_are_gone_over_in_blocks(monkeypatch):
+    word = "".join(chr(0x4E00 + i * i % 997) for i in range(3000)) + "Ab-12_" * 40
+    whole = set(Q.word_features(word))
+    assert len(whole) > 900
+    assert whole != set(Q.word_features(word[:-240] + "Xy-12_" * 40))
+    monkeypatch.setattr(Q, "LONG_RUN", 100)
+    assert set(Q.word_features(word)) == whole
