@@ -2,8 +2,8 @@
 
 Pieces are dealt by hash into groups of a bounded number; each group starts from a best-fit
 placement and then empties its worst bins: documents move, swap one for one or two for one
-between underfull bins whenever that raises the sum of squared fills, until bins are empty or
-no exchange helps.  A group ends at most a fraction of a bin above its volume's bound.
+between underfull bins whenever that raises the sum of squared fills, until the volume's bound
+is met or no exchange helps.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 GROUP_PIECES = 16_384
-EXCHANGES = 1000            # a group's search ends after so many
 CACHE_WORDS = 1_200_000        # chunks whose ids a worker remembers at a time
 
 
@@ -193,89 +192,131 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(size: np.ndarray, fill: np.ndarray, bin_of: np.ndarray, pool: np.ndarray, low: int,
-              capacity: int) -> bool:
-    """One exchange that takes volume out of bin ``low``; False if none can.  Kinds are tried in
-    order: a move; one for one and two for one; one for two; of the first with a gain the best.
+def _view(size: np.ndarray, bin_of: np.ndarray, use: np.ndarray) -> tuple:
+    """The bins to ``use`` as _exchange looks at them: items by bin and size, the bins, and the
+    pairs that lie side by side in a bin."""
+    items = np.nonzero(use[bin_of])[0]
+    items = items[np.lexsort((size[items], bin_of[items]))]
+    where = bin_of[items]
+    same = where[1:] == where[:-1]
+    first, second = items[:-1][same], items[1:][same]
+    return (items, size[items], where, where[np.r_[True, ~same]] if len(where) else where,
+            first, second, size[first] + size[second], bin_of[first])
+
+
+def _exchange(size: np.ndarray, fill: np.ndarray, view: tuple, mine: list[int], low: int,
+              capacity: int) -> tuple | None:
+    """The exchange that takes volume out of bin ``low``, which holds ``mine``, into one of the
+    ``view``'s bins: (volume, items out, items back, bin), or None.  Kinds are tried in order: a
+    move; one for one and two for one; one for two; of the first with a gain the best.
 
     Volume d goes from ``low`` to a bin y with at least d of room; with fill(y) + d > fill(low)
     the sum of squared fills grows by 2 d (fill(y) + d - fill(low)).
     """
-    mine = pool[bin_of[pool] == low]
-    other = pool[bin_of[pool] != low]
-    if not len(mine) or not len(other):
-        return False
-    mine = mine[np.argsort(-size[mine], kind="stable")]
-    room = capacity - fill
-    bins = np.unique(bin_of[other])
+    items, sizes, where, bins, first, second, pairs, pair_bins = view
+    mine = sorted(mine, key=lambda i: (-size[i], i))
+    volume = [int(size[i]) for i in mine]
+
+    def limits(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        room = np.where(y == low, -1, capacity - fill[y])
+        return np.maximum(fill[low] - fill[y], 0), room
+
+    above, room = limits(bins)
+    for a, d in zip(mine, volume):                              # move a to the tightest bin
+        ok = np.nonzero((d > above) & (d <= room))[0]
+        if len(ok):
+            return d, [a], [], int(bins[ok[np.argmin(room[ok])]])
     best, move = 0, None
 
-    def better(d: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.where((d > 0) & (d <= room[y]) & (fill[y] + d > fill[low]), d, 0)
-
-    for a in mine.tolist():                                     # move a to the tightest bin
-        gain = better(np.full(len(bins), size[a]), bins)
-        if gain.max() > best:
-            ok = np.nonzero(gain)[0]
-            best, move = int(size[a]), ([a], [], int(bins[ok[np.argmin(room[bins[ok]])]]))
-            break
-    where = bin_of[other]
-    if move is None:
-        for a in mine.tolist():                                 # swap a for a shorter b
-            gain = better(size[a] - size[other], where)
-            k = int(np.argmax(gain))
-            if gain[k] > best:
-                best, move = int(gain[k]), ([a], [int(other[k])], int(where[k]))
-        for i, a in enumerate(mine.tolist()):                   # a pair for one b
-            for c in mine[i + 1:].tolist():
-                gain = better(size[a] + size[c] - size[other], where)
-                k = int(np.argmax(gain))
-                if gain[k] > best:
-                    best, move = int(gain[k]), ([a, c], [int(other[k])], int(where[k]))
+    def swap(out: list[int], volume: int, others: np.ndarray, above: np.ndarray, room: np.ndarray) -> int:
+        """Where the most volume goes out against one of ``others``, -1 if not more than the best."""
+        nonlocal best
+        d = volume - others
+        gain = np.where((d > above) & (d <= room), d, 0)
+        k = int(np.argmax(gain)) if len(gain) else -1
+        if k < 0 or gain[k] <= best:
+            return -1
+        best = int(gain[k])
+        return k
+
+    above, room = limits(where)
+    tried: set[int] = set()                                     # equal volumes have equal exchanges
+    for i, a in enumerate(mine):                                # swap a for a shorter b
+        if volume[i] not in tried:
+            tried.add(volume[i])
+            if (k := swap([a], volume[i], sizes, above, room)) >= 0:
+                move = [a], [int(items[k])], int(where[k])
+    for i, a in enumerate(mine):                                # a pair for one b
+        for j in range(i + 1, len(mine)):
+            if (both := volume[i] + volume[j]) not in tried:
+                tried.add(both)
+                if (k := swap([a, mine[j]], both, sizes, above, room)) >= 0:
+                    move = [a, mine[j]], [int(items[k])], int(where[k])
     if move is None:
-        order = other[np.lexsort((size[other], where))]         # a for a pair that lies side by side in y
-        same = bin_of[order[1:]] == bin_of[order[:-1]]
-        if same.any():
-            first, second = order[:-1][same], order[1:][same]
-            pairs = size[first] + size[second]
-            for a in mine.tolist():
-                gain = better(size[a] - pairs, bin_of[first])
-                k = int(np.argmax(gain))
-                if gain[k] > best:
-                    best, move = int(gain[k]), ([a], [int(first[k]), int(second[k])], int(bin_of[first[k]]))
-    if move is None:
-        return False
-    out, back, y = move
-    bin_of[out], bin_of[back] = y, low
-    fill[y] += best
-    fill[low] -= best
-    return True
+        above, room = limits(pair_bins)
+        tried = set()
+        for i, a in enumerate(mine):                            # a for a pair that lies side by side in y
+            if volume[i] not in tried:
+                tried.add(volume[i])
+                if (k := swap([a], volume[i], pairs, above, room)) >= 0:
+                    move = [a], [int(first[k]), int(second[k])], int(pair_bins[k])
+    return None if move is None else (best, *move)
 
 
-def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, exchanges: int = EXCHANGES) -> np.ndarray:
+def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> np.ndarray:
     """The bin of each item after emptying underfull bins, the least full first.
 
-    Every exchange raises the sum of squared fills, so the search ends by itself; it also ends
-    at the volume's bound, or after ``exchanges`` steps (each looks at every underfull bin)."""
+    Every exchange raises the sum of squared fills, so the search ends by itself: when no bin has
+    an exchange left, or at the volume's bound.  A bin without one is looked at again only
+    against the bins that have changed since, and so is every bin that holds the same lengths.
+    """
     size = np.asarray(lengths, np.int64)
     bin_of = np.empty(len(size), np.int64)
     for b, items in enumerate(bins):
         bin_of[items] = b
+    held = [set(items) for items in bins]
     fill = np.bincount(bin_of, size, len(bins)).astype(np.int64)
-    least = -(-int(size.sum()) // capacity)
-    stuck = np.zeros(len(bins), bool)
-    while int((fill > 0).sum()) > least and exchanges > 0:
-        exchanges -= 1
+    least, in_use = -(-int(size.sum()) // capacity), int((fill > 0).sum())
+    now, changed = 0, np.zeros(len(bins), np.int64)     # exchanges made, and at which a bin changed
+    seen: dict[tuple, int] = {}                         # lengths in a bin: when they had no exchange
+    done = np.zeros(len(bins), bool)                    # looked at in this round
+    view, viewed, round_from = None, -1, 0
+    while in_use > least:
         underfull = (fill > 0) & (fill < capacity)
-        todo = np.nonzero(underfull & ~stuck)[0]
-        if not len(todo) or underfull.sum() < 2:
-            break
+        todo = np.nonzero(underfull & ~done)[0]
+        if not len(todo):
+            if now == round_from:
+                break
+            done[:], round_from = False, now
+            continue
         low = int(todo[np.argmin(fill[todo])])
-        pool = np.nonzero(underfull[bin_of])[0]
-        if _exchange(size, fill, bin_of, pool, low, capacity):
-            stuck[:] = False
-        else:
-            stuck[low] = True
+        lengths_in = tuple(sorted(size[list(held[low])].tolist()))
+        since = seen.get(lengths_in, -1)
+        if since < changed[low]:                        # its like were not compared with it
+            since = -1
+        found = None
+        if since < 0:
+            if viewed != now:
+                view, viewed = _view(size, bin_of, underfull), now
+            found = _exchange(size, fill, view, held[low], low, capacity)
+        elif (fresh := underfull & (changed > since)).any():
+            found = _exchange(size, fill, _view(size, bin_of, fresh), held[low], low, capacity)
+        if found is None:
+            seen[lengths_in] = now
+            done[low] = True
+            continue
+        volume, out, back, y = found
+        bin_of[out], bin_of[back] = y, low
+        held[low].difference_update(out)
+        held[low].update(back)
+        held[y].difference_update(back)
+        held[y].update(out)
+        fill[y] += volume
+        fill[low] -= volume
+        in_use -= fill[low] == 0
+        now += 1
+        changed[[low, y]] = now
+        done[[low, y]] = False
     return bin_of
 
 

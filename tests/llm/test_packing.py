@@ -103,3 +103,18 @@ def test_swaps_empty_a_bin_that_best_fit_leaves():
 def test_full_pieces_stand_alone():
     out = P.pack_group(np.array([2048, 5, 2048, 2043]), 2048)
     assert len(set(out.tolist())) == 3 and out[1] == out[3]
+
+
+def test_the_search_goes_on_until_no_exchange_helps():
+    # a hot group of equal lengths makes a third of the bins half full, and most of them hopeless
+    rng = np.random.default_rng(0)
+    sizes = np.clip(rng.lognormal(6.5, 0.3, 6000).astype(int), 300, 2047)
+    sizes[:2000] = 1100
+
+    def search(start):
+        out = P.local_search(sizes, start, 2048)
+        fill = np.bincount(out, sizes).astype(int)
+        return [np.nonzero(out == b)[0].tolist() for b in np.nonzero(fill)[0]], (fill ** 2).sum()
+    bins, squares = search(P.best_fit(sizes, 2048))
+    again, squares_again = search(bins)
+    assert (len(again), squares_again) == (len(bins), squares)
