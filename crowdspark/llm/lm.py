@@ -99,14 +99,18 @@ def _unpacked_keys(data: bytes) -> np.ndarray:
 
 
 def _packed(array: np.ndarray) -> bytes:
-    """Counts, most of them small, as compressed planes of their bytes."""
-    planes = np.ascontiguousarray(array.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zlib.compress(planes.tobytes(), 1)
+    """64-bit counts, most of them small, as compressed planes of as many low bytes as the largest needs."""
+    width = max(1, -(-int(array.max()).bit_length() // 8)) if len(array) else 1
+    planes = np.ascontiguousarray(array.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zlib.compress(planes.tobytes(), 1)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    width = data[0]
+    low = np.frombuffer(zlib.decompress(memoryview(data)[1:]), np.uint8).reshape(width, -1)
+    counts = np.zeros((low.shape[1], 8), np.uint8)
+    counts[:, :width] = low.T
+    return counts.view("<u8").ravel().astype(np.int64)
 
 
 REQUEST = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("words", pa.bool_()), ("keys", pa.binary()),

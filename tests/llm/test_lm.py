@@ -107,3 +107,19 @@ def test_small_parts():
     assert bucket(np.array([0, 1, 2, 3, 4, 1023, 1024])).tolist() == [0, 1, 2, 2, 3, 10, 11]
     assert token_keys("", WordKeys()).tolist() == [int(END)]
     assert [_bytes(x) for x in ("128MB", "16m", "134217728b", "1g", "77")] == [1 << 27, 1 << 24, 1 << 27, 1 << 30, 77]
+
+
+def test_counts_above_32_bits_are_kept():
+    import pyarrow as pa
+    from crowdspark.llm import lm
+    for counts in ([], [0], [1, 255, 256], [0, (1 << 32) - 1, 1 << 32, (1 << 32) + 5, 1 << 40, (1 << 63) - 1]):
+        assert lm._unpacked(lm._packed(np.array(counts, np.int64))).tolist() == counts
+    # two chunks' own counts of a word add up to more than 32 bits hold
+    keys, half = lm._packed_keys(np.array([7], np.uint64)), 1 << 31
+    none = lm._packed(np.array([0]))
+    asked = pa.RecordBatch.from_pylist(
+        [{"part": 0, "chunk": c, "words": True, "keys": keys, "fit": lm._packed(np.array([half + c])), "deleted": none}
+         for c in (0, 1)], schema=lm.REQUEST)
+    rows = [r for b in _answer_pass(iter([asked])) for r in b.to_pylist()]
+    assert [lm._unpacked(r["fit"]).tolist() for r in rows if r["chunk"] is not None] == [[2 * half + 1]] * 2
+    assert [r["n_fit"] for r in rows if r["chunk"] is None] == [2 * half + 1]
