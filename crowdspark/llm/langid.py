@@ -13,17 +13,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import text_rows
 
 FIT_ROWS = 6000             # labelled rows per language that the model is fitted on, about
-LANGUAGES = 500             # the most frequent languages are learned
-WORDS_PER_LANGUAGE = 20_000
-GRAMS_PER_LANGUAGE = 20_000
-MODEL_ITEMS = 2_000_000     # words and grams of all languages together
+FIT_BYTES = 128 << 20       # text of all languages together that the model is fitted on, about
+LEAST_ROWS = 20             # about so many rows of a language are taken whatever their bytes
 LONGEST = 4
 SMOOTH = 0.5
 CACHE_WORDS = 400_000
@@ -60,60 +58,93 @@ def _count_pass(batches):
                  pa.array(names, pa.string()), pa.array(items.values(), pa.int64())], schema=schema)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        fit_rows: int = FIT_ROWS) -> dict:
-    """The model: languages, and for words and each gram length {item: log frequency by language}.
+def shares(have: list[tuple[str, int, int]], fit_rows: int, fit_bytes: int) -> list[tuple[str, float]]:
+    """The part of each language's rows to learn from, given (language, rows, bytes) of all: about
+    ``fit_rows`` rows, and of texts of more than the evenly dealt ``fit_bytes`` so much less."""
+    part = {lang: min(1.0, fit_rows / rows) for lang, rows, _ in have}
+    left = float(fit_bytes)
+    order = sorted(have, key=lambda h: (part[h[0]] * h[2], h[0]))
+    for i, (lang, rows, size) in enumerate(order):              # what a small language leaves is dealt on
+        most = left / (len(order) - i)
+        if part[lang] * size > most:
+            part[lang] = max(most / size, min(part[lang], LEAST_ROWS / rows))
+        left = max(0.0, left - part[lang] * size)
+    return sorted(part.items())
+
 
-    Fitted on about ``fit_rows`` labelled rows of each language (all where there are fewer),
-    chosen by a hash of id and text, and never on held-out rows.  The model holds a bounded
-    number of words and grams per language and in all, so its size does not grow with the corpus.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+        fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> dict:
+    """The model: all languages, and for words and each gram length the items and their log
+    frequencies: those of an item that a language lacks, and what each language that has it adds.
+
+    Fitted on about ``fit_rows`` labelled rows of each language (all where there are fewer) and
+    ``fit_bytes`` of text in all, dealt evenly to the languages, chosen by a hash of id and text,
+    and never on held-out rows.  Every word and gram of these rows is learned, so the model's size
+    is bounded by ``fit_bytes`` (and LEAST_ROWS rows per language) and does not grow with the corpus.
     """
     rows = text_rows(docs, id_col, text_col, F.col(lang_col).cast("string").alias("lang"),
                      held_out(id_col).alias("held")).where("not held and lang is not null")
-    have = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    langs = sorted(r["lang"] for r in have)
+    have = [(r["lang"], r["n"], r["size"]) for r in
+            rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()]
+    langs = sorted(lang for lang, _, _ in have)
     if not langs:
         return {"langs": [], "tables": []}
-    share = F.create_map(*[x for r in have for x in (F.lit(r["lang"]), F.lit(fit_rows / r["count"]))])
+    part = docs.sparkSession.createDataFrame(shares(have, fit_rows, fit_bytes), "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    counts = (rows.where(draw < F.element_at(share, F.col("lang"))).select("lang", "text")
+    counts = (rows.join(F.broadcast(part), "lang").where(draw < F.col("share")).select("lang", "text")
               .mapInArrow(_count_pass, "lang string, kind int, item string, n long")
-              .groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
-    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
-    share_of_all = MODEL_ITEMS // ((LONGEST + 1) * len(langs))
-    most = F.when(F.col("kind") == 0, min(WORDS_PER_LANGUAGE, share_of_all)).otherwise(min(GRAMS_PER_LANGUAGE, share_of_all))
-    whole = F.sum("n").over(Window.partitionBy("lang", "kind"))
-    top = counts.withColumn("total", whole).withColumn("rank", rank).where(F.col("rank") <= most)
-    at = {lang: i for i, lang in enumerate(langs)}
-    raw: list[dict[str, list]] = [{} for _ in range(LONGEST + 1)]
-    totals = np.ones((LONGEST + 1, len(langs)))
-    for r in top.select("lang", "kind", "item", "n", "total").toLocalIterator(prefetchPartitions=True):
-        totals[r["kind"], at[r["lang"]]] = r["total"]
-        raw[r["kind"]].setdefault(r["item"], []).append((at[r["lang"]], r["n"]))
+              .groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).toArrow())
+    counts = counts.sort_by([("kind", "ascending"), ("item", "ascending"), ("lang", "ascending")])
+    kinds, n = counts["kind"].to_numpy(), counts["n"].to_numpy()
+    lang = pc.index_in(counts["lang"], pa.array(langs, pa.string())).to_numpy()
     tables = []
-    for kind, items in enumerate(raw):
-        names = sorted(items)
-        logs = np.full((len(names), len(langs)), SMOOTH)
-        for i, name in enumerate(names):
-            for lang, n in items[name]:
-                logs[i, lang] += n
-        logs = np.log(logs) - np.log(totals[kind] + SMOOTH * max(1, len(names)))
-        tables.append((names, logs.astype(np.float32)))
+    for kind in range(LONGEST + 1):
+        lo, hi = np.searchsorted(kinds, [kind, kind + 1])
+        items = counts["item"].slice(lo, hi - lo).combine_chunks()
+        new = np.ones(hi - lo, bool)
+        if len(new) > 1:
+            new[1:] = pc.not_equal(items.slice(1), items.slice(0, len(items) - 1)).to_numpy(zero_copy_only=False)
+        first = np.nonzero(new)[0]
+        total = np.maximum(np.bincount(lang[lo:hi], n[lo:hi], len(langs)), 1)
+        lacking = math.log(SMOOTH) - np.log(total + SMOOTH * max(1, len(first)))
+        adds = (np.log(n[lo:hi] + SMOOTH) - math.log(SMOOTH)).astype(np.float32)
+        tables.append((items.take(pa.array(first)).to_pylist(),
+                       (lacking, np.r_[first, hi - lo], lang[lo:hi].astype(np.int32), adds)))
     return {"langs": langs, "tables": tables}
 
 
+def _entries(logs: np.ndarray) -> tuple:
+    """A plain matrix of log frequencies, items x languages, as fit() gives them."""
+    n, langs = logs.shape
+    return (np.zeros(langs), np.arange(n + 1) * langs, np.tile(np.arange(langs, dtype=np.int32), n), logs.ravel())
+
+
 class Scorer:
-    """Rows of one stacked matrix: all words, then the grams of each length."""
+    """All items in a row, words, then the grams of each length, each with its languages' entries."""
 
     def __init__(self, model: dict) -> None:
         self.langs = model["langs"]
-        self.rows = np.concatenate([logs for _, logs in model["tables"]]).astype(np.float64)
+        tables = [t if isinstance(t, tuple) else _entries(t) for _, t in model["tables"]]
+        sizes = [len(names) for names, _ in model["tables"]]
+        self.lacking = np.array([t[0] for t in tables])
+        self.kind = np.repeat(np.arange(len(sizes)), sizes)
+        width = np.concatenate([np.diff(t[1]) for t in tables])
+        self.width, self.start = width, np.cumsum(width) - width
+        self.lang = np.concatenate([t[2] for t in tables])
+        self.adds = np.concatenate([t[3] for t in tables])
         self.index, base = [], 0
         for names, _ in model["tables"]:
             self.index.append({name: base + i for i, name in enumerate(names)})
             base += len(names)
         self.fallback: dict[str, list[int]] = {}
 
+    def _total(self, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        width = self.width[at]
+        ends = np.cumsum(width)
+        entry = np.arange(ends[-1]) + np.repeat(self.start[at] - ends + width, width)
+        adds = np.bincount(self.lang[entry], np.repeat(weight, width) * self.adds[entry], len(self.langs))
+        return np.bincount(self.kind[at], weight, len(self.lacking)) @ self.lacking + adds
+
     def _unseen(self, word: str) -> list[int]:
         for n in range(LONGEST, 0, -1):
             known = self.index[n]
@@ -141,20 +172,20 @@ class Scorer:
                 weight.extend([n / len(found)] * len(found))
         total = np.zeros(len(self.langs))
         if at:
-            total = np.asarray(weight) @ self.rows[np.asarray(at)]
+            total = self._total(np.asarray(at), np.asarray(weight, np.float64))
         best = int(np.argmax(total))
         return self.langs[best], 1.0 / math.fsum(np.exp(total - total[best]))
 
 
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                      fit_rows: int = FIT_ROWS) -> DataFrame:
+                      fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """row_key, doc_id, held_out, lang_pred, score of every row; whole texts are scored.
 
     ``und`` with score 0 where the text is null or has no letter, and everywhere if no row has
     a language to learn; else the best language, the first by name in a tie, and its share of
     the posterior under equal priors.  Only the text is an input of a prediction.
     """
-    model = fit(docs, id_col, text_col, lang_col, fit_rows)
+    model = fit(docs, id_col, text_col, lang_col, fit_rows, fit_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

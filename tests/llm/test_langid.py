@@ -51,3 +51,27 @@ def test_backoff_words_first_then_shorter_grams():
     assert scorer.predict("qz")[0] == "b"               # nor a 2-gram: single letters
     assert scorer.predict("日")[0] == "a" and scorer.predict("日")[1] == 0.5     # nothing known: a tie
     assert scorer.predict("1 !")[0] == "und" and scorer.predict(None) == ("und", 0.0)
+
+
+def test_every_language_and_word_of_the_sample_is_learned(spark, tmp_path):
+    """501 languages, the last by frequency too, and one with more words than any fixed number kept."""
+    def word(i):
+        return "".join(chr(97 + i // 26 ** k % 26) for k in range(4))
+    rows = [("l%03d" % i, word(i) + "q " + word(i) + "z") for i in range(501) for _ in range(2 if i else 8)]
+    rows += [("many", " ".join(word(i) + "x" for i in range(at, at + 2500))) for at in range(0, 25_000, 2500)]
+    ids = [i for i in range(3000) if __import__("zlib").crc32(str(i).encode()) % 5]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in zip(ids, rows)], "doc_id long, text string, lang string")
+    df.write.parquet(str(tmp_path / "d"))
+    model = L.fit(spark.read.parquet(str(tmp_path / "d")))
+    assert len(model["langs"]) == 502
+    words = set(model["tables"][0][0])
+    assert {w for _, t in rows for w in t.split()} == words and len(words) == 26_002
+    scorer = L.Scorer(model)
+    assert all(scorer.predict(t)[0] == lang for lang, t in rows[::50])
+
+
+def test_the_sample_is_bounded_by_bytes():
+    have = [("a", 100, 1000), ("b", 1000, 1_000_000), ("c", 10**6, 10**9)]
+    assert dict(L.shares(have, 6000, 201_000)) == {"a": 1.0, "b": 0.1, "c": 1e-4}
+    assert dict(L.shares(have, 6000, 3000)) == {"a": 1.0, "b": 0.02, "c": 2e-5}      # 20 rows at least
+    assert dict(L.shares([("a", 12_000, 1000)], 6000, 1 << 30)) == {"a": 0.5}
