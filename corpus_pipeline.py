@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from crowdspark.llm.common import WORDS, stored, table
 from crowdspark.llm.exact_dedup import exact_dedup
-from crowdspark.llm.langid import identify_language
+from crowdspark.llm.langid import held_out, identify_language
 from crowdspark.llm.mixing import mix_sources
 from crowdspark.llm.packing import pack_documents
 from crowdspark.llm.simhash import simhash_groups
 
 LEAST_SCORE = 0.5           # language ID: below this the prediction counts as a rejection
+LETTER = r"[\p{L}\p{Nl}\p{No}]"     # what language ID counts as one
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -36,7 +37,12 @@ def _keep(docs: DataFrame, decided: DataFrame, condition: Column) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: text without letters and undecided texts go."""
+    """Documents with a language: text without letters and undecided texts go.
+
+    Where no row that may be learned from has a language there is nothing to judge by, and only
+    text without letters goes."""
+    if docs.where(~held_out() & F.col("lang").isNotNull()).isEmpty():
+        return docs.where(F.col("text").rlike(LETTER))
     return _keep(docs, identify_language(docs), (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
 
 

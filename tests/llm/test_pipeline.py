@@ -126,3 +126,10 @@ def test_empty_documents(spark, tmp_path, empty):
 def test_clean_documents_survive_language_stage(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     assert corpus_pipeline.language(spark, docs, SF001).count() == docs.count()
+
+
+def test_without_a_language_to_learn_only_texts_without_letters_go(spark, hostile, keyed):
+    none = hostile.withColumn("lang", F.lit(None).cast("string"))
+    kept = [r["text"] for r in corpus_pipeline.language(spark, none, "").collect()]
+    want = [t for _, t, _, _ in keyed.values() if any(c.isalpha() for c in t or "")]
+    assert sorted(kept) == sorted(want) and len(want) > 100
