@@ -1,11 +1,13 @@
 """Forest model operators: split, expanding folds, search, fit, predict, interval, metrics.
 
-All fitting is Spark ML (``RandomForestRegressor``); trials of the search run as
+All fitting is Spark ML (``RandomForestRegressor``); the trials of a round of the search run as
 concurrent driver threads, each fit distributed over the cluster.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import random
 from concurrent.futures import ThreadPoolExecutor
 
@@ -13,7 +15,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clip, round_half_even_int
@@ -30,6 +32,8 @@ SEARCH_SPACE = {
     "featureSubsetStrategy": ("sqrt", "log2"),
 }
 ROWS_PER_PARTITION = 20_000          # of the search's cached frame
+START_TRIALS, ROUND_TRIALS = 8, 4    # of the search: trials drawn evenly, then proposed per round
+CANDIDATES = 32                      # drawn for each proposal
 
 
 # ----------------------------------------------------------------------------- split / folds
@@ -77,6 +81,7 @@ def forest(params: dict | None = None, seed: int = FOREST_SEED) -> RandomForestR
                                  numTrees=int(p.get("numTrees", 100)), maxDepth=int(p.get("maxDepth", 10)),
                                  minInstancesPerNode=int(p.get("minInstancesPerNode", 1)),
                                  featureSubsetStrategy=str(p.get("featureSubsetStrategy", "sqrt")),
+                                 bootstrap=bool(p.get("bootstrap", True)),
                                  # each row keeps the id of its current node instead of the
                                  # growing forest being shipped to the executors every level;
                                  # lineage is at most maxDepth levels, so no extra checkpoints
@@ -119,27 +124,87 @@ def regression_metrics(df: DataFrame, label: str = LABEL, pred: str = "predictio
 
 # ----------------------------------------------------------------------------- search
 
+def draw_params(rnd: random.Random) -> dict:
+    """One set of parameters, uniformly from the ranges."""
+    return {name: rnd.randint(*space) if isinstance(space[0], int) else rnd.choice(space)
+            for name, space in SEARCH_SPACE.items()}
+
+
 def sample_params(n_iter: int, seed: int = SEARCH_SEED) -> list[dict]:
+    """The sets of parameters a search starts from."""
     rnd = random.Random(seed)
-    out = []
-    for _ in range(n_iter):
-        out.append({
-            "numTrees": rnd.randint(*SEARCH_SPACE["numTrees"]),
-            "maxDepth": rnd.randint(*SEARCH_SPACE["maxDepth"]),
-            "minInstancesPerNode": rnd.randint(*SEARCH_SPACE["minInstancesPerNode"]),
-            "featureSubsetStrategy": rnd.choice(SEARCH_SPACE["featureSubsetStrategy"]),
-        })
+    return [draw_params(rnd) for _ in range(n_iter)]
+
+
+def density(value, seen: list, space: tuple) -> float:
+    """How often ``value`` is to be expected among values like ``seen``.
+
+    A range of integers: the mean of normal curves around the seen values, each over the range
+    itself, and of one even share over it; the curves get narrower the more is seen.  Names: the
+    shares seen, each counted once more."""
+    if not isinstance(space[0], int):
+        return (seen.count(value) + 1) / (len(seen) + len(space))
+    low, high = space
+    even = 1 / (high - low + 1)
+    width = max(1.0, (high - low) * (len(seen) + 1) ** -0.5 / 2)
+
+    def bell(centre: int) -> float:
+        def upto(x: float) -> float:
+            return math.erf((x - centre) / (width * math.sqrt(2)))
+        return (upto(value + 0.5) - upto(value - 0.5)) / (upto(high + 0.5) - upto(low - 0.5))
+
+    return (even + sum(bell(c) for c in seen)) / (len(seen) + 1)
+
+
+def propose(seen: list[tuple[dict, float]], rnd: random.Random, candidates: int = CANDIDATES) -> dict:
+    """The next set of parameters to try: of ``candidates`` drawn ones, the one whose values stand
+    out most among the best quarter of the trials seen against the others (the ratio of their
+    densities).  ``seen``: (parameters, score, lower is better)."""
+    ranked = [p for p, _ in sorted(seen, key=lambda t: t[1])]
+    cut = -(-len(ranked) // 4)
+    good, rest = ranked[:cut], ranked[cut:]
+
+    def gain(p: dict) -> float:
+        return sum(math.log(density(p[k], [g[k] for g in good], space) / density(p[k], [r[k] for r in rest], space))
+                   for k, space in SEARCH_SPACE.items())
+
+    drawn = []
+    for _ in range(candidates):
+        p = draw_params(rnd)
+        if good and rnd.random() < 0.75:            # near one of the good ones, part by part
+            near = rnd.choice(good)
+            for k, space in SEARCH_SPACE.items():
+                if isinstance(space[0], int):
+                    step = round(rnd.gauss(0, max(1.0, (space[1] - space[0]) / 8)))
+                    p[k] = min(max(near[k] + step, space[0]), space[1])
+                else:
+                    p[k] = near[k]
+        drawn.append(p)
+    return max(drawn, key=gain)
+
+
+def next_round(seen: list[tuple[dict, float]], size: int, seed: int = SEARCH_SEED) -> list[dict]:
+    """The sets of parameters of the next round, made to differ: each counts as a poor trial for
+    those behind it.  Depends on nothing but ``seen`` and ``seed``."""
+    rnd = random.Random(seed * 1_000_003 + len(seen))
+    known = [t for t in seen if t[1] is not None]
+    out: list[dict] = []
+    for _ in range(size):
+        out.append(propose(known + [(p, math.inf) for p in out], rnd))
     return out
 
 
 def search(spark: SparkSession, df: DataFrame, feature_cols: list[str], n_iter: int = 20, n_splits: int = 5,
-           seed: int = SEARCH_SEED, parallelism: int = 8) -> DataFrame:
-    """Seeded random search over expanding day folds; score = mean fold MSE (lower is better).
-
-    The features are assembled once and cached in partitions sized to the rows; every (trial,
-    fold) fit is one task of a single pool.  A fold without training or without test rows (few
-    days, or one day with most rows) is left out for every trial and shows in ``folds``; with no
-    fold left the scores are NULL.  One row per trial: trial, parameters, folds, mean_mse, rank.
+           seed: int = SEARCH_SEED, parallelism: int = 8, start: int = START_TRIALS, per_round: int = ROUND_TRIALS) -> DataFrame:
+    """Seeded sequential search over expanding day folds; score = mean fold MSE (lower is better).
+
+    The first ``start`` trials are drawn evenly from the ranges; then each round proposes
+    ``per_round`` trials from the scores of all rounds before it (``propose``) and fits them
+    together: every (trial, fold) fit of a round is one task of a pool.  The features are
+    assembled once and cached in partitions sized to the rows.  A fold without training or without
+    test rows (few days, or one day with most rows) is left out for every trial and shows in
+    ``folds``; with no fold left the scores are NULL and all trials are drawn as at the start.
+    One row per trial: trial, parameters, folds, mean_mse, rank, in the order they were tried.
     """
     days = expanding_folds(df, n_splits)
     asm = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="error")
@@ -148,24 +213,25 @@ def search(spark: SparkSession, df: DataFrame, feature_cols: list[str], n_iter:
     sizes = {r["fold"]: r["n"] for r in days.groupBy("fold").agg(F.sum("n_rows").alias("n")).collect()}
     usable = [j for j in range(n_splits) if sizes.get(j, 0) and sum(n for f, n in sizes.items() if f < j)]
     data = data.repartition(max(1, -(-sum(sizes.values()) // ROWS_PER_PARTITION))).cache()
-    trials = sample_params(n_iter, seed)
 
     def score(job):
         p, j = job
         fitted = forest(p).fit(data.where(F.col("fold") < j))
         return regression_metrics(fitted.transform(data.where(F.col("fold") == j))).first()["mse"]
 
-    jobs = [(p, j) for p in trials for j in usable]
-    # the largest forests first, so that none of them runs alone at the end
-    order = sorted(range(len(jobs)), key=lambda i: -jobs[i][0]["numTrees"] * jobs[i][0]["maxDepth"])
+    seen: list[tuple[dict, float | None]] = []
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        done = dict(zip(order, pool.map(score, [jobs[i] for i in order])))
+        while len(seen) < n_iter:
+            size = min(start if not seen else per_round, n_iter - len(seen))
+            trials = sample_params(size, seed) if not seen else next_round(seen, size, seed)
+            jobs = [(i, p, j) for i, p in enumerate(trials) for j in usable]
+            # the largest forests first, so that none of them runs alone at the end
+            jobs.sort(key=lambda job: -job[1]["numTrees"] * job[1]["maxDepth"])
+            done = list(pool.map(score, [job[1:] for job in jobs]))
+            own = [[(job[2], mse) for job, mse in zip(jobs, done) if job[0] == i] for i in range(size)]
+            seen += [(p, sum(m for _, m in sorted(o)) / len(o) if o else None) for p, o in zip(trials, own)]
     data.unpersist()
-    rows = []
-    for i, p in enumerate(trials):
-        own = [done[i * len(usable) + k] for k in range(len(usable))]
-        rows.append((i, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"], p["featureSubsetStrategy"], len(own),
-                     float(sum(own) / len(own)) if own else None))
+    rows = [(i, *(p[k] for k in SEARCH_SPACE), len(usable), None if mse is None else float(mse)) for i, (p, mse) in enumerate(seen)]
     res = spark.createDataFrame(rows, "trial int, numTrees int, maxDepth int, minInstancesPerNode int, "
                                       "featureSubsetStrategy string, folds int, mean_mse double")
     return res.withColumn("rank", F.rank().over(Window.orderBy(F.col("mean_mse").asc_nulls_last(), "trial")))
@@ -185,38 +251,69 @@ def importances(spark: SparkSession, model: PipelineModel, feature_cols: list[st
     return top_features(df, top_n)
 
 
-def tree_nodes(spark: SparkSession, model_path: str, forest_uid: str) -> DataFrame:
-    """(treeID, leaf, prediction) from a saved forest: leaves numbered in node-id order,
-    which is the numbering of the ``leafCol`` output.  The stage is found by its uid."""
+def leaf_values(spark: SparkSession, model_path: str, forest_uid: str) -> list[list[float]]:
+    """For each tree of a saved forest the predictions of its leaves in node-id order, which is the
+    numbering of the ``leafCol`` output.  The stage is found by its uid.  The driver reads the
+    leaves of the forest, which it holds as the model anyway."""
     nodes = spark.read.parquet(f"{model_path}/stages/*_{forest_uid}/data")
     leaves = nodes.where(F.col("nodeData.leftChild") < 0).select(
-        "treeID", F.col("nodeData.id").alias("node_id"), F.col("nodeData.prediction").alias("tree_prediction"))
-    w = Window.partitionBy("treeID").orderBy("node_id")
-    return leaves.select("treeID", (F.row_number().over(w) - 1).alias("leaf"), "tree_prediction")
+        "treeID", F.col("nodeData.id").alias("node"), F.col("nodeData.prediction").alias("value"))
+    trees: dict[int, list[float]] = {}
+    for r in sorted(leaves.collect(), key=lambda r: (r["treeID"], r["node"])):
+        trees.setdefault(r["treeID"], []).append(r["value"])
+    return [trees[t] for t in sorted(trees)]
+
+
+def tree_predictions(leaves: Column, values: list[list[float]]) -> Column:
+    """Each tree's prediction as an array, from the array of leaf numbers of a row.  The table of
+    leaf values is one constant of the plan: no row per tree, no join."""
+    table = F.from_json(F.lit(json.dumps(values)), "array<array<double>>")
+    return F.transform(leaves, lambda leaf, tree: F.element_at(F.element_at(table, tree + 1), leaf.cast("int") + 1))
+
+
+def tree_band(predictions: Column) -> Column:
+    """(mean, std) of an array: the mean as the sum in order over the number, which is how the
+    forest averages its trees, and the population standard deviation by running updates."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("m2"), F.lit(0).alias("n"))
+
+    def add(acc, x):
+        total, n = acc["sum"] + x, acc["n"] + 1
+        m2 = F.when(acc["n"] == 0, F.lit(0.0)).otherwise(acc["m2"] + (x - acc["sum"] / acc["n"]) * (x - total / n))
+        return F.struct(total.alias("sum"), m2.alias("m2"), n.alias("n"))
+
+    return F.aggregate(predictions, start, add, lambda acc: F.struct(
+        F.try_divide(acc["sum"], acc["n"]).alias("mean"), F.sqrt(F.try_divide(acc["m2"], acc["n"])).alias("std")))
+
+
+def _band_columns(mean: Column, std: Column) -> list[Column]:
+    return [mean.alias("mean_pred"), round_half_even_int(mean).alias("crowd_level"),
+            round_half_even_int(clip(mean - std)).alias("ci_lower"), round_half_even_int(clip(mean + std)).alias("ci_upper")]
 
 
 def interval(per_tree: DataFrame, keys=("date", "park_id")) -> DataFrame:
     """From (keys, tree_prediction): mean of the trees +/- their population standard deviation,
     clipped to 0..100 and half-even rounded, with the unrounded mean."""
-    g = per_tree.groupBy(*keys).agg(F.avg("tree_prediction").alias("mean_pred"),
-                                    F.stddev_pop("tree_prediction").alias("std_pred"))
-    return g.select(*keys, "mean_pred",
-                    round_half_even_int("mean_pred").alias("crowd_level"),
-                    round_half_even_int(clip(F.col("mean_pred") - F.col("std_pred"))).alias("ci_lower"),
-                    round_half_even_int(clip(F.col("mean_pred") + F.col("std_pred"))).alias("ci_upper"))
+    g = per_tree.groupBy(*keys).agg(F.avg("tree_prediction").alias("_mean"), F.stddev_pop("tree_prediction").alias("_std"))
+    return g.select(*keys, *_band_columns(F.col("_mean"), F.col("_std")))
+
+
+def interval_in_row(rows: DataFrame, predictions: Column, keys=("date", "park_id")) -> DataFrame:
+    """``interval`` where each row holds its trees' predictions as an array: a projection."""
+    banded = rows.select(*keys, tree_band(predictions).alias("_band"))
+    return banded.select(*keys, *_band_columns(F.col("_band.mean"), F.col("_band.std")))
 
 
 def ensemble_interval(spark: SparkSession, model: PipelineModel, model_path: str, df: DataFrame,
                       feature_cols: list[str], keys=("date", "park_id")) -> DataFrame:
-    """``interval`` of every tree's prediction for each row of ``df``."""
+    """``interval`` of every tree's prediction for each row of ``df``.
+
+    The forest says which leaf of each tree a row reaches; the leaves' values are looked up in the
+    row.  The plan is a projection of ``df``: no exchange, and no row per tree."""
     rf = model.stages[-1].copy()
     rf.setLeafCol("leaves")
-    asm = model.stages[0]
-    x = asm.transform(cast_features(df, feature_cols))
-    leaves = rf.transform(x).select(*keys, F.posexplode(vector_to_array("leaves")).alias("treeID", "leaf"))
-    per_tree = leaves.withColumn("leaf", F.col("leaf").cast("int")).join(
-        tree_nodes(spark, model_path, model.stages[-1].uid), ["treeID", "leaf"])
-    return interval(per_tree, keys)
+    x = rf.transform(model.stages[0].transform(cast_features(df, feature_cols)))
+    values = leaf_values(spark, model_path, model.stages[-1].uid)
+    return interval_in_row(x, tree_predictions(vector_to_array("leaves"), values), keys)
 
 
 def save_model(model: PipelineModel, path: str) -> str:

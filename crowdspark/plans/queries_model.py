@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import round_to
+from ..functions import round_half_even_int, round_to
 from ..operators import encode, model
 from ..schema import DAY_OF_WEEK_COLS, MONTH_COLS, WEATHER_COLS
 from ..session import materialise, scratch_path
@@ -201,66 +201,137 @@ def _fitted(spark, sf_dir, params=None):
     return feats, split, m
 
 
-# What a fitted forest predicts has no SQL.  The queries below return the keys together with named
-# invariants of the fit (bounds, order, loaded equals fitted); the SQL says which keys, and true.
+# A forest of one tree that sees every row and every column has a known answer: both engines look
+# for the cuts that lower the variance of the label most, here two levels of them on the month and
+# the weekday of the orders world's park-days.
+ONE_TREE = {"numTrees": 1, "maxDepth": 2, "bootstrap": False, "featureSubsetStrategy": "all"}
+_CALENDAR = ["month", "weekday"]
 
-@register("fit_predict", V.with_ctes("tf as (" + TRAINING_SQL + ")", _SPLIT) + """
-select date, park_id, crowd_level, true as prediction_in_range from split where split = 'test'""")
-def fit_predict(spark, sf_dir):
-    """Forest fitted on the training part; for each test row, that its rounded prediction
-    lies in the range of the training labels (an invariant of averages of leaves)."""
-    feats, split, m = _fitted(spark, sf_dir)
-    out = model.predict(m, split.where(F.col("split") == "test"), feats)
-    seen = split.where(F.col("split") == "train").agg(F.min("crowd_level").alias("lo"), F.max("crowd_level").alias("hi")).first()
-    return as_report(out.select("date", "park_id", "crowd_level",
-                                F.col("prediction").between(F.lit(seen["lo"]), F.lit(seen["hi"])).alias("prediction_in_range")))
+
+def _cuts(node: str, rows: str) -> str:
+    """CTEs: the best cut of ``rows`` (month, weekday, y), as ``node`` (feature, at, gain of all its
+    rows, rows); no row where no cut lowers the variance."""
+    each = " union all ".join(f"select '{f}' as feature, {f} as v, y from {rows}" for f in _CALENDAR)
+    return f"""{node}_v as (
+  select feature, v, count(*) as n, sum(y) as s, sum(y * y) as q from ({each}) group by 1, 2),
+{node}_c as (
+  select feature, v, sum(n) over l as ln, sum(s) over l as ls, sum(q) over l as lq,
+         sum(n) over w as n, sum(s) over w as s, sum(q) over w as q
+  from {node}_v window w as (partition by feature),
+       l as (partition by feature order by v rows between unbounded preceding and current row)),
+{node} as (
+  select feature, v as at, n, (q - s::double * s / n) - (lq - ls::double * ls / ln)
+         - ((q - lq) - (s - ls)::double * (s - ls) / (n - ln)) as gain
+  from {node}_c where ln < n qualify gain > 1e-9 and row_number() over (order by gain desc, feature, v) = 1)"""
+
+
+def _side(node: str) -> str:
+    return f"case {node}.feature when 'month' then month else weekday end <= {node}.at"
 
 
-@register("holdout_metrics", V.with_ctes("tf as (" + TRAINING_SQL + ")", _SPLIT) + """
-select count(*) as n_test, true as rmse_is_root, true as mae_at_most_rmse, true as r2_at_most_1
-from split where split = 'test'""")
+_TREE = V.with_ctes(V.R_O, V.P_O, V.LEVELS_O, """tf as (
+  select date, park_id, crowd_level, month(date) as month, isodow(date) - 1 as weekday, crowd_level::bigint as y
+  from levels where crowd_level is not null)""", """hashed as (
+  select *, md5(concat_ws('|', '104', cast(date as varchar), park_id)) as h from tf),
+split as (
+  select *, case when h <= (select h from hashed order by h limit 1 offset (select cast(ceil(count(*) * 0.2) as bigint) - 1 from hashed))
+                 then 'test' else 'train' end as split from hashed)""",
+    "train as (select month, weekday, y from split where split = 'train')", _cuts("top", "train"),
+    f"train_low as (select train.* from train, top where {_side('top')})",
+    f"train_high as (select train.* from train, top where not ({_side('top')}))",
+    _cuts("low", "train_low"), _cuts("high", "train_high"),
+    f"""sides as (
+  select month, weekday, {_side('top')} as a,
+         case when {_side('top')} then coalesce({_side('low')}, true) else coalesce({_side('high')}, true) end as b
+  from (select distinct month, weekday from tf) d left join top on true left join low on true left join high on true),
+leaves as (
+  select a, b, sum(y)::double / count(*) as value from train join sides using (month, weekday) group by 1, 2),
+predicted as (
+  select t.*, l.value from split t join sides s using (month, weekday) join leaves l on l.a is not distinct from s.a and l.b = s.b)""")
+
+
+def calendar_frame(spark, sf_dir):
+    """Park-days of the orders world: date, park_id, crowd_level, month, weekday (0 is Monday)."""
+    lv = orders_levels(spark, sf_dir).where(F.col("crowd_level").isNotNull())
+    return lv.withColumn("month", F.month("date")).withColumn("weekday", F.weekday("date"))
+
+
+def _one_tree(spark, sf_dir):
+    split = materialise(model.holdout_split(calendar_frame(spark, sf_dir)), "calendar-frame")
+    return split, model.fit_forest(split.where(F.col("split") == "train"), _CALENDAR, ONE_TREE)
+
+
+@register("fit_predict", _TREE + f"""
+select cast(date as varchar) as date, park_id, crowd_level, {V.r6('value')} as mean, cast(round_even(value, 0) as integer) as prediction
+from predicted where split = 'test'""")
+def fit_predict(spark, sf_dir):
+    """A forest fitted on the training part predicts the test part, by value: one
+    tree on all rows and columns, whose cuts and leaf means SQL finds too."""
+    split, m = _one_tree(spark, sf_dir)
+    test = model.cast_features(split.where(F.col("split") == "test"), _CALENDAR)
+    raw = m.transform(test).select("date", "park_id", "crowd_level", round_to("prediction").alias("mean"),
+                                   round_half_even_int("prediction").alias("prediction"))
+    return as_report(raw)
+
+
+@register("holdout_metrics", _TREE + """
+select count(*) as n_test, floor(avg((value - y) * (value - y)) * 1e6 + 0.5) / 1e6 as mse,
+       floor(sqrt(avg((value - y) * (value - y))) * 1e6 + 0.5) / 1e6 as rmse,
+       floor((1 - avg((value - y) * (value - y)) / var_pop(y)) * 1e6 + 0.5) / 1e6 as r2,
+       floor(avg(abs(value - y)) * 1e6 + 0.5) / 1e6 as mae
+from predicted where split = 'test'""")
 def holdout_metrics(spark, sf_dir):
-    """The fitted forest's metrics on the hold-out part, as invariants among them."""
-    feats, split, m = _fitted(spark, sf_dir)
-    test = model.cast_features(split.where(F.col("split") == "test"), feats)
-    r = model.regression_metrics(m.transform(test))
-    return r.select(F.lit(test.count()).cast("bigint").alias("n_test"),
-                    (F.abs(F.col("rmse") * F.col("rmse") - F.col("mse")) <= 1e-9 * (F.col("mse") + 1)).alias("rmse_is_root"),
-                    (F.col("mae") <= F.col("rmse") + 1e-9).alias("mae_at_most_rmse"),
-                    (F.col("r2") <= 1).alias("r2_at_most_1"))
+    """The fitted forest's metrics on the hold-out part, by value."""
+    split, m = _one_tree(spark, sf_dir)
+    test = m.transform(model.cast_features(split.where(F.col("split") == "test"), _CALENDAR))
+    r = model.regression_metrics(test)
+    return r.select(F.lit(test.count()).cast("bigint").alias("n_test"), *[round_to(c).alias(c) for c in r.columns])
 
 
-_TRIALS = ", ".join(f"({i}, {p['numTrees']}, {p['maxDepth']}, {p['minInstancesPerNode']}, '{p['featureSubsetStrategy']}')"
-                    for i, p in enumerate(model.sample_params(20)))
+_START = ", ".join(f"({i}, {p['numTrees']}, {p['maxDepth']}, {p['minInstancesPerNode']}, '{p['featureSubsetStrategy']}')"
+                   for i, p in enumerate(model.sample_params(model.START_TRIALS)))
+_PARAMS = ["numTrees", "maxDepth", "minInstancesPerNode", "featureSubsetStrategy"]
 
 
 @register("search", V.with_ctes("tf as (" + TRAINING_SQL + ")") + f"""
-select trial, "numTrees", "maxDepth", "minInstancesPerNode", "featureSubsetStrategy", true as scored, true as rank_is_order
-from (values {_TRIALS}) as t(trial, "numTrees", "maxDepth", "minInstancesPerNode", "featureSubsetStrategy")
+select cast(i as integer) as trial, "numTrees", "maxDepth", "minInstancesPerNode", "featureSubsetStrategy",
+       true as scored, true as in_ranges, true as rank_is_order, true as repeats
+from range(20) r(i) left join (values {_START}) as t(trial, "numTrees", "maxDepth", "minInstancesPerNode", "featureSubsetStrategy")
+     on trial = i
 where (select count(distinct date) from tf) > 6""")
 def search(spark, sf_dir):
-    """L4 L3: seeded random search (20 trials x 5 expanding folds) on the training part; that
-    every trial has a score and the ranks follow the scores are invariants."""
+    """L4 L3: seeded sequential search (20 trials x 5 expanding folds) on the training part.  The
+    parameters of the first trials are those of the seed; a later round's are within the ranges,
+    and the same when they are proposed again from the scores before it."""
     from pyspark.sql import Window
     tf = materialise(training_frame(spark, sf_dir, P), "training-frame")
     train = model.holdout_split(tf).where(F.col("split") == "train").drop("split")
-    res = model.search(spark, train, model_features(tf), n_iter=20, parallelism=8)
-    return res.select("trial", "numTrees", "maxDepth", "minInstancesPerNode", "featureSubsetStrategy",
-                      (F.col("mean_mse") >= 0).alias("scored"),
-                      (F.col("rank") == F.count("*").over(Window.orderBy("mean_mse", "trial"))).alias("rank_is_order"))
-
-
-@register("importance", """
-select 10 as n_features, true as ascending, true as shares""")
+    tried = model.search(spark, train, model_features(tf), n_iter=20, parallelism=8)
+    rows = [r.asDict() for r in tried.orderBy("trial").collect()]
+    seen = [({k: r[k] for k in _PARAMS}, r["mean_mse"]) for r in rows]
+    again = model.sample_params(model.START_TRIALS)
+    while len(again) < len(rows):
+        again += model.next_round(seen[:len(again)], min(model.ROUND_TRIALS, len(rows) - len(again)))
+    checked = spark.createDataFrame(
+        [(r["trial"], p == q, all(p[k] in space if isinstance(space[0], str) else space[0] <= p[k] <= space[1]
+                                  for k, space in model.SEARCH_SPACE.items()))
+         for r, (p, _), q in zip(rows, seen, again)], "trial int, repeats boolean, in_ranges boolean")
+    first = F.col("trial") < model.START_TRIALS
+    return tried.join(checked, "trial").select(
+        "trial", *[F.when(first, F.col(k)).alias(k) for k in _PARAMS], (F.col("mean_mse") >= 0).alias("scored"), "in_ranges",
+        (F.col("rank") == F.count("*").over(Window.orderBy("mean_mse", "trial"))).alias("rank_is_order"), "repeats")
+
+
+@register("importance", _TREE + """,
+won as (
+  select feature, sum(gain) as gain from (select * from top union all select * from low union all select * from high) group by 1)
+select f.feature, floor(coalesce(gain / (select sum(gain) from won), 0) * 1e6 + 0.5) / 1e6 as importance
+from (values ('month'), ('weekday')) as f(feature) left join won using (feature)""")
 def importance(spark, sf_dir):
-    """The fitted forest's top-10 importances: as many, in ascending order, each a share
-    of 1 (invariants; the cut itself is checked by value in ``top_importance``)."""
-    feats, split, m = _fitted(spark, sf_dir)
-    top = model.importances(spark, m, feats, top_n=10)
-    rows = top.agg(F.collect_list("importance").alias("v"))
-    return rows.select(F.size("v").alias("n_features"), (F.array_sort("v") == F.col("v")).alias("ascending"),
-                       (F.forall("v", lambda x: x.between(0, 1)) & (F.aggregate("v", F.lit(0.0), lambda a, x: a + x) <= 1.000001)
-                        ).alias("shares"))
+    """The fitted forest's importances by value: each column's share of the variance that its
+    cuts take away (the cut to the top N is checked by value in ``top_importance``)."""
+    split, m = _one_tree(spark, sf_dir)
+    return model.importances(spark, m, _CALENDAR, top_n=10).select("feature", round_to("importance").alias("importance"))
 
 
 @register("top_importance", """
@@ -279,17 +350,37 @@ _INF = "inf as (" + INFERENCE_SQL + ")"
 
 
 @register("ensemble_interval", V.with_ctes(_INF) + """
-select date, park_id, true as band_holds_level, true as band_in_bounds from inf""")
+select date, park_id, true as mean_is_forest, true as band_holds_level, true as band_in_bounds from inf""")
 def ensemble_interval(spark, sf_dir):
-    """Per-tree band on the inference frame: lower <= level <= upper within 0..100
-    (invariants; the arithmetic is checked by value in ``interval_bands``)."""
+    """Per-tree band on the inference frame.  The mean of the trees' values is what the
+    forest itself predicts, and lower <= level <= upper within 0..100 (a hand-walked forest is
+    held against it by value in the tests, the arithmetic by SQL in ``interval_in_row``)."""
     feats, split, m = _fitted(spark, sf_dir)
     path = model.save_model(m, scratch_path(spark, "forest"))
-    inf = encode.align_columns(inference(spark, sf_dir), feats, keep=["date", "park_id"])
+    inf = materialise(encode.align_columns(inference(spark, sf_dir), feats, keep=["date", "park_id"]), "inference-frame")
     iv = model.ensemble_interval(spark, m, path, inf, feats)
-    return as_report(iv.select("date", "park_id",
-                               F.col("crowd_level").between(F.col("ci_lower"), F.col("ci_upper")).alias("band_holds_level"),
-                               ((F.col("ci_lower") >= 0) & (F.col("ci_upper") <= 100)).alias("band_in_bounds")))
+    own = m.transform(model.cast_features(inf, feats)).select("date", "park_id", F.col("prediction").alias("own"))
+    return as_report(iv.join(own, ["date", "park_id"]).select(
+        "date", "park_id", (F.abs(F.col("mean_pred") - F.col("own")) <= 1e-9).alias("mean_is_forest"),
+        F.col("crowd_level").between(F.col("ci_lower"), F.col("ci_upper")).alias("band_holds_level"),
+        ((F.col("ci_lower") >= 0) & (F.col("ci_upper") <= 100)).alias("band_in_bounds")))
+
+
+@register("interval_in_row", f"""
+with g as (
+  select l_orderkey, avg(l_quantity * 2) as m, stddev_pop(l_quantity * 2) as s from lineitem group by 1)
+select l_orderkey as order_id, {V.r6('m')} as mean_pred, cast(round_even(m, 0) as integer) as crowd_level,
+       cast(round_even(greatest(0, least(100, m - s)), 0) as integer) as ci_lower,
+       cast(round_even(greatest(0, least(100, m + s)), 0) as integer) as ci_upper
+from g""")
+def interval_in_row(spark, sf_dir):
+    """The band of trees that stand side by side in a row, by value: an order's line
+    items stand in for the trees."""
+    li = landed.table(spark, sf_dir, "lineitem")
+    trees = li.groupBy(F.col("l_orderkey").alias("order_id")).agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_quantity") * 2).cast("double").alias("v")))).alias("t"))
+    banded = model.interval_in_row(trees, F.col("t.v"), keys=["order_id"])
+    return banded.withColumn("mean_pred", round_to("mean_pred"))
 
 
 @register("interval_bands", """
@@ -308,15 +399,22 @@ def interval_bands(spark, sf_dir):
     return as_report(model.interval(trees).drop("mean_pred"))
 
 
-@register("model_roundtrip", V.with_ctes(_INF) + """
-select date, park_id, true as loaded_equals_fitted from inf""")
+@register("model_roundtrip", _TREE + """,
+days as (
+  select park_id, cast(unnest(generate_series(hi + 1, hi + 28, interval 1 day)) as date) as date
+  from (select distinct park_id from tf), (select max(date) as hi from tf))
+select cast(d.date as varchar) as date, d.park_id, cast(round_even(l.value, 0) as integer) as prediction
+from days d join sides s on s.month = month(d.date) and s.weekday = isodow(d.date) - 1
+     join leaves l on l.a is not distinct from s.a and l.b = s.b""")
 def model_roundtrip(spark, sf_dir):
-    """Save, load (features from the assembler), align and predict: the loaded
-    forest predicts what the fitted one does (an invariant)."""
-    feats, split, m = _fitted(spark, sf_dir)
-    path = model.save_model(m, scratch_path(spark, "forest"))
-    loaded, cols = model.load_model(path)
-    inf = encode.align_columns(inference(spark, sf_dir), cols, keep=["date", "park_id"])
-    both = model.predict(loaded, inf, cols, "loaded").select("date", "park_id", *cols, "loaded")
-    both = model.predict(m, both, cols, "fitted")
-    return as_report(both.select("date", "park_id", (F.col("loaded") == F.col("fitted")).alias("loaded_equals_fitted")))
+    """The forest is saved and loaded with its columns, the requested days (the four
+    weeks after the last one) are aligned to them, and the loaded forest's predictions are those of
+    SQL's tree by value."""
+    split, m = _one_tree(spark, sf_dir)
+    loaded, cols = model.load_model(model.save_model(m, scratch_path(spark, "forest")))
+    hi = split.agg(F.max("date").alias("hi")).first()["hi"]
+    days = split.select("park_id").distinct().select("park_id", F.explode(F.sequence(
+        F.date_add(F.lit(hi), 1), F.date_add(F.lit(hi), 28))).alias("date"))
+    asked = days.withColumn("weekday", F.weekday("date")).withColumn("not_known", F.lit(1)).withColumn("month", F.month("date"))
+    return as_report(model.predict(loaded, encode.align_columns(asked, cols, keep=["date", "park_id"]), cols)
+                     .select("date", "park_id", "prediction"))

@@ -69,6 +69,109 @@ def test_interval_invariants_and_roundtrip(spark, frames):
     assert a == b
 
 
+def test_band_of_a_hand_walked_forest(spark, frames):
+    """Mean and sigma of every tree's own walk from root to leaf; one projection, no row per tree."""
+    import numpy as np
+    tf, inf, feats = frames
+    m = model.fit_forest(tf, feats, {"numTrees": 25, "maxDepth": 8})
+    path = model.save_model(m, scratch_path(spark, "forest-walk"))
+    from crowdspark.operators.encode import align_columns
+    x = model.cast_features(align_columns(inf, feats, keep=["date", "park_id"]), feats)
+    trees = {}
+    for r in spark.read.parquet(f"{path}/stages/*_{m.stages[-1].uid}/data").collect():
+        trees.setdefault(r["treeID"], {})[r["nodeData"]["id"]] = r["nodeData"]
+
+    def walk(tree, row):
+        node = tree[0]
+        while node["leftChild"] >= 0:
+            at = node["split"]
+            assert at["numCategories"] == -1
+            node = tree[node["leftChild"] if row[feats[at["featureIndex"]]] <= at["leftCategoriesOrThreshold"][0]
+                        else node["rightChild"]]
+        return node["prediction"]
+
+    banded = model.ensemble_interval(spark, m, path, x, feats)
+    plan = banded._jdf.queryExecution().executedPlan().toString()
+    for word in ("Exchange", "Generate", "Join"):
+        assert word not in plan.split("InMemoryRelation")[0]
+    got = {(r["date"], r["park_id"]): r for r in banded.collect()}
+    rows = x.collect()
+    assert len(rows) == len(got) > 0
+    for row in rows:
+        own = [walk(trees[t], row) for t in sorted(trees)]
+        mean, std = float(np.mean(own)), float(np.std(own))
+        r = got[row["date"], row["park_id"]]
+        assert r["mean_pred"] == pytest.approx(mean, abs=1e-9)
+        assert (r["ci_lower"], r["crowd_level"], r["ci_upper"]) == (
+            round(min(max(mean - std, 0), 100)), round(mean), round(min(max(mean + std, 0), 100)))
+
+
+def test_tree_band_by_value(spark):
+    df = spark.createDataFrame([(1, [3.0, 5.0, 10.0]), (2, [4.0]), (3, []), (4, [1e9 + 1, 1e9 + 2])], "k int, t array<double>")
+    got = {r["k"]: r["b"] for r in df.select("k", model.tree_band(F.col("t")).alias("b")).collect()}
+    assert (got[1]["mean"], got[1]["std"]) == (6.0, pytest.approx(math.sqrt(26 / 3)))
+    assert (got[2]["mean"], got[2]["std"]) == (4.0, 0.0)
+    assert (got[3]["mean"], got[3]["std"]) == (None, None)
+    assert got[4]["std"] == pytest.approx(0.5, abs=1e-6)
+
+
+def test_densities_of_seen_values():
+    """Against the textbook form: normal curves cut to the range, mixed with an even share."""
+    space = (5, 30)
+    seen = [7, 7, 20]
+    width = max(1.0, 25 * 4 ** -0.5 / 2)
+
+    def normal(x, c):
+        return (1 + math.erf((x - c) / width / 2 ** 0.5)) / 2
+
+    for v in range(5, 31):
+        bells = [(normal(v + .5, c) - normal(v - .5, c)) / (normal(30.5, c) - normal(4.5, c)) for c in seen]
+        assert model.density(v, seen, space) == pytest.approx((1 / 26 + sum(bells)) / 4)
+    assert sum(model.density(v, seen, space) for v in range(5, 31)) == pytest.approx(1)
+    assert model.density("sqrt", ["sqrt", "sqrt", "log2"], ("sqrt", "log2")) == 3 / 5
+
+
+def _known(p):
+    """A known function of the parameters: best at 250 trees, depth 9, 2 rows a leaf, log2."""
+    return (((p["numTrees"] - 250) / 250) ** 2 + ((p["maxDepth"] - 9) / 25) ** 2 + ((p["minInstancesPerNode"] - 2) / 4) ** 2
+            + 0.2 * (p["featureSubsetStrategy"] != "log2"))
+
+
+def _sequential(seed, rounds=3):
+    seen = [(p, _known(p)) for p in model.sample_params(8, seed)]
+    for _ in range(rounds):
+        seen += [(p, _known(p)) for p in model.next_round(seen, 4, seed)]
+    return seen
+
+
+def test_the_proposal_is_the_best_ratio_of_its_candidates():
+    import random
+    seen = [(p, _known(p)) for p in model.sample_params(8, 5)]
+    ranked = [p for p, _ in sorted(seen, key=lambda t: t[1])]
+
+    def ratio(p):
+        out = 1.0
+        for k, space in model.SEARCH_SPACE.items():
+            out *= model.density(p[k], [r[k] for r in ranked[:2]], space) / model.density(p[k], [r[k] for r in ranked[2:]], space)
+        return out
+
+    chosen = [model.propose(seen, random.Random(i), n) for i in range(20) for n in (1, 32)]
+    for one, best in zip(chosen[::2], chosen[1::2]):        # the first candidate of the same draw
+        assert ratio(best) >= ratio(one)
+
+
+def test_sequential_search_repeats_and_learns():
+    assert _sequential(3) == _sequential(3)
+    better = even = 0.0
+    for seed in range(40):
+        seen = _sequential(seed)
+        assert all(p[k] in s if isinstance(s[0], str) else s[0] <= p[k] <= s[1]
+                   for p, _ in seen for k, s in model.SEARCH_SPACE.items())
+        better += min(v for _, v in seen)
+        even += min(_known(p) for p in model.sample_params(20, seed))
+    assert better < 0.8 * even                      # of 20 trials, summed over 40 seeds
+
+
 def test_metrics_and_importances(spark, frames):
     tf, _, feats = frames
     m = model.fit_forest(tf, feats, {"numTrees": 8, "maxDepth": 4})
@@ -83,8 +186,11 @@ def test_metrics_and_importances(spark, frames):
 
 def test_search_ranks_trials(spark, frames):
     tf, _, feats = frames
-    res = model.search(spark, tf, feats, n_iter=2, parallelism=2).collect()
-    assert sorted(r["rank"] for r in res) == [1, 2]
+    res = model.search(spark, tf, feats, n_iter=3, n_splits=2, parallelism=4, start=2, per_round=1).orderBy("trial").collect()
+    assert sorted(r["rank"] for r in res) == [1, 2, 3] and [r["folds"] for r in res] == [2, 2, 2]
+    names = list(model.SEARCH_SPACE)
+    seen = [({k: r[k] for k in names}, r["mean_mse"]) for r in res]
+    assert [p for p, _ in seen] == model.sample_params(2) + model.next_round(seen[:2], 1)
     assert all(50 <= r["numTrees"] <= 300 and 5 <= r["maxDepth"] <= 30 for r in res)
 
 
