@@ -55,3 +55,71 @@ def test_order_statistics_by_group_and_type(spark):
     for k in range(3):
         own = sorted(v for g, v in rows if g == k and v is not None)
         assert {r: v for (g, r), v in got.items() if g == k} == {0: own[0], len(own) - 1: own[-1], 7: own[7]}
+
+
+def _median(values):
+    own = [v for v in values if v is not None]
+    return float(np.median(own)) if own else None
+
+
+def test_brackets_narrow_and_widen(spark, monkeypatch):
+    """A coarse sketch and a small bound on what is gathered: more rounds, the same medians."""
+    rnd = random.Random(5)
+    n = 4000
+    cols = {
+        "even": [float(i) for i in range(n)],
+        "hot": [7.0 if rnd.random() < 0.4 else rnd.gauss(7, 3) for _ in range(n)],
+        "two": [rnd.choice([1.0, 2.0]) for _ in range(n)],
+        "half": [1.0] * (n // 2) + [2.0] * (n // 2),
+        "sorted": sorted(rnd.expovariate(1) for _ in range(n)),
+        "sparse": [rnd.random() if i % 50 == 0 else None for i in range(n)],
+        "one": [3.5] + [None] * (n - 1),
+        "none": [None] * n,
+        "tiny": [rnd.choice([-1e-300, 0.0, 5e-324, 1e300]) for _ in range(n)],
+    }
+    rows = list(zip(*cols.values()))
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(7)
+    want = {c: _median([r[i] for r in rows]) for i, c in enumerate(cols)}
+    assert impute.exact_medians(df, list(cols)) == want
+    for accuracy, gathered in ((20, 100_000), (20, 10), (200, 20)):
+        monkeypatch.setattr(impute, "ACCURACY", accuracy)
+        monkeypatch.setattr(impute, "GATHERED", gathered)
+        assert impute.exact_medians(df, list(cols)) == want
+
+
+def test_small_frames(spark):
+    rnd = random.Random(6)
+    for n in (0, 1, 2, 3, 4, 5, 8, 9):
+        vals = [rnd.choice([1.0, 2.0, 2.0, rnd.random()]) for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "x double")
+        assert impute.exact_medians(df, ["x"]) == {"x": _median(vals)}
+    assert impute.exact_medians(df, []) == {}
+
+
+def test_scans_and_plan(spark):
+    """Two scans for columns of any number, no cell as a row, nothing stored."""
+    df = spark.range(2000).selectExpr("cast(id as double) a", "cast(id % 7 as double) b", "if(id % 3 = 0, null, id / 2) c")
+    seen = []
+    original = type(df).agg
+    try:
+        type(df).agg = lambda self, *a: seen.append(original(self, *a)) or seen[-1]
+        got = impute.exact_medians(df, ["a", "b", "c"])
+    finally:
+        type(df).agg = original
+    assert got == {"a": 999.5, "b": 3.0, "c": _median([i / 2 for i in range(2000) if i % 3])}
+    assert len(seen) == 2
+    for agg in seen:
+        plan = agg._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan
+
+
+def test_counters_come_with_the_result(spark):
+    from pyspark.sql import Observation
+    df = spark.createDataFrame([(1, 1.0, None, "a"), (2, None, 2.0, "b"), (3, 3.0, None, None), (4, 4.0, 1.0, "d")],
+                               "k int, x double, y double, s string")
+    seen = Observation()
+    out, med = impute.fill_with_median(df, observed=seen)
+    assert sorted(r["k"] for r in out.collect()) == [1, 2, 4]
+    assert seen.get == {"rows_with_nulls_before": 3, "rows_with_nulls_after": 1, "rows_dropped": 1}
+    assert impute.missing_counters(df, med).first().asDict() == seen.get
