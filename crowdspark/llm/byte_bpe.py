@@ -4,9 +4,10 @@ Texts are cut into chunks that overlap; each chunk is pre-tokenised on its own,
 lies.  Chunk and successor are stitched at the first place in their overlap where both have a
 pre-token boundary: from a common boundary on the pattern finds the same pre-tokens in both, as
 it never looks back.  Each chunk then encodes the pieces from its first stitch to its last one.
-Boundaries near the end of a chunk are not used, as the pattern may have looked past the end.
+Boundaries near the end of a chunk are not used, as the pattern may have looked past the end,
+nor those behind white space, as the pattern tells white space at the end of a text from others.
 
-Chunks that have no boundary in common (one pre-token longer than the overlap) are joined to one
+Chunks that have no such boundary in common (one pre-token longer than the overlap) are joined to one
 chunk, until every neighbour is stitched.  Decoding concatenates the bytes of the ids.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import Memory, slices
+from .batches import slices
 from .common import stored, text_rows
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -51,7 +52,7 @@ def pattern():
 
 
 class Codec:
-    """Ids of pre-tokens by the vocabulary's ranks, and the bytes of ids."""
+    """Ids of texts by the vocabulary's ranks, and the bytes of ids."""
 
     def __init__(self, path: str) -> None:
         import public_tokenizers
@@ -59,18 +60,13 @@ class Codec:
         ranks = ranks_of(path)
         self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                           special_tokens={})
-        self.pattern = pattern()
-        self.known = Memory()
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
 
-    def encode(self, pieces: list[list[str]]) -> list[bytes]:
-        """Little-endian 32-bit ids of each list of pre-tokens."""
-        new = list(self.known.unknown(set().union(*pieces)))
-        ids = self.encoding.encode_ordinary_batch(new, num_threads=1)
-        self.known.learn(new, [np.array(i, "<u4").tobytes() for i in ids])
-        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+    def encode(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a text, each pre-token by itself."""
+        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -91,19 +87,12 @@ def cut(text: str, chunk: int, overlap: int) -> Iterator[tuple[int, int, bool, s
 
 def boundaries(find, text: str, last: bool, own: int, overlap: int) -> tuple[list[int], list[int]]:
     """Places of pre-token boundaries in the first ``overlap`` characters of a chunk, and in what
-    it shares with the next one, that are those of the whole text read from the chunk's start."""
+    it shares with the next one, that are those of the whole text read from the chunk's start; in
+    the latter none behind white space."""
     sure = len(text) if last else len(text) - LOOKAHEAD
     ends = [m.end() for m in find(text) if m.end() <= sure]
-    return [0, *(e for e in ends if e < overlap)], [e for e in ends if own <= e < own + overlap] if not last else []
-
-
-def pieces_between(found: list[str], behind: int) -> list[str]:
-    """The pre-tokens without those of the last ``behind`` characters."""
-    n = len(found)
-    while behind > 0:
-        n -= 1
-        behind -= len(found[n])
-    return found[:n]
+    closes = [] if last else [e for e in ends if own <= e < own + overlap and not text[e - 1].isspace()]
+    return [0, *(e for e in ends if e < overlap)], closes
 
 
 def _long_texts(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -170,10 +159,10 @@ def _encoded(chunks: DataFrame, path: str) -> DataFrame:
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for part in slices(batches, "text"):
-            pieces = [pieces_between(own.pattern.findall(t, a), b) for t, a, b in
-                      zip(*(part.column(c).to_pylist() for c in ("text", "first", "behind")))]
+            ids = [own.encode(t[a:len(t) - b]) for t, a, b in
+                   zip(*(part.column(c).to_pylist() for c in ("text", "first", "behind")))]
             yield pa.RecordBatch.from_arrays(
-                [part.column("row_key"), part.column("doc_id"), part.column("chunk"), pa.array(own.encode(pieces), pa.binary())],
+                [part.column("row_key"), part.column("doc_id"), part.column("chunk"), pa.array(ids, pa.binary())],
                 names=["row_key", "doc_id", "chunk", "ids"])
 
     return chunks.mapInArrow(rows, "row_key long, doc_id long, chunk int, ids binary")
