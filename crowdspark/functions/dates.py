@@ -81,10 +81,14 @@ def parse_reading_time(c) -> Column:
     return F.when(~twelve, out)
 
 
+def time_metrics(c: str = "time") -> list[Column]:
+    """Aggregates: texts, and how many of them (NULL aside) are not a time."""
+    return [F.count(c).alias("texts"), F.count_if(F.col(c).isNotNull() & parse_reading_time(c).isNull()).alias("unparsed")]
+
+
 def unparsed_times(df, c: str = "time"):
-    """One row: texts, and how many of them (NULL aside) are not a time."""
-    return df.agg(F.count(c).alias("texts"),
-                  F.count_if(F.col(c).isNotNull() & parse_reading_time(c).isNull()).alias("unparsed"))
+    """One row: ``time_metrics`` of a frame that nothing else is done with."""
+    return df.agg(*time_metrics(c))
 
 
 def micros(ts) -> Column:

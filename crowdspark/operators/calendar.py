@@ -6,10 +6,13 @@ the joins carry no hint: adaptive execution broadcasts whichever side is small a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import day_of_week_flags, month_flags
+from ..functions.dates import col_
+
+LEAST_LIKE = 0.7                # likeness of two names from which on they are taken for the same
 
 
 def add_date_features(df: DataFrame, date_col: str = "date") -> DataFrame:
@@ -17,14 +20,58 @@ def add_date_features(df: DataFrame, date_col: str = "date") -> DataFrame:
     return df.select("*", *day_of_week_flags(date_col), *month_flags(date_col))
 
 
-def park_countries(parks: DataFrame, aliases: DataFrame) -> DataFrame:
-    """park_id -> country name and two-letter code (one lookup per country, not per park).
+# Latin letters with marks and the letters they stand for.
+_MARKED = "àáâãäåāăąçćĉċčďđèéêëēĕėęěĝğġģĥìíîïĩīĭįıĵķĺļľłñńņňòóôõöøōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
+_PLAIN = "aaaaaaaaacccccddeeeeeeeeegggghiiiiiiiiijkllllnnnnooooooooorrrssssttuuuuuuuuuuwyyyzzz"
+
+
+def plain_name(c) -> Column:
+    """A name as it is compared: lower case, letters without marks, anything else one blank."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(col_(c)), _MARKED, _PLAIN), r"[^\p{L}\p{N}]+", " "))
+
+
+def _bigrams(name: Column) -> Column:
+    """The distinct pairs of neighbouring characters, with a blank before and behind."""
+    padded = F.concat(F.lit(" "), name, F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2))))
+
+
+def match_names(names: DataFrame, known: DataFrame, least: float = LEAST_LIKE) -> DataFrame:
+    """(plain, code, known, likeness): for each distinct ``plain`` of ``names`` the entry of ``known``
+    (plain, code) that is most like it, if its likeness is at least ``least``.
+
+    Likeness is 1 - edit distance / length of the longer name; ties go to more shared pairs of
+    letters, then to the smaller known name, then to the smaller code, so doubled and contradictory
+    entries give one row.  Equal names need no search.  Others are compared only with entries that
+    share a pair of letters: from a likeness of one half on every match does, as each edit spoils at
+    most two of the pairs, one more than the name has letters."""
+    if least < 0.5:
+        raise ValueError("names that share no pair of letters are not compared: least must be 0.5 or more")
+    names = names.where(F.col("plain") != "").select("plain").distinct()
+    known = known.where((F.col("plain") != "") & F.col("code").isNotNull()).groupBy(F.col("plain").alias("known")).agg(
+        F.min("code").alias("code"))
+    exact = names.join(known, names["plain"] == known["known"]).select("plain", "code", "known", F.lit(1.0).alias("likeness"))
+    left = names.join(known, names["plain"] == known["known"], "left_anti")
+    pairs = (left.select("plain", F.explode(_bigrams(F.col("plain"))).alias("pair"))
+             .join(known.select("known", "code", F.explode(_bigrams(F.col("known"))).alias("pair")), "pair")
+             .groupBy("plain", "known", "code").agg(F.count("*").alias("shared")))
+    like = 1 - F.levenshtein("plain", "known") / F.greatest(F.length("plain"), F.length("known"))
+    best = (pairs.withColumn("likeness", like).where(F.col("likeness") >= least).groupBy("plain")
+            .agg(F.min(F.struct(-F.col("likeness"), -F.col("shared"), "known", "code", "likeness")).alias("b")))
+    return exact.unionByName(best.select("plain", "b.code", "b.known", "b.likeness"))
+
+
+def park_countries(parks: DataFrame, aliases: DataFrame, least: float = LEAST_LIKE) -> DataFrame:
+    """park_id -> country name and two-letter code, one row per row of ``parks`` whatever ``aliases``
+    holds (one lookup per country name, not per park).
 
-    Unknown park or country gives NULL codes, so the flags below come out False.
+    Names are found as ``match_names`` says: misspelt and accented ones too.  An unknown park or
+    country gives a NULL code, so the flags below come out False.
     """
-    return (parks.select("park_id", "country", F.lower("country").alias("name_lower"))
-            .join(aliases, "name_lower", "left")
-            .select("park_id", "country", F.col("alpha2").alias("country_code")))
+    asked = parks.select("park_id", "country", plain_name("country").alias("plain"))
+    found = match_names(asked, aliases.select(plain_name("name_lower").alias("plain"), F.col("alpha2").alias("code")), least)
+    return (asked.join(found.select("plain", "code"), "plain", "left")
+            .select("park_id", "country", F.col("code").alias("country_code")))
 
 
 def unknown_parks(df: DataFrame, countries: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ sorted by (park, mean) over park-days (already aggregated, so bounded by parks x
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import round_half_even_int, round_to
@@ -82,6 +82,13 @@ def crowd_levels(readings: DataFrame, park_info: DataFrame, include_park_ids=Non
     return lvl.select("date", F.col("park_id").cast("string").alias("park_id"), "crowd_level")
 
 
+def level_metrics() -> list[Column]:
+    """Aggregates over the label frame: rows, parks, and rows without a level (D13); for ``observe``
+    beside the result."""
+    return [F.count("*").alias("n_rows"), F.array_sort(F.collect_set("park_id")).alias("parks"),
+            F.count_if(F.col("crowd_level").isNull()).alias("without_level")]
+
+
 def level_report(levels: DataFrame) -> DataFrame:
     """Row count and sorted park list (one row)."""
-    return levels.agg(F.count("*").alias("n_rows"), F.array_sort(F.collect_set("park_id")).alias("parks"))
+    return levels.agg(*level_metrics()[:2])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import CROWD_BANDS, crowd_label
@@ -57,7 +57,16 @@ def display_table(preds: DataFrame) -> DataFrame:
     return preds.select(*extra, *[c.alias(n) for c, n in zip(cols, DISPLAY_NAMES)])
 
 
-def band_rows(spark: SparkSession) -> DataFrame:
-    """Threshold bands (y0, y1, label) of the chart: 0-25 Quiet, 25-50, 50-75 (fixed)."""
-    rows = [(max(0, t - 25), t, name) for t, name in CROWD_BANDS if t <= 75]
-    return spark.createDataFrame(rows, "y0 int, y1 int, label string")
+def band_rows(preds: DataFrame, by=("park_id",)) -> DataFrame:
+    """The chart's threshold bands (y0, y1, label) with what lies in each, per group: days, first and
+    last day, and the share of the group's days.  A level of y1 lies in the band above; what lies
+    above the last band, and days without a level, are in none."""
+    bands = [(max(0, top - 25), top, label) for top, label in CROWD_BANDS if top <= 75]
+    level = F.col("crowd_level")
+    band = F.coalesce(*[F.when((level >= low) & (level < top), F.struct(F.lit(low).alias("y0"), F.lit(top).alias("y1"),
+                                                                       F.lit(label).alias("label"))) for low, top, label in bands])
+    of_group = preds.groupBy(*by).agg(F.count("*").alias("_n"))
+    held = preds.withColumn("_band", band).where(F.col("_band").isNotNull()).groupBy(*by, "_band").agg(
+        F.count("*").alias("days"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
+    return held.join(of_group, list(by)).select(*by, "_band.*", "days", "first_day", "last_day",
+                                                (F.col("days") / F.col("_n")).alias("share"))

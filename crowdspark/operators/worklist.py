@@ -36,8 +36,14 @@ def days_between(start: Column, end: Column, exclude_months=()) -> Column:
     return days
 
 
-def last_stored_day(readings: DataFrame, park_info: DataFrame) -> DataFrame:
-    """(park_id, last_day): latest stored day per park through the ride dimension."""
+def last_stored_day(readings: DataFrame, park_info: DataFrame | None = None) -> DataFrame:
+    """(park_id, last_day): latest stored day per park.
+
+    Stored readings lie in folders by park and day: their own ``park_id`` is used, and as both
+    columns come from the folders' names, no column of a file is read.  Readings without a park
+    get it through the ride dimension."""
+    if "park_id" in readings.columns:
+        return readings.groupBy("park_id").agg(F.max("date").alias("last_day"))
     r = readings.groupBy("ride_id").agg(F.max("date").alias("date"))       # rides, not readings, are joined
     return (r.join(park_info.select("ride_id", "park_id"), "ride_id")
             .groupBy("park_id").agg(F.max("date").alias("last_day")))

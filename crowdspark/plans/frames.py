@@ -111,7 +111,7 @@ def inference_plan(spark: SparkSession, source: inputs.Inputs | str, day_df: Dat
         raise ValueError("the requested days need a park_id for each day")
     data = as_inputs(spark, source)
     day_df = day_df.withColumn("park_id", F.col("park_id").cast("string"))
-    f = _feature_steps(data, day_df, data.readings(), params)
+    f = _feature_steps(data, day_df, data.readings(day_df), params)
     f = weather.add_weather_forecast(f, data.forecast(params.as_of), weather.climatology(data.weather, params.as_of),
                                      params.as_of)
     return f.select("date", "park_id", *FEATURE_COLS)

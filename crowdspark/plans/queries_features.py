@@ -3,6 +3,7 @@ encoding."""
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions import round_to
@@ -103,6 +104,48 @@ def school_holiday_flag(spark, sf_dir):
     return as_report(calendar.add_school_holidays(orders_levels(spark, sf_dir), countries(spark, sf_dir), days))
 
 
+@register("merged_school_periods", V.with_ctes(V.SCHOOL_DAYS, """islands as (
+  select country, date, date - cast(row_number() over (partition by country order by date) as integer) as island from school_days)""") + """
+select country, cast(min(date) as varchar) as start_date, cast(max(date) as varchar) as end_date
+from islands group by country, island""")
+def merged_school_periods(spark, sf_dir):
+    """Overlapping and adjoining periods of a country as one, before they become days."""
+    return as_report(holidays.merged_periods(landed.school_periods(spark, sf_dir)))
+
+
+# Country names as a careless hand would write them, by nation: the right one, marked letters, one
+# letter left out, two swapped, in another case with blanks, and a name of no country.
+_MISSPELT = ["r_name", "translate(r_name, 'AEIOU', 'ÁÉÍÖÜ')", "substr(r_name, 1, 2) || substr(r_name, 4)",
+             "substr(r_name, 1, 1) || substr(r_name, 3, 1) || substr(r_name, 2, 1) || substr(r_name, 4)",
+             "'  ' || lower(r_name) || '.'", "'Atlantis ' || r_name"]
+_SPELT = "case n_nationkey % 6 " + " ".join(f"when {i} then {t}" for i, t in enumerate(_MISSPELT)) + " end"
+
+
+@register("country_lookup", f"""
+with asked as (
+  select cast(n_nationkey as varchar) as park_id, {_SPELT} as country from nation join region on n_regionkey = r_regionkey),
+plain as (
+  select *, trim(regexp_replace(strip_accents(lower(country)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) as p from asked),
+known as (select lower(r_name) as k, upper(substr(r_name, 1, 2)) as code from region),
+likely as (
+  select park_id, code, k, 1 - levenshtein(p, k) / greatest(length(p), length(k)) as likeness,
+         len(list_intersect(list_distinct([substr(' ' || p || ' ', i, 2) for i in range(1, length(p) + 2)]),
+                            list_distinct([substr(' ' || k || ' ', i, 2) for i in range(1, length(k) + 2)]))) as shared
+  from plain, known),
+best as (
+  select * from likely where likeness >= 0.7
+  qualify row_number() over (partition by park_id order by likeness desc, shared desc, k, code) = 1)
+select a.park_id, a.country, b.code as country_code from asked a left join best b using (park_id)""")
+def country_lookup(spark, sf_dir):
+    """Countries found by names that are misspelt, accented or oddly written, against aliases
+    that list every country twice, the second time with a later code."""
+    n, r = landed.table(spark, sf_dir, "nation"), landed.table(spark, sf_dir, "region")
+    parks = n.join(r, n.n_regionkey == r.r_regionkey).select(
+        F.col("n_nationkey").cast("string").alias("park_id"), F.expr(_SPELT).alias("country"))
+    aliases = landed.country_aliases(spark, sf_dir)
+    return calendar.park_countries(parks, aliases.unionAll(aliases.withColumn("alpha2", F.lit("ZZ"))))
+
+
 def _as_json(df):
     """Each row as the JSON text a service would answer with."""
     return df.select(F.to_json(F.struct("*")).alias("body"))
@@ -353,10 +396,14 @@ select count(*) filter (where temperature_c is null or precipitation_mm is null
                           or coalesce(wind_speed_kmh, mw) is null) as rows_dropped
 from wh, med""")
 def median_missing_counters(spark, sf_dir):
-    """Rows with NULLs before / after imputation and rows dropped."""
+    """Rows with NULLs before / after imputation and rows dropped, observed by the job that
+    writes the imputed rows."""
     frame = materialise(_weather_frame(spark, sf_dir), "weather-frame")
-    med = impute.exact_medians(frame, impute.numeric_columns_with_nulls(frame))
-    return impute.missing_counters(frame, med)
+    seen = Observation()
+    filled, _ = impute.fill_with_median(frame, observed=seen)
+    materialise(filled, "filled")               # the job that writes the result counts
+    names = ["rows_with_nulls_before", "rows_with_nulls_after", "rows_dropped"]
+    return spark.createDataFrame([tuple(seen.get[n] for n in names)], ", ".join(f"{n} bigint" for n in names))
 
 
 _PARKS_ALL = [str(i) for i in range(25)]        # nation keys: the park ids of the orders world

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions import parse_reading_time, unparsed_times
-from ..operators import align, worklist
+from ..operators import align, labels, worklist
 from ..session import materialise, scratch_path
-from ..sources import landed, payload, sinks
+from ..sources import catalog, holidays, landed, payload, sinks
 from ..sources.readings import scan_readings
+from ..streaming import ingest
 from . import oracle_views as V
 from .output import as_report
 from .registry import register
@@ -165,6 +169,126 @@ def append_readings(spark, sf_dir):
     return as_report(back.select("date", "ride_id", "slot", "time_of_day", "queue_time", "is_closed"))
 
 
+@register("last_day_stored", V.with_ctes(V.R_E, V.P_E, "src as (select id, date, ride_id, ts, queue_time, is_closed from r_e)",
+                                         _ALIGN) + """
+select p.park_id, cast(max(a.date) as varchar) as last_day from aligned a join p_e p using (ride_id)
+where p.park_id <> '2' or a.date <= date '2024-01-20' group by 1""")
+def last_day_stored(spark, sf_dir):
+    """The last stored day per park from the folders of the stored readings: no column of a
+    file is read (park 2 is stored up to January 20 only)."""
+    path = scratch_path(spark, "queue_data")
+    rides = landed.events_park_info(spark, sf_dir)
+    raw = landed.events_readings(spark, sf_dir)
+    raw = raw.where((F.pmod(F.col("ride_id").cast("bigint"), F.lit(3)) != 1) | (F.col("date") <= F.to_date(F.lit("2024-01-20"))))
+    sinks.create_tables(spark, path, scratch_path(spark, "park_info"))
+    sinks.ingest_readings(align.align_to_slots(raw), rides, path)
+    return as_report(worklist.last_stored_day(sinks.read_readings(spark, path)))
+
+
+@register("readings_of_days", V.with_ctes(V.R_E, "src as (select id, date, ride_id, ts, queue_time, is_closed from r_e)",
+                                          _ALIGN, """asked as (
+  select cast(max(ts) as date) - cast(i * 3 as integer) as date from events, range(5) r(i) group by i)""") + """
+select cast(a.date as varchar) as date, a.ride_id, a.time_of_day, a.queue_time from (
+  select *, strftime(slot, '%H:%M') as time_of_day from aligned) a semi join asked using (date)""")
+def readings_of_days(spark, sf_dir):
+    """Stored readings of five requested days; only those days' folders are read (dynamic
+    partition pruning by the request)."""
+    path = scratch_path(spark, "queue_data")
+    raw = landed.events_readings(spark, sf_dir)
+    sinks.create_tables(spark, path, scratch_path(spark, "park_info"))
+    sinks.ingest_readings(align.align_to_slots(raw), landed.events_park_info(spark, sf_dir), path)
+    last = raw.agg(F.max("date").alias("hi"))
+    asked = last.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.date_sub("hi", i * 3))).alias("date"))
+    got = sinks.readings_of_days(sinks.read_readings(spark, path), asked)
+    return as_report(got.select("date", "ride_id", "time_of_day", "queue_time"))
+
+
+@register("catalog_ride_lookup", V.with_ctes(V.R_E, V.P_E, "src as (select id, date, ride_id, ts, queue_time, is_closed from r_e)",
+                                             _ALIGN) + """
+select cast(a.date as varchar) as date, a.ride_id, strftime(a.slot, '%H:%M') as time_of_day, a.queue_time, p.park_id
+from aligned a join p_e p using (ride_id)""")
+def catalog_ride_lookup(spark, sf_dir):
+    """Readings and rides stored as tables of the session's catalog, created where they
+    do not exist, bucketed by ride; the rides are inserted twice (the second time adds none).  The
+    lookup reads both by name and moves no readings."""
+    own = uuid.uuid4().hex[:12]
+    readings, rides = f"queue_data_{own}", f"park_info_{own}"
+    location = scratch_path(spark, "catalog")
+    for _ in range(2):
+        catalog.create_tables(spark, location, 8, readings, rides)
+    catalog.insert(align.align_to_slots(landed.events_readings(spark, sf_dir)), readings)
+    arrived = landed.events_park_info(spark, sf_dir).withColumn("date", F.lit(None).cast("date")).withColumn("pos", F.lit(0))
+    for _ in range(2):
+        catalog.insert_new_rides(arrived, rides)
+    got = labels.attach_park(scan_readings(spark, readings, columns=["date", "ride_id", "time_of_day", "queue_time"]),
+                             spark.table(rides))
+    return as_report(got.withColumn("park_id", F.col("park_id").cast("string")))
+
+
+_LATE = 50                      # every so manieth reading of the first half arrives after it
+
+_STREAM = V.with_ctes(V.R_E, f"""bounds as (
+  select epoch_us(min(ts)) as lo, epoch_us(max(ts)) as hi from r_e),
+landing as (
+  select r.*, not (epoch_us(ts) * 2 < lo + hi and id % {_LATE} <> 7) as second from r_e r, bounds),
+src as (select * from landing)""", """c as (
+  select *, epoch_us(ts) as us, epoch_us(ts) - epoch_us(ts) % 900000000 as f from src),
+cand as (
+  select *, f as slot_us from c union all select *, f + 900000000 as slot_us from c),
+ok as (select *, abs(us - slot_us) as diff from cand where abs(us - slot_us) <= 450000000),
+marks as (
+  select max(slot_us) filter (where not second) - 1800000000 as first_mark, max(slot_us) - 1800000000 as last_mark from ok),
+ranked as (
+  select ok.*, row_number() over (partition by date, ride_id, slot_us order by diff, us, id) as rn
+  from ok, marks where not second or slot_us > first_mark or first_mark is null)""")
+
+
+@register("stream_ingest", _STREAM + """
+select cast(date as varchar) as date, ride_id, strftime(make_timestamp(slot_us), '%Y-%m-%d %H:%M:%S') as slot,
+       strftime(make_timestamp(slot_us), '%H:%M') as time_of_day, queue_time, is_closed
+from ranked, marks where rn = 1 and slot_us <= last_mark""")
+def stream_ingest(spark, sf_dir):
+    """K1 H6 C10 as a stream: readings land in two parts, the second with some that come late; the
+    query takes what is there, stops, and is started again from its checkpoint for the second part
+    and once more for nothing.  The table holds the aligned rows that the watermark (30 minutes)
+    allows: no open slots at the end, and no late reading of a slot already written."""
+    raw = landed.events_readings(spark, sf_dir).select(*ingest.RAW_READING.fieldNames())
+    us = F.unix_micros("ts")
+    ends = raw.agg((F.min(us) + F.max(us)).alias("ends")).scalar()
+    parts = materialise(raw.withColumn("second", ~((us * 2 < ends) & (F.col("id") % _LATE != 7))), "landing")
+    source, out, ckpt = (scratch_path(spark, f"stream-{n}") for n in ("source", "table", "checkpoint"))
+    for part in ("not second", "second", None):
+        if part is not None:
+            parts.where(part).select(*raw.columns).write.mode("append").parquet(source)
+        ingest.start_ingest(spark, source, out, ckpt).awaitTermination()
+    return as_report(ingest.read_table(spark, out))
+
+
+@register("observed_counters", V.with_ctes(_PANEL_ROWS, V.SCHOOL_DAYS, V.R_O, V.P_O, V.LEVELS_O) + """
+select 'reading times' as rows_of, 'texts' as counter, count(*) as n from pts
+union all select 'reading times', 'unparsed', 0
+union all select 'reading times', 'unreported', count(*) from events
+  where user_id % 17 <> 0 and event_type <> 'error' and not value >= 1
+union all select 'school periods', 'periods', count(*) from periods
+union all select 'school periods', 'unreadable', count(*) from parsed where s is null or e is null
+union all select 'school periods', 'inverted', count(*) from parsed where e < s
+union all select 'crowd levels', 'n_rows', count(*) from levels
+union all select 'crowd levels', 'without_level', count(*) from levels where crowd_level is null""")
+def observed_counters(spark, sf_dir):
+    """B14 B17 D13 (and D12 in median_missing_counters): what a step drops or cannot read, observed
+    by the job that writes its result; nothing is read again for it."""
+    times, periods, levels = Observation(), Observation(), Observation()
+    materialise(payload.flatten_payloads(landed.chart_payloads(spark, sf_dir), observed=times), "points")
+    found = landed.school_periods(spark, sf_dir).observe(periods, *holidays.period_metrics())
+    materialise(holidays.school_holiday_days(found), "school-days")
+    made = labels.crowd_levels(scan_readings(spark, landed.orders_readings(spark, sf_dir)),
+                               landed.customer_park_info(spark, sf_dir))
+    materialise(made.observe(levels, *labels.level_metrics()), "levels")
+    rows = [(what, name, int(n)) for what, seen in (("reading times", times), ("school periods", periods), ("crowd levels", levels))
+            for name, n in seen.get.items() if name != "parks"]
+    return spark.createDataFrame(rows, "rows_of string, counter string, n bigint")
+
+
 @register("park_info_upsert", V.with_ctes(_PANEL_ROWS, """named as (
   select ride_id, park_id, ride_name || ' @' || strftime(date, '%Y-%m-%d') as ride_name, date from pts),
 firsts as (

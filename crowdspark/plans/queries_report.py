@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import clip, round_half_even_int
+from ..functions import clip, round_half_even_int, round_to
 from ..operators import report
 from ..session import scratch_path
 from ..sources import sinks
@@ -76,13 +76,16 @@ def output_order(spark, sf_dir):
     return as_report(report.in_order(month_baseline_predictions(spark, sf_dir)).select("park_id", "date", "crowd_level", "place"))
 
 
-@register("band_rows", """
-select * from (values (0, 25, 'Quiet'), (25, 50, 'Moderate'), (50, 75, 'Busy')) as t(y0, y1, label)
-where (select count(*) from orders) > 0""")
+@register("band_rows", _PREDS + """,
+bands as (select * from (values (0, 25, 'Quiet'), (25, 50, 'Moderate'), (50, 75, 'Busy')) as t(y0, y1, label)),
+n as (select park_id, count(*) as n from preds group by 1)
+select p.park_id, y0, y1, label, count(*) as days, cast(min(date) as varchar) as first_day, cast(max(date) as varchar) as last_day,
+       floor(count(*) / any_value(n.n) * 1e6 + 0.5) / 1e6 as share
+from preds p join bands on crowd_level >= y0 and crowd_level < y1 join n on n.park_id = p.park_id group by 1, 2, 3, 4""")
 def band_rows(spark, sf_dir):
-    """The chart's threshold bands (shown when there are readings)."""
-    from ..sources import landed
-    return report.band_rows(spark).where(F.lit(not landed.table(spark, sf_dir, "orders").isEmpty()))
+    """The chart's threshold bands with the predicted days that lie in each, per park."""
+    rows = report.band_rows(month_baseline_predictions(spark, sf_dir))
+    return as_report(rows.withColumn("share", round_to("share")))
 
 
 @register("display_table", _PREDS + _DISPLAY)

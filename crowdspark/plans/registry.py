@@ -65,6 +65,17 @@ def park_lookup(spark, sf_dir):
     return as_report(out.withColumn("park_id", F.col("park_id").cast("string")))
 
 
+@register("park_lookup_included", V.with_ctes(V.R_O, V.P_O, """ride_park as (
+  select ride_id, min(park_id) as park_id from p_o group by ride_id)""") + """
+select cast(r.date as varchar) as date, r.ride_id, r.queue_time, rp.park_id
+from r_o r join ride_park rp using (ride_id) where rp.park_id in ('2', '7', '11')""")
+def park_lookup_included(spark, sf_dir):
+    """The same for chosen parks only."""
+    r = scan_readings(spark, landed.orders_readings(spark, sf_dir), columns=["date", "ride_id", "queue_time"])
+    out = labels.attach_park(r, landed.customer_park_info(spark, sf_dir), include_park_ids=[2, "7", 11])
+    return as_report(out.withColumn("park_id", F.col("park_id").cast("string")))
+
+
 @register("ride_day_mean", V.with_ctes(V.R_O, V.P_O, V.LEVELS_O) + """
 select cast(date as varchar) as date, cast(park_id as varchar) as park_id, ride_id, """ + V.r6("avg_queue_time") + """ as avg_queue_time from ride_day""")
 def ride_day_mean(spark, sf_dir):

@@ -20,7 +20,9 @@ from .readings import scan_park_info, scan_readings
 
 @dataclass
 class Inputs:
-    readings: Callable[[], DataFrame]            # stored readings: date, ride_id, time_of_day, queue_time, is_closed
+    # stored readings: date, ride_id, time_of_day, queue_time, is_closed; of all days, or of those in
+    # the ``date`` column of a frame
+    readings: Callable[..., DataFrame]
     park_info: DataFrame                         # ride_id, park_id, ride_name
     parks: DataFrame                             # park directory document
     aliases: DataFrame                           # name_lower, alpha2 of countries
@@ -34,9 +36,12 @@ class Inputs:
 def from_tables(spark: SparkSession, sf_dir: str, missing_park: str = "3", short_park: str = "2",
                 short_days: int = 6) -> Inputs:
     """The driver's tables: raw events are aligned and stored as ingest would."""
-    def readings() -> DataFrame:
-        a = align.align_to_slots(landed.events_readings(spark, sf_dir))
-        return materialise(a.select("date", "ride_id", "time_of_day", "queue_time", "is_closed"), "readings")
+    def readings(days: DataFrame | None = None) -> DataFrame:
+        raw = landed.events_readings(spark, sf_dir)
+        if days is not None:
+            raw = sinks.readings_of_days(raw, days)
+        a = align.align_to_slots(raw).select("date", "ride_id", "time_of_day", "queue_time", "is_closed")
+        return materialise(a, "readings") if days is None else a
 
     weather = landed.events_weather(spark, sf_dir)
     return Inputs(
@@ -62,11 +67,15 @@ def from_folder(spark: SparkSession, path: str) -> Inputs:
     def docs(kind: str) -> DataFrame:
         return documents.read_documents(spark, f"{base}/{kind}.json", kind)
 
+    def readings(days: DataFrame | None = None) -> DataFrame:
+        stored = sinks.read_readings(spark, f"{base}/queue_data")
+        if days is not None:
+            stored = sinks.readings_of_days(stored, days)
+        return scan_readings(spark, stored, columns=["date", "ride_id", "time_of_day", "queue_time", "is_closed"])
+
     countries = spark.read.option("header", True).schema("name string, code string").csv(f"{base}/countries.csv")
     return Inputs(
-        lambda: scan_readings(spark, sinks.read_readings(spark, f"{base}/queue_data"),
-                              columns=["date", "ride_id", "time_of_day", "queue_time", "is_closed"]),
-        scan_park_info(spark, spark.read.schema(PARK_INFO).parquet(f"{base}/park_info"), columns=PARK_INFO.fieldNames()),
+        readings, scan_park_info(spark, spark.read.schema(PARK_INFO).parquet(f"{base}/park_info"), columns=PARK_INFO.fieldNames()),
         docs("parks"), countries.selectExpr("lower(name) as name_lower", "upper(code) as alpha2"),
         docs("public_holidays"), docs("school_holidays"), docs("schedule"),
         spark.read.schema(DAILY_WEATHER).parquet(f"{base}/weather"), lambda as_of: docs("forecast"))

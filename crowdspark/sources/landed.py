@@ -84,7 +84,7 @@ def school_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", day_text(F.date_sub(start, 2)))
            .otherwise(day_text(F.date_add(start, (F.col("o_orderkey") % 4).cast("int")))))
     return (o.join(c, o.o_custkey == c.c_custkey)
-            .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
             .select("country",
                     F.concat(F.lit("break-"), F.col("o_orderkey").cast("string")).alias("holiday_name"),
                     F.date_format(start, "yyyy-M-d").alias("start_date"),
@@ -138,22 +138,22 @@ def country_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.lower("r_name").alias("name_lower"), F.upper(F.substring("r_name", 1, 2)).alias("alpha2"))
 
 
-def _reading_years(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
-    """First and last calendar year of the readings of both worlds."""
+def _reading_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(y): every calendar year from the first to the last of the readings of both worlds."""
     b = (table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"))
          .unionByName(table(spark, sf_dir, "events").select(F.year("ts").alias("y")))
-         .agg(F.min("y").alias("lo"), F.max("y").alias("hi")).first())
-    return (b["lo"], b["hi"]) if b["lo"] is not None else (1, 0)
+         .agg(F.min("y").alias("lo"), F.max("y").alias("hi")))
+    return b.select(F.explode(F.sequence("lo", "hi")).alias("y"))
 
 
 def public_holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Public-holiday rows (country_code, date text, name) for every year present in the
     readings of both worlds; each country also lists one entry without a date."""
     r = table(spark, sf_dir, "region").select("r_name")
-    lo, hi = _reading_years(spark, sf_dir)
+    names = r.agg(F.array_sort(F.collect_list("r_name"))).scalar()
     md = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(d).alias("d"), F.lit(nm).alias("name"))
                    for m, d, nm in PUBLIC_HOLIDAY_DAYS])
-    rows = (r.select("r_name", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("y"))
+    rows = (_reading_years(spark, sf_dir).select("y", F.explode(names).alias("r_name"))
             .select("r_name", "y", F.explode(md).alias("h"))
             .where(~((F.col("r_name") == PUBLIC_HOLIDAY_SKIP[0]) & (F.col("h.m") == PUBLIC_HOLIDAY_SKIP[1])))
             .select(F.upper(F.substring("r_name", 1, 2)).alias("country_code"),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions import closed_flag, falsy_zero, last_path_part, parse_day, parse_reading_time, wall_clock_text
+from ..functions import closed_flag, falsy_zero, last_path_part, parse_day, parse_reading_time, time_metrics, wall_clock_text
 from ..functions.strings import PARK_DATASET_LABEL, UNKNOWN_RIDE_NAME
 
 
@@ -21,13 +21,18 @@ def valid_panels(payloads: DataFrame) -> DataFrame:
                    & F.col("park_ds").isNotNull())
 
 
-def flatten_payloads(payloads: DataFrame, drop_missing: bool = False) -> DataFrame:
+def flatten_payloads(payloads: DataFrame, drop_missing: bool = False, observed: Observation | None = None) -> DataFrame:
     """One row per data point: park_id, date, ride_id, ride_name, pos, ts, time_of_day text,
-    queue_time (missing -> 0, or no row with ``drop_missing``), is_closed (1 only for an exact 0)."""
+    queue_time (missing -> 0, or no row with ``drop_missing``), is_closed (1 only for an exact 0).
+
+    ``observed`` gets the number of time texts and of those that are no time (B14), and of points
+    the park did not report, from the job that reads the result."""
     p = valid_panels(payloads)
     pts = p.select("park_id", "date", "panel_pos", "ride_id", "ride_name", "park_ds",
                    F.posexplode("labels").alias("pos", "label"))
     v = F.try_element_at(F.col("park_ds.data"), F.col("pos") + 1)
+    if observed is not None:
+        pts = pts.observe(observed, *time_metrics("label"), F.count_if(v.isNull()).alias("unreported"))
     ts = parse_reading_time("label")
     if drop_missing:
         pts = pts.where(v.isNotNull())

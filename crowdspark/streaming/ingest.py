@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import hhmm, timestamp_from_micros
 from ..operators.align import nearest_order, slot_candidates
+from ..schema import QUEUE_DATA
 
 RAW_READING = T.StructType([
     T.StructField("id", T.LongType()),
@@ -64,3 +65,11 @@ def start_ingest(spark: SparkSession, source_dir: str, table_path: str, checkpoi
          .option("checkpointLocation", checkpoint_path))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def read_table(spark: SparkSession, table_path: str) -> DataFrame:
+    """The rows that all micro-batches have written; a table without any reads as empty."""
+    fields = [f for f in QUEUE_DATA.fields if f.name != "date"]
+    schema = T.StructType([*fields, T.StructField("epoch_id", T.LongType()), T.StructField("date", T.DateType())])
+    return spark.read.schema(schema).parquet(table_path).select(
+        "date", "ride_id", "slot", "time_of_day", "queue_time", "is_closed")
