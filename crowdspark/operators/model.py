@@ -14,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,19 +75,31 @@ def expanding_folds(df: DataFrame, n_splits: int = 5, date_col: str = "date") ->
 
 # ----------------------------------------------------------------------------- fit / predict
 
-def forest(params: dict | None = None, seed: int = FOREST_SEED) -> RandomForestRegressor:
+class ForestModel(RandomForestRegressionModel):
+    """A fitted forest without a Python object per tree: Spark lists a model's parameters by looking
+    at all its attributes, which would make them at every fit (half of its time at 150 trees)."""
+
+    trees = None
+
+
+class Forest(RandomForestRegressor):
+    def _create_model(self, java_model) -> ForestModel:
+        return ForestModel(java_model)
+
+
+def forest(params: dict | None = None, seed: int = FOREST_SEED) -> Forest:
     p = dict(params or {})
-    return RandomForestRegressor(featuresCol="features", labelCol=LABEL, seed=seed,
-                                 numTrees=int(p.get("numTrees", 100)), maxDepth=int(p.get("maxDepth", 10)),
-                                 minInstancesPerNode=int(p.get("minInstancesPerNode", 1)),
-                                 featureSubsetStrategy=str(p.get("featureSubsetStrategy", "sqrt")),
-                                 bootstrap=bool(p.get("bootstrap", True)),
-                                 # each row keeps the id of its current node instead of the
-                                 # growing forest being shipped to the executors every level;
-                                 # lineage is at most maxDepth levels, so no extra checkpoints
-                                 cacheNodeIds=True, checkpointInterval=-1,
-                                 # all nodes of a level in one pass instead of groups of them
-                                 maxMemoryInMB=1024)
+    return Forest(featuresCol="features", labelCol=LABEL, seed=seed,
+                  numTrees=int(p.get("numTrees", 100)), maxDepth=int(p.get("maxDepth", 10)),
+                  minInstancesPerNode=int(p.get("minInstancesPerNode", 1)),
+                  featureSubsetStrategy=str(p.get("featureSubsetStrategy", "sqrt")),
+                  bootstrap=bool(p.get("bootstrap", True)),
+                  # each row keeps the id of its current node instead of the
+                  # growing forest being shipped to the executors every level;
+                  # lineage is at most maxDepth levels, so no extra checkpoints
+                  cacheNodeIds=True, checkpointInterval=-1,
+                  # all nodes of a level in one pass instead of groups of them
+                  maxMemoryInMB=1024)
 
 
 def forest_pipeline(feature_cols: list[str], params: dict | None = None, seed: int = FOREST_SEED) -> Pipeline:
