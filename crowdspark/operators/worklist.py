@@ -27,6 +27,17 @@ def check_range(start: str, end: str) -> tuple[dt.date, dt.date]:
     return s, e
 
 
+def range_problem(start: Column, end: Column) -> Column:
+    """What is wrong with a range of day texts, as ``check_range`` sees it, else NULL: for ranges that
+    come as rows, where one bad row must not stop the others."""
+    def day(text: Column) -> Column:
+        return F.when(text.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), F.try_to_date(text, "yyyy/M/d"))
+
+    s, e = day(start), day(end)
+    return (F.when(s.isNull(), "the start is no day").when(e.isNull(), "the end is no day")
+            .when(e < s, "the range ends before it begins"))
+
+
 def days_between(start: Column, end: Column, exclude_months=()) -> Column:
     """Inclusive ascending days without the excluded months (empty when end < start)."""
     days = date_days(start, end)

@@ -104,6 +104,19 @@ def school_holiday_flag(spark, sf_dir):
     return as_report(calendar.add_school_holidays(orders_levels(spark, sf_dir), countries(spark, sf_dir), days))
 
 
+@register("school_periods_in_order", V.with_ctes(V.SCHOOL_DAYS, """named as (
+  select r_name as country, 'break-' || o_orderkey as holiday_name, strftime(cast(o_orderdate as date), '%Y-%-m-%-d') as start_date
+  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+  where o_orderpriority <> '5-LOW')""") + """
+select country, holiday_name, cast(cast(strptime(start_date, '%Y-%m-%d') as date) as varchar) as start_date,
+       row_number() over (order by strptime(start_date, '%Y-%m-%d'), country, holiday_name) as place
+from named""")
+def school_periods_in_order(spark, sf_dir):
+    """the readable periods in the order of their start day, with their places."""
+    got = holidays.periods_in_order(landed.school_periods(spark, sf_dir))
+    return as_report(got.select("country", "holiday_name", "start_date", "place"))
+
+
 @register("merged_school_periods", V.with_ctes(V.SCHOOL_DAYS, """islands as (
   select country, date, date - cast(row_number() over (partition by country order by date) as integer) as island from school_days)""") + """
 select country, cast(min(date) as varchar) as start_date, cast(max(date) as varchar) as end_date
@@ -176,12 +189,11 @@ def public_holidays_json(spark, sf_dir):
 @register("school_holidays_json", V.with_ctes(V.SCHOOL_DAYS) + """
 select country, cast(date as varchar) as date from school_days""")
 def school_holidays_json(spark, sf_dir):
-    """Period documents, one per holiday and some of them cut off, in order of their
-    start, -> distinct days."""
+    """Period documents, one per holiday and some of them cut off, -> distinct days."""
     text = _as_json(landed.school_periods(spark, sf_dir))
     cut = text.select(F.expr("substring(body, 1, 20)").alias("body"))
     periods = documents.parse_documents(text.unionAll(cut), "school_holidays")
-    return as_report(holidays.school_holiday_days(holidays.periods_in_order(periods)))
+    return as_report(holidays.school_holiday_days(periods))
 
 
 @register("unreadable_documents", """

@@ -135,6 +135,19 @@ def date_work_list(spark, sf_dir):
     return worklist.work_list(parks, CONFIG_START, CONFIG_END, EXCLUDE_MONTHS)
 
 
+@register("range_guards", V.with_ctes(V.SCHOOL_DAYS) + """
+select country, case when s is null then 'the start is no day' when e is null then 'the end is no day'
+                     when e < s then 'the range ends before it begins' end as problem, count(*) as ranges
+from parsed group by 1, 2""")
+def range_guards(spark, sf_dir):
+    """Ranges that come as rows (each country's periods), checked one by one: what is wrong with
+    how many."""
+    p = landed.school_periods(spark, sf_dir).select("country", F.translate("start_date", "-", "/").alias("s"),
+                                                    F.translate("end_date", "-", "/").alias("e"))
+    return (p.groupBy("country", worklist.range_problem(F.col("s"), F.col("e")).alias("problem"))
+            .agg(F.count("*").alias("ranges")))
+
+
 @register("pending_dates", V.with_ctes(V.R_O, V.P_O, _PARKS, """last as (
   select p.park_id, max(r.date) as last_day from r_o r join p_o p on r.ride_id = p.ride_id group by 1),
 starts as (

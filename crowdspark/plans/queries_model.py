@@ -10,7 +10,7 @@ from ..schema import DAY_OF_WEEK_COLS, MONTH_COLS, WEATHER_COLS
 from ..session import materialise, scratch_path
 from ..sources import inputs, landed
 from . import oracle_views as V
-from .frames import RunParams, inference_days, inference_frame, model_features, training_frame
+from .frames import RunParams, as_inputs, inference_days, inference_frame, model_features, training_frame
 from .output import as_report
 from .queries_features import _HIST, _SCHED, orders_levels
 from .queries_ingest import _ALIGN
@@ -95,7 +95,8 @@ select cast(date as varchar) as date, park_id, {_FEATURES}, {_WX_ROUND}, {_ONE_H
 
 
 def inference(spark, source):
-    return inference_frame(spark, source, inference_days(spark, source, P), P)
+    data = as_inputs(spark, source)
+    return inference_frame(spark, data, inference_days(spark, data, P), P)
 
 
 def _rounded(df):

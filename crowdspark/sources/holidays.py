@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import date_days, parse_day
+from ..operators.report import in_order
 
 
 def public_holiday_days(rows: DataFrame) -> DataFrame:
@@ -55,5 +56,6 @@ def period_metrics() -> list[Column]:
 
 
 def periods_in_order(periods: DataFrame) -> DataFrame:
-    """Periods ordered by start day (the order the source is asked for)."""
-    return parse_periods(periods).orderBy("start_date", "country", "holiday_name")
+    """Periods in the order of their start day (the order the source is asked for), ties by country
+    and name, each with its 1-based ``place``."""
+    return in_order(parse_periods(periods), by=("start_date", "country", "holiday_name"))

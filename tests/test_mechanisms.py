@@ -235,3 +235,12 @@ def test_bands_of_rows(spark):
     assert sorted(tuple(r)[:6] + (round(r["share"], 3),) for r in got) == [
         ("1", 0, 25, "Quiet", 2, D(2024, 1, 1), 0.286), ("1", 25, 50, "Moderate", 1, D(2024, 1, 3), 0.143),
         ("1", 50, 75, "Busy", 1, D(2024, 1, 4), 0.143)]
+
+
+def test_range_problems(spark):
+    rows = [("2024/01/02", "2024/01/03"), ("2024/01/02", "2024/01/01"), ("2024-01-02", "2024/01/03"), ("2024/01/02", "junk"),
+            ("2024/02/30", "2024/03/01"), (None, "2024/01/01"), ("2024/1/2", "2024/1/2")]
+    got = [r[0] for r in spark.createDataFrame(rows, "s string, e string").select(
+        worklist.range_problem(F.col("s"), F.col("e"))).collect()]
+    assert got == [None, "the range ends before it begins", "the start is no day", "the end is no day", "the start is no day",
+                   "the start is no day", None]
