@@ -44,11 +44,24 @@ class Memory(dict):
             return items
         return new
 
+    def note(self, items) -> None:
+        """Count items that are put in one by one."""
+        self.held += self._bytes(items)
+
     def learn(self, items: Iterable, values: Iterable) -> None:
         items = list(items)
-        self.held += self._bytes(items)
+        self.note(items)
         self.update(zip(items, values))
 
+    def learn_one(self, item, value, size: int = 0) -> None:
+        """One item, whose value takes ``size`` bytes more."""
+        size += 2 * len(item) + ENTRY_BYTES
+        if self.held + size > self.limit:
+            self.clear()
+            self.held = 0
+        self.held += size
+        self[item] = value
+
     @staticmethod
     def _bytes(items) -> int:
         return sum(map(len, items)) * 2 + ENTRY_BYTES * len(items)

@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_rows
+from .batches import Memory, slices
+from .common import partitions, text_rows
 
 GRADES = 3                  # 0 toxic, 1 poor, 2 good
 FIT_ROWS = 2500             # labelled rows per grade that the model is fitted on
@@ -31,42 +32,100 @@ ROUNDS = 200
 RATE = 0.03
 DECAY = 3e-3
 BLOCK = 1 << 20             # features gone over at once while fitting
-CACHE_WORDS = 400_000
-CACHE_LETTERS = 64          # longer words are scored each time they come, not remembered
-LONG_RUN = 1 << 16          # letters of a word gone over at once
+LONG_RUN = 1 << 16          # letters of words gone over at once
 
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = re.compile(r"(?:[^\w\n]|[\d_])+")
+_REPEATED = re.compile(r"(.)\1+")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed features of one blank-separated word, each once: its letters, all their grams, its
-    shape.  A run without blanks may be a whole page: beside copies of it, no more than a mark per
-    feature is held."""
-    letters = _OTHER.sub("", word).lower()
-    shape = "".join("".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-                            for c in word[at:at + LONG_RUN]) for at in range(0, len(word), LONG_RUN))
-    shape = re.sub(r"(.)\1+", r"\1+", shape)
-    padded = f"^{letters}$"
-    starts = range(len(padded) - GRAM + 1)
-    found = {xxhash.xxh32_intdigest(n) % DIMS for n in (f"s {shape}", f"w {letters}")}
-    if len(starts) <= LONG_RUN:
-        found.update([xxhash.xxh32_intdigest(f"g {padded[i:i + GRAM]}") % DIMS for i in starts])
-        return list(found)
+class _Kinds(dict):
+    """The kind of each character, as a table for ``str.translate``."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return kind
+
+
+_KINDS = _Kinds()
+
+
+def _grams(points: np.ndarray) -> np.ndarray:
+    """Features of all windows of GRAM code points."""
+    last = len(points) - GRAM + 1
+    wide = points.astype(np.uint64)
+    hashed = wide[:last].copy()
+    for k in range(1, GRAM):
+        hashed = hashed * _MIX + wide[k:last + k]
+    hashed = (hashed ^ hashed >> np.uint64(31)) * _MIX
+    return (hashed >> np.uint64(40) & np.uint64(DIMS - 1)).astype(np.int64)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _long_word(letters: str, found: list[int]) -> np.ndarray:
+    """Features of one word of many letters, block by block: a run without blanks may be a whole
+    page, and beside copies of it no more than a mark per feature is held."""
     marks = np.zeros(DIMS, bool)
-    marks[list(found)] = True
-    for at in range(0, len(starts), LONG_RUN):
-        marks[[xxhash.xxh32_intdigest(f"g {padded[i:i + GRAM]}") % DIMS for i in starts[at:at + LONG_RUN]]] = True
-    return np.nonzero(marks)[0].tolist()
+    marks[found] = True
+    padded = f"^{letters}$"
+    for at in range(0, len(padded) - GRAM + 1, LONG_RUN):
+        marks[_grams(_points(padded[at:at + LONG_RUN + GRAM - 1]))] = True
+    return np.flatnonzero(marks)
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, feature): the hashed features of blank-separated words, each once a word,
+    by word: its letters, all their grams, its shape.  The words are gone over together: one
+    array of their code points, whose windows are hashed at once."""
+    together = "\n".join(words)
+    letters = _OTHER.sub("", together).lower().split("\n")
+    shapes = _REPEATED.sub(r"\1+", together.translate(_KINDS)).split("\n")
+    shape = {s: xxhash.xxh32_intdigest(f"s {s}") % DIMS for s in set(shapes)}
+    own = np.array([[shape[s], xxhash.xxh32_intdigest(f"w {w}") % DIMS] for s, w in zip(shapes, letters)], np.int64)
+    number = np.arange(len(words))
+    keys = [number * DIMS + own[:, 0], number * DIMS + own[:, 1]]
+    long = [i for i, w in enumerate(letters) if len(w) > LONG_RUN]
+    for i in long:
+        keys.append(i * DIMS + _long_word(letters[i], own[i].tolist()))
+        letters[i] = ""
+    points = _points("^" + "$\n^".join(letters) + "$")
+    if len(points) >= GRAM:
+        ends = points == 10
+        word = np.cumsum(ends)
+        inside = np.flatnonzero((word[:-GRAM + 1] == word[GRAM - 1:]) & ~ends[:-GRAM + 1])
+        keys.append(word[inside] * DIMS + _grams(points)[inside])
+    found = np.concatenate(keys)
+    found.sort()
+    found = found[np.r_[True, found[1:] != found[:-1]]]
+    return found // DIMS, found % DIMS
+
+
+def by_letters(words: list[str], limit: int) -> list[list[str]]:
+    """The words in lists of about ``limit`` letters at most; a longer word is a list of its own."""
+    out, held = [[]], 0
+    for w in words:
+        if held + len(w) > limit and out[-1]:
+            out.append([])
+            held = 0
+        out[-1].append(w)
+        held += len(w)
+    return out if words else []
 
 
-def text_words(text: str) -> tuple[dict[str, float], float]:
+_LOGS = [math.log1p(n) for n in range(1000)]
+
+
+def text_words(text: str) -> tuple[list[str], np.ndarray, float]:
     """Distinct words with log(1 + count), a pseudo-word for how often words repeat, and the scale."""
     words = Counter(text.split())
-    total = sum(words.values())
-    logs = {w: math.log1p(n) for w, n in words.items()}
-    scale = SCALE / math.sqrt(sum(x * x for x in logs.values()) + SHORT)
-    logs[f"\x00distinct{10 * len(words) // total if total else 0}"] = 1 / scale
-    return logs, scale
+    total = words.total()
+    logs = np.array([_LOGS[n] if n < 1000 else math.log1p(n) for n in words.values()])
+    scale = SCALE / math.sqrt(float(logs @ logs) + SHORT)
+    return ([*words, f"\x00distinct{10 * len(words) // total if total else 0}"], np.append(logs, 1 / scale), scale)
 
 
 def graded(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality",
@@ -130,9 +189,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         fit_rows: int = FIT_ROWS) -> dict:
     """The model: sparse weights over DIMS hashed features and the thresholds.
 
-    Fitted on ``fit_rows`` labelled rows of each grade (all where there are fewer), the first by
-    a hash of the id, weighted back to the grades' shares.  So at most GRADES x fit_rows labels
-    are broadcast to the scan of the texts, and that many rows' features reach the driver.
+    Fitted on ``fit_rows`` labelled ids of each grade (all where there are fewer), the first by
+    a hash of the id, weighted back to the grades' shares.  An id that stands in several rows is
+    fitted once, on the text whose hash is smallest.  So at most GRADES x fit_rows labels are
+    broadcast to the scan of the texts, and that many rows' features reach the driver.
     """
     grades = graded(labels)
     have = {r["grade"]: r["count"] for r in grades.groupBy("grade").count().collect()}
@@ -143,18 +203,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         first = grades.where(F.col("grade") == grade).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(fit_rows)
         chosen = first if chosen is None else chosen.unionAll(first)
     rows = text_rows(docs, id_col, text_col).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = (rows.groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("first"))
+            .select(F.col("first.text").alias("text"), "grade").repartition(partitions(docs.sparkSession)))
 
     def features(batches):
         for batch in batches:
             cols, values = [], []
             for text in batch.column(0).to_pylist():
-                words, scale = text_words(text)
-                sums: dict[int, float] = {}
-                for word, value in words.items():
-                    for f in word_features(word):
-                        sums[f] = sums.get(f, 0.0) + value * scale
-                cols.append(np.fromiter(sums.keys(), np.int32, len(sums)).tobytes())
-                values.append(np.fromiter(sums.values(), np.float32, len(sums)).tobytes())
+                words, logs, scale = text_words(text)
+                found, amounts, at = [], [], 0
+                for block in by_letters(words, 1 << 18):
+                    word, feature = word_features(block)
+                    found.append(feature)
+                    amounts.append(logs[at + word] * scale)
+                    at += len(block)
+                held, place = np.unique(np.concatenate(found), return_inverse=True)
+                cols.append(held.astype(np.int32).tobytes())
+                values.append(np.bincount(place, np.concatenate(amounts)).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cols, pa.binary()), pa.array(values, pa.binary()),
                                               batch.column(1)], names=["cols", "values", "grade"])
     got = rows.select("text", "grade").mapInArrow(features, "cols binary, values binary, grade int")
@@ -180,28 +245,24 @@ class Grader:
         self.weights = np.zeros(DIMS, np.float32)
         self.weights[model["cols"]] = model["weights"]
         self.thresholds = model["thresholds"]
-        self.known: dict[str, float] = {}
-
-    def score(self, text: str) -> float:
-        words, scale = text_words(text)
-        known, total = self.known, 0.0
-        for word, value in words.items():
-            own = known.get(word)
-            if own is None:
-                if len(known) >= CACHE_WORDS:
-                    known.clear()
-                own = float(self.weights[word_features(word)].sum())
-                if len(word) <= CACHE_LETTERS:
-                    known[word] = own
-            total += own * value
-        return total * scale
+        self.known = Memory()
+
+    def scores(self, texts: list[str]) -> list[float]:
+        split = [text_words(t) for t in texts]
+        new = list(self.known.unknown(set().union(*(words for words, _, _ in split))))
+        for block in by_letters(new, 1 << 18):
+            word, feature = word_features(block)
+            self.known.learn(block, np.bincount(word, self.weights[feature], len(block)).tolist())
+        get = self.known.__getitem__
+        return [float(np.fromiter(map(get, words), np.float64, len(words)) @ logs) * scale for words, logs, scale in split]
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     fit_rows: int = FIT_ROWS, least: float = 0.5) -> DataFrame:
     """row_key, doc_id, score, expected_grade, p_at_least_1, p_at_least_2, kept of every row.
 
-    Whole texts are scored; a null text is an empty one.  ``kept``: the tail probability of the
+    Whole texts are scored; a null text is an empty one; repeated rows are scored each.  Words are
+    remembered up to a bound in bytes (``batches.MEMORY_BYTES``).  ``kept``: the tail probability of the
     best grade is at least ``least``.  Without any graded row there is no model: every grade is
     as likely and every row is kept.
     """
@@ -210,8 +271,8 @@ def grade_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     def run(batches):
         grader = Grader(shared.value)
-        for batch in batches:
-            s = np.array([grader.score(t) for t in batch.column(2).to_pylist()], np.float64)
+        for batch in slices(batches, "text"):
+            s = np.array(grader.scores(batch.column(2).to_pylist()), np.float64)
             if grader.thresholds is None:
                 tails = [np.full(len(s), 1 - (k + 1) / GRADES) for k in range(GRADES - 1)]
                 kept = np.ones(len(s), bool)

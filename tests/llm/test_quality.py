@@ -69,10 +69,91 @@ def test_text_behind_letter_64_of_an_unbroken_run_counts(spark, tmp_path):
     assert all(r["kept"] == (r["doc_id"] % 3 == 2) for r in got if r["doc_id"] >= 60)
 
 
-def test_long_runs_are_gone_over_in_blocks(monkeypatch):
-    word = "".join(chr(0x4E00 + i * i % 997) for i in range(3000)) + "Ab-12_" * 40
-    whole = set(Q.word_features(word))
-    assert len(whole) > 900
-    assert whole != set(Q.word_features(word[:-240] + "Xy-12_" * 40))
-    monkeypatch.setattr(Q, "LONG_RUN", 100)
-    assert set(Q.word_features(word)) == whole
+def _plain_features(word):
+    """The features of one word, letter by letter."""
+    import re
+    import xxhash
+    letters = re.sub(r"[\W\d_]+", "", word).lower()
+    shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
+    found = {xxhash.xxh32_intdigest(n) % Q.DIMS for n in ("s " + re.sub(r"(.)\1+", r"\1+", shape), "w " + letters)}
+    padded, mix = f"^{letters}$", 0x9E3779B97F4A7C15
+    for i in range(len(padded) - Q.GRAM + 1):
+        h = 0
+        for c in padded[i:i + Q.GRAM]:
+            h = (h * mix + ord(c)) % 2 ** 64
+        h = (h ^ h >> 31) * mix % 2 ** 64
+        found.add((h >> 40) % Q.DIMS)
+    return found
+
+
+WORDS = ["the", "THE", "it's", "x", "", "...", "1234", "a1b2_c3", "Straße", "ÉTÉ", "日本語", "İstanbul", "\x00distinct7", "aaaaaaaa",
+         "hindi-हिन्दी", "👍👍", "^$", "ab" * 300]
+
+
+def test_features_of_many_words_are_those_of_each(monkeypatch):
+    for run in (Q.LONG_RUN, 50, 7):
+        monkeypatch.setattr(Q, "LONG_RUN", run)
+        word, feature = Q.word_features(WORDS)
+        for i, w in enumerate(WORDS):
+            assert sorted(feature[word == i].tolist()) == sorted(_plain_features(w)), w
+    assert [w for b in Q.by_letters(WORDS, 20) for w in b] == WORDS and Q.by_letters([], 20) == []
+
+
+def test_scores_are_sums_over_words(monkeypatch):
+    """A plain sum over the words' features; a memory that holds next to nothing changes none."""
+    import math
+    from collections import Counter
+    rng = np.random.default_rng(4)
+    cols = np.unique([f for w in WORDS for f in _plain_features(w)])
+    weights = rng.standard_normal(len(cols)).astype(np.float32)
+    model = {"cols": cols, "weights": weights, "thresholds": np.array([-1.0, 1.0])}
+    at = dict(zip(cols.tolist(), weights.tolist()))
+    shown = [w for w in WORDS if w and w.isprintable()]
+    texts = [" ".join(rng.choice(shown, rng.integers(0, 40))) for _ in range(60)] + ["", "\t \n"]
+
+    def plain(text):
+        words = Counter(text.split())
+        logs = {w: math.log1p(n) for w, n in words.items()}
+        scale = Q.SCALE / math.sqrt(sum(x * x for x in logs.values()) + Q.SHORT)
+        total = sum(words.values())
+        logs[f"\x00distinct{10 * len(words) // total if total else 0}"] = 1 / scale
+        return scale * sum(v * sum(at.get(f, 0.0) for f in _plain_features(w)) for w, v in logs.items())
+
+    want = [plain(t) for t in texts]
+    for limit in (Q.Memory().limit, 500):
+        grader = Q.Grader(model)
+        grader.known.limit = limit
+        got = [s for i in range(0, len(texts), 7) for s in grader.scores(texts[i:i + 7])]
+        assert np.allclose(got, want, atol=1e-4)
+
+
+def test_gradient_of_the_fit():
+    """One step against differences of the log-likelihood: the fit lowers it as the gradient says."""
+    rng = np.random.default_rng(2)
+    n, dims = 50, 4
+    sizes, cols, x = np.full(n, dims), np.tile(np.arange(dims), n), rng.standard_normal((n, dims))
+    y, weight = rng.integers(0, 3, n), rng.random(n) + 0.5
+
+    def loss(w, t):
+        cut = np.r_[-np.inf, t, np.inf]
+        s = x @ w
+        p = 1 / (1 + np.exp(s - cut[y + 1])) - 1 / (1 + np.exp(s - cut[y]))
+        return -(weight * np.log(p)).sum() / weight.sum() + Q.DECAY / 2 * w @ w
+
+    w, t = Q.fit_ordinal(sizes, cols, x.ravel(), y, weight, dims, rounds=3000)
+    for k in range(dims):                               # at the end no weight or threshold can be moved to lower it
+        step = np.eye(dims)[k] * 1e-2
+        assert loss(w, t) <= min(loss(w + step, t), loss(w - step, t)) + 1e-6
+    for k in range(2):
+        step = np.eye(2)[k] * 1e-2
+        assert loss(w, t) <= min(loss(w, t + step), loss(w, t - step)) + 1e-6
+
+
+def test_a_repeated_id_is_fitted_once(spark, tmp_path):
+    rows = [(i, "good words here" if i % 3 == 2 else "bad words there" if i % 3 else "toxic things") for i in range(30)]
+    many = rows + [(1, "bad words there")] * 500
+    labels = spark.createDataFrame([(i, int(i % 3 == 2), int(i % 3 == 0)) for i in range(30)], "doc_id long, quality int, toxic int")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame(many, "doc_id long, text string").write.parquet(str(tmp_path / "b"))
+    a, b = (Q.fit(spark.read.parquet(str(tmp_path / x)), labels) for x in "ab")
+    assert np.array_equal(a["cols"], b["cols"]) and np.allclose(a["weights"], b["weights"], atol=1e-9)
