@@ -51,14 +51,16 @@ def wall_clock_hhmm(iso_text) -> Column:
 
 
 # Shapes of reading times: the day, the clock with optional seconds, and what may follow
-# (fractions of a second, Z, an offset or a zone name: the wall-clock is kept).
-_CLOCK = r"([0-9]{1,2}:[0-9]{2})(:[0-9]{2})?(?:[.,][0-9]+)?\s*(?:[AaPp][Mm])?\s*(?:Z|UTC|GMT.*|[+-][0-9]{2}:?[0-9]{2})?(?:\s*\(.*\))?$"
+# (fractions of a second, Z, an offset or a zone name: the wall-clock is kept), each with how it
+# is written as year, month, day and clock.  A clock with am or pm has none of the shapes.
+_CLOCK = r"([0-9]{1,2}:[0-9]{2})(:[0-9]{2})?(?:[.,][0-9]+)?\s*(?:Z|UTC|GMT.*|[+-][0-9]{2}:?[0-9]{2})?(?:\s*\(.*\))?$"
 TIME_SHAPES = (
-    (r"^([0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2})[T ]+" + _CLOCK, "yyyy-M-d H:mm:ss"),
-    (r"^(?:[A-Za-z]{3,9},? )?([A-Za-z]{3} [0-9]{1,2},? [0-9]{4}),? " + _CLOCK, "MMM d yyyy H:mm:ss"),
-    (r"^(?:[A-Za-z]{3,9},? )?([0-9]{1,2} [A-Za-z]{3} [0-9]{4}),? " + _CLOCK, "d MMM yyyy H:mm:ss"),
-    (r"^([0-9]{1,2}/[0-9]{1,2}/[0-9]{4}),? " + _CLOCK, "M/d/yyyy H:mm:ss"),
+    (r"^([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})[T ]+" + _CLOCK, "$1-$2-$3 $4$5"),
+    (r"^(?:[A-Za-z]{3,9},? )?([A-Za-z]{3}) ([0-9]{1,2}),? ([0-9]{4}),? " + _CLOCK, "$3-$1-$2 $4$5"),
+    (r"^(?:[A-Za-z]{3,9},? )?([0-9]{1,2}) ([A-Za-z]{3}) ([0-9]{4}),? " + _CLOCK, "$3-$2-$1 $4$5"),
+    (r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}),? " + _CLOCK, "$3-$1-$2 $4$5"),
 )
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 
 
 def parse_reading_time(c) -> Column:
@@ -67,18 +69,16 @@ def parse_reading_time(c) -> Column:
     ISO-like text with '-' or '/', a blank or T, with or without seconds, fractions, Z or an
     offset; month-name text ('Oct 30 2024 10:02:00', '30 Oct 2024 10:02', browser strings with
     weekday and zone); and '10/30/2024 10:02' (month first).  A twelve-hour clock and anything
-    else give NULL.
+    else give NULL.  One pattern says the shape and puts the parts in order, a cast reads them.
     """
     s = F.trim(col_(c))
-    twelve = s.rlike(r"(?i)[0-9]\s*[ap]m")
-    out = F.lit(None).cast("timestamp")
-    # dispatch on the shape first: a failed parse attempt is far dearer than a regex test
-    for shape, pattern in reversed(TIME_SHAPES):
-        day = F.translate(F.regexp_extract(s, shape, 1), "/," if "/d" not in pattern else ",", "-" if "/d" not in pattern else "")
-        seconds = F.regexp_extract(s, shape, 3)
-        text = F.concat(day, F.lit(" "), F.regexp_extract(s, shape, 2), F.when(seconds == "", ":00").otherwise(seconds))
-        out = F.when(s.rlike(shape), F.try_to_timestamp(text, F.lit(pattern))).otherwise(out)
-    return F.when(~twelve, out)
+    text = F.lit(None).cast("string")
+    for shape, order in reversed(TIME_SHAPES):
+        text = F.when(s.rlike(shape), F.regexp_replace(s, shape, order)).otherwise(text)
+    at = F.instr(F.lit(_MONTHS), F.lower(F.substring(text, 6, 3)))
+    named = F.when(at > 0, F.concat(F.substring(text, 1, 5), ((at + 3) / 4).cast("int").cast("string"),
+                                    F.substring(text, 9, 20)))
+    return F.when(F.substring(text, 6, 1).rlike("[0-9]"), text).otherwise(named).try_cast("timestamp")
 
 
 def time_metrics(c: str = "time") -> list[Column]:

@@ -51,3 +51,18 @@ def test_leading_int(spark):
     df = spark.createDataFrame([("09:30",), ("23:00",), ("x:10",), (None,)], "x string")
     assert [r["y"] for r in df.select(leading_int("x").alias("y")).collect()] == [9, 23, None, None]
     assert F is not None
+
+
+def test_reading_times_of_every_shape(spark):
+    at = dt.datetime(2024, 2, 3, 4, 5, 6)
+    minute = at.replace(second=0)
+    forms = {
+        "2024-02-03T04:05:06Z": at, "2024/2/3 4:05:06": at, "2024-02-03 04:05": minute, "2024-02-03T04:05:06.123+01:00": at,
+        " 2024-02-03 04:05:06 UTC ": at, "Feb 3 2024 04:05:06": at, "feb 3, 2024, 4:05": minute, "Saturday, Feb 03 2024 04:05:06": at,
+        "Sat Feb 03 2024 04:05:06 GMT-0500 (Eastern Standard Time)": at, "3 Feb 2024 04:05:06": at, "Sat, 03 FEB 2024 04:05:06 GMT": at,
+        "2/3/2024 04:05": minute, "02/03/2024, 4:05:06": at, "2024-02-30 04:05": None, "2024-13-01 04:05": None,
+        "2024-02-03 24:05": None, "2024-02-03 04:65": None, "Fab 3 2024 04:05": None, "13/13/2024 04:05": None, "2/3/2024 4:05 PM": None,
+        "Feb 3 2024 4:05am": None, "04:05": None, "2024-02-03": None, "": None, "Feb 2024 04:05": None, "20240203 04:05": None, None: None}
+    df = spark.createDataFrame([(k,) for k in forms], "x string")
+    got = {r["x"]: r["t"] for r in df.select("x", parse_reading_time("x").alias("t")).collect()}
+    assert got == forms
