@@ -7,8 +7,9 @@ part's counts.  Scores then use the counts of all training texts.
 
 Counts are looked up without ever sending one row per token.  A chunk (part of an input
 partition, of bounded size) asks for its distinct n-grams, each once with the chunk's own
-counts; reducers add up and answer only where the total differs from what the chunk has; the
-answers go back to the chunk's texts.  A frequent word or word pair is one row per chunk.
+counts; reducers add up and answer only where the total differs from what the chunk has, or where
+its deleted texts meet an n-gram of its counted ones; the answers go back to the chunk's texts.
+The deleted texts of a chunk thus find all they need in the answers and zeros.  A frequent word or word pair is one row per chunk.
 Requests and answers travel as sorted arrays, one row per (chunk, reducer).
 """
 
@@ -24,12 +25,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import Memory
 from .common import partitions, stored, text_rows
 
 CHUNK_BYTES = 8 << 20               # of stored input
 FLUSH_TOKENS = 2 << 20              # a mapper sends its requests when it holds so many tokens
 SLICES = 4                          # of the key space, for each reducer: evens them out
-CACHE_WORDS = 500_000
+CACHE_BYTES = 110 << 20             # of words remembered
 ROUNDS = 30
 SETTLED = 1e-6                      # EM ends when no weight moves by more
 BUCKETS = 64                        # by the binary logarithm of the context's frequency
@@ -46,13 +48,12 @@ def role(id_col: str = "doc_id") -> Column:
     return F.when(rest == 4, DELETED).when(rest != 2, FIT).otherwise(UNSEEN).cast("int")
 
 
-class WordKeys(dict):
+class WordKeys(Memory):
     """64-bit key of each word, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        key = self[word] = xxhash.xxh64_intdigest(word)
+        key = xxhash.xxh64_intdigest(word)
+        self.learn_one(word, key)
         return key
 
 
@@ -131,7 +132,7 @@ def _request_pass(parts: int):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), REQUEST)], schema=REQUEST)
 
     def run(batches):
-        keys, held, size = WordKeys(), {}, 0
+        keys, held, size = WordKeys(CACHE_BYTES), {}, 0
         for batch in batches:
             for chunk, r, text in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = token_keys(text, keys)
@@ -171,7 +172,7 @@ def _answer_pass(batches):
         for chunk in sorted(own):
             mine = _summed(*(np.concatenate([b[i] for b in own[chunk]]) for i in (1, 2, 3)))
             at = np.searchsorted(keys, mine[0])
-            differ = (fit[at] != mine[1]) | (deleted[at] != mine[2])
+            differ = (fit[at] != mine[1]) | (deleted[at] != mine[2]) | ((mine[1] > 0) & (mine[2] > 0))
             at = at[differ]
             if len(at):
                 out.append((chunk, words, _packed_keys(keys[at]), _packed(fit[at]), _packed(deleted[at]), 0, 0, 0))
@@ -184,7 +185,8 @@ def _answer_pass(batches):
 
 def _totals(keys: np.ndarray, roles: np.ndarray, answers: pd.DataFrame, all_texts: bool) -> tuple:
     """The total of each token's n-gram, and the distinct n-grams with theirs: the answers' counts
-    where there are any, else the chunk's own.  One sort numbers the n-grams; no token is searched."""
+    where there are any, else the texts' own.  One sort numbers the n-grams; no token is searched.
+    The answers may hold n-grams of other texts of the chunk."""
     order = np.argsort(keys)
     ordered = keys[order]
     new = np.r_[True, ordered[1:] != ordered[:-1]]
@@ -193,8 +195,11 @@ def _totals(keys: np.ndarray, roles: np.ndarray, answers: pd.DataFrame, all_text
     del ordered
     total = np.add.reduceat((own == FIT) | (all_texts & (own == DELETED)), first, dtype=np.int64)
     for row in answers.itertuples():
-        at = np.searchsorted(distinct, _unpacked_keys(row.keys))
-        total[at] = _unpacked(row.fit) + _unpacked(row.deleted) if all_texts else _unpacked(row.fit)
+        asked = _unpacked_keys(row.keys)
+        at = np.searchsorted(distinct, asked)
+        at[at == len(distinct)] = 0
+        here = distinct[at] == asked
+        total[at[here]] = (_unpacked(row.fit) + _unpacked(row.deleted) if all_texts else _unpacked(row.fit))[here]
     out = np.empty(len(keys), np.int32 if len(total) == 0 or total.max() < (1 << 31) - 1 else np.int64)
     out[order] = total[np.cumsum(new) - 1]
     return out, distinct, total
@@ -202,7 +207,7 @@ def _totals(keys: np.ndarray, roles: np.ndarray, answers: pd.DataFrame, all_text
 
 def _token_counts(texts: pd.DataFrame, answers: pd.DataFrame, all_texts: bool) -> tuple:
     """A chunk's texts -> tokens per text, and for all its tokens in a row c(h,w), c(w) and c(h)."""
-    keys = WordKeys()
+    keys = WordKeys(CACHE_BYTES)
     tokens = [token_keys(t, keys) for t in texts["text"]]
     sizes = np.array([len(t) for t in tokens])
     starts = np.cumsum(sizes) - sizes
@@ -278,16 +283,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return of.groupBy("chunk").cogroup(given.groupBy("chunk")).applyInPandas(run, schema)
 
     def deleted_tokens(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not (texts["role"] == DELETED).any():
+        if not len(texts):
             return pd.DataFrame({"bucket": [], "p2": [], "p1": [], "n": []})
-        sizes, _, *counts = _token_counts(texts, answers, False)
-        mine = np.repeat(texts["role"].to_numpy() == DELETED, sizes)
-        pair, word, context = (c[mine] for c in counts)
+        _, _, pair, word, context = _token_counts(texts, answers, False)
         p2, p1 = estimates(pair, word, context, n_fit)
         return (pd.DataFrame({"bucket": bucket(context).astype(np.int32), "p2": p2, "p1": p1, "n": 1})
                 .groupby(["bucket", "p2", "p1"], as_index=False, sort=False)["n"].sum())
 
-    held = joined(rows.select("chunk", "role", "text"), deleted_tokens, "bucket int, p2 double, p1 double, n long")
+    held = joined(rows.where(F.col("role") == DELETED).select("chunk", "role", "text"), deleted_tokens, "bucket int, p2 double, p1 double, n long")
     weights = fit_weights(stored(held, "lm-deleted"), p0, rounds)
 
     def scores(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
