@@ -95,3 +95,13 @@ def add_school_holidays(df: DataFrame, countries: DataFrame, school_days: DataFr
     out = (df.join(countries.select("park_id", F.col("country").alias("_country")), "park_id", "left")
            .join(flags.withColumnRenamed("country", "_country"), ["_country", "date"], "left"))
     return out.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("_sch", F.lit(False)).alias("is_school_holiday"))
+
+
+def add_holidays(df: DataFrame, countries: DataFrame, holiday_days: DataFrame, school_days: DataFrame) -> DataFrame:
+    """``add_bank_holidays`` and ``add_school_holidays`` with the parks' countries looked up once."""
+    of_park = countries.select("park_id", F.col("country_code").alias("_code"), F.col("country").alias("_country"))
+    bank = holiday_days.select(F.col("country_code").alias("_code"), "date", F.lit(True).alias("_hol"))
+    school = school_days.select(F.col("country").alias("_country"), "date", F.lit(True).alias("_sch"))
+    out = df.join(of_park, "park_id", "left").join(bank, ["_code", "date"], "left").join(school, ["_country", "date"], "left")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("_hol", F.lit(False)).alias("is_bank_holiday"),
+                      F.coalesce("_sch", F.lit(False)).alias("is_school_holiday"))

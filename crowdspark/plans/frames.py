@@ -51,8 +51,8 @@ def _feature_steps(data: inputs.Inputs, frame: DataFrame, readings: DataFrame, p
     parks = directories.parks_from_directory(data.parks)
     countries = calendar.park_countries(parks, data.aliases)
     f = calendar.add_date_features(frame)
-    f = calendar.add_bank_holidays(f, countries, holidays.public_holiday_days(data.public_holidays))
-    f = calendar.add_school_holidays(f, countries, holidays.school_holiday_days(data.school_holidays))
+    f = calendar.add_holidays(f, countries, holidays.public_holiday_days(data.public_holidays),
+                              holidays.school_holiday_days(data.school_holidays))
     hist = opening.first_last_times(readings, data.park_info)
     sched = schedule.schedule_days(data.schedule, params.strict_schedule_month)
     return opening.opening_hour_features(opening.opening_times(f, hist, sched), drop_missing=not params.keep_incomplete)

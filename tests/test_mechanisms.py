@@ -244,3 +244,16 @@ def test_range_problems(spark):
         worklist.range_problem(F.col("s"), F.col("e"))).collect()]
     assert got == [None, "the range ends before it begins", "the start is no day", "the end is no day", "the start is no day",
                    "the start is no day", None]
+
+
+def test_both_holiday_flags_at_once(spark):
+    days = spark.createDataFrame([(D(2024, 1, i), str(p)) for i in range(1, 5) for p in range(4)] + [(None, "1"), (D(2024, 1, 1), None)],
+                                 "date date, park_id string")
+    countries = spark.createDataFrame([("0", "Spain", "ES"), ("1", "France", "FR"), ("2", "Nowhere", None)],
+                                      "park_id string, country string, country_code string")
+    bank = spark.createDataFrame([("ES", D(2024, 1, 1)), ("FR", D(2024, 1, 2))], "country_code string, date date")
+    school = spark.createDataFrame([("Spain", D(2024, 1, 2)), ("Nowhere", D(2024, 1, 3))], "country string, date date")
+    both = calendar.add_holidays(days, countries, bank, school)
+    one = calendar.add_school_holidays(calendar.add_bank_holidays(days, countries, bank), countries, school)
+    assert both.columns == one.columns
+    assert sorted(map(str, both.collect())) == sorted(map(str, one.collect()))
