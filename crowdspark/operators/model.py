@@ -11,7 +11,7 @@ import math
 import random
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
@@ -19,15 +19,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clip, round_half_even_int
+from ..session import scratch_path
 from .impute import order_statistics
 
 LABEL = "crowd_level"
 # Fixed values of the expected behaviour: the seeds of the split / search and of the forest, the
-# hold-out share, and the tuned ranges (min-split has no Spark counterpart).
+# hold-out share, and the tuned ranges.
 SEARCH_SEED, FOREST_SEED, TEST_FRACTION = 104, 42, 0.2
 SEARCH_SPACE = {
     "numTrees": (50, 300),
     "maxDepth": (5, 30),
+    "minSplit": (2, 10),
     "minInstancesPerNode": (1, 5),
     "featureSubsetStrategy": ("sqrt", "log2"),
 }
@@ -102,9 +104,46 @@ def forest(params: dict | None = None, seed: int = FOREST_SEED) -> Forest:
                   maxMemoryInMB=1024)
 
 
-def forest_pipeline(feature_cols: list[str], params: dict | None = None, seed: int = FOREST_SEED) -> Pipeline:
-    asm = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="error")
-    return Pipeline(stages=[asm, forest(params, seed)])
+def without_small_splits(forest_model: RandomForestRegressionModel, least: int, spark: SparkSession) -> ForestModel:
+    """The forest with every node of fewer than ``least`` training rows made a leaf.
+
+    Spark has no such limit while growing.  Afterwards it is the same: a node's rows only get fewer
+    below it, so what hangs under a small node goes, and the other nodes stay as they are.  The
+    saved node table is rewritten (a node stays if it is a root or its parent is large enough,
+    numbered anew in its order) and loaded."""
+    source, out = scratch_path(spark, "forest-grown"), scratch_path(spark, "forest-cut")
+    forest_model.write().save(source)
+    nodes = spark.read.parquet(f"{source}/data").select("treeID", "nodeData.*")
+    large = (F.col("leftChild") >= 0) & (F.col("rawCount") >= least)
+    children = nodes.where(large).select("treeID", F.explode(F.array("leftChild", "rightChild")).alias("id"))
+    kept = nodes.where("id = 0").unionByName(nodes.join(children, ["treeID", "id"], "left_semi"))
+    number = (F.row_number().over(Window.partitionBy("treeID").orderBy("id")) - 1).cast("int")
+    kept = kept.withColumn("new", number).withColumn("inner", large)
+    place = kept.select("treeID", "id", "new")
+    for side in ("left", "right"):
+        kept = kept.join(place.select("treeID", F.col("id").alias(f"{side}Child"), F.col("new").alias(side)),
+                         ["treeID", f"{side}Child"], "left")
+    no_split = F.struct(F.lit(-1).alias("featureIndex"), F.array().cast("array<double>").alias("leftCategoriesOrThreshold"),
+                        F.lit(-1).alias("numCategories"))
+
+    def if_inner(column: Column, leaf: Column) -> Column:
+        return F.when(F.col("inner"), column).otherwise(leaf)
+
+    kept.select("treeID", F.struct(
+        F.col("new").alias("id"), "prediction", "impurity", "impurityStats", "rawCount",
+        if_inner(F.col("gain"), F.lit(-1.0)).alias("gain"), if_inner(F.col("left"), F.lit(-1)).alias("leftChild"),
+        if_inner(F.col("right"), F.lit(-1)).alias("rightChild"), if_inner(F.col("split"), no_split).alias("split")
+    ).alias("nodeData")).write.parquet(f"{out}/data")
+    spark.read.parquet(f"{source}/treesMetadata").write.parquet(f"{out}/treesMetadata")
+    spark.read.text(f"{source}/metadata").write.text(f"{out}/metadata")
+    return ForestModel(spark._jvm.org.apache.spark.ml.regression.RandomForestRegressionModel.load(out))
+
+
+def grow(data: DataFrame, params: dict | None = None, seed: int = FOREST_SEED) -> ForestModel:
+    """A forest fitted on (features, label) with ``params``; ``minSplit`` rows are needed to split."""
+    fitted = forest(params, seed).fit(data)
+    least = int((params or {}).get("minSplit", 2))
+    return fitted if least <= 2 else without_small_splits(fitted, least, data.sparkSession)
 
 
 def cast_features(df: DataFrame, feature_cols: list[str]) -> DataFrame:
@@ -114,8 +153,8 @@ def cast_features(df: DataFrame, feature_cols: list[str]) -> DataFrame:
 
 
 def fit_forest(df: DataFrame, feature_cols: list[str], params: dict | None = None, seed: int = FOREST_SEED) -> PipelineModel:
-    data = cast_features(df, feature_cols + [LABEL])
-    return forest_pipeline(feature_cols, params, seed).fit(data)
+    asm = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="error")
+    return PipelineModel([asm, grow(asm.transform(cast_features(df, feature_cols + [LABEL])), params, seed)])
 
 
 def predict(model: PipelineModel, df: DataFrame, feature_cols: list[str], out: str = "prediction") -> DataFrame:
@@ -228,7 +267,7 @@ def search(spark: SparkSession, df: DataFrame, feature_cols: list[str], n_iter:
 
     def score(job):
         p, j = job
-        fitted = forest(p).fit(data.where(F.col("fold") < j))
+        fitted = grow(data.where(F.col("fold") < j), p)
         return regression_metrics(fitted.transform(data.where(F.col("fold") == j))).first()["mse"]
 
     seen: list[tuple[dict, float | None]] = []
@@ -244,7 +283,7 @@ def search(spark: SparkSession, df: DataFrame, feature_cols: list[str], n_iter:
             seen += [(p, sum(m for _, m in sorted(o)) / len(o) if o else None) for p, o in zip(trials, own)]
     data.unpersist()
     rows = [(i, *(p[k] for k in SEARCH_SPACE), len(usable), None if mse is None else float(mse)) for i, (p, mse) in enumerate(seen)]
-    res = spark.createDataFrame(rows, "trial int, numTrees int, maxDepth int, minInstancesPerNode int, "
+    res = spark.createDataFrame(rows, "trial int, numTrees int, maxDepth int, minSplit int, minInstancesPerNode int, "
                                       "featureSubsetStrategy string, folds int, mean_mse double")
     return res.withColumn("rank", F.rank().over(Window.orderBy(F.col("mean_mse").asc_nulls_last(), "trial")))
 

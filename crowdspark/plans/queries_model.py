@@ -289,15 +289,15 @@ def holdout_metrics(spark, sf_dir):
     return r.select(F.lit(test.count()).cast("bigint").alias("n_test"), *[round_to(c).alias(c) for c in r.columns])
 
 
-_START = ", ".join(f"({i}, {p['numTrees']}, {p['maxDepth']}, {p['minInstancesPerNode']}, '{p['featureSubsetStrategy']}')"
+_START = ", ".join(f"({i}, {p['numTrees']}, {p['maxDepth']}, {p['minSplit']}, {p['minInstancesPerNode']}, '{p['featureSubsetStrategy']}')"
                    for i, p in enumerate(model.sample_params(model.START_TRIALS)))
-_PARAMS = ["numTrees", "maxDepth", "minInstancesPerNode", "featureSubsetStrategy"]
+_PARAMS = ["numTrees", "maxDepth", "minSplit", "minInstancesPerNode", "featureSubsetStrategy"]
 
 
 @register("search", V.with_ctes("tf as (" + TRAINING_SQL + ")") + f"""
-select cast(i as integer) as trial, "numTrees", "maxDepth", "minInstancesPerNode", "featureSubsetStrategy",
+select cast(i as integer) as trial, "numTrees", "maxDepth", "minSplit", "minInstancesPerNode", "featureSubsetStrategy",
        true as scored, true as in_ranges, true as rank_is_order, true as repeats
-from range(20) r(i) left join (values {_START}) as t(trial, "numTrees", "maxDepth", "minInstancesPerNode", "featureSubsetStrategy")
+from range(20) r(i) left join (values {_START}) as t(trial, "numTrees", "maxDepth", "minSplit", "minInstancesPerNode", "featureSubsetStrategy")
      on trial = i
 where (select count(distinct date) from tf) > 6""")
 def search(spark, sf_dir):

@@ -106,6 +106,41 @@ def test_band_of_a_hand_walked_forest(spark, frames):
             round(min(max(mean - std, 0), 100)), round(mean), round(min(max(mean + std, 0), 100)))
 
 
+def test_min_split_is_a_limit_of_growing(spark, frames):
+    """Without small splits: each tree, walked by hand, stops where the grown one has too few rows."""
+    tf, _, feats = frames
+    grown = model.fit_forest(tf, feats, {"numTrees": 6, "maxDepth": 8})
+    x = grown.stages[0].transform(model.cast_features(tf, feats)).select("date", "park_id", "features").cache()
+
+    def nodes(forest):
+        path = scratch_path(spark, "forest-nodes")
+        forest.write().overwrite().save(path)
+        out = {}
+        for r in spark.read.parquet(f"{path}/data").collect():
+            out.setdefault(r["treeID"], {})[r["nodeData"]["id"]] = r["nodeData"]
+        return out
+
+    def walk(tree, v, least):
+        node = tree[0]
+        while node["leftChild"] >= 0 and node["rawCount"] >= least:
+            s = node["split"]
+            node = tree[node["leftChild"] if v[s["featureIndex"]] <= s["leftCategoriesOrThreshold"][0] else node["rightChild"]]
+        return node["prediction"]
+
+    whole = nodes(grown.stages[-1])
+    for least in (5, 20, 10_000):
+        cut = model.without_small_splits(grown.stages[-1], least, spark)
+        small = nodes(cut)
+        assert all(n["rawCount"] >= least for t in small.values() for n in t.values() if n["leftChild"] >= 0)
+        assert cut.getNumTrees == 6 and (least < 10_000 or cut.totalNumNodes == 6)
+        for r in cut.transform(x).collect():
+            want = [walk(whole[t], r["features"], least) for t in sorted(whole)]
+            assert r["prediction"] == pytest.approx(sum(want) / len(want), abs=1e-9)
+    fitted = model.fit_forest(tf, feats, {"numTrees": 6, "maxDepth": 8, "minSplit": 20})
+    again = model.without_small_splits(grown.stages[-1], 20, spark)
+    assert fitted.stages[-1].totalNumNodes == again.totalNumNodes
+
+
 def test_tree_band_by_value(spark):
     df = spark.createDataFrame([(1, [3.0, 5.0, 10.0]), (2, [4.0]), (3, []), (4, [1e9 + 1, 1e9 + 2])], "k int, t array<double>")
     got = {r["k"]: r["b"] for r in df.select("k", model.tree_band(F.col("t")).alias("b")).collect()}
