@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -17,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import Memory
 from .common import text_rows
 
 FIT_ROWS = 6000             # labelled rows per language that the model is fitted on, about
@@ -24,9 +27,34 @@ FIT_BYTES = 128 << 20       # text of all languages together that the model is f
 LEAST_ROWS = 20             # about so many rows of a language are taken whatever their bytes
 LONGEST = 4
 SMOOTH = 0.5
-CACHE_WORDS = 400_000
+CACHE_BYTES = 88 << 20      # of words remembered with their grams
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _characters(*categories: str) -> str:
+    """The characters of Unicode categories that begin so, as ranges of a character class."""
+    found = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in categories]
+    ends = [i for i in range(len(found)) if i + 1 == len(found) or found[i + 1] != found[i] + 1]
+    starts = [0, *(i + 1 for i in ends[:-1])]
+    return "".join(f"\\U{found[a]:08x}-\\U{found[b]:08x}" for a, b in zip(starts, ends))
+
+
+# A word is letters (category L) with the marks (M) that stand on them: numbers such as those in
+# circles or fractions are none, and a mark doesn't end a word.
+_WORDS = re.compile(f"[{_characters('L')}][{_characters('L', 'M')}]*")
+
+# The same among the first 256 characters, in lower case: they hold no mark.
+_NEAR_WORDS = re.compile("[a-zªµºß-öø-ÿ]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The lower-cased words of a text; the shorter class is only the faster one."""
+    text = text.lower()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _WORDS.findall(text)
+    return _NEAR_WORDS.findall(text)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -45,7 +73,7 @@ def _count_pass(batches):
     for batch in batches:
         per: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            per.setdefault(lang, Counter()).update(_LETTERS.findall(text.lower()))
+            per.setdefault(lang, Counter()).update(words_of(text))
         for lang, words in per.items():
             items = {(0, w): n for w, n in words.items()}
             for word, count in words.items():
@@ -136,7 +164,7 @@ class Scorer:
         for names, _ in model["tables"]:
             self.index.append({name: base + i for i, name in enumerate(names)})
             base += len(names)
-        self.fallback: dict[str, list[int]] = {}
+        self.fallback = Memory(CACHE_BYTES)
 
     def _total(self, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
         width = self.width[at]
@@ -153,7 +181,7 @@ class Scorer:
         return []
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(_LETTERS.findall(text.lower())) if text else None
+        words = Counter(words_of(text)) if text else None
         if not words or not self.langs:
             return "und", 0.0
         vocabulary, at, weight = self.index[0], [], []
@@ -162,11 +190,10 @@ class Scorer:
                 at.append(i)
                 weight.append(n)
                 continue
-            found = self.fallback.get(word)
+            found = self.fallback.known.get(word)
             if found is None:
-                if len(self.fallback) >= CACHE_WORDS:
-                    self.fallback.clear()
-                found = self.fallback[word] = self._unseen(word)
+                found = self._unseen(word)
+                self.fallback.learn_one(word, found, 8 * len(found))
             if found:
                 at.extend(found)
                 weight.extend([n / len(found)] * len(found))
@@ -181,7 +208,8 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                       fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """row_key, doc_id, held_out, lang_pred, score of every row; whole texts are scored.
 
-    ``und`` with score 0 where the text is null or has no letter, and everywhere if no row has
+    Words are letters with their marks, lower-cased; repeated rows are predicted each.  ``und`` with
+    score 0 where the text is null or has no letter, and everywhere if no row has
     a language to learn; else the best language, the first by name in a tie, and its share of
     the posterior under equal priors.  Only the text is an input of a prediction.
     """
