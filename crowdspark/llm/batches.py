@@ -27,40 +27,32 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             yield batch.slice(first)
 
 
-class Memory(dict):
-    """What a worker remembers of the items it has met, as many bytes of them as ``limit`` at a
-    time: when new ones do not fit, the old ones go."""
+class Memory:
+    """What a worker remembers of the items it has met (``known``), as many bytes of them as
+    ``limit`` at a time: when new ones do not fit, the old ones go."""
 
     def __init__(self, limit: int = MEMORY_BYTES) -> None:
-        super().__init__()
+        self.known: dict = {}           # a plain dict: sets and maps look things up in it fastest
         self.limit, self.held = limit, 0
 
     def unknown(self, items: set) -> set:
-        """The items not remembered; afterwards the caller puts them in with ``learn``."""
-        new = items.difference(self)
-        if self.held + self._bytes(new) > self.limit:
-            self.clear()
-            self.held = 0
-            return items
+        """The items not known; the caller puts them in."""
+        new = items.difference(self.known)
+        size = self._bytes(new)
+        if self.held + size > self.limit:
+            self.known.clear()
+            self.held, new, size = 0, items, self._bytes(items)
+        self.held += size
         return new
 
-    def note(self, items) -> None:
-        """Count items that are put in one by one."""
-        self.held += self._bytes(items)
-
-    def learn(self, items: Iterable, values: Iterable) -> None:
-        items = list(items)
-        self.note(items)
-        self.update(zip(items, values))
-
     def learn_one(self, item, value, size: int = 0) -> None:
         """One item, whose value takes ``size`` bytes more."""
-        size += 2 * len(item) + ENTRY_BYTES
+        size += self._bytes([item])
         if self.held + size > self.limit:
-            self.clear()
+            self.known.clear()
             self.held = 0
         self.held += size
-        self[item] = value
+        self.known[item] = value
 
     @staticmethod
     def _bytes(items) -> int:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import Memory
+from .batches import ENTRY_BYTES
 from .common import partitions, stored, text_rows
 
 CHUNK_BYTES = 8 << 20               # of stored input
@@ -48,12 +48,17 @@ def role(id_col: str = "doc_id") -> Column:
     return F.when(rest == 4, DELETED).when(rest != 2, FIT).otherwise(UNSEEN).cast("int")
 
 
-class WordKeys(Memory):
-    """64-bit key of each word, remembered."""
+class WordKeys(dict):
+    """64-bit key of each word, remembered up to a bound in bytes."""
+
+    held = 0
 
     def __missing__(self, word: bytes) -> int:
-        key = xxhash.xxh64_intdigest(word)
-        self.learn_one(word, key)
+        self.held += len(word) + ENTRY_BYTES
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.held = len(word) + ENTRY_BYTES
+        key = self[word] = xxhash.xxh64_intdigest(word)
         return key
 
 
@@ -132,7 +137,7 @@ def _request_pass(parts: int):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), REQUEST)], schema=REQUEST)
 
     def run(batches):
-        keys, held, size = WordKeys(CACHE_BYTES), {}, 0
+        keys, held, size = WordKeys(), {}, 0
         for batch in batches:
             for chunk, r, text in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = token_keys(text, keys)
@@ -207,7 +212,7 @@ def _totals(keys: np.ndarray, roles: np.ndarray, answers: pd.DataFrame, all_text
 
 def _token_counts(texts: pd.DataFrame, answers: pd.DataFrame, all_texts: bool) -> tuple:
     """A chunk's texts -> tokens per text, and for all its tokens in a row c(h,w), c(w) and c(h)."""
-    keys = WordKeys(CACHE_BYTES)
+    keys = WordKeys()
     tokens = [token_keys(t, keys) for t in texts["text"]]
     sizes = np.array([len(t) for t in tokens])
     starts = np.cumsum(sizes) - sizes

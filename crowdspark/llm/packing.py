@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import Memory
 from .common import stored, text_rows
 
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 GROUP_PIECES = 16_384
-CACHE_WORDS = 1_200_000        # chunks whose ids a worker remembers at a time
+CACHE_BYTES = 256 << 20        # of chunks whose ids a worker remembers at a time
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -49,7 +50,8 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
+        self.memory = Memory(CACHE_BYTES)
+        self.known: dict[bytes, bytes] = self.memory.known
         self.mark = self._ids([self.MARK])[0]
         self.stops = {c: self._ids([c])[0].tobytes() for c in (",", ".")}
         # bytes stand in the model's vocabulary as characters: the printable ones of Latin-1 as
@@ -97,11 +99,7 @@ class Encoder:
     def batch(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]     # bytes: ASCII blanks only
         known = self.known
-        distinct = set().union(*split)
-        new = distinct.difference(known)
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = distinct
+        new = self.memory.unknown(set().union(*split))
         others: list[bytes] = []
         for chunk in new:
             word, tail = chunk.decode(), b""

@@ -245,15 +245,15 @@ class Grader:
         self.weights = np.zeros(DIMS, np.float32)
         self.weights[model["cols"]] = model["weights"]
         self.thresholds = model["thresholds"]
-        self.known = Memory()
+        self.memory = Memory()
 
     def scores(self, texts: list[str]) -> list[float]:
         split = [text_words(t) for t in texts]
-        new = list(self.known.unknown(set().union(*(words for words, _, _ in split))))
+        new, known = list(self.memory.unknown(set().union(*(words for words, _, _ in split)))), self.memory.known
         for block in by_letters(new, 1 << 18):
             word, feature = word_features(block)
-            self.known.learn(block, np.bincount(word, self.weights[feature], len(block)).tolist())
-        get = self.known.__getitem__
+            known.update(zip(block, np.bincount(word, self.weights[feature], len(block)).tolist()))
+        get = known.__getitem__
         return [float(np.fromiter(map(get, words), np.float64, len(words)) @ logs) * scale for words, logs, scale in split]
 
 

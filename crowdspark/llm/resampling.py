@@ -112,16 +112,16 @@ class Hasher:
 
     def __init__(self, buckets: int, least: int, most: int) -> None:
         self.buckets, self.least, self.most = buckets, least, most
-        self.known = Memory()
+        self.memory = Memory()
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(buckets of all features, features per text, words per text)."""
         words = [words_of(t) for t in texts]
         features = [features_of(w, self.least, self.most) for w in words]
-        new = list(self.known.unknown(set().union(*features)))
-        self.known.learn(new, (crc32_all(new) % np.uint32(self.buckets)).tolist())
+        new, known = list(self.memory.unknown(set().union(*features))), self.memory.known
+        known.update(zip(new, (crc32_all(new) % np.uint32(self.buckets)).tolist()))
         sizes = np.array([len(f) for f in features], np.int64)
-        found = np.fromiter(map(self.known.__getitem__, chain.from_iterable(features)), np.int64, int(sizes.sum()))
+        found = np.fromiter(map(known.__getitem__, chain.from_iterable(features)), np.int64, int(sizes.sum()))
         return found, sizes, np.array([len(w) for w in words], np.int64)
 
 

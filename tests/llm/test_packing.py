@@ -27,7 +27,7 @@ def test_chunks_give_the_ids_of_whole_texts(tokenizer):
 
 
 def test_a_full_memory_starts_again(monkeypatch, tokenizer):
-    monkeypatch.setattr(P, "CACHE_WORDS", 5)
+    monkeypatch.setattr(P, "CACHE_BYTES", 5 * 220)
     encode = P.Encoder(P.tokenizer_path())
     for text in ("a b c d.", "e f g h a, b", "a b c d e f g h i j k"):
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
@@ -118,3 +118,14 @@ def test_the_search_goes_on_until_no_exchange_helps():
     bins, squares = search(P.best_fit(sizes, 2048))
     again, squares_again = search(bins)
     assert (len(again), squares_again) == (len(bins), squares)
+
+
+def test_long_distinct_chunks_are_remembered_up_to_a_bound():
+    import random
+    rnd = random.Random(8)
+    own = P.Encoder(P.tokenizer_path())
+    own.memory.limit = 200_000
+    for _ in range(20):
+        text = " ".join("".join(rnd.choice("abcd字") for _ in range(4000)) for _ in range(3))
+        assert own(text) == P.Encoder(P.tokenizer_path())._ids([text])[0].tobytes()
+        assert own.memory.held <= 200_000 and sum(map(len, own.known)) <= 200_000

@@ -122,7 +122,7 @@ def test_scores_are_sums_over_words(monkeypatch):
     want = [plain(t) for t in texts]
     for limit in (Q.Memory().limit, 500):
         grader = Q.Grader(model)
-        grader.known.limit = limit
+        grader.memory.limit = limit
         got = [s for i in range(0, len(texts), 7) for s in grader.scores(texts[i:i + 7])]
         assert np.allclose(got, want, atol=1e-4)
 
