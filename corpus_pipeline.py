@@ -19,7 +19,7 @@ from crowdspark.llm.packing import pack_documents
 from crowdspark.llm.simhash import simhash_groups
 
 LEAST_SCORE = 0.5           # language ID: below this the prediction counts as a rejection
-LETTER = r"[\p{L}\p{Nl}\p{No}]"     # what language ID counts as one
+LETTER = r"\p{L}"          # what language ID counts as one
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -58,8 +58,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document once per whole time the mix takes it, and the document on a source's cut
-    once more with its words up to the cut; documents behind the cut go."""
+    once more with its words up to the cut; documents behind the cut go, and those without words,
+    of which there is nothing to take."""
     rows, key = _numbered(docs)
+    while any(f"{key}{part}" in docs.columns for part in ("size", "taken", "part")):
+        rows, key = rows.withColumnRenamed(key, f"{key}_"), f"{key}_"
     taken = (mix_sources(docs).where("taken > 0")
              .select(F.col("row_key").alias(key), F.col("size").alias(f"{key}size"), F.col("taken").alias(f"{key}taken")))
     size, took, part = F.col(f"{key}size"), F.col(f"{key}taken"), f"{key}part"
