@@ -245,6 +245,19 @@ def next_round(seen: list[tuple[dict, float]], size: int, seed: int = SEARCH_SEE
     return out
 
 
+def _cut_predictions(fitted: ForestModel, rows: DataFrame, least: int) -> DataFrame:
+    """(label, prediction) as ``without_small_splits`` predicts, by the leaves' values alone: no
+    other model is made for one use."""
+    if least <= 2:
+        return fitted.transform(rows)
+    path = scratch_path(rows.sparkSession, "forest-tried")
+    fitted.write().save(path)
+    rf = fitted.copy()
+    rf.setLeafCol("leaves")
+    trees = tree_predictions(vector_to_array("leaves"), leaf_values(rows.sparkSession, f"{path}/data", least))
+    return rf.transform(rows).select(LABEL, tree_band(trees)["mean"].alias("prediction"))
+
+
 def search(spark: SparkSession, df: DataFrame, feature_cols: list[str], n_iter: int = 20, n_splits: int = 5,
            seed: int = SEARCH_SEED, parallelism: int = 8, start: int = START_TRIALS, per_round: int = ROUND_TRIALS) -> DataFrame:
     """Seeded sequential search over expanding day folds; score = mean fold MSE (lower is better).
@@ -267,8 +280,8 @@ def search(spark: SparkSession, df: DataFrame, feature_cols: list[str], n_iter:
 
     def score(job):
         p, j = job
-        fitted = grow(data.where(F.col("fold") < j), p)
-        return regression_metrics(fitted.transform(data.where(F.col("fold") == j))).first()["mse"]
+        fitted = forest(p).fit(data.where(F.col("fold") < j))
+        return regression_metrics(_cut_predictions(fitted, data.where(F.col("fold") == j), p["minSplit"])).first()["mse"]
 
     seen: list[tuple[dict, float | None]] = []
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
@@ -302,17 +315,27 @@ def importances(spark: SparkSession, model: PipelineModel, feature_cols: list[st
     return top_features(df, top_n)
 
 
-def leaf_values(spark: SparkSession, model_path: str, forest_uid: str) -> list[list[float]]:
-    """For each tree of a saved forest the predictions of its leaves in node-id order, which is the
-    numbering of the ``leafCol`` output.  The stage is found by its uid.  The driver reads the
-    leaves of the forest, which it holds as the model anyway."""
-    nodes = spark.read.parquet(f"{model_path}/stages/*_{forest_uid}/data")
-    leaves = nodes.where(F.col("nodeData.leftChild") < 0).select(
-        "treeID", F.col("nodeData.id").alias("node"), F.col("nodeData.prediction").alias("value"))
-    trees: dict[int, list[float]] = {}
-    for r in sorted(leaves.collect(), key=lambda r: (r["treeID"], r["node"])):
-        trees.setdefault(r["treeID"], []).append(r["value"])
-    return [trees[t] for t in sorted(trees)]
+def leaf_values(spark: SparkSession, nodes_path: str, least: int = 2) -> list[list[float]]:
+    """For each tree of a saved node table the values of its leaves in node-id order, which is the
+    numbering of the ``leafCol`` output.  With ``least``, the value of the topmost node above a leaf
+    that has fewer training rows, as if it had not been split (``without_small_splits``).  The
+    driver reads the nodes of the forest, which it holds as the model anyway."""
+    nodes = spark.read.parquet(nodes_path).select("treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild",
+                                                  "nodeData.rawCount", "nodeData.prediction")
+    trees: dict[int, list] = {}
+    for r in sorted(map(tuple, nodes.collect())):
+        trees.setdefault(r[0], []).append(r)
+    out = []
+    for _, tree in sorted(trees.items()):
+        values, above = [], {}                      # above: what a node below a small one is worth
+        for _, node, left, right, rows, value in tree:
+            value = above.get(node, value)
+            if left < 0:
+                values.append(value)
+            elif node in above or rows < least:
+                above[left] = above[right] = value
+        out.append(values)
+    return out
 
 
 def tree_predictions(leaves: Column, values: list[list[float]]) -> Column:
@@ -363,7 +386,7 @@ def ensemble_interval(spark: SparkSession, model: PipelineModel, model_path: str
     rf = model.stages[-1].copy()
     rf.setLeafCol("leaves")
     x = rf.transform(model.stages[0].transform(cast_features(df, feature_cols)))
-    values = leaf_values(spark, model_path, model.stages[-1].uid)
+    values = leaf_values(spark, f"{model_path}/stages/*_{model.stages[-1].uid}/data")
     return interval_in_row(x, tree_predictions(vector_to_array("leaves"), values), keys)
 
 

@@ -132,6 +132,8 @@ def test_min_split_is_a_limit_of_growing(spark, frames):
         cut = model.without_small_splits(grown.stages[-1], least, spark)
         small = nodes(cut)
         assert all(n["rawCount"] >= least for t in small.values() for n in t.values() if n["leftChild"] >= 0)
+        lean = model._cut_predictions(grown.stages[-1], x.withColumn("crowd_level", F.lit(0.0)), least).collect()
+        assert sorted(r["prediction"] for r in lean) == pytest.approx(sorted(r["prediction"] for r in cut.transform(x).collect()))
         assert cut.getNumTrees == 6 and (least < 10_000 or cut.totalNumNodes == 6)
         for r in cut.transform(x).collect():
             want = [walk(whole[t], r["features"], least) for t in sorted(whole)]
